@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, chat_format, exact_dedup, hilbert_shards, license_scan, toxicity, url_filter, warc
+from lexiloom.llm import bpe, chat_format, decontaminate, exact_dedup, hilbert_shards, license_scan, simhash, toxicity, url_filter, warc
 
-MODULES = (url_filter, bpe, exact_dedup, toxicity, chat_format, hilbert_shards, warc, license_scan)
+MODULES = (url_filter, bpe, exact_dedup, decontaminate, toxicity, chat_format, hilbert_shards, warc, simhash, license_scan)
 
 
 def queries() -> dict:
