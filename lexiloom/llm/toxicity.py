@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.llm.common import materialise, table
 
@@ -231,7 +232,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of ``df`` (doc_id, text)."""
+    """The columns of ``df`` (with text) and the score of every row; a map over rows, nothing is shuffled."""
+    names = [c for c in df.columns if c != "score"]
+    at = names.index("text")
     shared = df.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,20 +257,27 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 first, held = first + len(texts), 0
                 texts.clear()
 
-            for x in batch.column(1):
+            for x in batch.column(at):
                 texts.append((x.as_py() or "").lower().encode())
                 held += len(texts[-1]) + 1
                 if held >= _CHUNK // 2:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))], ["doc_id", "score"])
+            found = pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "score"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = df.select(*[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``df`` that score under the threshold."""
+    return score(df, train(df, labels)).where(F.col("score") < THRESHOLD).drop("score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
