@@ -1,17 +1,70 @@
-"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""The training-data pipeline over ``documents``: toxicity, exact dedup, near-dedup, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes every stage's
+result as Parquet into the shared folder and reads it again as the next one's input.
+
+Results for odd input: null texts are empty texts, null ids never match another row, empty tables give no rows;
+columns beyond those of ``documents`` are dropped, so that no name can clash with those a stage adds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup
+from lexiloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from lexiloom.llm.common import materialise, table
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.keep_one(docs))]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL cannot express a trained score, fuzzy fingerprints or a latent space; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose score is under the threshold; the model is fitted on labelled rows of ``docs``."""
+    return toxicity.keep_clean(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of equal texts the row with the largest doc_id."""
+    return exact_dedup.keep_one(docs.select(COLUMNS))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of similar texts (shingles of five words, similarity 0.8) the smallest doc_id."""
+    return simhash.keep_one(docs.select(COLUMNS))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no item of the benchmark."""
+    return decontaminate.drop_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the length in bytes of what they decode to."""
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
+    return bpe.decode(encoded).select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", to_tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over the whole table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
