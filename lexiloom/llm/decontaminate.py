@@ -37,11 +37,15 @@ BLOCK_ITEMS = 4096
 CELL = 32
 LEAST_WORDS = 5
 #: Latent dimensions and oversampling of the randomised SVD.
-RANK, OVERSAMPLE = 96, 16
+RANK, OVERSAMPLE = 64, 16
 #: Terms in more than this share of passages say nothing and stay out of the vectors.
 STOP_SHARE = 0.1
 #: Weighted terms that a window needs; least cosine of candidates.
 LEAST_TERMS, COSINE = 1, 0.33
+#: Least share of a piece's latent length that a candidate window has in the piece's direction.
+REACH = 0.5
+#: Cells that are searched at once.
+CHUNK_CELLS = 1 << 15
 #: Share of a piece's words in the common subsequence: enough alone; enough with the answer check.
 SURE, LIKELY = 0.7, 0.6
 #: Rarest terms of a piece that stand for its answer, and the share of them that must be found.
@@ -131,7 +135,8 @@ def document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int
         counts = np.zeros(size + 1, np.int64)
         for batch in batches:
             owner, terms, n = _passages(batch)
-            found = np.unique(owner * size + terms)
+            found = np.sort(owner * size + terms)
+            found = found[np.flatnonzero(np.diff(found, prepend=-1))]
             counts[:size] += np.bincount(found % size, minlength=size)
             counts[size] += n
         kept = np.flatnonzero(counts)
@@ -147,6 +152,7 @@ def gram_product(encoded: DataFrame, weight: np.ndarray, test: np.ndarray) -> np
     """A'A x test for the TF-IDF matrix A of all passages, rows of unit length; summed over tasks in a tree."""
     shared = encoded.sparkSession.sparkContext.broadcast((weight.astype(np.float32), test.astype(np.float32)))
     size, width = test.shape
+    narrow = np.uint16 if size < 1 << 16 else np.int32  # sorted by radix if narrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, test = shared.value
@@ -154,19 +160,21 @@ def gram_product(encoded: DataFrame, weight: np.ndarray, test: np.ndarray) -> np
         for batch in batches:
             owner, terms, n = _passages(batch)
             use = weight[terms] > 0
-            cell, tf = np.unique(owner[use] * size + terms[use], return_counts=True)
-            owner, terms = cell // size, cell % size
+            cell = np.sort(owner[use] * size + terms[use])
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            tf = np.diff(np.append(first, len(cell)))
+            owner, terms = np.divmod(cell[first], size)
             value = (1 + np.log(tf)).astype(np.float32) * weight[terms]
-            norm = np.sqrt(np.bincount(owner, value**2, n))
+            norm = np.sqrt(np.bincount(owner, value**2, n)).astype(np.float32)
             value /= norm[owner]
-            for a in range(0, len(cell), 1 << 17):  # passages that a cut divides only lose a cross term of the sketch
-                o, t, v = owner[a : a + (1 << 17)], terms[a : a + (1 << 17)], value[a : a + (1 << 17), None]
+            for a in range(0, len(value), 1 << 16):  # passages that a cut divides only lose a cross term of the sketch
+                o, t, v = owner[a : a + (1 << 16)], terms[a : a + (1 << 16)].astype(narrow), value[a : a + (1 << 16), None]
                 starts = np.flatnonzero(np.diff(o, prepend=-1))
                 y = np.add.reduceat(v * test[t], starts, axis=0)
-                back = v * y[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(o))))]
+                at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(o))))
                 order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.diff(t[order], prepend=-1))
-                out[t[order][first]] += np.add.reduceat(back[order], first, axis=0)
+                first = np.flatnonzero(np.diff(t[order].astype(np.int64), prepend=-1))
+                out[t[order][first]] += np.add.reduceat(v[order] * y[at[order]], first, axis=0)
         part = TaskContext.get().partitionId()
         rows = [out[i : i + TERMS_PER_ROW].tobytes() for i in range(0, size, TERMS_PER_ROW)]
         n = len(rows)
@@ -222,54 +230,76 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
         if not p.answer:
             p.answer = sorted(set(p.terms), key=lambda t: (-weight[t], t))[:ANSWER_TERMS]
     project = (weight[:, None] * space).astype(np.float32)
-    queries = np.stack([project[p.terms].sum(axis=0) for p in block.pieces]) if block.pieces else np.zeros((0, project.shape[1]), np.float32)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    shared = encoded.sparkSession.sparkContext.broadcast((block, weight > 0, project, queries.T.copy()))
+    empty = np.zeros((0, project.shape[1]), np.float32)
+    queries = np.stack([project[p.terms].sum(axis=0) for p in block.pieces]) if block.pieces else empty
+    length = np.linalg.norm(queries, axis=1)
+    queries /= np.maximum(length[:, None], 1e-12)
+    reach = np.maximum(REACH * length, 1e-9).astype(np.float32)
+    shared = encoded.sparkSession.sparkContext.broadcast((block, weight > 0, project, queries.T.copy(), reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weighty, project, queries = shared.value
+        block, weighty, project, queries, reach = shared.value
         ids, pieces, width = block.ids, block.pieces, project.shape[1]
         names, types = [x.split()[0] for x in SCHEMA.split(", ")], [pa.int64()] * 2 + [pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+
+        def found_in(owner: np.ndarray, term: np.ndarray, cells: int) -> Iterator[tuple]:
+            """(window's first cell, item, (coverage, common words, cosine, answer share)) over a chunk of texts."""
+            heavy = weighty[term]
+            o, t = owner[heavy], term[heavy]
+            held = np.bincount(o, minlength=cells + 1)
+            windows = np.flatnonzero(held[:-1] + held[1:] >= LEAST_TERMS)
+            if not len(windows):
+                return
+            vectors = np.zeros((cells + 1, width), np.float32)
+            starts = np.flatnonzero(np.diff(o, prepend=-1))
+            vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
+            edges = np.searchsorted(owner, np.arange(cells + 2))
+            for a in range(0, len(windows), 4096):
+                w = windows[a : a + 4096]
+                v = vectors[w] + vectors[w + 1]
+                dots = v @ queries
+                i, q = np.nonzero(dots >= reach)
+                cosine = dots[i, q] / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[i]
+                near = cosine >= COSINE
+                for start, q, c in zip(w[i[near]].tolist(), q[near].tolist(), cosine[near].tolist(), strict=True):
+                    piece = pieces[q]
+                    inside = term[edges[start] : edges[start + 2]].tolist()
+                    words = len(piece.terms)
+                    if len(inside) < LIKELY * words:
+                        continue
+                    common = common_subsequence(piece.masks, inside, words)
+                    if common < LIKELY * words:
+                        continue
+                    answer = len(set(inside).intersection(piece.answer)) / len(piece.answer)
+                    if common >= SURE * words or answer >= ANSWER_SHARE:
+                        yield start, piece.item, (common / words, common, c, answer)
+
         for batch in batches:
             rows: list[tuple] = []
+            chunk: list[tuple] = []  # owner, term
+            docs: list[int | None] = []
+            first = [0]  # first cell of each text; an empty cell ends each, so that no window spans two texts
+
+            def flush() -> None:
+                if docs and pieces:
+                    owner, term = (np.concatenate(x) for x in zip(*chunk, strict=True))
+                    best: dict[tuple, tuple] = {}
+                    for start, item, new in found_in(owner, term, first[-1]):
+                        key = (int(np.searchsorted(first, start, side="right")) - 1, item)
+                        best[key] = max(best.get(key, new), new)
+                    rows.extend((docs[d], ids[k], c, n, g, a) for (d, k), (g, n, c, a) in sorted(best.items()))
+                docs.clear()
+                chunk.clear()
+                first[:] = [0]
+
             for doc, n, at, term in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not pieces or not at:
-                    continue
-                at, term = np.frombuffer(at, np.int32), np.frombuffer(term, np.int32)
-                cells = -(-n // CELL)
-                owner = at // CELL
-                heavy = weighty[term]
-                held = np.bincount(owner[heavy], minlength=cells)
-                held = held + np.append(held[1:], 0)
-                windows = np.flatnonzero(held >= LEAST_TERMS)
-                if not len(windows):
-                    continue
-                vectors = np.zeros((cells + 1, width), np.float32)
-                o, t = owner[heavy], term[heavy]
-                starts = np.flatnonzero(np.diff(o, prepend=-1))
-                vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
-                edges = np.searchsorted(owner, np.arange(cells + 2))
-                best: dict[int, tuple] = {}
-                for a in range(0, len(windows), 4096):
-                    w = windows[a : a + 4096]
-                    v = vectors[w] + vectors[w + 1]
-                    cosine = v @ queries / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    for i, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        piece, start = pieces[q], w[i]
-                        inside = term[edges[start] : edges[min(start + 2, cells)]].tolist()
-                        length = len(piece.terms)
-                        if len(inside) < LIKELY * length:
-                            continue
-                        common = common_subsequence(piece.masks, inside, length)
-                        coverage = common / length
-                        if coverage < LIKELY:
-                            continue
-                        found = set(inside)
-                        answer = sum(t in found for t in piece.answer) / len(piece.answer)
-                        if coverage >= SURE or answer >= ANSWER_SHARE:
-                            new = (coverage, common, float(cosine[i, q]), answer)
-                            best[piece.item] = max(best.get(piece.item, new), new)
-                rows += [(doc, ids[k], c, l, g, a) for k, (g, l, c, a) in sorted(best.items())]
+                if at:
+                    chunk.append((np.frombuffer(at, np.int32) // CELL + first[-1], np.frombuffer(term, np.int32)))
+                    docs.append(doc)
+                    first.append(first[-1] + -(-n // CELL) + 1)
+                    if first[-1] >= CHUNK_CELLS:
+                        flush()
+            flush()
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
