@@ -224,6 +224,13 @@ def common_subsequence(masks: dict[int, int], terms: list[int], length: int) ->
     return length - row.bit_count()
 
 
+def signatures(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Runs of terms as sets of 256 bits (n x 4); a bit that a piece has and a window has not is a word it lacks."""
+    bit = np.uint64(1) << (terms & 63).astype(np.uint64)
+    word = terms >> 6 & 3
+    return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
+
+
 def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarray) -> DataFrame:
     """A row of SCHEMA for each document and item it holds."""
     for p in block.pieces:
@@ -235,32 +242,43 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
     length = np.linalg.norm(queries, axis=1)
     queries /= np.maximum(length[:, None], 1e-12)
     reach = np.maximum(REACH * length, 1e-9).astype(np.float32)
-    shared = encoded.sparkSession.sparkContext.broadcast((block, weight > 0, project, queries.T.copy(), reach))
+    words = np.array([len(p.terms) for p in block.pieces], np.int64)
+    terms = np.array([t for p in block.pieces for t in p.terms], np.int64)
+    signed = signatures(terms, np.cumsum(words) - words) if len(words) else np.zeros((0, 4), np.uint64)
+    spare = np.floor((1 - LIKELY) * words + 1e-9).astype(np.int64)  # words that a likely piece may lack
+    shared = encoded.sparkSession.sparkContext.broadcast((block, weight > 0, project, queries.T.copy(), reach, signed, spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weighty, project, queries, reach = shared.value
+        block, weighty, project, queries, reach, signed, spare = shared.value
         ids, pieces, width = block.ids, block.pieces, project.shape[1]
         names, types = [x.split()[0] for x in SCHEMA.split(", ")], [pa.int64()] * 2 + [pa.float64(), pa.int32(), pa.float64(), pa.float64()]
 
-        def found_in(owner: np.ndarray, term: np.ndarray, cells: int) -> Iterator[tuple]:
+        def found_in(owner: np.ndarray, term: np.ndarray, cells: int, blank: np.ndarray) -> Iterator[tuple]:
             """(window's first cell, item, (coverage, common words, cosine, answer share)) over a chunk of texts."""
             heavy = weighty[term]
             o, t = owner[heavy], term[heavy]
             held = np.bincount(o, minlength=cells + 1)
-            windows = np.flatnonzero(held[:-1] + held[1:] >= LEAST_TERMS)
+            enough = held[:-1] + held[1:] >= LEAST_TERMS
+            enough[blank] = False
+            windows = np.flatnonzero(enough)
             if not len(windows):
                 return
             vectors = np.zeros((cells + 1, width), np.float32)
             starts = np.flatnonzero(np.diff(o, prepend=-1))
             vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
             edges = np.searchsorted(owner, np.arange(cells + 2))
+            held = np.zeros((cells + 1, 4), np.uint64)
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            held[owner[starts]] = signatures(term, starts)
             for a in range(0, len(windows), 4096):
                 w = windows[a : a + 4096]
                 v = vectors[w] + vectors[w + 1]
                 dots = v @ queries
                 i, q = np.nonzero(dots >= reach)
                 cosine = dots[i, q] / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[i]
-                near = cosine >= COSINE
+                near = np.flatnonzero(cosine >= COSINE)
+                lacks = np.bitwise_count(signed[q[near]] & ~(held[w] | held[w + 1])[i[near]]).sum(axis=1)
+                near = near[lacks <= spare[q[near]]]
                 for start, q, c in zip(w[i[near]].tolist(), q[near].tolist(), cosine[near].tolist(), strict=True):
                     piece = pieces[q]
                     inside = term[edges[start] : edges[start + 2]].tolist()
@@ -284,7 +302,7 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
                 if docs and pieces:
                     owner, term = (np.concatenate(x) for x in zip(*chunk, strict=True))
                     best: dict[tuple, tuple] = {}
-                    for start, item, new in found_in(owner, term, first[-1]):
+                    for start, item, new in found_in(owner, term, first[-1], np.array(first[1:]) - 1):
                         key = (int(np.searchsorted(first, start, side="right")) - 1, item)
                         best[key] = max(best.get(key, new), new)
                     rows.extend((docs[d], ids[k], c, n, g, a) for (d, k), (g, n, c, a) in sorted(best.items()))
