@@ -41,9 +41,9 @@ RANK, OVERSAMPLE = 64, 16
 #: Terms in more than this share of passages say nothing and stay out of the vectors.
 STOP_SHARE = 0.1
 #: Weighted terms that a window needs; least cosine of candidates.
-LEAST_TERMS, COSINE = 1, 0.33
+LEAST_TERMS, COSINE = 1, 0.2
 #: Least share of a piece's latent length that a candidate window has in the piece's direction.
-REACH = 0.5
+REACH = 0.35
 #: Cells that are searched at once.
 CHUNK_CELLS = 1 << 15
 #: Share of a piece's words in the common subsequence: enough alone; enough with the answer check.
