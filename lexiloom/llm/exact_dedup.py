@@ -156,7 +156,8 @@ def dedup(df: DataFrame, is_history: Column, text: str = "text") -> DataFrame:
     rows = digested(df, text).groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     rows = materialise(rows, "digests").withColumn("old", F.coalesce(is_history, F.lit(False)))
     groups = resolve(rows.where("old"), rows.where("NOT old"), shards)
-    joined = rows.drop("old").join(groups, "digest")
+    # written first, so that both sides of the join are exchanges and AQE can split a hot digest
+    joined = rows.drop("old").join(materialise(groups, "digest-groups"), "digest")
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     kept = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)
     return copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
