@@ -192,7 +192,8 @@ def revisits(pages: DataFrame) -> DataFrame:
     sized = pages.select("page_id", "digest", F.octet_length("html").alias("n")).where(f"n >= {LEAST_REVISIT}")
     sized = materialise(sized.select("page_id", "digest"), "payloads")
     first = sized.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    later = sized.join(first.drop("n"), "digest").where("page_id > refers_to")
+    # written first, so that both sides of the join are exchanges and AQE can split a hot digest
+    later = sized.join(materialise(first.drop("n"), "payload-heads"), "digest").where("page_id > refers_to")
     return later.dropDuplicates(["page_id", "digest"])
 
 
