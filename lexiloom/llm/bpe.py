@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import table
 
 #: Pre-tokens remembered per Python worker; the memory is emptied when it is full, which changes no result.
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 600_000
 #: Longer pre-tokens are not remembered, so that the memory stays bounded.
 CACHE_LENGTH = 64
 #: Code points that ``regex`` knows as letters or numbers and the tokenizer library, which follows
@@ -161,6 +162,7 @@ class Codec:
         beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.find = lambda text: (full if beyond(text) else common).findall(text)
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
+        self.by_id = {i: b for b, i in self.ranks.items()}
 
         class Known(dict):
             def __missing__(known, token: str) -> str:
@@ -184,7 +186,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
 
     def decode(self, ids: list[int]) -> bytes:
-        return self.decode_decimal(" ".join(map(str, ids)))
+        return b"".join(map(self.by_id.__getitem__, ids))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -202,7 +204,9 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([codec(path).encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        parts = [np.array(codec(path).encode(t.as_py() or ""), np.int32) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(starts, np.concatenate([np.zeros(0, np.int32), *parts]))
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -213,7 +217,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabula
 
     @F.arrow_udf("binary")
     def data(arrays: pa.Array) -> pa.Array:
-        return pa.array([codec(path).decode(a or []) for a in arrays.to_pylist()], pa.binary())
+        return pa.array([codec(path).decode(a.as_py() or []) for a in arrays], pa.binary())
 
     return df.withColumn(out, data(F.col(ids)))
 
