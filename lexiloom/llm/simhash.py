@@ -34,8 +34,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a bucket that are compared pair by pair; larger buckets take the other way.
 COLD = 32
 #: For near_duplicates: words of a shingle and the least similarity; bits that candidates may differ in (at a similarity
-#: of 0.8 a pair differs in 9 bits on average); rows of a bucket that are compared pair by pair.
-WORDS, SIMILARITY, BITS, PAIRED = 5, 0.8, 16, 16
+#: of 0.8 a pair differs in 9 bits on average, while unlike texts that share a bucket mostly differ in more); rows of a bucket that are compared pair by pair.
+WORDS, SIMILARITY, BITS, PAIRED = 5, 0.8, 12, 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -181,9 +181,9 @@ def _sets(df: DataFrame, words: int, whole: bool) -> DataFrame:
 def candidates(sets: DataFrame) -> DataFrame:
     """Pairs (a, b: doc_id) that share a bucket and whose sizes and fingerprints allow the similarity.
 
-    Small buckets give all their pairs.  In a large one, as a large group of copies makes, each row is paired with
-    two leaders that a hash of row and key picks, another pair of them in each of the row's many buckets, so the group's
-    graph is connected although no bucket's rows are all paired.
+    Small buckets give all their pairs.  In a large one, as a large group of copies makes, each row is paired with the
+    leader that a hash of row and key picks, another one in each of the row's many buckets, so the group's graph is
+    connected although no bucket's rows are all paired.
     """
     rows = shared_buckets(keyed(sets, fuzzy_pair_keys, "fp long, size int, doc_id long"))
     fits = (
@@ -192,12 +192,10 @@ def candidates(sets: DataFrame) -> DataFrame:
     cold = rows.where(f"n_key <= {PAIRED}")
     small = cold.alias("a").join(cold.alias("b"), F.expr(f"a.key = b.key AND a.doc_id < b.doc_id AND {fits}"))
     hot = rows.where(f"n_key > {PAIRED}")
-    one = F.struct("fp", "size", "doc_id")
     leaders = materialise(
-        hot.groupBy("key").agg(
-            F.min_by(one, F.xxhash64("doc_id", "key")).alias("p"), F.min_by(one, F.xxhash64("key", "doc_id", F.lit(1))).alias("q")
-        ).select("key", F.explode(F.array("p", "q")).alias("x")).select("key", "x.*"), "leaders",
-    )
+        hot.groupBy("key").agg(F.min_by(F.struct("fp", "size", "doc_id"), F.xxhash64("doc_id", "key")).alias("x")).select("key", "x.*"),
+        "leaders",
+    )
     large = hot.alias("a").join(leaders.alias("b"), F.expr(f"a.key = b.key AND a.doc_id <> b.doc_id AND {fits}"))
     pick = [F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")]
     return small.select(*pick).unionByName(large.select(*pick)).distinct()
