@@ -78,7 +78,7 @@ def segments(fp: np.ndarray) -> list[np.ndarray]:
     return [((fp.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
 
 
-def exact_fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def exact_fuzzy_keys(fp: np.ndarray, *_) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys: each segment as it is with a codeword index of the next one."""
     cut = segments(fp)
     rows, out = [], []
@@ -90,15 +90,21 @@ def exact_fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def fuzzy_pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: codeword indices of two segments, for each two of the three."""
+def fuzzy_pair_keys(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys: codeword indices of two segments, for each two of the three, with a class of size.
+
+    Sets of the least similarity differ in size by a factor of 1 / SIMILARITY at most, so their classes are at most one
+    apart; each row has its own class and the next, and no similar pair is lost.
+    """
     near = [golay.keys(x) for x in segments(fp)]
     rows, out = [], []
     for i, (a, b) in enumerate(((0, 1), (1, 2), (0, 2))):
         at, k, m = np.nonzero((near[a] >= 0)[:, :, None] & (near[b] >= 0)[:, None, :])
         rows.append(at)
         out.append(i << 24 | near[a][at, k] << 12 | near[b][at, m])
-    return np.concatenate(rows), np.concatenate(out)
+    at, key = np.concatenate(rows), np.concatenate(out)
+    kind = np.floor(np.log(np.maximum(size, 1)) / (-np.log(SIMILARITY) + 1e-6)).astype(np.int64)[at]
+    return np.concatenate([at, at]), np.concatenate([kind << 26 | key, kind + 1 << 26 | key])
 
 
 def keyed(df: DataFrame, keys, columns: str) -> DataFrame:
@@ -109,7 +115,7 @@ def keyed(df: DataFrame, keys, columns: str) -> DataFrame:
         for whole in batches:
             for i in range(0, len(whole), 4096):
                 batch = whole.slice(i, 4096)
-                at, key = keys(batch.column(0).to_numpy())
+                at, key = keys(*(c.to_numpy() for c in batch.columns[:2]))
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(at) for c in batch.columns)], ["key", *names])
 
