@@ -13,10 +13,11 @@ from lexiloom.operators.segment import located, tokens
 
 #: What a miRNA name begins with, and what must follow its number.
 PREFIXES = (
-    "hsa-let-", "hsa-mir-", "hsa-miR-", "hsa-", "let-", "lethal-", "micro rna", "micro rna-", "micro rnas-", "microrna", "microrna-",
-    "microrna ", "micrornas-", "mir", "mir-", "mir ", "miR-", "mirna", "mirna-", "mmu-let-", "mmu-mir-", "mmu-",
+    "bta-mir-", "rno-mir-", "gga-mir-", "cel-mir-", "ssc-mir-", "ebv-mir-", "mdv1-mir-", "hcmv-mir-",
+    "mir", "mir-", "mirna", "mirna-", "microrna", "microrna-", "micro rna", "micro-rna-", "let-", "mirna-let-", "mir-let-",
+    "hsa-mir-", "mmu-", "hsa-let-",
 )
-SUFFIXES = (r"[a-z]-[0-9]-[35]p", r"[a-z]-[35]p", r"[a-z]", r"\*", r"-[0-9]-[35]p", r"-[35]p", r"-[0-9]", r"[0-9]+")
+SUFFIXES = ("[-]?[a-c]-[12]-[35]p", "[-]?[a-c]-[35]p", "-[12]-[35]p", "[a-c]", "-[12]", "-[35]p", "[*]", "[0-9]+")
 
 
 def mirna_pattern(prefixes: tuple[str, ...] = PREFIXES, suffixes: tuple[str, ...] = SUFFIXES) -> re.Pattern:
