@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import table
 
 #: Pre-tokens remembered per Python worker; the memory is emptied when it is full, which changes no result.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 400_000
 #: Longer pre-tokens are not remembered, so that the memory stays bounded.
 CACHE_LENGTH = 64
 #: Code points that ``regex`` knows as letters or numbers and the tokenizer library, which follows

@@ -113,8 +113,8 @@ def keyed(df: DataFrame, keys, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 4096):
-                batch = whole.slice(i, 4096)
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
                 at, key = keys(*(c.to_numpy() for c in batch.columns[:2]))
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(at) for c in batch.columns)], ["key", *names])
