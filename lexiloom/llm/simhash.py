@@ -7,8 +7,11 @@ of the few codeword indices near the second; candidates are verified by their tr
 combined first.  Buckets of more than COLD fingerprints are not paired: their fingerprints are looked up by all
 words within one bit, of which two linked fingerprints always share one and which at most 65 fingerprints share.
 
-``near_duplicates`` is for similarity: shingle sets at a Jaccard similarity of 0.8 or more, candidates from
-keys of two segments' codeword indices (whatever the third holds), verified on the shingles themselves.
+``near_duplicates`` is for similarity: shingle sets at a Jaccard similarity of 0.8 or more, where a tenth to a sixth of
+the bits differ.  Its fingerprints have 256 bits, of which TABLES segments of 23 give codeword indices; a key is one of
+these with an anchor, the least shingle hash under the segment's own mix.  A similar pair has one anchor in common with
+a probability of its similarity and a key of one table in half of all cases, so that of eight tables one finds it
+(0.995 at 0.8), while unlike texts seldom meet, however many there are.  Pairs are verified on the shingles themselves.
 
 Results for odd input: null and empty texts have no words and fingerprint zero, and are linked like any other;
 texts are hashed whole; repeated rows are rows of their own with the same result; a null doc_id is never a
@@ -33,9 +36,11 @@ SEED, RADIUS = 42, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a bucket that are compared pair by pair; larger buckets take the other way.
 COLD = 32
-#: For near_duplicates: words of a shingle and the least similarity; bits that candidates may differ in (at a similarity
-#: of 0.8 a pair differs in 9 bits on average, while unlike texts that share a bucket mostly differ in more); rows of a bucket that are compared pair by pair.
-WORDS, SIMILARITY, BITS, PAIRED = 5, 0.8, 12, 16
+#: For near_duplicates: words of a shingle and the least similarity; segments and anchors; longs of a fingerprint; bits that
+#: candidates may differ in (at a similarity of 0.8 a pair differs in 39 on average, with a deviation of 6); rows of a
+#: bucket that are compared pair by pair.
+WORDS, SIMILARITY, TABLES, LONGS, BITS, PAIRED = 5, 0.8, 8, 4, 60, 16
+PARTS = [f"p{i}" for i in range(LONGS)]
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -78,7 +83,7 @@ def segments(fp: np.ndarray) -> list[np.ndarray]:
     return [((fp.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
 
 
-def exact_fuzzy_keys(fp: np.ndarray, *_) -> tuple[np.ndarray, np.ndarray]:
+def exact_fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys: each segment as it is with a codeword index of the next one."""
     cut = segments(fp)
     rows, out = [], []
@@ -90,36 +95,64 @@ def exact_fuzzy_keys(fp: np.ndarray, *_) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def fuzzy_pair_keys(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: codeword indices of two segments, for each two of the three, with a class of size.
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words whose bits all depend on each other (SplitMix64's finisher)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Sets of the least similarity differ in size by a factor of 1 / SIMILARITY at most, so their classes are at most one
-    apart; each row has its own class and the next, and no similar pair is lost.
-    """
-    near = [golay.keys(x) for x in segments(fp)]
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint (LONGS words) and anchors (TABLES least mixed hashes; all ones if there are no shingles)."""
+    offsets = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts, least = np.zeros(64 * LONGS, np.int64), np.full(TABLES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 14):
+        mixed = mix(hashes[i : i + (1 << 14), None] + offsets)
+        least = np.minimum(least, mixed.min(axis=0))
+        bits = np.unpackbits(np.ascontiguousarray(mixed[:, :LONGS]).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64), least
+
+
+def anchored_keys(parts: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of fingerprints (n x LONGS) and anchors (n x TABLES); a key ends in its table's number."""
+    bits = np.unpackbits(np.ascontiguousarray(parts).view(np.uint8), axis=1, bitorder="little")
     rows, out = [], []
-    for i, (a, b) in enumerate(((0, 1), (1, 2), (0, 2))):
-        at, k, m = np.nonzero((near[a] >= 0)[:, :, None] & (near[b] >= 0)[:, None, :])
+    for i in range(TABLES):
+        near = golay.keys(bits[:, i * golay.LENGTH : (i + 1) * golay.LENGTH] @ (1 << np.arange(golay.LENGTH)))
+        at, k = np.nonzero(near >= 0)
+        mixed = mix(anchors[at, i] + mix(near[at, k].astype(np.uint64)))
         rows.append(at)
-        out.append(i << 24 | near[a][at, k] << 12 | near[b][at, m])
-    at, key = np.concatenate(rows), np.concatenate(out)
-    kind = np.floor(np.log(np.maximum(size, 1)) / (-np.log(SIMILARITY) + 1e-6)).astype(np.int64)[at]
-    return np.concatenate([at, at]), np.concatenate([kind << 26 | key, kind + 1 << 26 | key])
+        out.append(((mixed & ~np.uint64(TABLES - 1)) | np.uint64(i)).view(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
 
 
-def keyed(df: DataFrame, keys, columns: str) -> DataFrame:
-    """One row for each key of ``fp``, with the other columns named in ``columns`` (a schema that begins with fp)."""
-    names = [x.split()[0] for x in columns.split(", ")]
+def keyed(distinct: DataFrame) -> DataFrame:
+    """One row (key, fp) for each exact fuzzy key of each ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 256):
-                batch = whole.slice(i, 256)
-                at, key = keys(*(c.to_numpy() for c in batch.columns[:2]))
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(at) for c in batch.columns)], ["key", *names])
+            for i in range(0, len(whole), 1024):
+                fp = whole.column(0).slice(i, 1024)
+                at, key = exact_fuzzy_keys(fp.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp.take(pa.array(at))], ["key", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "key long, fp long")
+
 
-    return df.select(*names).mapInArrow(run, f"key long, {columns}")
+def anchored(sets: DataFrame) -> DataFrame:
+    """One row (key, doc_id) for each anchored fuzzy key of each row of ``sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                batch = whole.slice(i, 1024)
+                parts = np.stack([c.to_numpy() for c in batch.columns[1 : 1 + LONGS]], axis=1)
+                anchors = batch.column(1 + LONGS).flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+                at, key = anchored_keys(parts, anchors)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(at))], ["key", "doc_id"])
+
+    return sets.select("doc_id", *PARTS, "anchors").mapInArrow(run, "key long, doc_id long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -138,7 +171,7 @@ def midpoint_edges(fps: DataFrame) -> DataFrame:
 
 def link(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (fp) at RADIUS or fewer differing bits."""
-    rows = shared_buckets(keyed(distinct, exact_fuzzy_keys, "fp long"))
+    rows = shared_buckets(keyed(distinct))
     cold = rows.where(f"n_key <= {COLD}").select("key", "fp")
     a, b = cold.alias("a"), cold.alias("b")
     close = F.expr(f"a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {RADIUS}")
@@ -163,69 +196,99 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(df: DataFrame, words: int, whole: bool) -> DataFrame:
-    """doc_id, fp of the shingle set, its size and digest; with the set itself if ``whole``."""
+def _sketches(df: DataFrame, words: int) -> DataFrame:
+    """doc_id, fingerprint (PARTS), anchors, size and digest of every row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), words)) for x in batch.column(1)]
-            if whole:
-                short = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
+            n = len(batch)
+            parts, anchors = np.zeros((n, LONGS), np.uint64), np.zeros((n, TABLES), np.uint64)
+            size, digest = np.zeros(n, np.int32), np.zeros(n, np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                shingles = np.unique(shingle_hashes(text.as_py(), words))
+                parts[i], anchors[i] = sketch(shingles)
+                size[i], digest[i] = len(shingles), xxh64_intdigest(shingles.tobytes())
+            starts = pa.array(np.arange(n + 1, dtype=np.int32) * TABLES)
+            columns = [batch.column(0), *(pa.array(parts[:, i].view(np.int64)) for i in range(LONGS))]
+            columns += [pa.ListArray.from_arrays(starts, pa.array(anchors.reshape(-1).view(np.int64)))]
+            columns += [pa.array(size), pa.array(digest.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *PARTS, "anchors", "size", "digest"])
+
+    schema = f"doc_id long, {', '.join(f'{p} long' for p in PARTS)}, anchors array<long>, size int, digest long"
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _sets(df: DataFrame, words: int) -> DataFrame:
+    """doc_id and the shingle set (32 bits of each hash) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                short = [np.unique(shingle_hashes(x.as_py(), words).astype(np.uint32)).view(np.int32) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.list_(pa.int32()))], ["doc_id", "shingles"])
-            else:
-                fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
-                digest = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                size = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), size, pa.array(digest)], ["doc_id", "fp", "size", "digest"])
 
-    schema = "doc_id long, shingles array<int>" if whole else "doc_id long, fp long, size int, digest long"
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<int>")
+
+
+def _pairs(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
+    """Pairs (a < b) of rows and others of one key whose sizes and fingerprints allow the similarity."""
+    differ = " + ".join(f"bit_count(a.{p} ^ b.{p})" for p in PARTS)
+    fits = f"a.key = b.key AND {also} AND least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size) AND {differ} <= {BITS}"
+    both = rows.alias("a").join(other.alias("b"), F.expr(fits))
+    return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Pairs (a, b: doc_id) that share a bucket and whose sizes and fingerprints allow the similarity.
 
-    Small buckets give all their pairs.  In a large one, as a large group of copies makes, each row is paired with the
-    leader that a hash of row and key picks, another one in each of the row's many buckets, so the group's graph is
+    Small buckets give all their pairs.  A large one, as a passage in many texts makes, is divided by each of the other
+    anchors, of which similar texts have most in common.  What is still large then is a large group of like texts: each
+    row is paired with leaders that a hash picks, other ones for each anchor it was divided by, so the group's graph is
     connected although no bucket's rows are all paired.
     """
-    rows = shared_buckets(keyed(sets, fuzzy_pair_keys, "fp long, size int, doc_id long"))
-    fits = (
-        f"least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size) AND bit_count(a.fp ^ b.fp) <= {BITS}"
-    )
-    cold = rows.where(f"n_key <= {PAIRED}")
-    small = cold.alias("a").join(cold.alias("b"), F.expr(f"a.key = b.key AND a.doc_id < b.doc_id AND {fits}"))
-    hot = rows.where(f"n_key > {PAIRED}")
-    leaders = materialise(
-        hot.groupBy("key").agg(F.min_by(F.struct("fp", "size", "doc_id"), F.xxhash64("doc_id", "key")).alias("x")).select("key", "x.*"),
-        "leaders",
-    )
-    large = hot.alias("a").join(leaders.alias("b"), F.expr(f"a.key = b.key AND a.doc_id <> b.doc_id AND {fits}"))
-    pick = [F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")]
-    return small.select(*pick).unionByName(large.select(*pick)).distinct()
+    columns = ["key", "doc_id", "size", *PARTS]
+    fields = sets.select("doc_id", "size", *PARTS)
+    buckets = shared_buckets(anchored(sets))
+    cold = materialise(buckets.where(f"n_key <= {PAIRED}").join(fields, "doc_id").select(*columns), "bucket-rows-small")
+    hot = buckets.where(f"n_key > {PAIRED}").join(sets.select("doc_id", "anchors"), "doc_id")
+    hot = hot.select("key", "doc_id", F.posexplode("anchors").alias("pos", "anchor")).where(f"pos <> (key & {TABLES - 1})")
+    hot = hot.select(F.shiftleft(F.xxhash64("key", "pos", "anchor"), 3).bitwiseOR(F.col("pos").cast("long")).alias("key"), "doc_id")
+    parts = shared_buckets(materialise(hot, "divided-buckets"))
+    small = materialise(parts.where(f"n_key <= {PAIRED}").join(fields, "doc_id").select(*columns), "divided-rows-small")
+    large = parts.where(f"n_key > {PAIRED}")
+    order = F.xxhash64("doc_id", F.col("key").bitwiseAND(TABLES - 1))
+    leaders = large.groupBy("key").agg(F.min_by("doc_id", order).alias("doc_id"))
+    led = materialise(large.select("key", "doc_id").join(materialise(leaders.withColumnRenamed("doc_id", "leader"), "leaders"), "key"), "led-rows")
+    led = led.where("doc_id <> leader").select(F.col("leader").alias("key"), "doc_id").distinct()
+    led = led.join(fields, "doc_id").select(*columns)
+    first = fields.select(F.col("doc_id").alias("key"), "*")
+    found = _pairs(cold, cold, "a.doc_id < b.doc_id").unionByName(_pairs(small, small, "a.doc_id < b.doc_id"))
+    return found.unionByName(_pairs(led, first, "a.doc_id <> b.doc_id")).distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and component_id of every row: near-duplicate groups by the similarity of shingle sets (SIMILARITY).
 
-    Every pair whose fingerprints share two of three fuzzy segments is verified, which holds for all pairs at five or
-    fewer differing bits and for most others; equal sets are one class from the start.
+    Equal sets are one class from the start; pairs of classes that share an anchored fuzzy key are verified.
     """
-    sets = materialise(_sets(df, words, False), "shingle-sets")
-    same = ["fp", "size", "digest"]
-    distinct = materialise(sets.groupBy(*same).agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), "shingle-classes")
+    sets = materialise(_sketches(df, words), "shingle-sets")
+    same = ["size", "digest"]
+    fields = [F.min_by(c, "doc_id").alias(c) for c in (*PARTS, "anchors")]
+    distinct = sets.where("doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), *fields)
+    distinct = materialise(distinct, "shingle-classes")
     pairs = materialise(candidates(distinct), "candidates")
     asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = _sets(df, words, True).join(materialise(asked, "candidate-ids"), "doc_id")
+    held = _sets(df, words).join(materialise(asked, "candidate-ids"), "doc_id")
     held = materialise(held.dropDuplicates(["doc_id"]), "candidate-sets")
     left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     edges = both.where(f"n >= {SIMILARITY} * (size(sa) + size(sb) - n)").select("a", "b")
     found = materialise(components(edges), "near-components")
     named = distinct.join(found, distinct["doc_id"] == found["node"], "left").select(*same, F.coalesce("root", "doc_id").alias("component_id"))
-    return sets.join(materialise(named, "near-named"), same, "left").select("doc_id", "component_id")
+    return sets.select("doc_id", *same).join(materialise(named, "near-named"), same, "left").select("doc_id", "component_id")
 
 
 def keep_one(df: DataFrame, words: int = WORDS) -> DataFrame:
