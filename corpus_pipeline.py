@@ -10,47 +10,47 @@ columns beyond those of ``documents`` are dropped, so that no name can clash wit
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from lexiloom.llm.common import materialise, table
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot express a trained score, fuzzy fingerprints or a latent space; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def _bounded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches set to BATCH_ROWS rows: a batch lies whole in the memory of the JVM and
+    of Python, and texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose score is under the threshold; the model is fitted on labelled rows of ``docs``."""
-    return toxicity.keep_clean(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(_bounded(spark, docs).select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of equal texts the row with the largest doc_id."""
-    return exact_dedup.keep_one(docs.select(COLUMNS))
+    return exact_dedup.keep_one(_bounded(spark, docs).select(COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of similar texts (shingles of five words, similarity 0.8) the smallest doc_id."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    return simhash.keep_one(_bounded(spark, docs).select(COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no item of the benchmark."""
-    return decontaminate.drop_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaks(_bounded(spark, docs).select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the length in bytes of what they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
-    return bpe.decode(encoded).select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
-    )
+    """Token ids of every document, their number, and whether they decode to the text."""
+    return bpe.tokens(_bounded(spark, docs).select("doc_id", "text", "lang", "source"), keep=("lang", "source"))
 
 
 STAGES = [

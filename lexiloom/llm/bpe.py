@@ -222,6 +222,30 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabula
     return df.withColumn(out, data(F.col(ids)))
 
 
+def tokens(df: DataFrame, keep: tuple[str, ...] = (), vocabulary: str | None = None) -> DataFrame:
+    """doc_id, the columns named in ``keep``, n_tokens, token_ids and whether the ids decode to the text, in one pass."""
+    path = vocabulary or default_vocabulary()
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(path)
+        for whole in batches:
+            for i in range(0, len(whole), 64):
+                batch, parts, same = whole.slice(i, 64), [np.zeros(0, np.int32)], []
+                for value in batch.column(1):
+                    text = value.as_py() or ""
+                    ids = use.encode_decimal(text)
+                    parts.append(np.fromstring(ids, np.int32, sep=" ") if ids else parts[0])
+                    same.append(use.decode_decimal(ids) == text.encode())
+                n = [len(x) for x in parts]
+                lists = pa.ListArray.from_arrays(np.cumsum(n).astype(np.int32), np.concatenate(parts))
+                columns = [batch.column(0), *batch.columns[2:], pa.array(n[1:], pa.int64()), lists, pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_tokens", "token_ids", "round_trip"])
+
+    schema = ", ".join(filter(None, ["doc_id long", types, "n_tokens long, token_ids array<int>, round_trip boolean"]))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them, in one pass."""
     path = vocabulary or default_vocabulary()

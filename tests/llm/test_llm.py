@@ -209,3 +209,24 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r["round_trip"] for r in rows)
+
+
+def test_tokens_in_one_pass(odd, nothing):
+    rows = bpe.tokens(odd, keep=("lang", "source")).collect()
+    plain = bpe.encode(odd).select("doc_id", "token_ids").collect()
+    key = lambda r: (r["doc_id"] or -1, r["token_ids"])
+    assert sorted(map(key, rows)) == sorted(map(key, plain)) and all(r["round_trip"] for r in rows)
+    assert all(r["n_tokens"] == len(r["token_ids"]) for r in rows) and bpe.tokens(nothing).count() == 0
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Fifty variants of each of two texts, and a passage that many unlike texts share."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(5000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    bases, passage = [draw(300), draw(300)], draw(60)
+    docs = [[*b[:i * 5], "changed", *b[i * 5 + 1 :]] for b in bases for i in range(50)] + [passage + draw(120) for _ in range(60)]
+    twin = [*docs[120][:150], "changed", *docs[120][151:]]
+    rows = [(i, " ".join(d), None, None, None, 0.0, 0) for i, d in enumerate([*docs, twin])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i // 50 * 50 if i < 100 else 120 if i == 160 else i for i in range(161)}
