@@ -241,13 +241,13 @@ def _pairs(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
     return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b: doc_id) that share a bucket and whose sizes and fingerprints allow the similarity.
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b: doc_id) that share a bucket and whose sizes and fingerprints allow the similarity; and the rows
+    (key, doc_id) of large parts, of which not all pairs are among them: ``across`` gives what these lack.
 
     Small buckets give all their pairs.  A large one, as a passage in many texts makes, is divided by each of the other
-    anchors, of which similar texts have most in common.  What is still large then is a large group of like texts: each
-    row is paired with leaders that a hash picks, other ones for each anchor it was divided by, so the group's graph is
-    connected although no bucket's rows are all paired.
+    anchors, of which similar texts have most in common.  What is still large then is mostly a large group of like texts:
+    each row is paired with leaders that a hash picks, other ones for each anchor it was divided by.
     """
     columns = ["key", "doc_id", "size", *PARTS]
     fields = sets.select("doc_id", "size", *PARTS)
@@ -258,15 +258,60 @@ def candidates(sets: DataFrame) -> DataFrame:
     hot = hot.select(F.shiftleft(F.xxhash64("key", "pos", "anchor"), 3).bitwiseOR(F.col("pos").cast("long")).alias("key"), "doc_id")
     parts = shared_buckets(materialise(hot, "divided-buckets"))
     small = materialise(parts.where(f"n_key <= {PAIRED}").join(fields, "doc_id").select(*columns), "divided-rows-small")
-    large = parts.where(f"n_key > {PAIRED}")
+    large = parts.where(f"n_key > {PAIRED}").select("key", "doc_id")
     order = F.xxhash64("doc_id", F.col("key").bitwiseAND(TABLES - 1))
-    leaders = large.groupBy("key").agg(F.min_by("doc_id", order).alias("doc_id"))
-    led = materialise(large.select("key", "doc_id").join(materialise(leaders.withColumnRenamed("doc_id", "leader"), "leaders"), "key"), "led-rows")
+    leaders = large.groupBy("key").agg(F.min_by("doc_id", order).alias("leader"))
+    led = materialise(large.join(materialise(leaders, "leaders"), "key"), "led-rows")
     led = led.where("doc_id <> leader").select(F.col("leader").alias("key"), "doc_id").distinct()
     led = led.join(fields, "doc_id").select(*columns)
     first = fields.select(F.col("doc_id").alias("key"), "*")
     found = _pairs(cold, cold, "a.doc_id < b.doc_id").unionByName(_pairs(small, small, "a.doc_id < b.doc_id"))
-    return found.unionByName(_pairs(led, first, "a.doc_id <> b.doc_id")).distinct()
+    return found.unionByName(_pairs(led, first, "a.doc_id <> b.doc_id")).distinct(), large
+
+
+def _mixed(named: DataFrame, name: str) -> DataFrame:
+    """Of rows (key, doc_id, root) those whose key has several roots, with the commonest of these as ``main``."""
+    sizes = materialise(named.groupBy("key", "root").agg(F.count("*").alias("n")), f"{name}-sizes")
+    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    return named.join(materialise(most.where("roots > 1").drop("roots"), f"{name}-keys"), "key")
+
+
+def _rarest(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """key, doc_id and root of each row (doc_id, root) for its set's rarest shingles, those of one row left out; with the
+    set's length and room, the number of shingles from this one on.
+
+    The sets, ordered by rarity, are cut to so many that two sets of the similarity have one in common (prefix filtering).
+    From the first one in common on, both have room for all that they need to share.
+    """
+    every = rows.join(held, "doc_id").select("doc_id", "root", F.size("shingles").alias("length"), F.explode("shingles").alias("key"))
+    every = materialise(every, "shingle-rows")
+    counts = materialise(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+    shared = every.join(counts, "key").groupBy("doc_id", "root", "length").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    first = F.expr(f"greatest(length - ceil({SIMILARITY}D * length - 1e-9D) + 1 - (length - size(s)), 0)").cast("int")
+    cut = shared.select("doc_id", "root", "length", F.size("s").alias("rest"), F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "x"))
+    return cut.select(F.col("x.key").cast("long").alias("key"), "doc_id", "root", "length", (F.col("rest") - F.col("i")).alias("room"))
+
+
+def across(large: DataFrame, sets: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of rows of large parts (key, doc_id) whose texts are not yet in one component (``found``: node, root).
+
+    Pairs within a component can add nothing, so a part that is one component gives none.  The rows of the others are
+    paired if they share one of their rarest shingles and are of different components: no similar pair that fits is lost, a
+    large group of copies is not paired with itself, and a passage in many unlike texts, being common, pairs none of them.
+    """
+    named = large.join(found, large["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    asked = materialise(_mixed(materialise(named, "large-named"), "large").select("doc_id", "root").distinct(), "large-mixed")
+    rows = _mixed(materialise(_rarest(asked, held), "rarest"), "rarest").join(sets.select("doc_id", "size", *PARTS), "doc_id")
+    rows = materialise(rows, "rarest-mixed")
+    room = f"least(a.room, b.room) * (1 + {SIMILARITY}D) + 1e-9D >= {SIMILARITY}D * (a.length + b.length)"
+    return _pairs(rows.where("root <> main"), rows, f"a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {room}").distinct()
+
+
+def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+    left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return both.where(f"n >= {SIMILARITY} * (size(sa) + size(sb) - n)").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -279,14 +324,16 @@ def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     fields = [F.min_by(c, "doc_id").alias(c) for c in (*PARTS, "anchors")]
     distinct = sets.where("doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), *fields)
     distinct = materialise(distinct, "shingle-classes")
-    pairs = materialise(candidates(distinct), "candidates")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = _sets(df, words).join(materialise(asked, "candidate-ids"), "doc_id")
+    pairs, large = candidates(distinct)
+    pairs = materialise(pairs, "candidates")
+    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id"))
+    held = _sets(df, words).join(materialise(asked.distinct(), "candidate-ids"), "doc_id")
     held = materialise(held.dropDuplicates(["doc_id"]), "candidate-sets")
-    left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    edges = both.where(f"n >= {SIMILARITY} * (size(sa) + size(sb) - n)").select("a", "b")
-    found = materialise(components(edges), "near-components")
+    found = materialise(components(_alike(pairs, held)), "near-components")
+    more = materialise(_alike(materialise(across(large, distinct, held, found), "candidates-across"), held), "links-across")
+    if not more.isEmpty():
+        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = materialise(components(stars.unionByName(more)), "near-components-all")
     named = distinct.join(found, distinct["doc_id"] == found["node"], "left").select(*same, F.coalesce("root", "doc_id").alias("component_id"))
     return sets.select("doc_id", *same).join(materialise(named, "near-named"), same, "left").select("doc_id", "component_id")
 

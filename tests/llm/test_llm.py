@@ -230,3 +230,78 @@ def test_near_duplicates_in_large_buckets(spark):
     rows = [(i, " ".join(d), None, None, None, 0.0, 0) for i, d in enumerate([*docs, twin])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: i // 50 * 50 if i < 100 else 120 if i == 160 else i for i in range(161)}
+
+
+def similar_groups(texts):
+    """Least id reachable by similarities of 0.8 or more of five-word shingle sets; every pair is compared."""
+    sets = {}
+    for i, text in texts.items():
+        w = (text or "").lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+    alike = lambda a, b: not (a or b) or len(a & b) >= 0.8 * len(a | b) > 0
+    links = {i: [j for j in sets if alike(sets[i], sets[j])] for i in sets}
+    label = {i: i for i in sets}
+    while (new := {i: min(label[j] for j in links[i]) for i in sets}) != label:
+        label = new
+    return label
+
+
+def test_near_duplicates_equal_brute_force_where_leaders_do_not_reach(spark):
+    """A chain of texts whose ends are unlike, two groups that share most of a text, and a common passage."""
+    rng = random.Random(10)
+    draw = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    stream, base, passage = draw(900), draw(200), draw(140)
+    docs = [stream[i * 6 : i * 6 + 300] for i in range(90)]
+    halves = [base + draw(70), base + draw(70)]
+    docs += [[*h[: i * 3], "changed", *h[i * 3 + 1 :]] for h in halves for i in range(40)]
+    docs += [passage + draw(60) for _ in range(60)]
+    texts = {i: " ".join(d) for i, d in enumerate(docs)}
+    rows = [(i, t, None, None, None, 0.0, 0) for i, t in texts.items()]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == similar_groups(texts) and set(got.values()) == {0, 90, 130, *range(170, 230)}
+
+
+def test_across_finds_all_links_between_components(spark):
+    """One part of all rows, in which nothing is linked yet: every similar pair is among those given, and unlike ones are not."""
+    rng = random.Random(11)
+    draw = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    base, passage = draw(120), draw(80)
+    docs = [passage + draw(40) for _ in range(30)] + [base[i * 4 : i * 4 + 80] for i in range(10)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    sets, held = simhash._sketches(df, 5), simhash._sets(df, 5)
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = simhash.across(sets.select(F.lit(1).cast("long").alias("key"), "doc_id"), sets, held, none)
+    found = {(r["a"], r["b"]) for r in simhash._alike(pairs, held).collect()}
+    assert found == {(30 + i, 31 + i) for i in range(9)} | {(30 + i, 32 + i) for i in range(8)} and pairs.count() < 60
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(draw(20))) for i in range(6)]
+    texts = {i: " ".join(draw(60)) + (" scumbag idiotic" if i % 5 == 0 else "") for i in range(600)}
+    texts |= {600 + i: texts[i] for i in range(1, 40)}
+    long = [draw(200) for _ in range(12)]
+    texts |= {700 + i: " ".join(d) for i, d in enumerate(long)} | {720 + i: " ".join([*d[:80], "other", *d[81:]]) for i, d in enumerate(long)}
+    texts |= {750 + i: " ".join([*draw(90), items[i][1], *draw(90)]) for i in range(6)}
+    texts |= {800: None, 801: "", 802: "\x00 \U0001f600", 803: "w" * 50_000}
+    rows = [(i, t, None, None, None, 1.0, 2) for i, t in texts.items()] + [(None, "x y", "en", None, None, 1.0, 2)]
+    labels = [(i, 0, int(i % 5 == 0)) for i in range(600)] + [(None, None, None), (1, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = {i: t for i, t in texts.items() if "scumbag" not in (t or "")}
+    last = {t or "": i for i, t in sorted(kept.items())}
+    kept = {i: t for i, t in kept.items() if last[t or ""] == i}
+    kept = {i: kept[i] for i, root in similar_groups(kept).items() if i == root}
+    kept = {i: t for i, t in kept.items() if not 750 <= i < 756}
+    other = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(bpe.default_vocabulary()).ranks, special_tokens={})
+    expected = {i: other.encode_ordinary(t or "") for i, t in kept.items()} | {None: other.encode_ordinary("x y")}
+    assert {r["doc_id"]: list(r["token_ids"]) for r in got} == expected and len(got) == len(expected)
