@@ -305,3 +305,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     other = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(bpe.default_vocabulary()).ranks, special_tokens={})
     expected = {i: other.encode_ordinary(t or "") for i, t in kept.items()} | {None: other.encode_ordinary("x y")}
     assert {r["doc_id"]: list(r["token_ids"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, nothing, tmp_path):
+    import corpus_pipeline
+
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    spark.createDataFrame([(1, None, None), (None, 0, 1)], labels).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], items).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+        made = stage(spark, odd, str(tmp_path))
+        assert name == "byte_bpe" or made.columns == corpus_pipeline.COLUMNS
+        assert made.count() == {"exact_dedup": 5, "simhash_near_dedup": 7}.get(name, len(ODD))
