@@ -7,6 +7,10 @@ Windows of every text are compared with the benchmark's pieces by cosine there;
 the longest common subsequence of words, and the looser ones, paraphrases, also by the answer: its words, or the
 piece's rarest words where the benchmark has no answer column, must stand in the window.
 
+Cosine is not the only way to a candidate.  A piece's rarest run of LEAST_WORDS words is sought in every text, so that a
+verbatim copy is found whatever its weights are; and a piece of so many common words that a likely copy of it may
+hold no weighted one is compared with every window.
+
 The benchmark is the stated query set; it is taken in blocks of at most BLOCK_ITEMS items, so what a task or the
 driver holds is bounded by a block's vocabulary.  Corpus rows are only mapped, never shuffled.
 
@@ -38,8 +42,8 @@ CELL = 32
 LEAST_WORDS = 5
 #: Latent dimensions and oversampling of the randomised SVD.
 RANK, OVERSAMPLE = 64, 16
-#: Terms in more than this share of passages say nothing and stay out of the vectors.
-STOP_SHARE = 0.1
+#: Terms in more than this share of passages, counted as STOP_PASSAGES at least, are common and stay out of the vectors.
+STOP_SHARE, STOP_PASSAGES = 0.1, 100
 #: Weighted terms that a window needs; least cosine of candidates.
 LEAST_TERMS, COSINE = 1, 0.2
 #: Least share of a piece's latent length that a candidate window has in the piece's direction.
@@ -53,6 +57,9 @@ ANSWER_TERMS, ANSWER_SHARE = 5, 0.6
 FAN_IN, TERMS_PER_ROW = 64, 64
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_words int, coverage double, answer_share double"
 
+#: Factor of the hashes of runs, and bits of the table that most runs of a text end at.
+MIX, RUN_BITS = np.uint64(0x9E3779B97F4A7C15), 16
+
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -231,11 +238,20 @@ def signatures(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
 
 
-def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarray) -> DataFrame:
-    """A row of SCHEMA for each document and item it holds."""
+def runs(terms: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of LEAST_WORDS terms that begin at each place."""
+    n = max(0, len(terms) - LEAST_WORDS + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(LEAST_WORDS):
+        out = (out + terms[j : j + n].astype(np.uint64) + np.uint64(1)) * MIX
+    return out
+
+
+def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray, space: np.ndarray) -> DataFrame:
+    """A row of SCHEMA for each document and item it holds; ``weight`` is ``idf``, but 0 for common terms."""
     for p in block.pieces:
         if not p.answer:
-            p.answer = sorted(set(p.terms), key=lambda t: (-weight[t], t))[:ANSWER_TERMS]
+            p.answer = sorted(set(p.terms), key=lambda t: (-idf[t], t))[:ANSWER_TERMS]
     project = (weight[:, None] * space).astype(np.float32)
     empty = np.zeros((0, project.shape[1]), np.float32)
     queries = np.stack([project[p.terms].sum(axis=0) for p in block.pieces]) if block.pieces else empty
@@ -246,41 +262,67 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
     terms = np.array([t for p in block.pieces for t in p.terms], np.int64)
     signed = signatures(terms, np.cumsum(words) - words) if len(words) else np.zeros((0, 4), np.uint64)
     spare = np.floor((1 - LIKELY) * words + 1e-9).astype(np.int64)  # words that a likely piece may lack
-    shared = encoded.sparkSession.sparkContext.broadcast((block, weight > 0, project, queries.T.copy(), reach, signed, spare))
+    common = np.array([sum(weight[t] > 0 for t in p.terms) for p in block.pieces], np.int64) <= spare
+    reach[common] = np.inf  # these are compared with every window
+    sought = []  # hash, place in the piece and piece of each other piece's rarest run
+    for q in np.flatnonzero(~common).tolist():
+        own = np.array(block.pieces[q].terms)
+        place = int(np.argmax(np.convolve(idf[own], np.ones(LEAST_WORDS), "valid")))
+        sought.append((int(runs(own)[place]), place, q))
+    sought.sort()
+    anchors = [np.array([x[k] for x in sought], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64))]
+    shared = encoded.sparkSession.sparkContext.broadcast(
+        (block, weight > 0, project, queries.T.copy(), reach, signed, spare, np.flatnonzero(common), anchors)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weighty, project, queries, reach, signed, spare = shared.value
+        block, weighty, project, queries, reach, signed, spare, common_pieces, (hashes, places, whose) = shared.value
+        shift = np.uint64(64 - RUN_BITS)
+        maybe = np.zeros(1 << RUN_BITS, bool)
+        maybe[hashes >> shift] = True
         ids, pieces, width = block.ids, block.pieces, project.shape[1]
         names, types = [x.split()[0] for x in SCHEMA.split(", ")], [pa.int64()] * 2 + [pa.float64(), pa.int32(), pa.float64(), pa.float64()]
 
-        def found_in(owner: np.ndarray, term: np.ndarray, cells: int, blank: np.ndarray) -> Iterator[tuple]:
+        def anchored(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """First cells of the windows, and pieces, where a sought run stands without gaps."""
+            hashed = runs(term)
+            hit = np.flatnonzero(maybe[hashed >> shift])
+            hit = hit[at[hit + LEAST_WORDS - 1] - at[hit] == LEAST_WORDS - 1]
+            low, high = (np.searchsorted(hashes, hashed[hit], side=side) for side in ("left", "right"))
+            n = high - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            return (np.repeat(at[hit], n) - places[which]) // CELL, whose[which]
+
+        def found_in(at: np.ndarray, term: np.ndarray, cells: int, blank: np.ndarray) -> Iterator[tuple]:
             """(window's first cell, item, (coverage, common words, cosine, answer share)) over a chunk of texts."""
+            owner = at // CELL
             heavy = weighty[term]
             o, t = owner[heavy], term[heavy]
             held = np.bincount(o, minlength=cells + 1)
             enough = held[:-1] + held[1:] >= LEAST_TERMS
             enough[blank] = False
             windows = np.flatnonzero(enough)
-            if not len(windows):
-                return
             vectors = np.zeros((cells + 1, width), np.float32)
-            starts = np.flatnonzero(np.diff(o, prepend=-1))
-            vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
+            if len(o):
+                starts = np.flatnonzero(np.diff(o, prepend=-1))
+                vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
             edges = np.searchsorted(owner, np.arange(cells + 2))
             held = np.zeros((cells + 1, 4), np.uint64)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            held[owner[starts]] = signatures(term, starts)
-            for a in range(0, len(windows), 4096):
-                w = windows[a : a + 4096]
+            if len(starts):
+                held[owner[starts]] = signatures(term, starts)
+
+            def near_enough(w: np.ndarray, q: np.ndarray) -> np.ndarray:
+                lacks = np.bitwise_count(signed[q] & ~(held[w] | held[w + 1])).sum(axis=1)
+                return np.flatnonzero(lacks <= spare[q])
+
+            def cosines(w: np.ndarray, q: np.ndarray) -> np.ndarray:
                 v = vectors[w] + vectors[w + 1]
-                dots = v @ queries
-                i, q = np.nonzero(dots >= reach)
-                cosine = dots[i, q] / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[i]
-                near = np.flatnonzero(cosine >= COSINE)
-                lacks = np.bitwise_count(signed[q[near]] & ~(held[w] | held[w + 1])[i[near]]).sum(axis=1)
-                near = near[lacks <= spare[q[near]]]
-                for start, q, c in zip(w[i[near]].tolist(), q[near].tolist(), cosine[near].tolist(), strict=True):
-                    piece = pieces[q]
+                return (v * queries[:, q].T).sum(axis=1) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+
+            def verified(w: np.ndarray, q: np.ndarray, cosine: np.ndarray) -> Iterator[tuple]:
+                for start, k, c in zip(w.tolist(), q.tolist(), cosine.tolist(), strict=True):
+                    piece = pieces[k]
                     inside = term[edges[start] : edges[start + 2]].tolist()
                     words = len(piece.terms)
                     if len(inside) < LIKELY * words:
@@ -292,17 +334,45 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
                     if common >= SURE * words or answer >= ANSWER_SHARE:
                         yield start, piece.item, (common / words, common, c, answer)
 
+            seen = [np.zeros(0, np.int64)]
+            for a in range(0, len(windows), 4096):
+                w = windows[a : a + 4096]
+                v = vectors[w] + vectors[w + 1]
+                dots = v @ queries
+                i, q = np.nonzero(dots >= reach)
+                cosine = dots[i, q] / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[i]
+                near = np.flatnonzero(cosine >= COSINE)
+                near = near[near_enough(w[i[near]], q[near])]
+                seen.append(w[i[near]] * len(pieces) + q[near])
+                yield from verified(w[i[near]], q[near], cosine[near])
+            begin, q = anchored(at, term)
+            inside = begin >= 0
+            begin, q = begin[inside], q[inside]
+            alive = np.ones(cells, bool)
+            alive[blank] = False
+            pairs = begin * len(pieces) + q
+            pairs = np.setdiff1d(pairs[alive[begin]], np.concatenate(seen))
+            w, q = np.divmod(pairs, len(pieces))
+            near = near_enough(w, q)
+            yield from verified(w[near], q[near], cosines(w[near], q[near]))
+            filled = np.diff(edges) > 0
+            alive &= filled[:-1] | filled[1:]
+            windows = np.flatnonzero(alive)
+            for k in common_pieces.tolist():
+                w = windows[near_enough(windows, np.full(len(windows), k))]
+                yield from verified(w, np.full(len(w), k), cosines(w, np.full(len(w), k)))
+
         for batch in batches:
             rows: list[tuple] = []
-            chunk: list[tuple] = []  # owner, term
+            chunk: list[tuple] = []  # place, counted from the first cell, and term
             docs: list[int | None] = []
             first = [0]  # first cell of each text; an empty cell ends each, so that no window spans two texts
 
             def flush() -> None:
                 if docs and pieces:
-                    owner, term = (np.concatenate(x) for x in zip(*chunk, strict=True))
+                    at, term = (np.concatenate(x) for x in zip(*chunk, strict=True))
                     best: dict[tuple, tuple] = {}
-                    for start, item, new in found_in(owner, term, first[-1], np.array(first[1:]) - 1):
+                    for start, item, new in found_in(at, term, first[-1], np.array(first[1:]) - 1):
                         key = (int(np.searchsorted(first, start, side="right")) - 1, item)
                         best[key] = max(best.get(key, new), new)
                     rows.extend((docs[d], ids[k], c, n, g, a) for (d, k), (g, n, c, a) in sorted(best.items()))
@@ -312,7 +382,7 @@ def search(encoded: DataFrame, block: Block, weight: np.ndarray, space: np.ndarr
 
             for doc, n, at, term in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at:
-                    chunk.append((np.frombuffer(at, np.int32) // CELL + first[-1], np.frombuffer(term, np.int32)))
+                    chunk.append((np.frombuffer(at, np.int32).astype(np.int64) + first[-1] * CELL, np.frombuffer(term, np.int32)))
                     docs.append(doc)
                     first.append(first[-1] + -(-n // CELL) + 1)
                     if first[-1] >= CHUNK_CELLS:
@@ -337,8 +407,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         size = max(1, len(block.vocabulary))
         df, total = document_frequencies(encoded, size)
         idf = np.log((total + 1) / (df + 1)) ** 2 + 0.1  # squared, so that the rare terms of a short piece outweigh its surroundings
-        weight = np.where(df > STOP_SHARE * total, 0.0, idf) if total > 100 else idf
-        found = search(encoded, block, weight, latent_space(encoded, weight))
+        weight = np.where(df > STOP_SHARE * max(total, STOP_PASSAGES), 0.0, idf)
+        found = search(encoded, block, idf, weight, latent_space(encoded, weight))
         out = found if out is None else out.unionByName(found)
     return out
 

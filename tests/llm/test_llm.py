@@ -88,6 +88,33 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "share"), [(30, 3), (300, 3), (300, 1)])
+def test_decontamination_finds_a_passage_in_many_rows(spark, rows, share):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, rare = say(20), say(20)
+    changed = " ".join("other" if i in (4, 11) else w for i, w in enumerate(item.split()))
+    docs = [(i, f"{say(20)} {(item, changed)[i % 2]} {say(20)}" if i % share == 0 else say(60), None, None, None, 0.0, 0) for i in range(rows)]
+    docs[1] = (1, f"{docs[1][1]} {rare}", None, None, None, 0.0, 0)
+    bench = spark.createDataFrame([(0, item), (1, rare)], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, 0) for i in range(0, rows, share)} | {(1, 1)}
+
+
+def test_decontamination_finds_copies_of_common_words_among_rare_ones(spark):
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(4000)]
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(0, say(common, 20)), (1, f"{say(common, 9)} r1 {say(common, 6)}")] + [(2 + i, " ".join(rare[32 * i : 32 * i + 32])) for i in range(1, 100)]
+    docs = [(i, f"{say(common, 60)} {say(rare, 60)}", None, None, None, 0.0, 0) for i in range(200)]
+    for k, (_, text) in enumerate(items[:2]):
+        docs[k] = (k, f"{say(rare, 50)} {text} {say(rare, 50)}", None, None, None, 0.0, 0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()}
+    assert {(0, 0), (1, 1)} <= found
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
