@@ -2,7 +2,8 @@
 
 Hundreds of signatures, four forms for each known licence (address, identifier tag, grant sentence, plain name),
 are gated by keywords: one Aho-Corasick pass over a text tells which rules can match at all, and only those
-regexes run.  Detections are taken in order of priority, then length, then place; one whose interval lies within
+regexes run.  A rule's keywords are derived from its regex, so that each of its matches contains one of them once
+white space is taken as one space.  Detections are taken in order of priority, then length, then place; one whose interval lies within
 an interval already taken is suppressed.  Three base phrases are always reported, with all their places.
 
 Results for odd input: null and empty texts have no words, no labels and score 0; texts are scanned whole;
@@ -12,8 +13,9 @@ repeated rows are scanned one by one; other columns of the input do not matter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from re import _constants as op, _parser as parser
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +27,7 @@ from lexiloom.llm.common import LOWER, UPPER, table
 
 #: phrase: label
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label | identifier prefix | keyword | regex of the name | regex of the address
+#: label | identifier prefix | word of the licence | regex of the name | regex of the address
 LICENSES = r"""
 mit | mit | mit | (?:the )?mit(?: \(?expat\)?)? licen[cs]e | opensource\.org/licenses?/mit
 mit-0 | mit-0 | attribution | mit no attribution(?: licen[cs]e)? | opensource\.org/licenses?/mit-0
@@ -114,23 +116,82 @@ class Rule(NamedTuple):
     form: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: frozenset[str]
     pattern: re.Pattern
 
 
+#: Strings that a piece of a regex is spelled out to at most.
+SPELLINGS = 64
+
+
+def _spelled(kind: object, value: object) -> tuple[set[str] | None, list[set[str]]]:
+    """All strings that a token of a regex matches, any white space as one space, or None if they are not few; for None,
+    sets of which each match holds a string."""
+    if kind is op.LITERAL:
+        return {" " if chr(value).isspace() else chr(value)}, []
+    if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+        return {""}, []
+    if kind is op.IN and all(k is op.LITERAL or (k, v) == (op.CATEGORY, op.CATEGORY_SPACE) for k, v in value):
+        return set().union(*(_spelled(k, v)[0] if k is op.LITERAL else {" "} for k, v in value)), []
+    if kind is op.SUBPATTERN:
+        return _needed(value[-1])
+    if kind is op.BRANCH:
+        sides = [_needed(side) for side in value[1]]
+        if all(exact is not None for exact, _ in sides):
+            return set().union(*(exact for exact, _ in sides)), []
+        best = [_best([exact] if exact is not None else inner) for exact, inner in sides]
+        return None, [set().union(*best)] if all(best) else []
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+        least, most, inner = value
+        exact, held = _needed(inner)
+        if exact is not None and (most == 1 or exact == {" "}):
+            return exact | ({""} if least == 0 else set()), []
+        return None, (held if exact is None else [exact]) if least else []
+    return None, []
+
+
+def _needed(tokens: Iterable) -> tuple[set[str] | None, list[set[str]]]:
+    """As _spelled, for a sequence of tokens."""
+    run, held, whole = {""}, [], True
+    for kind, value in tokens:
+        exact, inner = _spelled(kind, value)
+        if exact is not None and len(run) * len(exact) <= SPELLINGS:
+            run = {(a + b).replace("  ", " ") for a in run for b in exact}
+            continue
+        held += [run, *inner]
+        run, whole = {""} if exact is None else exact, False
+    return (run, []) if whole else (None, [*held, run])
+
+
+def _best(held: list[set[str]]) -> set[str]:
+    """The set whose shortest string is longest, without strings that hold another one; empty if none is of use."""
+    held = [x for x in held if all(y.strip() for y in x)]
+    best = max(held, key=lambda x: (min(map(len, x)), -len(x)), default=set())
+    return {x for x in best if not any(y != x and y in x for y in best)}
+
+
+def keywords(pattern: str) -> frozenset[str]:
+    """Strings of which each match of the regex holds one, with white space taken as one space."""
+    exact, held = _needed(parser.parse(pattern))
+    found = frozenset(_best(held if exact is None else [exact]))
+    if not found:
+        raise ValueError(f"no keyword for {pattern}")
+    return found
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All signatures, in the order of the table; a later form of a licence comes behind its earlier ones."""
     out = []
     spaced = lambda x: x.replace(" ", r"\s+")
     for line in LICENSES.strip().splitlines():
-        label, tag, keyword, name, address = (x.strip() for x in line.split(" | "))
-        host = re.split(r"[\\(/]", address.removeprefix("(?:"))[0]
+        label, tag, _, name, address = (x.strip() for x in line.split(" | "))
+        named = keywords(spaced(name))
         shapes = {
-            "address": (rf"(?<![a-z0-9]){address}", host),
-            "tag": (rf"spdx-license-identifier:\s*(?:\S+\s+(?:or|and|with)\s+)*\(?({tag}[^\s)]*)", "spdx-license-identifier"),
-            "grant": (spaced(rf"(?<![a-z0-9]){GRANT}(?:{name})(?![a-z0-9])"), keyword),
-            "name": (spaced(rf"(?<![a-z0-9])(?:{name})(?![a-z0-9])"), keyword),
+            "address": (rf"(?<![a-z0-9]){address}", keywords(address)),
+            "tag": (rf"spdx-license-identifier:\s*(?:\S+\s+(?:or|and|with)\s+)*\(?({tag}[^\s)]*)", frozenset({"spdx-license-identifier"})),
+            "grant": (spaced(rf"(?<![a-z0-9]){GRANT}(?:{name})(?![a-z0-9])"), named),
+            "name": (spaced(rf"(?<![a-z0-9])(?:{name})(?![a-z0-9])"), named),
         }
         for form, (pattern, key) in shapes.items():
             out.append(Rule(label, form, *FORMS[form], key, re.compile(pattern)))
@@ -144,7 +205,8 @@ def gate():
 
     by_key: dict[str, list[int]] = {}
     for i, rule in enumerate(rules()):
-        by_key.setdefault(rule.keyword, []).append(i)
+        for key in rule.keywords:
+            by_key.setdefault(key, []).append(i)
     found = ahocorasick.Automaton()
     for key, which in by_key.items():
         found.add_word(key, (key, which))
@@ -164,7 +226,8 @@ def suppress(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(start, end, rule number) in a lower-cased text, after suppression."""
-    active = {i for which in {key: which for _, (key, which) in gate().iter(text)}.values() for i in which}
+    plain = f" {' '.join(text.split())} "
+    active = {i for which in {key: which for _, (key, which) in gate().iter(plain)}.values() for i in which}
     # an identifier's interval is the identifier alone, so that those of one tag line stand beside each other
     return suppress([(*m.span(m.re.groups), i) for i in sorted(active) for m in rules()[i].pattern.finditer(text)])
 

@@ -230,6 +230,65 @@ def test_license_scan(odd, nothing):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(nothing).count() == 0
 
 
+def ungated(text):
+    found = [(*m.span(m.re.groups), i) for i, r in enumerate(license_scan.rules()) for m in r.pattern.finditer(text)]
+    return license_scan.suppress(found)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("GNU Lesser General\nPublic License, version 2.1", "lgpl-2.1"),
+        ("under the GNU General\n * Public License\nGNU  General\tPublic\u2028License, Version 3", "gpl-3.0"),
+        ("Creative Commons BY-SA 4.0", "cc-by-sa"),
+        ("Creative\nCommons BY 4.0", "cc-by"),
+        ("https://eupl.eu/1.2/en/eupl", "eupl"),
+        ("the Simplified License", "bsd-2-clause"),
+        ("All\nRights  Reserved", "all-rights-reserved"),
+        ("GNU Free\nDocumentation License", "gfdl"),
+        ("Common\nDevelopment and Distribution License", "cddl"),
+    ],
+)
+def test_license_gate_takes_wrapped_and_alternative_forms(text, label):
+    assert license_scan.detect(text.lower()) == ungated(text.lower())
+    assert label in license_scan.scan(text)[5].split(",")
+
+
+def spelled(tokens, rng):
+    """A random text that the parsed regex matches, but for its assertions."""
+    out = ""
+    for kind, value in tokens:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            k, v = value[-1] if str(value[0][0]) == "NEGATE" else rng.choice(value)
+            negated = str(value[0][0]) == "NEGATE" or str(v) == "CATEGORY_NOT_SPACE"
+            out += "x" if negated else chr(v) if str(k) == "LITERAL" else "7" if str(v) == "CATEGORY_DIGIT" else rng.choice(" \n\t\x1c\u3000")
+        elif kind == "SUBPATTERN":
+            out += spelled(value[-1], rng)
+        elif kind == "BRANCH":
+            out += spelled(rng.choice(value[1]), rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(spelled(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT")
+    return out
+
+
+def test_license_gate_loses_no_match_of_any_rule():
+    from re import _parser
+
+    rng = random.Random(4)
+    for i, rule in enumerate(license_scan.rules()):
+        parsed, matched = _parser.parse(rule.pattern.pattern), 0
+        for _ in range(12):
+            text = spelled(parsed, rng)
+            matched += bool(rule.pattern.search(text))
+            assert license_scan.detect(text) == ungated(text), (i, text)
+        assert matched, rule
+
+
 def test_pipeline_stages_keep_clean_documents(spark):
     import corpus_pipeline
 
