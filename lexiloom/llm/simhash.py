@@ -12,6 +12,7 @@ the bits differ.  Its fingerprints have 256 bits, of which TABLES segments of 23
 these with an anchor, the least shingle hash under the segment's own mix.  A similar pair has one anchor in common with
 a probability of its similarity and a key of one table in half of all cases, so that of eight tables one finds it
 (0.995 at 0.8), while unlike texts seldom meet, however many there are.  Pairs are verified on the shingles themselves.
+The bits of short texts differ more, so sets of at most SHORT shingles are compared exactly, by their rarest shingles.
 
 Results for odd input: null and empty texts have no words and fingerprint zero, and are linked like any other;
 texts are hashed whole; repeated rows are rows of their own with the same result; a null doc_id is never a
@@ -40,6 +41,8 @@ COLD = 32
 #: candidates may differ in (at a similarity of 0.8 a pair differs in 39 on average, with a deviation of 6); rows of a
 #: bucket that are compared pair by pair.
 WORDS, SIMILARITY, TABLES, LONGS, BITS, PAIRED = 5, 0.8, 8, 4, 60, 16
+#: Shingles of a set up to which near_duplicates links sets of the similarity exactly, whatever their bits are.
+SHORT = 64
 PARTS = [f"p{i}" for i in range(LONGS)]
 
 
@@ -236,7 +239,8 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
 def _pairs(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
     """Pairs (a < b) of rows and others of one key whose sizes and fingerprints allow the similarity."""
     differ = " + ".join(f"bit_count(a.{p} ^ b.{p})" for p in PARTS)
-    fits = f"a.key = b.key AND {also} AND least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size) AND {differ} <= {BITS}"
+    near = f"(greatest(a.size, b.size) <= {SHORT} OR {differ} <= {BITS})"
+    fits = f"a.key = b.key AND {also} AND least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size) AND {near}"
     both = rows.alias("a").join(other.alias("b"), F.expr(fits))
     return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
@@ -293,14 +297,16 @@ def _rarest(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def across(large: DataFrame, sets: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of rows of large parts (key, doc_id) whose texts are not yet in one component (``found``: node, root).
+    """Pairs of rows of large parts (key, doc_id) and of short texts that are not yet in one component (``found``: node, root).
 
     Pairs within a component can add nothing, so a part that is one component gives none.  The rows of the others are
     paired if they share one of their rarest shingles and are of different components: no similar pair that fits is lost, a
     large group of copies is not paired with itself, and a passage in many unlike texts, being common, pairs none of them.
     """
     named = large.join(found, large["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    asked = materialise(_mixed(materialise(named, "large-named"), "large").select("doc_id", "root").distinct(), "large-mixed")
+    mixed = _mixed(materialise(named, "large-named"), "large").select("doc_id", "root")
+    short = sets.where(f"size <= {SHORT}").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    asked = materialise(mixed.unionByName(short).distinct(), "across-asked")
     rows = _mixed(materialise(_rarest(asked, held), "rarest"), "rarest").join(sets.select("doc_id", "size", *PARTS), "doc_id")
     rows = materialise(rows, "rarest-mixed")
     room = f"least(a.room, b.room) * (1 + {SIMILARITY}D) + 1e-9D >= {SIMILARITY}D * (a.length + b.length)"
@@ -317,7 +323,8 @@ def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and component_id of every row: near-duplicate groups by the similarity of shingle sets (SIMILARITY).
 
-    Equal sets are one class from the start; pairs of classes that share an anchored fuzzy key are verified.
+    Equal sets are one class from the start; pairs of classes that share an anchored fuzzy key, or a rarest shingle if they
+    are short, are verified.
     """
     sets = materialise(_sketches(df, words), "shingle-sets")
     same = ["size", "digest"]
@@ -326,7 +333,8 @@ def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     distinct = materialise(distinct, "shingle-classes")
     pairs, large = candidates(distinct)
     pairs = materialise(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id"))
+    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    asked = asked.unionByName(large.select("doc_id")).unionByName(distinct.where(f"size <= {SHORT}").select("doc_id"))
     held = _sets(df, words).join(materialise(asked.distinct(), "candidate-ids"), "doc_id")
     held = materialise(held.dropDuplicates(["doc_id"]), "candidate-sets")
     found = materialise(components(_alike(pairs, held)), "near-components")

@@ -347,6 +347,18 @@ def test_near_duplicates_equal_brute_force_where_leaders_do_not_reach(spark):
     assert got == similar_groups(texts) and set(got.values()) == {0, 90, 130, *range(170, 230)}
 
 
+def test_near_duplicates_of_short_texts_are_exact(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(400):  # 4 and 5, and 8 and 10 shingles: a similarity of 0.8
+        for n, more in ((8, 1), (12, 2)):
+            words = [f"w{rng.randrange(1 << 30)}" for _ in range(n + more)]
+            texts += [" ".join(words[:n]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_across_finds_all_links_between_components(spark):
     """One part of all rows, in which nothing is linked yet: every similar pair is among those given, and unlike ones are not."""
     rng = random.Random(11)
