@@ -14,8 +14,8 @@ hold no weighted one is compared with every window.
 The benchmark is the stated query set; it is taken in blocks of at most BLOCK_ITEMS items, so what a task or the
 driver holds is bounded by a block's vocabulary.  Corpus rows are only mapped, never shuffled.
 
-Results for odd input: null and empty texts match nothing; items of fewer than LEAST_WORDS words cannot be told
-from common speech and match nothing; texts are searched whole; repeated rows give repeated results; several items
+Results for odd input: null and empty texts match nothing; items of fewer than LEAST_WORDS words match
+exact copies only, since changed ones cannot be told from common speech; items without words match nothing; texts are searched whole; repeated rows give repeated results; several items
 with one text all match; empty tables give no rows.
 """
 
@@ -87,7 +87,7 @@ def make_block(items: list[tuple]) -> Block:
     for number, (_, text, answer) in enumerate(items):
         terms = [vocabulary.setdefault(w, len(vocabulary)) for w in _words((text or "").lower())]
         own = [vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(_words((answer or "").lower()))]
-        if len(terms) < LEAST_WORDS:
+        if not terms:
             continue
         n = -(-len(terms) // CELL)
         cuts = [len(terms) * i // n for i in range(n + 1)]
@@ -238,11 +238,11 @@ def signatures(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
 
 
-def runs(terms: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of LEAST_WORDS terms that begin at each place."""
-    n = max(0, len(terms) - LEAST_WORDS + 1)
+def runs(terms: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the runs of so many terms that begin at each place."""
+    n = max(0, len(terms) - words + 1)
     out = np.zeros(n, np.uint64)
-    for j in range(LEAST_WORDS):
+    for j in range(words):
         out = (out + terms[j : j + n].astype(np.uint64) + np.uint64(1)) * MIX
     return out
 
@@ -263,31 +263,34 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
     signed = signatures(terms, np.cumsum(words) - words) if len(words) else np.zeros((0, 4), np.uint64)
     spare = np.floor((1 - LIKELY) * words + 1e-9).astype(np.int64)  # words that a likely piece may lack
     common = np.array([sum(weight[t] > 0 for t in p.terms) for p in block.pieces], np.int64) <= spare
-    reach[common] = np.inf  # these are compared with every window
-    sought = []  # hash, place in the piece and piece of each other piece's rarest run
+    common &= words >= LEAST_WORDS
+    reach[common | (words < LEAST_WORDS)] = np.inf  # common ones are compared with every window, short ones sought whole
+    sought: dict[int, list[tuple]] = {}  # by its words: hash, place in the piece and piece of each other piece's rarest run
     for q in np.flatnonzero(~common).tolist():
         own = np.array(block.pieces[q].terms)
-        place = int(np.argmax(np.convolve(idf[own], np.ones(LEAST_WORDS), "valid")))
-        sought.append((int(runs(own)[place]), place, q))
-    sought.sort()
-    anchors = [np.array([x[k] for x in sought], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64))]
+        n = min(len(own), LEAST_WORDS)
+        place = int(np.argmax(np.convolve(idf[own], np.ones(n), "valid")))
+        sought.setdefault(n, []).append((int(runs(own, n)[place]), place, q))
+    anchors = {n: [np.array(x, kind) for x, kind in zip(zip(*sorted(found), strict=True), (np.uint64, np.int64, np.int64), strict=True)] for n, found in sought.items()}
     shared = encoded.sparkSession.sparkContext.broadcast(
         (block, weight > 0, project, queries.T.copy(), reach, signed, spare, np.flatnonzero(common), anchors)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weighty, project, queries, reach, signed, spare, common_pieces, (hashes, places, whose) = shared.value
+        block, weighty, project, queries, reach, signed, spare, common_pieces, anchors = shared.value
         shift = np.uint64(64 - RUN_BITS)
-        maybe = np.zeros(1 << RUN_BITS, bool)
-        maybe[hashes >> shift] = True
+        maybe = {n: np.zeros(1 << RUN_BITS, bool) for n in anchors}
+        for n, (hashes, _, _) in anchors.items():
+            maybe[n][hashes >> shift] = True
         ids, pieces, width = block.ids, block.pieces, project.shape[1]
         names, types = [x.split()[0] for x in SCHEMA.split(", ")], [pa.int64()] * 2 + [pa.float64(), pa.int32(), pa.float64(), pa.float64()]
 
-        def anchored(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """First cells of the windows, and pieces, where a sought run stands without gaps."""
-            hashed = runs(term)
-            hit = np.flatnonzero(maybe[hashed >> shift])
-            hit = hit[at[hit + LEAST_WORDS - 1] - at[hit] == LEAST_WORDS - 1]
+        def anchored(at: np.ndarray, term: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+            """First cells of the windows, and pieces, where a sought run of this length stands without gaps."""
+            hashes, places, whose = anchors[length]
+            hashed = runs(term, length)
+            hit = np.flatnonzero(maybe[length][hashed >> shift])
+            hit = hit[at[hit + length - 1] - at[hit] == length - 1]
             low, high = (np.searchsorted(hashes, hashed[hit], side=side) for side in ("left", "right"))
             n = high - low
             which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -345,16 +348,17 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
                 near = near[near_enough(w[i[near]], q[near])]
                 seen.append(w[i[near]] * len(pieces) + q[near])
                 yield from verified(w[i[near]], q[near], cosine[near])
-            begin, q = anchored(at, term)
-            inside = begin >= 0
-            begin, q = begin[inside], q[inside]
             alive = np.ones(cells, bool)
             alive[blank] = False
-            pairs = begin * len(pieces) + q
-            pairs = np.setdiff1d(pairs[alive[begin]], np.concatenate(seen))
-            w, q = np.divmod(pairs, len(pieces))
-            near = near_enough(w, q)
-            yield from verified(w[near], q[near], cosines(w[near], q[near]))
+            for length in anchors:
+                begin, q = anchored(at, term, length)
+                inside = begin >= 0
+                begin, q = begin[inside], q[inside]
+                pairs = begin * len(pieces) + q
+                pairs = np.setdiff1d(pairs[alive[begin]], np.concatenate(seen))
+                w, q = np.divmod(pairs, len(pieces))
+                near = near_enough(w, q)
+                yield from verified(w[near], q[near], cosines(w[near], q[near]))
             filled = np.diff(edges) > 0
             alive &= filled[:-1] | filled[1:]
             windows = np.flatnonzero(alive)

@@ -115,6 +115,14 @@ def test_decontamination_finds_copies_of_common_words_among_rare_ones(spark):
     assert {(0, 0), (1, 1)} <= found
 
 
+def test_decontamination_finds_exact_copies_of_short_items(spark):
+    items = [(0, "Why?"), (1, "blue whale"), (2, "blue whale sings"), (3, "forty two of them"), (4, "!"), (5, None), (6, "blue whale")]
+    texts = ["so why not", "a Blue, whale here", "whale blue", "the blue whale sings", "forty two, of them", "forty two men of them", "blue big whale", None, "x " * 31 + "blue whale"]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0.0, 0) for i, t in enumerate(texts)], SCHEMA)
+    found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 0), (1, 1), (1, 6), (3, 1), (3, 2), (3, 6), (4, 3), (8, 1), (8, 6)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
