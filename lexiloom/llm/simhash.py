@@ -38,9 +38,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a bucket that are compared pair by pair; larger buckets take the other way.
 COLD = 32
 #: For near_duplicates: words of a shingle and the least similarity; segments and anchors; longs of a fingerprint; bits that
-#: candidates may differ in (at a similarity of 0.8 a pair differs in 39 on average, with a deviation of 6); rows of a
-#: bucket that are compared pair by pair.
-WORDS, SIMILARITY, TABLES, LONGS, BITS, PAIRED = 5, 0.8, 8, 4, 60, 16
+#: candidates may differ in (at a similarity of 0.8 a pair differs in 39 on average, with a deviation of 6); anchors that a row
+#: with a link must have in common with others.
+WORDS, SIMILARITY, TABLES, LONGS, BITS, ANCHORS = 5, 0.8, 8, 4, 60, 3
 #: Shingles of a set up to which near_duplicates links sets of the similarity exactly, whatever their bits are.
 SHORT = 64
 PARTS = [f"p{i}" for i in range(LONGS)]
@@ -245,39 +245,41 @@ def _pairs(rows: DataFrame, other: DataFrame, also: str) -> DataFrame:
     return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b: doc_id) that share a bucket and whose sizes and fingerprints allow the similarity; and the rows
-    (key, doc_id) of large parts, of which not all pairs are among them: ``across`` gives what these lack.
+def stars(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b: doc_id) of every row with the leader of each of its buckets, if sizes and fingerprints allow the similarity;
+    and the rows (key, doc_id) of all buckets of two rows or more.
 
-    Small buckets give all their pairs.  A large one, as a passage in many texts makes, is divided by each of the other
-    anchors, of which similar texts have most in common.  What is still large then is mostly a large group of like texts:
-    each row is paired with leaders that a hash picks, other ones for each anchor it was divided by.
+    The leader is the row with the most neighbours over all its buckets, so that in a group of like texts the row nearest to
+    most others leads most buckets: a group gives pairs in proportion to its rows, however large it is.
     """
-    columns = ["key", "doc_id", "size", *PARTS]
-    fields = sets.select("doc_id", "size", *PARTS)
     buckets = shared_buckets(anchored(sets))
-    cold = materialise(buckets.where(f"n_key <= {PAIRED}").join(fields, "doc_id").select(*columns), "bucket-rows-small")
-    hot = buckets.where(f"n_key > {PAIRED}").join(sets.select("doc_id", "anchors"), "doc_id")
-    hot = hot.select("key", "doc_id", F.posexplode("anchors").alias("pos", "anchor")).where(f"pos <> (key & {TABLES - 1})")
-    hot = hot.select(F.shiftleft(F.xxhash64("key", "pos", "anchor"), 3).bitwiseOR(F.col("pos").cast("long")).alias("key"), "doc_id")
-    parts = shared_buckets(materialise(hot, "divided-buckets"))
-    small = materialise(parts.where(f"n_key <= {PAIRED}").join(fields, "doc_id").select(*columns), "divided-rows-small")
-    large = parts.where(f"n_key > {PAIRED}").select("key", "doc_id")
-    order = F.xxhash64("doc_id", F.col("key").bitwiseAND(TABLES - 1))
-    leaders = large.groupBy("key").agg(F.min_by("doc_id", order).alias("leader"))
-    led = materialise(large.join(materialise(leaders, "leaders"), "key"), "led-rows")
-    led = led.where("doc_id <> leader").select(F.col("leader").alias("key"), "doc_id").distinct()
-    led = led.join(fields, "doc_id").select(*columns)
-    first = fields.select(F.col("doc_id").alias("key"), "*")
-    found = _pairs(cold, cold, "a.doc_id < b.doc_id").unionByName(_pairs(small, small, "a.doc_id < b.doc_id"))
-    return found.unionByName(_pairs(led, first, "a.doc_id <> b.doc_id")).distinct(), large
-
-
-def _mixed(named: DataFrame, name: str) -> DataFrame:
-    """Of rows (key, doc_id, root) those whose key has several roots, with the commonest of these as ``main``."""
-    sizes = materialise(named.groupBy("key", "root").agg(F.count("*").alias("n")), f"{name}-sizes")
-    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    return named.join(materialise(most.where("roots > 1").drop("roots"), f"{name}-keys"), "key")
+    busy = materialise(buckets.groupBy("doc_id").agg(F.sum("n_key").alias("mates")), "bucket-mates")
+    leaders = buckets.join(busy, "doc_id").groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("mates"), "doc_id")).alias("leader"))
+    led = buckets.join(materialise(leaders, "leaders"), "key").where("doc_id <> leader").select(F.col("leader").alias("key"), "doc_id").distinct()
+    fields = sets.select("doc_id", "size", *PARTS)
+    led = materialise(led, "led-rows").join(fields, "doc_id").select("key", "doc_id", "size", *PARTS)
+    return _pairs(led, fields.select(F.col("doc_id").alias("key"), "*"), "a.doc_id <> b.doc_id").distinct(), buckets
+
+
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of the rows (keys, root) whose keys have rows of several roots."""
+    several = rows.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rows.join(materialise(several.select(*keys), "mixed-keys"), keys)
+
+
+def unsettled(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id and root of the rows that can have a link to a row outside their component (``found``: node, root).
+
+    Such a link joins rows that share a bucket, and at the similarity 6.4 of eight anchors on average, ANCHORS but for 0.0012 of
+    all pairs.  So a row of a bucket of several components counts if ANCHORS of its anchors, whichever rows these are, stand in
+    other components too: a passage in unlike texts seldom gives that many.  Short texts all count.
+    """
+    named = buckets.join(found, buckets["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    near = materialise(_mixed(materialise(named, "bucket-roots"), ["key"]).select("doc_id", "root").distinct(), "mixed-rows")
+    spread = near.join(sets.select("doc_id", "anchors"), "doc_id").select("doc_id", "root", F.posexplode("anchors").alias("pos", "anchor"))
+    common = _mixed(materialise(spread, "mixed-anchors"), ["pos", "anchor"]).groupBy("doc_id", "root").agg(F.count("*").alias("n"))
+    short = sets.where(f"size <= {SHORT}").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    return materialise(common.where(f"n >= {ANCHORS}").select("doc_id", "root").unionByName(short).distinct(), "unsettled")
 
 
 def _rarest(rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -296,21 +298,23 @@ def _rarest(rows: DataFrame, held: DataFrame) -> DataFrame:
     return cut.select(F.col("x.key").cast("long").alias("key"), "doc_id", "root", "length", (F.col("rest") - F.col("i")).alias("room"))
 
 
-def across(large: DataFrame, sets: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of rows of large parts (key, doc_id) and of short texts that are not yet in one component (``found``: node, root).
+def across(rows: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of rows (doc_id, root) of different components that share one of their rarest shingles and whose sizes and
+    fingerprints allow the similarity.
 
-    Pairs within a component can add nothing, so a part that is one component gives none.  The rows of the others are
-    paired if they share one of their rarest shingles and are of different components: no similar pair that fits is lost, a
-    large group of copies is not paired with itself, and a passage in many unlike texts, being common, pairs none of them.
+    No similar pair of two of the rows that fits is lost; a large group of copies is not paired with itself; a passage in many
+    unlike texts, being common, pairs none of them.  A row stays in a key's group only if its room suffices for the shortest set
+    there, so rows that lie too far from a large group to link to any of it leave before they are paired.
     """
-    named = large.join(found, large["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = _mixed(materialise(named, "large-named"), "large").select("doc_id", "root")
-    short = sets.where(f"size <= {SHORT}").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-    asked = materialise(mixed.unionByName(short).distinct(), "across-asked")
-    rows = _mixed(materialise(_rarest(asked, held), "rarest"), "rarest").join(sets.select("doc_id", "size", *PARTS), "doc_id")
-    rows = materialise(rows, "rarest-mixed")
-    room = f"least(a.room, b.room) * (1 + {SIMILARITY}D) + 1e-9D >= {SIMILARITY}D * (a.length + b.length)"
-    return _pairs(rows.where("root <> main"), rows, f"a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {room}").distinct()
+    need = lambda one, both: f"{one} * (1 + {SIMILARITY}D) + 1e-9D >= {SIMILARITY}D * ({both})"
+    cut = materialise(_rarest(rows, held), "rarest")
+    sizes = materialise(cut.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("length").alias("short")), "rarest-sizes")
+    groups = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.min("short").alias("short"))
+    groups = materialise(groups.where("roots > 1").drop("roots"), "rarest-keys")
+    fit = cut.join(groups, "key").where(need("room", "length + short")).drop("short").join(sets.select("doc_id", "size", *PARTS), "doc_id")
+    fit = materialise(fit, "rarest-mixed")
+    apart = f"a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {need('least(a.room, b.room)', 'a.length + b.length')}"
+    return _pairs(fit.where("root <> main"), fit, apart).distinct()
 
 
 def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -323,25 +327,25 @@ def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and component_id of every row: near-duplicate groups by the similarity of shingle sets (SIMILARITY).
 
-    Equal sets are one class from the start; pairs of classes that share an anchored fuzzy key, or a rarest shingle if they
-    are short, are verified.
+    Equal sets are one class from the start.  Classes that share an anchored fuzzy key are verified against their buckets'
+    leaders; what that leaves in several components of one bucket, and all short classes, by their rarest shingles.
     """
     sets = materialise(_sketches(df, words), "shingle-sets")
     same = ["size", "digest"]
     fields = [F.min_by(c, "doc_id").alias(c) for c in (*PARTS, "anchors")]
     distinct = sets.where("doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), *fields)
     distinct = materialise(distinct, "shingle-classes")
-    pairs, large = candidates(distinct)
-    pairs = materialise(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    asked = asked.unionByName(large.select("doc_id")).unionByName(distinct.where(f"size <= {SHORT}").select("doc_id"))
+    pairs, buckets = stars(distinct)
+    asked = buckets.select("doc_id").unionByName(distinct.where(f"size <= {SHORT}").select("doc_id"))
     held = _sets(df, words).join(materialise(asked.distinct(), "candidate-ids"), "doc_id")
     held = materialise(held.dropDuplicates(["doc_id"]), "candidate-sets")
-    found = materialise(components(_alike(pairs, held)), "near-components")
-    more = materialise(_alike(materialise(across(large, distinct, held, found), "candidates-across"), held), "links-across")
+    links = materialise(_alike(materialise(pairs, "candidates"), held), "links")
+    found = materialise(components(links), "near-components")
+    more = materialise(across(unsettled(buckets, distinct, found), distinct, held), "candidates-across")
+    more = materialise(_alike(more, held), "links-across")
     if not more.isEmpty():
-        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = materialise(components(stars.unionByName(more)), "near-components-all")
+        joined = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = materialise(components(joined.unionByName(more)), "near-components-all")
     named = distinct.join(found, distinct["doc_id"] == found["node"], "left").select(*same, F.coalesce("root", "doc_id").alias("component_id"))
     return sets.select("doc_id", *same).join(materialise(named, "near-named"), same, "left").select("doc_id", "component_id")
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, chat_format, decontaminate, exact_dedup, golay, hilbert_shards, license_scan, simhash, toxicity, url_filter, warc
+from lexiloom.llm.common import materialise
+from lexiloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
 ODD = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "a b c"), (None, "x"), (None, None), (5, "w" * 50_000), (6, "\x00 \x1c é \U0001f600")]
@@ -368,19 +370,34 @@ def test_near_duplicates_of_short_texts_are_exact(spark):
 
 
 def test_across_finds_all_links_between_components(spark):
-    """One part of all rows, in which nothing is linked yet: every similar pair is among those given, and unlike ones are not."""
+    """Rows of which none is linked yet: every similar pair is among those given, and unlike ones are not."""
     rng = random.Random(11)
     draw = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
     base, passage = draw(120), draw(80)
     docs = [passage + draw(40) for _ in range(30)] + [base[i * 4 : i * 4 + 80] for i in range(10)]
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     sets, held = simhash._sketches(df, 5), simhash._sets(df, 5)
-    none = spark.createDataFrame([], "node long, root long")
-    pairs = simhash.across(sets.select(F.lit(1).cast("long").alias("key"), "doc_id"), sets, held, none)
+    pairs = simhash.across(sets.select("doc_id", F.col("doc_id").alias("root")), sets, held)
     found = {(r["a"], r["b"]) for r in simhash._alike(pairs, held).collect()}
     assert found == {(30 + i, 31 + i) for i in range(9)} | {(30 + i, 32 + i) for i in range(8)} and pairs.count() < 60
 
 
+def test_near_duplicates_pair_a_group_in_proportion_to_its_rows(spark):
+    """Near copies of one text, of which most pairs are similar: the pairs that are compared grow as the rows do."""
+    rng = random.Random(13)
+    base, made = [f"v{rng.randrange(9000)}" for _ in range(120)], {}
+    for n in (100, 400):
+        docs = [[w if rng.random() > 0.01 else f"x{rng.randrange(1 << 30)}" for w in base] for _ in range(n)]
+        df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+        sets = materialise(simhash._sketches(df, 5).dropDuplicates(["digest"]), "test-sets")
+        held = materialise(simhash._sets(df, 5), "test-held")
+        pairs = materialise(simhash.stars(sets)[0], "test-pairs")
+        found = materialise(components(simhash._alike(pairs, held)), "test-found")
+        more = simhash.across(simhash.unsettled(simhash.stars(sets)[1], sets, found), sets, held)
+        made[n] = (pairs.count() + more.count()) / sets.count()
+    assert made[400] < 1.5 * made[100] and made[400] < 25
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
