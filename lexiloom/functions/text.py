@@ -7,21 +7,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Code points that are cleaned to a space, and two that stand for other characters.
-TO_SPACE = "2028 2029 200A 2009 2008 2005 2004 2003 2002 00A0 F8FF 202F FEFF F044 F02D F0BB"
-TO_OTHER = {"F048": "Η", "F0B0": "°"}
-NO_LETTER_TEXT = "No text with letters."
+#: Characters that are cleaned to a space, and two that stand for other characters.
+TO_SPACE = "\u2028\u2029\u200a\u2009\u2008\u2005\u2004\u2003\u2002\u00a0\uf8ff\u202f\ufeff\uf044\uf02d\uf0bb"
+TO_OTHER = {"\uf048": "Η", "\uf0b0": "°"}
+#: What stands for a text without letters, and what is said of bad requests.
+NO_LETTER_TEXT = "No ascii letters. Please enter your text in English."
+NO_PARAM, NO_TEXT, EMPTY_TEXT, ONLY_SPACE = "no param", "no text", "empty text", "only whitespace letters"
+NO_IDS, TOO_MANY_IDS, MOST_IDS = "No pmid param", "Too many (> {}) pmids: ", 10
 WORD_CUT = 50
 
 
-def _codes(codes: str) -> str:
-    return "".join(chr(int(c, 16)) for c in codes.split())
-
-
 def clean_unicode(c: Column) -> Column:
     """CR before a space goes; odd spaces become U+0020; two private-use signs become what they show."""
-    odd = _codes(TO_SPACE)
-    return F.translate(F.replace(c, F.lit("\r "), F.lit(" ")), odd + _codes(" ".join(TO_OTHER)), " " * len(odd) + "".join(TO_OTHER.values()))
+    return F.translate(F.replace(c, F.lit("\r "), F.lit(" ")), TO_SPACE + "".join(TO_OTHER), " " * len(TO_SPACE) + "".join(TO_OTHER.values()))
 
 
 def clean_whitespace(c: Column) -> Column:
@@ -55,14 +53,28 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 224)
 
 
-def request_error(text: Column) -> Column:
-    """What is wrong with a raw request; null if nothing is."""
-    return F.when(text.isNull(), "no text").when(text == "", "empty text").when(F.trim(F.translate(text, "\n\t\r", "   ")) == "", "only whitespace")
+def request_error(text: Column, param: Column | None = None) -> Column:
+    """What is wrong with a raw request, whose parameter may be missing altogether; null if nothing is."""
+    blank = text.rlike(r"^[\s\x1c-\x1f\x85\p{IsWhite_Space}]*$")
+    found = F.when(text.isNull(), NO_TEXT).when(text == "", EMPTY_TEXT).when(blank, ONLY_SPACE)
+    return found if param is None else F.when(param.isNull(), NO_PARAM).otherwise(found)
+
+
+def id_error(n_ids: Column, most: int = MOST_IDS) -> Column:
+    """What is wrong with a request for so many ids; null if nothing is."""
+    return F.when(F.coalesce(n_ids, F.lit(0)) == 0, NO_IDS).when(n_ids > most, F.concat(F.lit(TOO_MANY_IDS.format(most)), n_ids.cast("string")))
+
+
+def id_list(query: Column, name: str = "pmid") -> Column:
+    """The comma-separated ids of one parameter of an address's query (``pmid=1,2&format=json``); null if it is not there."""
+    parts = F.transform(F.split(query, "&"), lambda x: F.split(x, "=", 2))
+    mine = F.filter(parts, lambda x: (F.size(x) == 2) & (x[0] == name) & (x[1] != ""))
+    return F.when(F.size(mine) > 0, F.split(F.url_decode(F.try_element_at(mine, F.lit(1))[1]), ","))
 
 
-def id_error(ids: Column, most: int = 10) -> Column:
-    """What is wrong with a list of requested ids; null if nothing is."""
-    return F.when(ids.isNull() | (F.size(ids) == 0), "no ids").when(F.size(ids) > most, "too many ids")
+def output_format(asked: Column, known: tuple[str, ...] = ("json", "pubtator")) -> Column:
+    """The format that is written: the one asked for if it is known, else the first."""
+    return F.when(asked.isin(*known), asked).otherwise(known[0])
 
 
 def drug_key(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.dictionaries import UNKNOWN
+from lexiloom.operators.ordering import RANGE_ROWS, numbered, running_sum
 
 
 def health(entities: DataFrame) -> DataFrame:
@@ -37,20 +38,17 @@ def unknown_rate(entities: DataFrame) -> DataFrame:
 
 
 def frequent_unknown(mentions: DataFrame, least: int, start: int, type_code: int, etype: str = "gene") -> DataFrame:
-    """mention, n and a new uid for unresolved mentions of a type that occur ``least`` times, numbered by first place.
-
-    The window orders only what passed the threshold, one row a mention.
-    """
+    """mention, n and a new uid for unresolved mentions of a type that occur ``least`` times, numbered by first place."""
     rare = mentions.where((F.col("etype") == etype) & (F.col("oid") == UNKNOWN)).groupBy("mention").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    nth = F.row_number().over(Window.orderBy("first", "mention"))
-    return rare.where(F.col("n") >= least).select("mention", "n", ((start + nth - 1) * 100 + type_code).cast("long").alias("uid"))
+    nth = numbered(rare.where(F.col("n") >= least), ["first", "mention"], "nth")
+    return nth.select("mention", "n", ((start + F.col("nth")) * 100 + type_code).cast("long").alias("uid"))
 
 
-def best_ids(rows: DataFrame, type_code: int) -> DataFrame:
+def best_ids(rows: DataFrame, type_code: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """uid of each row: the number of distinct ids so far, so an id that comes again gets the latest number."""
     first = F.row_number().over(Window.partitionBy("oid").orderBy("place")) == 1
-    seen = F.sum(F.col("first").cast("int")).over(Window.orderBy("place"))
-    return rows.withColumn("first", first).withColumn("uid", (seen * 100 + type_code).cast("long")).drop("first")
+    seen = running_sum(rows.withColumn("first", first), ["place"], F.col("first").cast("long"), "seen", range_rows)
+    return seen.withColumn("uid", (F.col("seen") * 100 + type_code).cast("long")).drop("first", "seen")
 
 
 def last_number(dictionary: DataFrame, uid: str = "uid") -> DataFrame:
@@ -70,3 +68,16 @@ def compare_gold(found: DataFrame, gold: DataFrame) -> DataFrame:
     b = gold.select(*keys, F.struct("start", "end").alias("theirs"))
     both = a.join(b, keys, "full_outer").where(~F.col("mine").eqNullSafe(F.col("theirs")))
     return both.withColumn("problem", F.when(F.col("mine").isNull(), "missing").when(F.col("theirs").isNull(), "extra").otherwise("moved"))
+
+
+def log_line_stats(runs: DataFrame, order: str, every: int) -> DataFrame:
+    """Cumulative statistics of ``seconds`` by ``stage``, a row for every ``every`` valid runs of a stage in order."""
+    w = Window.partitionBy("stage").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    v = "seconds"
+    found = runs.withColumns({"n": F.count(v).over(w), "mean": F.avg(v).over(w), "std": F.stddev_pop(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w)})
+    return found.where(F.col("n") % every == 0).select("n", "stage", "mean", "std", "low", "high")
+
+
+def sampled(ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` rows (all if there are fewer) drawn at random without repeats; the seed decides."""
+    return ids.orderBy(F.xxhash64(*ids.columns, F.lit(seed)), *ids.columns).limit(n)

@@ -35,6 +35,38 @@ def parse_pathways(lines: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min_by("oid", "line_no").alias("oid"), F.min_by("kegg", "line_no").alias("kegg"), F.min("line_no").alias("dict_order"))
 
 
+def parse_mirna(lines: DataFrame) -> DataFrame:
+    """name, code (the number and what follows), oid, ext_id and dict_order of lines id, names joined by pipes, accession; lines
+    of under three columns and names without a number are skipped, the last line of a name gives its id.
+    """
+    cut = F.split("value", "\t")
+    rows = lines.where(F.size(cut) >= 3).select("line_no", cut[0].alias("oid"), F.posexplode(F.split(cut[1], r"\|")).alias("pos", "name"), cut[2].alias("accession"))
+    rows = rows.withColumn("code", F.regexp_extract("name", "[0-9]+.*", 0)).where("code <> ''")
+    at = F.struct("line_no", "pos")
+    ext = F.when(F.col("accession") != "", F.concat(F.lit("miRBase:"), "accession"))
+    return rows.groupBy("name", "code").agg(F.max_by("oid", at).alias("oid"), F.max_by(ext, at).alias("ext_id"), F.min(at).alias("dict_order"))
+
+
+def parse_gene_ids(lines: DataFrame) -> DataFrame:
+    """name (a gene id, cut at its first hyphen) and oid of lines oid||id|id; the last line of an id wins."""
+    return parse_names(lines, F.substring_index("name", "-", 1))
+
+
+def parse_merged(lines: DataFrame) -> DataFrame:
+    """name and oid, which takes its place, of tab-separated lines; the last line of a name wins."""
+    cut = F.split("value", "\t")
+    rows = lines.where(F.size(cut) >= 2).select("line_no", cut[0].alias("name"), cut[1].alias("oid"))
+    return rows.groupBy("name").agg(F.max_by("oid", "line_no").alias("oid"))
+
+
+def parse_gene_table(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """oid (a gene id of ``known``) and ext_ids of tab-separated lines; a doubled registry prefix is mended, blank ids are skipped."""
+    cut = F.split("value", "\t")
+    ids = F.split(F.replace(F.element_at(cut, 2), F.lit("HGNC:HGNC:"), F.lit("HGNC:")), r"\|")
+    rows = lines.where((F.size(cut) >= 2) & (F.try_element_at(cut, F.lit(2)) != "")).select("line_no", cut[0].alias("oid"), ids.alias("ext_ids"))
+    return rows.join(known.select(F.col("name").alias("oid")), "oid", "left_semi").groupBy("oid").agg(F.max_by("ext_ids", "line_no").alias("ext_ids"))
+
+
 def duplicates(dictionary: DataFrame) -> DataFrame:
     """Names that stand for several ids; a sound auxiliary dictionary has none."""
     return dictionary.groupBy("name").agg(F.countDistinct("oid").alias("n")).where("n > 1")
@@ -80,13 +112,49 @@ def lookup_gene(m: DataFrame, by_gid: DataFrame, best: DataFrame, frequent: Data
     return out.join(to, "oid", "left").withColumn("oid", F.coalesce("__to", "oid")).drop("__to")
 
 
-def full_ids(m: DataFrame, ext: DataFrame, prefix: str) -> DataFrame:
-    """Column ids: of each oid in a pipe-joined oid list the external ids first, all of them, then the prefixed own ids."""
-    parts = m.withColumn("__row", F.struct("doc_id", "etype", "ordinal")).select("__row", F.posexplode(F.split("oid", r"\|")).alias("pos", "one"))
+def full_ids(m: DataFrame, ext: DataFrame, prefix: str, asked: str = "oid") -> DataFrame:
+    """Column ids: of each oid in a pipe-joined oid list the external ids first, all of them, then the prefixed own ids.
+
+    External ids are looked up by the column ``asked``, as for genes, whose own ids are not what the table has.  A mention
+    whose only id is UNKNOWN and has no external ids keeps UNKNOWN.
+    """
+    parts = m.withColumn("__row", F.struct("doc_id", "etype", "ordinal")).select("__row", F.posexplode(F.split(asked, r"\|")).alias("pos", "one"))
     known = parts.join(ext.select(F.col("oid").alias("one"), "ext_ids"), "one", "left")
     none = F.array().cast("array<string>")
-    gathered = known.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "one", F.coalesce("ext_ids", none).alias("e")))).alias("all"))
-    own = F.transform("all", lambda x: F.when(x["one"] == UNKNOWN, UNKNOWN).otherwise(F.concat(F.lit(prefix), x["one"])))
-    ids = F.concat(F.flatten(F.transform("all", lambda x: x["e"])), own)
-    flat = gathered.select(F.col("__row.doc_id").alias("doc_id"), F.col("__row.etype").alias("etype"), F.col("__row.ordinal").alias("ordinal"), ids.alias("ids"))
-    return m.join(flat, ["doc_id", "etype", "ordinal"])
+    gathered = known.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ext_ids", none).alias("e")))).alias("all"))
+    flat = gathered.select(F.col("__row.doc_id").alias("doc_id"), F.col("__row.etype").alias("etype"), F.col("__row.ordinal").alias("ordinal"), F.flatten(F.transform("all", lambda x: x["e"])).alias("__ext"))
+    own = F.transform(F.split("oid", r"\|"), lambda x: F.when(x == UNKNOWN, UNKNOWN).otherwise(F.concat(F.lit(prefix), x)))
+    return m.join(flat, ["doc_id", "etype", "ordinal"]).withColumn("ids", F.concat("__ext", own)).drop("__ext")
+
+
+def own_ids(m: DataFrame, prefix: str) -> DataFrame:
+    """Column ids: the prefixed own id, or UNKNOWN."""
+    return m.withColumn("ids", F.array(F.when(F.col("oid") == UNKNOWN, UNKNOWN).otherwise(F.concat(F.lit(prefix), "oid"))))
+
+
+def drug_normalizer(names: DataFrame, table: DataFrame, prefix: str):
+    """names: parsed with the key T.drug_key; table: oid, ext_ids."""
+    return lambda m: full_ids(lookup_drug(m, names), table, prefix)
+
+
+def disease_normalizer(names: DataFrame, table: DataFrame, prefix: str):
+    """names: name and oid, which may be several joined by pipes; exact names stand for a linker of its own."""
+    return lambda m: full_ids(lookup(m, names, F.col("mention")), table, prefix)
+
+
+def mutation_normalizer(names: DataFrame, prefix: str):
+    return lambda m: own_ids(lookup_mutation(m, names), prefix)
+
+
+def species_normalizer(names: DataFrame):
+    return lambda m: own_ids(lookup_species(m, names), "")
+
+
+def gene_normalizer(linker, by_gid: DataFrame, best: DataFrame, frequent: DataFrame, merged: DataFrame, table: DataFrame, prefix: str):
+    """linker: adds gid to mentions, as a gene linker of its own does; table: oid (a gid), ext_ids."""
+
+    def run(m: DataFrame) -> DataFrame:
+        found = lookup_gene(linker(m), by_gid, best, frequent, merged).withColumn("__gid", F.substring_index("gid", "-", 1))
+        return full_ids(found.withColumn("__gid", F.coalesce("__gid", F.lit(""))), table, prefix, "__gid").drop("__gid")
+
+    return run

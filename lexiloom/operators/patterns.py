@@ -1,16 +1,21 @@
-"""Pattern taggers: miRNA names by a regex with offsets (Arrow), gazetteer names by a hash join on their first word."""
+"""Pattern taggers: miRNA names by a regex behind a gate, gazetteer names by one automaton.  Arrow maps over whole texts.
+
+Results for odd input: null and empty texts have no mentions; texts are searched whole, in time linear in their length; repeated
+rows give repeated mentions (``tag_names`` with a dictionary of several blocks asks for unique doc_id); empty dictionaries find
+nothing; empty names are left out.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.segment import located, tokens
-
 #: What a miRNA name begins with, and what must follow its number.
 PREFIXES = (
     "bta-mir-", "rno-mir-", "gga-mir-", "cel-mir-", "ssc-mir-", "ebv-mir-", "mdv1-mir-", "hcmv-mir-",
@@ -20,32 +25,52 @@ PREFIXES = (
 SUFFIXES = ("[-]?[a-c]-[12]-[35]p", "[-]?[a-c]-[35]p", "-[12]-[35]p", "[a-c]", "-[12]", "-[35]p", "[*]", "[0-9]+")
 
 
+#: Characters of dictionary names that one automaton holds; a larger dictionary is searched in blocks.
+BLOCK_CHARS = 8_000_000
+MENTIONS = "ordinal int, start int, end int, mention string"
+
+
 def mirna_pattern(prefixes: tuple[str, ...] = PREFIXES, suffixes: tuple[str, ...] = SUFFIXES) -> re.Pattern:
     """Prefix, one to three digits and a suffix, which is mandatory; the first alternative that fits wins."""
-    return re.compile("|".join(rf"\b{p}[0-9]{{1,3}}{s}\b" for p in prefixes for s in suffixes), re.IGNORECASE)
+    ends = "|".join(rf"[0-9]{{1,3}}{s}\b" for s in suffixes)
+    return re.compile(rf"\b(?:{'|'.join(prefixes)})(?:{ends})", re.IGNORECASE)
+
 
+def mirna_spans(text: str, pattern: re.Pattern, last: re.Pattern, longest: int) -> Iterator[re.Match]:
+    """The pattern's matches from left to right: it is tried only before digits that a prefix's last character precedes."""
+    done = 0
+    for digit in last.finditer(text):
+        at = digit.end() - 1
+        if at > done:
+            found = next((m for i in range(max(done, at - longest), at) if (m := pattern.match(text, i))), None)
+            if found:
+                yield found
+                done = found.end()
 
-def tag_mirna(docs: DataFrame, pattern: re.Pattern | None = None) -> DataFrame:
-    """doc_id, ordinal, start, end, mention from doc_id, content; a map over rows."""
-    pattern = pattern or mirna_pattern()
+
+def tag_mirna(docs: DataFrame, prefixes: tuple[str, ...] = PREFIXES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """doc_id, ordinal, start, end, mention from doc_id, content.
+
+    Only texts in which a digit follows a prefix's end reach Python; prefixes hold no digit that another prefix's end precedes.
+    """
+    pattern, longest = mirna_pattern(prefixes, suffixes), max(map(len, prefixes))
+    last = re.compile(f"[{re.escape(''.join(sorted({p[-1] for p in prefixes})))}][0-9]", re.IGNORECASE)
+    gate = "|".join(sorted({re.escape(p[-4:]) for p in prefixes}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, n, start, end, mention = [], [], [], [], []
-            for d, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for i, m in enumerate(pattern.finditer(c.as_py() or "")):
-                    doc.append(d)
-                    n.append(i)
-                    start.append(m.start())
-                    end.append(m.end())
-                    mention.append(m[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, batch.schema.field(0).type), *(pa.array(x, pa.int32()) for x in (n, start, end)), pa.array(mention, pa.string())],
-                ["doc_id", "ordinal", "start", "end", "mention"],
-            )
+            row, n, spans = [], [], []
+            for r, c in enumerate(batch.column(1)):
+                found = list(mirna_spans(c.as_py(), pattern, last, longest))
+                row += [r] * len(found)
+                n += range(len(found))
+                spans += found
+            numbers = [pa.array(x, pa.int32()) for x in (n, [m.start() for m in spans], [m.end() for m in spans])]
+            out = [batch.column(0).take(pa.array(row, pa.int64())), *numbers, pa.array([m[0] for m in spans], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ordinal", "start", "end", "mention"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {key}, ordinal int, start int, end int, mention string")
+    return docs.select("doc_id", "content").where(F.col("content").rlike(f"(?iu)(?:{gate})[0-9]")).mapInArrow(run, f"doc_id {key}, {MENTIONS}")
 
 
 def mirna_code(mention: Column) -> Column:
@@ -77,27 +102,94 @@ def normalize_mirna(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.withColumn("oid", F.coalesce("oid", "series_oid", F.lit(""))).drop("base", "series_oid")
 
 
+def chosen(hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Of hits (start, order, end) from left to right the first in order, and none that overlaps one already taken."""
+    last = 0
+    for start, order, end in sorted(hits):
+        if start >= last:
+            yield start, order, end
+            last = end
+
+
 def tag_names(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, start, end, name: names (name, dict_order) in texts (doc_id, content), literally and case-sensitively.
+    """doc_id, ordinal, start, end, mention: names (name, dict_order) in texts (doc_id, content), literally and case-sensitively.
 
-    Candidates come from a join on the first token, so no alternation grows with the dictionary; then from left to right the
-    first name in dictionary order is taken, and what overlaps it is not.
+    From left to right the first name in dictionary order is taken, and what overlaps it is not.  An automaton of all names reads
+    each text once.  A dictionary of over BLOCK_CHARS characters is dealt into blocks with an automaton each, whose hits, not the
+    texts, are brought together by document.
     """
-    first = F.element_at(tokens(F.col("name")), 1)
-    parts = located(docs, ["doc_id"], tokens(F.col("content")), keep=F.col("text") != " ")
-    # a name may begin inside a run of letters: its first token is then the run's end
-    starts = parts.select("doc_id", F.col("start").alias("at"), F.col("text").alias("run"))
-    tail = starts.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring("run", i, F.length("run")))).alias("i", "first"), (F.col("at")).alias("at"))
-    tail = tail.select("doc_id", "first", (F.col("at") + F.col("i")).alias("start"))
-    known = names.select("name", "dict_order", first.alias("first"))
-    hits = tail.join(known, "first").join(docs.select("doc_id", "content"), "doc_id")
-    hits = hits.where(F.substring("content", F.col("start") + 1, F.length("name")) == F.col("name"))
-    chosen = F.expr(
-        """aggregate(array_sort(collect_list(struct(start, dict_order, start + length(name) AS end, name))),
-        named_struct('last', 0, 'keep', cast(array() AS array<struct<start:int,dict_order:int,end:int,name:string>>)),
-        (a, c) -> named_struct('last', if(c.start >= a.last, c.end, a.last), 'keep', if(c.start >= a.last, concat(a.keep, array(c)), a.keep)),
-        a -> a.keep)"""
-    )
-    return hits.withColumn("dict_order", F.col("dict_order").cast("int")).groupBy("doc_id").agg(chosen.alias("k")).select("doc_id", F.explode("k").alias("k")).select(
-        "doc_id", "k.start", "k.end", "k.name"
-    )
+    import ahocorasick
+
+    rows = names.where("name <> ''").groupBy("name").agg(F.min("dict_order").cast("int").alias("dict_order"))
+    blocks = max(1, math.ceil((rows.agg(F.sum(F.length("name"))).first()[0] or 0) / BLOCK_CHARS))
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def searched(block: int) -> DataFrame:
+        """Hits of a block's names; the chosen ones if there is no other block."""
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
+        shared = docs.sparkSession.sparkContext.broadcast([(r["name"], r["dict_order"]) for r in mine.collect()])  # a block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name, order in shared.value:
+                automaton.add_word(name, (order, len(name)))
+            automaton.make_automaton()
+            for batch in batches:
+                row, n, start, end, mention, orders = [], [], [], [], [], []
+                for r, c in enumerate(batch.column(1)):
+                    text = c.as_py()
+                    hits = [(e + 1 - size, order, e + 1) for e, (order, size) in automaton.iter(text)] if text and len(automaton) else []
+                    for i, (a, order, b) in enumerate(chosen(hits) if blocks == 1 else hits):
+                        row.append(r)
+                        n.append(i)
+                        start.append(a)
+                        end.append(b)
+                        mention.append(text[a:b])
+                        orders.append(order)
+                numbers = [pa.array(x, pa.int32()) for x in (n, start, end)]
+                out = [batch.column(0).take(pa.array(row, pa.int64())), *numbers, pa.array(mention, pa.string()), pa.array(orders, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ordinal", "start", "end", "mention", "dict_order"])
+
+        return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {key}, {MENTIONS}, dict_order int")
+
+    found = searched(0)
+    for block in range(1, blocks):
+        found = found.unionByName(searched(block))
+    if blocks > 1:
+
+        def of_document(pdf: pd.DataFrame) -> pd.DataFrame:
+            taken = {(a, o) for a, o, _ in chosen(list(zip(pdf["start"], pdf["dict_order"], pdf["end"], strict=True)))}
+            kept = pdf[[x in taken for x in zip(pdf["start"], pdf["dict_order"], strict=True)]].sort_values("start")
+            return kept.assign(ordinal=range(len(kept)))
+
+        found = found.groupBy("doc_id").applyInPandas(of_document, found.schema)
+    return found.drop("dict_order")
+
+
+def with_ids(mentions: DataFrame, external: DataFrame, prefix: str) -> DataFrame:
+    """Column ids of mentions with an oid: the external accession first if there is one, then the prefixed own id.
+
+    external: oid, ext_id (one row an oid).
+    """
+    own = F.concat(F.lit(prefix), F.coalesce("oid", F.lit("")))
+    known = mentions.join(external.select("oid", "ext_id"), "oid", "left")
+    return known.withColumn("ids", F.when(F.coalesce("ext_id", F.lit("")) != "", F.array("ext_id", own)).otherwise(F.array(own))).drop("ext_id")
+
+
+def mirna_tagger(dictionary: DataFrame, prefix: str = "ID:"):
+    """A pattern tagger of miRNA names; dictionary: name, code, oid, dict_order, ext_id."""
+    external = dictionary.groupBy("oid").agg(F.min_by("ext_id", "dict_order").alias("ext_id"))
+    return lambda docs: with_ids(normalize_mirna(tag_mirna(docs), dictionary), external, prefix).drop("oid")
+
+
+def pathway_tagger(dictionary: DataFrame, prefix: str = "ID:"):
+    """A pattern tagger of pathway names; dictionary: name, oid, kegg, dict_order (as ``dictionaries.parse_pathways`` gives)."""
+    ids = dictionary.select(F.col("name").alias("mention"), "oid", F.col("kegg").alias("ext_id"))
+
+    def tagger(docs: DataFrame) -> DataFrame:
+        found = tag_names(docs, dictionary).join(ids, "mention")
+        own = F.concat(F.lit(prefix), "oid")
+        full = F.when(F.coalesce("ext_id", F.lit("")) != "", F.array("ext_id", own)).otherwise(F.array(own))
+        return found.select("doc_id", "ordinal", "start", "end", "mention", full.alias("ids"))
+
+    return tagger

@@ -1,8 +1,10 @@
-"""Token taggers as plug-ins, BIO decoding, span scores and conflict resolution."""
+"""BIO decoding, span scores, conflict resolution and filters over tagged words.
 
-from __future__ import annotations
+Results for odd input: untagged and outside words may be left out; entities without a score (null) rank last among rivals; empty
+tables give no rows; repeated rows of one word count as words of their own in the order they come.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,12 @@ from pyspark.sql import functions as F
 #: Class numbers of a tagger: padding, continuation and marks count as outside.
 LABELS = {1: "B", 2: "I", 3: "O"}
 RIVALS = ("gene", "drug", "disease", "species")
-Tagger = Callable[[DataFrame], DataFrame]  # words -> doc_id, etype, sent_idx, word_idx, word, start, end, tag, log_probs
+#: Everyday words for people, which are no species mentions.
+HUMAN_WORDS = (
+    "person|infant|Child|people|participants|woman|Girls|Man|Peoples|Men|Participant|Patients|humans|Persons|mans|participant|"
+    "Infants|Boys|Human|Humans|Women|children|Mans|child|Participants|Girl|Infant|girl|patient|patients|boys|men|infants|man|girls|"
+    "Children|Boy|women|persons|human|Woman|peoples|Patient|People|boy|Person"
+).split("|")
 
 
 def label(class_column: str):
@@ -26,20 +33,29 @@ def confidence():
     return 1 / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
 
-def decode(tags: DataFrame) -> DataFrame:
-    """Entities doc_id, etype, start, end, score from tagged words (confidence ``p``): runs that begin with B.
+def decode(tags: DataFrame, mentions: bool = False) -> DataFrame:
+    """Entities doc_id, etype, sent_idx, start, end, score, first_word, last_word from tagged words (confidence ``p``): runs that
+    begin with B.
 
-    A final word of one character does not count in the mean, unless it is the only word.
+    Words tagged O may be left out: a run also ends where a word's number is not the next one.  A final word of one character
+    does not count in the mean, unless it is the only word.  ``mentions`` adds the run's text, which needs no look at the
+    document: between words there are only spaces.  One window and one aggregate, on the same partitioning.
     """
     order = Window.partitionBy("doc_id", "etype", "sent_idx").orderBy("word_idx")
-    run = tags.withColumn("g", F.sum((F.col("tag") != "I").cast("int")).over(order))
-    last = F.row_number().over(Window.partitionBy("doc_id", "etype", "sent_idx", "g").orderBy(F.desc("word_idx"))) == 1
-    only = F.col("word_idx") == F.min("word_idx").over(Window.partitionBy("doc_id", "etype", "sent_idx", "g"))
-    counted = run.withColumn("counts", ~(last & ~only & (F.length("word") == 1)))
-    return counted.groupBy("doc_id", "etype", "sent_idx", "g").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("tag", "word_idx").alias("head"),
-        F.avg(F.when(F.col("counts"), F.col("p"))).alias("score"), F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"),
-    ).where("head = 'B'").drop("head", "g")
+    goes_on = (F.col("tag") == "I") & (F.col("before") == F.col("word_idx") - 1)
+    run = tags.where("tag <> 'O'").withColumn("before", F.lag("word_idx").over(order))
+    run = run.withColumn("g", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    words = [F.array_sort(F.collect_list(F.struct("word_idx", "start", "end", "word"))).alias("words")] * mentions
+    runs = run.groupBy("doc_id", "etype", "sent_idx", "g").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.col("tag") == "B", "word_idx").alias("head"), F.count("*").alias("n"),
+        F.sum("p").alias("total"), F.max_by(F.length("word"), "word_idx").alias("last_size"), F.max_by("p", "word_idx").alias("last_p"),
+        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), *words,
+    ).where("head")
+    left_out = (F.col("n") > 1) & (F.col("last_size") == 1)
+    score = F.when(left_out, (F.col("total") - F.col("last_p")) / (F.col("n") - 1)).otherwise(F.col("total") / F.col("n"))
+    spaced = "transform(words, (w, i) -> if(i = 0, w.word, concat(repeat(' ', w.start - words[i - 1].end), w.word)))"
+    text = [F.array_join(F.expr(spaced), "").alias("mention")] * mentions
+    return runs.select("doc_id", "etype", "sent_idx", "start", "end", score.alias("score"), "first_word", "last_word", *text)
 
 
 def resolve(entities: DataFrame) -> DataFrame:
@@ -58,9 +74,9 @@ def detokenize(pieces: DataFrame) -> DataFrame:
     )
 
 
-def drop_common_species(entities: DataFrame, denied: list[str]) -> DataFrame:
+def drop_common_species(entities: DataFrame, denied: list[str] | tuple[str, ...] = tuple(HUMAN_WORDS)) -> DataFrame:
     """Species mentions (column mention) that are everyday words, case-sensitively, are left out."""
-    return entities.where(~((F.col("etype") == "species") & F.col("mention").isin(denied)))
+    return entities.where(~((F.col("etype") == "species") & F.coalesce(F.col("mention").isin(list(denied)), F.lit(False))))
 
 
 def entity_counts(entities: DataFrame, docs: DataFrame) -> DataFrame:

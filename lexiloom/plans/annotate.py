@@ -1,52 +1,113 @@
-"""The whole plan: clean, segment, tag, decode, resolve, filter, normalise, format."""
+"""The whole plan: clean, segment, tag, decode, add mutations, resolve, filter, normalise by type, tag patterns, format.
+
+Results for odd input: documents (unique doc_id) without entities keep an empty list; mutations whose mention is not in the text
+are left out; types without a normalizer have unknown ids; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import spans
 from lexiloom.functions import text as T
-from lexiloom.operators import segment, tagging
 from lexiloom.operators import dictionaries as dic
+from lexiloom.operators import segment, tagging
+from lexiloom.operators.plugins import Registry, TokenTagger
 from lexiloom.plans import formats
 
+COLUMNS = "doc_id etype ordinal start end score mention mutation_type normalized_name".split()
 
-def gazetteer_tagger(words: DataFrame) -> DataFrame:
-    """The default plug-in: long words are mentions, their type follows from their length, longer ones are surer.
 
-    It stands for a trained tagger, which brings its own ``mapInArrow`` with the same result columns.
+def gazetteer_tagger(sents: DataFrame) -> DataFrame:
+    """The default plug-in: words of eight characters or more are mentions, their type follows from their length, longer ones
+    are surer; words of six or seven go on with the mention before them.
+
+    It stands for a trained tagger, as ``plugins.model_tagger`` makes one.
     """
-    types = F.array(*[F.lit(x) for x in tagging.RIVALS])
     n = F.length("word")
-    shaped = words.withColumn("kind", F.try_element_at(types, (n % 4 + 1).cast("int"))).withColumn("etype", F.explode(types))
-    begins, goes_on = (n >= 8) & (F.col("kind") == F.col("etype")), n.between(6, 7)
-    return shaped.select(
-        "doc_id", "etype", "sent_idx", "word_idx", "word", "start", "end",
-        F.when(begins, "B").when(goes_on, "I").otherwise("O").alias("tag"), ((n % 10) / F.lit(10.0)).alias("p"),
+    types = F.array(*[F.lit(x) for x in tagging.RIVALS])
+    own = F.when(n >= 8, F.array(F.try_element_at(types, (n % 4 + 1).cast("int")))).otherwise(types)
+    words = segment.words(sents).where(n >= 6)
+    return words.select(
+        "doc_id", F.explode(own).alias("etype"), "sent_idx", "word_idx", "word", "start", "end",
+        F.when(n >= 8, "B").otherwise("I").alias("tag"), ((n % 10) / F.lit(10.0)).alias("p"),
     )
 
 
-def documents(table: DataFrame) -> DataFrame:
-    """Documents of raw texts: doc_id, title (null), abstract, with requests' cleaning."""
-    cleaned = T.guard_letters(T.clean_request(F.coalesce("text", F.lit(""))))
+def documents(table: DataFrame, unicode: bool = False) -> DataFrame:
+    """Documents of raw texts (doc_id, text): doc_id, title (null), abstract, with requests' cleaning; ``unicode`` also takes odd
+    blanks and signs out, as for documents of files.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cleaned = T.guard_letters(T.clean_request(T.clean_unicode(text) if unicode else text))
     return table.select("doc_id", F.lit(None).cast("string").alias("title"), cleaned.alias("abstract"))
 
 
-def entities(docs: DataFrame, tagger: tagging.Tagger = gazetteer_tagger) -> DataFrame:
-    """doc_id, etype, start, end, score, mention, ordinal of all documents (doc_id, title, abstract)."""
-    found = tagging.resolve(tagging.decode(tagger(segment.words(segment.sentences(docs)))))
-    texts = docs.select("doc_id", T.content(F.col("title"), F.col("abstract")).alias("content"))
-    placed = found.join(texts, "doc_id").withColumn("mention", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start"))).drop("content")
-    from pyspark.sql import Window
+def contents(docs: DataFrame) -> DataFrame:
+    """doc_id and content, what offsets refer to."""
+    return docs.select("doc_id", T.content(F.col("title"), F.col("abstract")).alias("content"))
+
+
+def mutations(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Entities of a mutation tagger's rows (doc_id, ordinal, start, mention, type, id), moved to where the mentions stand."""
+    placed = spans.reanchor(found.withColumn("end", F.lit(0)), contents(docs)).where("error IS NULL")
+    return placed.select(
+        "doc_id", F.lit("mutation").alias("etype"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+        F.lit(None).cast("double").alias("score"), "mention", F.col("type").alias("mutation_type"), F.col("id").alias("normalized_name"),
+    )
+
+
+def entities(docs: DataFrame, tagger: TokenTagger = gazetteer_tagger, found: DataFrame | None = None, denied: list[str] | None = None) -> DataFrame:
+    """COLUMNS of all documents (doc_id, title, abstract): the tagger's entities, of rivals on one span the best, without
+    everyday words for species, and the mutations ``found``; ordinal counts a document's entities of a type by place.
+    """
+    tagged = tagger(segment.sentences(docs)).repartition("doc_id")  # serves all windows and joins below
+    runs = tagging.drop_common_species(tagging.resolve(tagging.decode(tagged, mentions=True)), tagging.HUMAN_WORDS if denied is None else denied)
+    none = F.lit(None).cast("string")
+    placed = runs.select("doc_id", "etype", "start", "end", "score", "mention", none.alias("mutation_type"), none.alias("normalized_name"))
+    if found is not None:
+        placed = placed.unionByName(mutations(docs, found))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "etype").orderBy("start", "end")) - 1
+    return placed.withColumn("ordinal", nth).select(*COLUMNS)
+
 
-    nth = F.row_number().over(Window.partitionBy("doc_id", "etype").orderBy("start")) - 1
-    return placed.withColumn("ordinal", nth)
+def normalize(found: DataFrame, registry: Registry) -> DataFrame:
+    """The entities with ids, each type by its own normalizer."""
+    unknown = found.where(~F.col("etype").isin(*registry.normalizers)).withColumn("ids", F.array(F.lit(dic.UNKNOWN)))
+    for etype, normalizer in registry.normalizers.items():
+        unknown = unknown.unionByName(normalizer(found.where(F.col("etype") == etype)).select(*COLUMNS, "ids"))
+    return unknown
+
+
+def annotations(docs: DataFrame, registry: Registry, found: DataFrame | None = None, requests: Column | None = None, compat: bool = True) -> DataFrame:
+    """COLUMNS and ids of all entities, patterns included.
+
+    Where a whole request has no entity, its texts get no patterns either, unless ``compat`` is off; ``requests`` names the
+    request of a document and is its doc_id if it isn't given.
+    """
+    tagged = entities(docs, registry.tagger, found)
+    out, texts = normalize(tagged, registry), contents(docs)
+    if compat:
+        asked = docs.select("doc_id", (F.col("doc_id") if requests is None else requests).alias("request"))
+        with_any = tagged.select("doc_id").distinct()
+        if requests is None:
+            texts = texts.join(with_any, "doc_id", "left_semi")
+        else:
+            busy = asked.join(with_any, "doc_id", "left_semi").select("request").distinct()
+            texts = texts.join(asked.join(busy, "request", "left_semi"), "doc_id", "left_semi")
+    empty = {"score": F.lit(None).cast("double")} | {c: F.lit(None).cast("string") for c in ("mutation_type", "normalized_name")}
+    for etype, pattern in registry.patterns.items():
+        rows = pattern(texts).withColumns({"etype": F.lit(etype), **empty})
+        out = out.unionByName(rows.select(*COLUMNS, "ids"))
+    return out
 
 
-def annotate(docs: DataFrame, dictionary: DataFrame, denied: list[str], prefix: str = "ID:", project: str = "lexiloom") -> DataFrame:
-    """doc_id and annotation JSON; dictionary: name, oid."""
-    kept = tagging.drop_common_species(entities(docs), denied)
-    named = dic.lookup(kept, dictionary, F.lower("mention"))
-    ids = F.array(F.when(F.col("oid") == dic.UNKNOWN, dic.UNKNOWN).otherwise(F.concat(F.lit(prefix), "oid")))
-    shown = docs.select("doc_id", T.shown_content(F.col("title"), F.col("abstract")).alias("text"))
-    return formats.annotation_json(shown, named.withColumn("ids", ids), project)
+def annotate(
+    docs: DataFrame, registry: Registry, found: DataFrame | None = None, project: str = "lexiloom", requests: Column | None = None, compat: bool = True,
+    elapsed: Column | None = None, stamp: Column | None = None, indent: bool = False,
+) -> DataFrame:
+    """doc_id and annotation JSON of every document."""
+    title = F.col("title")
+    shown = docs.select("doc_id", T.shown_content(title, F.col("abstract")).alias("text"), F.when(title.isNull(), "").otherwise("PubMed").alias("sourcedb"))
+    return formats.annotation_json(shown, annotations(docs, registry, found, requests, compat), project, elapsed=elapsed, stamp=stamp, indent=indent)

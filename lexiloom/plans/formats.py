@@ -13,26 +13,49 @@ def type_rank() -> Column:
 
 
 def denotations(entities: DataFrame) -> DataFrame:
-    """doc_id and denotations, ordered by begin and type, then by the order within a type (ids: array of strings)."""
-    one = F.struct(
-        F.col("start").alias("begin"), F.col("etype").alias("obj"), F.col("ordinal"), F.col("end"), F.col("ids").alias("id"),
-    )
+    """doc_id and denotations, ordered by begin and type, then by the order within a type (ids: array of strings).
+
+    Mutations carry mutation_type and normalized_name where the entities have these columns.
+    """
+    more = [F.col(c) if c in entities.columns else F.lit(None).cast("string").alias(c) for c in ("mutation_type", "normalized_name")]
+    one = F.struct(F.col("start").alias("begin"), F.col("etype").alias("obj"), F.col("ordinal"), F.col("end"), F.col("ids").alias("id"), *more)
     flat = F.transform(
         F.array_sort(F.collect_list(one)),
-        lambda x: F.struct(x["id"].alias("id"), x["obj"].alias("obj"), F.struct(x["begin"].alias("begin"), x["end"].alias("end")).alias("span")),
-    )
+        lambda x: F.struct(
+            x["id"].alias("id"), F.struct(x["begin"].alias("begin"), x["end"].alias("end")).alias("span"), x["obj"].alias("obj"),
+            x["mutation_type"].alias("mutationType"), x["normalized_name"].alias("normalizedName"),
+        ),
+    )
     return entities.groupBy("doc_id").agg(flat.alias("denotations"))
 
 
-def annotation_json(docs: DataFrame, entities: DataFrame, project: str, sourcedb: str = "PubMed") -> DataFrame:
-    """doc_id and json of every document (doc_id, text), with or without entities."""
-    none = F.array().cast("array<struct<id:array<string>,obj:string,span:struct<begin:int,end:int>>>")
+def logits(entities: DataFrame) -> DataFrame:
+    """doc_id and logits: by type the spans and scores of a document's tagged entities."""
+    one = F.struct(F.struct(F.col("start"), F.col("end")).alias("span"), F.col("score"))
+    by_type = entities.where("score IS NOT NULL").groupBy("doc_id", "etype").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    return by_type.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("etype", "spans")))).alias("logits"))
+
+
+def annotation_json(
+    docs: DataFrame, entities: DataFrame, project: str, sourcedb: str = "PubMed", elapsed: Column | None = None, stamp: Column | None = None,
+    scores: DataFrame | None = None, indent: bool = False,
+) -> DataFrame:
+    """doc_id and json of every document (doc_id, text, and sourcedb if it differs by document), with or without entities.
+
+    ``stamp`` adds the time of writing, ``scores`` (doc_id, logits) the tagger's scores, ``elapsed`` a struct of stage times;
+    ``indent`` writes the object on several lines with sorted keys.
+    """
+    none = F.array().cast("array<struct<id:array<string>,span:struct<begin:int,end:int>,obj:string,mutationType:string,normalizedName:string>>")
     rows = docs.join(denotations(entities), "doc_id", "left")
-    whole = F.struct(
-        F.lit(project).alias("project"), F.lit(sourcedb).alias("sourcedb"), F.col("doc_id").cast("string").alias("sourceid"),
-        F.col("text"), F.coalesce("denotations", none).alias("denotations"),
-    )
-    return rows.select("doc_id", F.to_json(whole).alias("json"))
+    rows = rows if scores is None else rows.join(scores, "doc_id", "left")
+    whole = {
+        "project": F.lit(project), "sourcedb": F.col("sourcedb") if "sourcedb" in docs.columns else F.lit(sourcedb), "sourceid": F.col("doc_id").cast("string"),
+        "text": F.col("text"), "denotations": F.coalesce("denotations", none),
+        "timestamp": None if stamp is None else timestamp_text(stamp), "logits": None if scores is None else F.col("logits"), "elapsed_time": elapsed,
+    }
+    fields = {k: v for k, v in whole.items() if v is not None}
+    shape = F.struct(*[v.alias(k) for k, v in (sorted(fields.items()) if indent else fields.items())])
+    return rows.select("doc_id", F.to_json(shape, {"pretty": str(indent).lower()}).alias("json"))
 
 
 def annotation_text(docs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -50,6 +73,29 @@ def error_document(doc_id: Column, message: Column) -> Column:
     return F.struct(doc_id.alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("error: "), message).alias("abstract"))
 
 
+def error_texts(errors: DataFrame, form: str = "json", project: str = "lexiloom") -> DataFrame:
+    """doc_id (empty if it is null) and the written form of requests that failed (doc_id, message): a document whose abstract is the error."""
+    row = errors.select(error_document(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("message")).alias("d")).select("d.*")
+    none = row.limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("etype", "string"), ("ordinal", "int"), ("start", "int"), ("end", "int"), ("mention", "string"), ("ids", "array<string>"))])
+    if form == "json":
+        return annotation_json(row.select("doc_id", F.col("abstract").alias("text")), none, project).withColumnRenamed("json", "written")
+    return annotation_text(row, none).withColumnRenamed("block", "written")
+
+
+def ner_lines(docs: DataFrame, entities: DataFrame, model: str) -> DataFrame:
+    """value: one JSON object a document (doc_id, title, abstract) with sorted keys: abstract, entities by type, ner_model, pmid, title."""
+    one = F.struct("start", "end")
+    by_type = entities.groupBy("doc_id", "etype").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    held = by_type.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("etype", "spans")))).alias("entities"))
+    whole = F.struct("abstract", "entities", F.lit(model).alias("ner_model"), F.col("doc_id").cast("string").alias("pmid"), "title")
+    return docs.join(held, "doc_id", "left").select("doc_id", F.to_json(whole).alias("value"))
+
+
+def stats_lines(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """value: tab-separated lines of the columns, as a benchmark's log has them."""
+    return stats.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+
+
 def auxiliary_lines(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(F.concat_ws("||", F.col("uid").cast("string"), "mention").alias("value"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import spans
 from lexiloom.functions import text as T
-from lexiloom.operators import analytics, patterns, segment, tagging
+from lexiloom.operators import analytics, patterns, plugins, segment, subword, tagging
 from lexiloom.operators import dictionaries as dic
 from lexiloom.plans import annotate, formats
 from lexiloom.sources import parsers
@@ -39,19 +39,18 @@ def docs_of(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text")
 
 
-def _chr(code: str) -> str:
-    return f"chr({int(code, 16)})"
+def _chr(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
 
 
 # ---- text functions ----
 
-_ODD = "x" + "".join(chr(int(c, 16)) for c in ("2028", "00A0", "F048", "F0B0", "3000"))
+_ODD = "x\u2028\u00a0\uf048\uf0b0\u3000"
 
 
 @query(
-    f"""SELECT doc_id, md5(translate(replace(text || chr(13) || ' x' || {' || '.join(map(_chr, ('2028', '00A0', 'F048', 'F0B0', '3000')))},
-    chr(13) || ' ', ' '), {' || '.join(_chr(c) for c in (T.TO_SPACE + ' F048 F0B0').split())}, '{' ' * len(T.TO_SPACE.split())}Η°')) AS cleaned_md5
-    FROM documents"""
+    f"""SELECT doc_id, md5(translate(replace(text || chr(13) || ' ' || {_chr(_ODD)}, chr(13) || ' ', ' '), {_chr(T.TO_SPACE + ''.join(T.TO_OTHER))},
+    '{' ' * len(T.TO_SPACE)}Η°')) AS cleaned_md5 FROM documents"""
 )
 def text_unicode_clean(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.md5(T.clean_unicode(F.concat("text", F.lit("\r " + _ODD)))).alias("cleaned_md5"))
@@ -77,22 +76,38 @@ def text_request_clean(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9) ELSE text END AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN t IS NULL THEN 'no text' WHEN t = '' THEN 'empty text' WHEN trim(replace(t, chr(9), ' ')) = '' THEN 'only whitespace' END
-    AS error FROM a"""
+    """WITH a AS (SELECT conv_id, turn, unnest([0, 1, 2, 3, 4]) AS kind, text FROM conversations),
+    b AS (SELECT *, CASE kind WHEN 0 THEN text WHEN 2 THEN '' WHEN 3 THEN ' ' || chr(9) || chr(8195) WHEN 4 THEN text END AS t FROM a)
+    SELECT conv_id, turn, kind, CASE WHEN kind = 4 THEN 'no param' WHEN t IS NULL THEN 'no text' WHEN t = '' THEN 'empty text'
+    WHEN trim(translate(t, chr(9) || chr(10) || chr(8195), '   ')) = '' THEN 'only whitespace letters' END AS error FROM b"""
 )
 def request_validation(spark, sf):
-    rest = F.col("turn") % 4
-    text = F.when(rest == 1, "").when(rest == 2, " \t").when(rest == 3, F.col("text"))
-    return read(spark, sf, "conversations").select("conv_id", "turn", T.request_error(text).alias("error"))
+    """Every turn's whole text, and as requests without text, with an empty or blank one, and without the parameter."""
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", "text", F.explode(F.array(*map(F.lit, range(5)))).alias("kind"))
+    text = F.when(F.col("kind").isin(0, 4), F.col("text")).when(F.col("kind") == 2, "").when(F.col("kind") == 3, " \t\u2003")
+    param = F.when(F.col("kind") != 4, "{}")
+    return rows.select("conv_id", "turn", "kind", T.request_error(text, param).alias("error"))
 
 
 @query(
-    """SELECT user_id, count(*) AS n_ids, CASE WHEN count(*) > 10 THEN 'too many ids' END AS error FROM events WHERE event_id < 900 GROUP BY user_id"""
+    """SELECT user_id, count(*) AS n_ids, CASE WHEN count(*) > 10 THEN 'Too many (> 10) pmids: ' || count(*) END AS error FROM events GROUP BY user_id"""
 )
 def request_id_limit(spark, sf):
-    ids = read(spark, sf, "events").where("event_id < 900").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"))
-    return ids.select("user_id", F.size("ids").cast("long").alias("n_ids"), T.id_error(F.col("ids")).alias("error"))
+    ids = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_ids"))
+    return ids.select("user_id", "n_ids", T.id_error(F.col("n_ids")).alias("error"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN len(string_split(url, ',')) END AS n_ids, CASE page_id % 4 WHEN 1 THEN 'pubtator' ELSE 'json' END AS format,
+    CASE WHEN page_id % 3 = 0 THEN 'No pmid param' WHEN len(string_split(url, ',')) > 10 THEN 'Too many (> 10) pmids: ' || len(string_split(url, ',')) END AS error FROM pages"""
+)
+def request_query(spark, sf):
+    """Requests by address whose ids are the page's url."""
+    asked = F.when(F.col("page_id") % 4 == 1, "pubtator").when(F.col("page_id") % 4 == 2, "xml")
+    query = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("indent=true&pmid="), F.url_encode("url"))).otherwise("pmid=")
+    ids = read(spark, sf, "pages").select("page_id", T.id_list(query).alias("ids"), T.output_format(asked).alias("format"))
+    n = F.when(F.col("ids").isNotNull(), F.size("ids").cast("long"))
+    return ids.select("page_id", n.alias("n_ids"), "format", T.id_error(n).alias("error"))
 
 
 @query(
@@ -109,13 +124,16 @@ def text_content_hash(spark, sf):
     return docs_of(spark, sf).select("doc_id", T.content_hash(F.col("text")).alias("sha224"))
 
 
-_TITLED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE split_part(text, chr(10), 1) END AS title,
-    CASE doc_id % 3 WHEN 0 THEN '' ELSE text END AS abstract FROM documents"""
+_TITLED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE split_part(text, chr(10), 1) END AS title, text AS abstract FROM documents
+    UNION ALL SELECT -1 - doc_id, text, '' FROM documents WHERE doc_id % 3 = 0"""
 
 
 def titled(spark, sf):
+    """All texts as abstracts, with title or without; and every third text as a title without an abstract."""
+    docs = docs_of(spark, sf)
     title = F.when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 > 1, F.substring_index("text", "\n", 1))
-    return docs_of(spark, sf).select("doc_id", title.alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("abstract"))
+    alone = docs.where("doc_id % 3 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.col("text").alias("title"), F.lit("").alias("abstract"))
+    return docs.select("doc_id", title.alias("title"), F.col("text").alias("abstract")).unionByName(alone)
 
 
 @query(
@@ -165,7 +183,25 @@ def segment_chunks(spark, sf):
     return segment.chunks(words_of(spark, sf)).select("doc_id", "chunk", F.size("words").alias("n_words"), F.col("words")[0].alias("first_word"))
 
 
-@query()
+#: Sentences (doc_id, sent_idx, start, n_chars, whether not blank) and characters (with part, s, piece, r: number of the token in
+#: the sentence) of documents d (doc_id, title, abstract).
+_SENTENCES = """p AS (SELECT doc_id, 0 AS part, 0 AS base, title AS t, len(regexp_extract_all(title, '[0-9a-zA-Z]+|[^0-9a-zA-Z ]')) < 50 AS whole FROM d WHERE title <> ''
+    UNION ALL SELECT doc_id, 1, coalesce(length(title), 0), CASE WHEN title IS NULL THEN abstract ELSE ' ' || abstract END, false FROM d WHERE abstract <> ''),
+    c AS (SELECT doc_id, part, base, whole, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM p),
+    l AS (SELECT *, lag(ch) OVER w AS b, lead(ch) OVER w AS n, regexp_matches(ch, '[0-9a-zA-Z]') AS a FROM c WINDOW w AS (PARTITION BY doc_id, part ORDER BY i)),
+    s0 AS (SELECT *, sum(CASE WHEN whole THEN 0 WHEN b IN ('?', '!') AND n IS NOT NULL THEN 1 WHEN b = '.' AND ch = ' ' AND regexp_matches(n, '[A-Z"''-]') THEN 1
+    ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY i) AS s FROM l),
+    t0 AS (SELECT *, NOT (a AND coalesce(lag(a) OVER (PARTITION BY doc_id, part, s ORDER BY i), false)) AS f FROM s0),
+    r0 AS (SELECT *, sum(f::int) OVER (PARTITION BY doc_id, part, s ORDER BY i) - 1 AS r, sum((f AND ch <> ' ')::int) OVER (PARTITION BY doc_id, part, s) AS nw FROM t0),
+    k0 AS (SELECT doc_id, part, s, r // 200 AS blk, nw - sum((f AND ch <> ' ')::int) OVER (PARTITION BY doc_id, part, s ORDER BY r // 200) AS rest FROM r0
+    WHERE nw > 100 AND NOT whole),
+    k AS (SELECT doc_id, part, s, min(blk) AS last FROM k0 WHERE rest < 100 GROUP BY doc_id, part, s),
+    q AS (SELECT r0.*, CASE WHEN last IS NULL THEN 0 ELSE least(r // 200, last + 1) END AS piece FROM r0 LEFT JOIN k USING (doc_id, part, s)),
+    x AS (SELECT doc_id, part, s, piece, min(base + i - 1) AS "start", count(*) AS n_chars, bool_or(ch <> ' ') AS filled FROM q GROUP BY ALL),
+    sent AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, s, piece) - 1 AS sent_idx FROM x)"""
+
+
+@query(f"""WITH d AS ({_TITLED}), {_SENTENCES} SELECT doc_id, sent_idx::int AS sent_idx, "start"::int AS "start", n_chars::int AS n_chars FROM sent WHERE filled""")
 def segment_sentences(spark, sf):
     return segment.sentences(titled(spark, sf)).select("doc_id", "sent_idx", "start", F.length("text").alias("n_chars"))
 
@@ -203,12 +239,17 @@ def tag_labels(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT vec_id, unnest(embedding[1:7])::double AS x FROM embeddings) SELECT vec_id, round(1 / sum(exp(x - m)), 5) AS p FROM
-    (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m FROM a) GROUP BY vec_id"""
+    """WITH a AS (SELECT vec_id, unnest(range(len(embedding) // 7)) AS word_idx, embedding FROM embeddings),
+    b AS (SELECT vec_id, word_idx, unnest(embedding[word_idx * 7 + 1:word_idx * 7 + 7])::double AS x FROM a)
+    SELECT vec_id, word_idx::int AS word_idx, round(1 / sum(exp(x - m)), 5) AS p FROM
+    (SELECT *, max(x) OVER (PARTITION BY vec_id, word_idx) AS m FROM b) GROUP BY vec_id, word_idx"""
 )
 def tag_confidence(spark, sf):
-    rows = read(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("log_probs"))
-    return rows.select("vec_id", F.round(tagging.confidence(), 5).alias("p"))
+    """Every vector as the class scores of words, seven classes each."""
+    n = F.floor(F.size("embedding") / plugins.CLASSES).cast("int")
+    rows = read(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), n - 1)).alias("word_idx"))
+    rows = rows.select("vec_id", "word_idx", F.slice("embedding", F.col("word_idx") * plugins.CLASSES + 1, plugins.CLASSES).alias("log_probs"))
+    return rows.select("vec_id", "word_idx", F.round(tagging.confidence(), 5).alias("p"))
 
 
 @query("SELECT p_partkey AS doc_id, p_name AS word, 'B' AS tag, p_size / 100 AS p FROM part")
@@ -220,18 +261,19 @@ def tag_detokenize(spark, sf):
     return tagging.detokenize(rows).select("doc_id", "word", "tag", "p")
 
 
-# ---- entities by formula: eight a document, two of them on each span ----
+# ---- entities by formula: two for every hundred characters of a text, on the same span ----
 
 _TYPES = "['gene', 'drug', 'disease', 'species', 'mutation']"
-_ENTITIES = f"""o AS (SELECT doc_id, text, unnest(range(8)) AS o FROM documents),
-    ent AS (SELECT doc_id, {_TYPES}[1 + (doc_id + o) % 5] AS etype, o::int AS ordinal, (10 * (o // 2) + doc_id % 3)::int AS "start",
-    (10 * (o // 2) + doc_id % 3 + 5)::int AS "end", substr(text, (10 * (o // 2) + doc_id % 3 + 1)::bigint, 5) AS mention, ((doc_id * 13 + o * 7) % 4) / 10 AS score,
+_ENTITIES = f"""o AS (SELECT doc_id, text, unnest(range(2 * ((length(text) + 92) // 100))) AS o FROM documents),
+    ent AS (SELECT doc_id, {_TYPES}[1 + (doc_id + o) % 5] AS etype, o::int AS ordinal, (100 * (o // 2) + doc_id % 3)::int AS "start",
+    (100 * (o // 2) + doc_id % 3 + 5)::int AS "end", substr(text, (100 * (o // 2) + doc_id % 3 + 1)::bigint, 5) AS mention, ((doc_id * 13 + o * 7) % 4) / 10 AS score,
     CASE WHEN (doc_id * 7 + o) % 3 = 0 THEN 'CUI-less' ELSE ((doc_id * 31 + o) % 97)::varchar END AS oid FROM o)"""
 
 
 def entities_of(spark, sf):
-    rows = docs_of(spark, sf).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    start = (F.floor(F.col("o") / 2) * 10 + F.col("doc_id") % 3).cast("int")
+    n = 2 * F.floor((F.length("text") + 92) / 100).cast("int")
+    rows = docs_of(spark, sf).where("length(text) >= 8").withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
+    start = (F.floor(F.col("o") / 2) * 100 + F.col("doc_id") % 3).cast("int")
     types = F.array(*map(F.lit, ("gene", "drug", "disease", "species", "mutation")))
     oid = F.when((F.col("doc_id") * 7 + F.col("o")) % 3 == 0, dic.UNKNOWN).otherwise(((F.col("doc_id") * 31 + F.col("o")) % 97).cast("string"))
     return rows.select(
@@ -312,14 +354,22 @@ def gold_comparison(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT doc_id, text, substr(text, 1, 2) AS mention, unnest(range(3)) AS o FROM documents WHERE length(text) > 1),
-    b AS (SELECT *, list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = mention) AS places FROM a)
-    SELECT doc_id, mention, o::int AS ordinal, (places[o + 1] - 1)::int AS "start", CASE WHEN places[o + 1] IS NULL THEN 'mention not in text' END AS error FROM b"""
+    """WITH a AS (SELECT doc_id, text, unnest([1, 2, 3]) AS q FROM documents WHERE length(text) > 11),
+    b AS (SELECT doc_id, text, CASE q WHEN 3 THEN 'No text here' ELSE substr(text, 1 + length(text) * q // 3, 3) END AS mention, q FROM a),
+    c AS (SELECT *, strpos(text, mention) AS p1 FROM b), d AS (SELECT *, strpos(substr(text, p1 + 1), mention) AS p2 FROM c),
+    e AS (SELECT *, CASE WHEN p2 > 0 THEN strpos(substr(text, p1 + p2 + 1), mention) ELSE 0 END AS p3 FROM d),
+    f AS (SELECT *, unnest([0, 1, 2]) AS k FROM e WHERE q < 3)
+    SELECT doc_id, mention, (q * 3 + k)::int AS ordinal, CASE k WHEN 0 THEN p1 - 1 WHEN 1 THEN CASE WHEN p2 > 0 THEN p1 + p2 - 1 END
+    ELSE CASE WHEN p3 > 0 THEN p1 + p2 + p3 - 1 END END::int AS "start", CASE WHEN (k = 1 AND p2 = 0) OR (k = 2 AND p3 = 0) THEN 'mention not in text' END AS error FROM f
+    WHERE q = 1 OR mention <> substr(text, 1 + length(text) // 3, 3)"""
 )
 def reanchor_mentions(spark, sf):
-    docs = docs_of(spark, sf).where(F.length("text") > 1)
-    m = docs.select("doc_id", F.substring("text", 1, 2).alias("mention"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ordinal"))
-    m = m.withColumn("start", F.col("ordinal") * 7).withColumn("end", F.col("start") + 2)
+    """Three annotations of each of two mentions from within a text, and one that is dropped."""
+    docs = docs_of(spark, sf).where(F.length("text") > 11)
+    at = lambda q: F.substring("text", 1 + F.floor(F.length("text") * q / 3).cast("int"), F.lit(3))
+    own = F.when((F.col("o") < 6), at(1)).when(F.col("o") < 9, at(2)).otherwise("No text here")
+    m = docs.withColumn("o", F.explode(F.sequence(F.lit(3), F.lit(9)))).select("doc_id", own.alias("mention"), F.col("o").alias("ordinal"), (at(1) == at(2)).alias("same"))
+    m = m.where("NOT same OR ordinal NOT BETWEEN 6 AND 8").withColumn("start", F.col("ordinal") * 7).withColumn("end", F.col("start") + 2)
     return spans.reanchor(m, docs.withColumnRenamed("text", "content")).select("doc_id", "mention", "ordinal", "start", "error")
 
 
@@ -380,18 +430,22 @@ def species_lookup(spark, sf):
 
 
 @query(
-    f"""WITH {_NAMES}, m AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '-x' ELSE 'none' END AS gid, p_name || ' gene' AS mention FROM part)
-    SELECT doc_id, gid, mention, CASE WHEN o = '201' THEN 'merged' ELSE o END AS oid FROM
-    (SELECT doc_id, gid, mention, coalesce(CASE WHEN doc_id % 4 = 0 THEN 'g' || doc_id END, oid, 'CUI-less') AS o FROM m LEFT JOIN dict ON name = replace(mention, ' gene', ''))"""
+    f"""WITH {_NAMES}, m AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '-x' ELSE 'none' END AS gid,
+    CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END || ' gene' AS mention FROM part),
+    often AS (SELECT p_type AS name, max('f' || p_size) AS oid FROM part GROUP BY p_type)
+    SELECT doc_id, gid, mention, CASE WHEN o = '201' THEN 'merged' ELSE o END AS oid FROM (SELECT doc_id, gid, mention,
+    coalesce(CASE WHEN doc_id % 4 = 0 THEN 'g' || doc_id END, dict.oid, often.oid, 'CUI-less') AS o FROM m LEFT JOIN dict ON dict.name = replace(mention, ' gene', '')
+    LEFT JOIN often ON often.name = replace(mention, ' gene', ''))"""
 )
 def gene_lookup(spark, sf):
     part = read(spark, sf, "part")
     key = F.col("p_partkey")
-    m = part.select(key.alias("doc_id"), F.when(key % 2 == 0, F.concat(key.cast("string"), F.lit("-x"))).otherwise("none").alias("gid"), F.concat("p_name", F.lit(" gene")).alias("mention"))
+    mention = F.concat(F.when(key % 3 == 0, F.col("p_type")).otherwise(F.col("p_name")), F.lit(" gene"))
+    m = part.select(key.alias("doc_id"), F.when(key % 2 == 0, F.concat(key.cast("string"), F.lit("-x"))).otherwise("none").alias("gid"), mention.alias("mention"))
     by_gid = part.where(key % 4 == 0).select(key.cast("string").alias("name"), F.concat(F.lit("g"), key.cast("string")).alias("oid"))
-    names = dic.parse_names(lines_of(spark, sf))
+    often = part.groupBy(F.col("p_type").alias("name")).agg(F.max(F.concat(F.lit("f"), F.col("p_size").cast("string"))).alias("oid"))
     merged = spark.range(1).select(F.lit("201").alias("name"), F.lit("merged").alias("oid"))
-    return dic.lookup_gene(m, by_gid, names, names.limit(0), merged)
+    return dic.lookup_gene(m, by_gid, dic.parse_names(lines_of(spark, sf)), often, merged)
 
 
 @query(
@@ -405,6 +459,24 @@ def disease_ids(spark, sf):
     return dic.full_ids(m, dic.parse_table(ext), "p").select("doc_id", "oid", F.array_join("ids", ",").alias("ids"))
 
 
+@query(
+    f"""WITH {_NAMES}, k AS (SELECT translate(lower(name), ' #-', '') AS key, arg_max(oid, line_no * 2 + pos) AS oid FROM n GROUP BY 1),
+    m AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 0 THEN 'zz' ELSE p_name END AS mention FROM part)
+    SELECT doc_id, mention, CASE WHEN oid IS NULL THEN 'CUI-less' WHEN oid::bigint // 100 % 3 = 0 THEN 'E:' || oid || ',F:' || oid || ',ID:' || oid ELSE 'ID:' || oid END AS ids
+    FROM m LEFT JOIN k ON key = translate(lower(mention), ' #-', '')"""
+)
+def drug_ids(spark, sf):
+    """Drug mentions by their normalizer, external ids first."""
+    part = read(spark, sf, "part")
+    key = F.col("p_partkey")
+    m = part.select(key.alias("doc_id"), F.lit("drug").alias("etype"), F.lit(0).alias("ordinal"), F.when(key % 4 == 0, "zz").otherwise(F.col("p_name")).alias("mention"))
+    own = (key * 100 + 1).cast("string")
+    table = part.where(key % 3 == 0).select(key.alias("line_no"), F.concat(own, F.lit("\tE:"), own, F.lit(",F:"), own).alias("value"))
+    names = dic.parse_names(lines_of(spark, sf), T.drug_key(F.col("name")))
+    found = dic.drug_normalizer(names, dic.parse_table(table), "ID:")(m)
+    return found.select("doc_id", "mention", F.array_join("ids", ",").alias("ids"))
+
+
 # ---- patterns ----
 
 
@@ -416,60 +488,169 @@ def mirna_tags(spark, sf):
     return patterns.tag_mirna(docs_of(spark, sf).select("doc_id", F.concat("text", F.lit(" miR-"), rest, F.lit("a ")).alias("content")))
 
 
+_MIRNA = """CASE doc_id % 3 WHEN 0 THEN 'hsa-mir-' WHEN 1 THEN 'mmu-' ELSE 'miR-' END || (doc_id % 40) || 'A-3p'"""
+
+
+def mirna_lines(spark):
+    """Sixty names, hsa and mmu in turn, of which every third has an accession."""
+    name = "concat(if(id % 2 = 0, 'mmu', 'hsa'), '-mir-', id div 2, 'a')"
+    return spark.range(60).select(F.col("id").alias("line_no"), F.expr(f"concat(if(id % 2 = 0, '1', '2'), id div 2, '\t', {name}, '\t', if(id % 3 = 0, concat('MI', id), ''))").alias("value"))
+
+
 @query(
-    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'hsa-mir-' WHEN 1 THEN 'mmu-mir-' ELSE 'miR-' END || (doc_id % 40) || 'A-3p' AS mention,
-    CASE WHEN doc_id % 40 >= 30 THEN '' WHEN doc_id % 3 = 1 THEN 'M' || (doc_id % 40) ELSE 'H' || (doc_id % 40) END AS oid FROM documents"""
+    f"""WITH a AS (SELECT doc_id, text, {_MIRNA} AS mention, doc_id % 40 AS n FROM documents),
+    b AS (SELECT *, CASE WHEN n >= 30 THEN '' WHEN doc_id % 3 = 1 THEN '1' || n ELSE '2' || n END AS oid, n * 2 + (doc_id % 3 <> 1)::int AS id FROM a)
+    SELECT doc_id, 0 AS ordinal, (length(text) + 1)::int AS "start", (length(text) + 1 + length(mention))::int AS "end", mention,
+    CASE WHEN n < 30 AND id % 3 = 0 THEN 'miRBase:MI' || id || ',' ELSE '' END || 'ID:' || oid AS ids FROM b"""
 )
 def mirna_ids(spark, sf):
+    """A name behind every text, found and normalised, its accession first."""
     rest = F.col("doc_id") % 3
-    begin = F.when(rest == 0, "hsa-mir-").when(rest == 1, "mmu-mir-").otherwise("miR-")
-    m = docs_of(spark, sf).select("doc_id", F.lit(0).alias("ordinal"), F.concat(begin, (F.col("doc_id") % 40).cast("string"), F.lit("A-3p")).alias("mention"))
-    ids = spark.range(60).select(
-        F.expr("concat(if(id % 2 = 0, 'mmu', 'hsa'), '-mir-', id div 2, 'a')").alias("name"), F.expr("concat(id div 2, 'a')").alias("code"),
-        F.expr("concat(if(id % 2 = 0, 'M', 'H'), id div 2)").alias("oid"), F.col("id").alias("dict_order"),
-    )
-    return patterns.normalize_mirna(m, ids).select("doc_id", "mention", "oid")
+    begin = F.when(rest == 0, "hsa-mir-").when(rest == 1, "mmu-").otherwise("miR-")
+    mention = F.concat(F.lit(" "), begin, (F.col("doc_id") % 40).cast("string"), F.lit("A-3p"))
+    docs = docs_of(spark, sf).select("doc_id", F.concat("text", mention).alias("content"))
+    return patterns.mirna_tagger(dic.parse_mirna(mirna_lines(spark)))(docs).withColumn("ids", F.array_join("ids", ","))
+
+
+_PATHWAYS = [(0, "7\tHIF-1 signaling\tKEGG:1"), (1, "8\tWnt pathway"), (2, "9\tsignaling"), (3, "9\tWnt pathway"), (4, "x")]
 
 
 @query(
-    """SELECT doc_id, (length(text) + 1)::int AS "start", (length(text) + 24)::int AS "end", 'HIF-1 signaling pathway' AS name FROM documents
-    UNION ALL SELECT doc_id, (length(text) + 26)::int, (length(text) + 37)::int, 'Wnt pathway' FROM documents"""
+    """SELECT doc_id, 0 AS ordinal, (length(text) + 1)::int AS "start", (length(text) + 24)::int AS "end", 'HIF-1 signaling pathway' AS mention, 'KEGG:1,ID:7' AS ids
+    FROM documents UNION ALL SELECT doc_id, 1, (length(text) + 26)::int, (length(text) + 37)::int, 'Wnt pathway', 'ID:8' FROM documents"""
 )
 def pathway_tags(spark, sf):
     docs = docs_of(spark, sf).select("doc_id", F.concat("text", F.lit(" HIF-1 signaling pathway aWnt pathway")).alias("content"))
-    lines = spark.createDataFrame([(0, "7\tHIF-1 signaling\tKEGG:1"), (1, "8\tWnt pathway"), (2, "9\tsignaling"), (3, "9\tWnt pathway"), (4, "x")], "line_no int, value string")
-    return patterns.tag_names(docs, dic.parse_pathways(lines))
+    names = dic.parse_pathways(spark.createDataFrame(_PATHWAYS, "line_no int, value string"))
+    return patterns.pathway_tagger(names)(docs).withColumn("ids", F.array_join("ids", ","))
 
 
 # ---- sources ----
 
-_BLOCK_SQL = """SELECT doc_id::varchar AS doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE replace(substr(text, 1, 40), chr(10), ' ') END AS abstract,
-    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1 END::bigint AS n_annotations, CASE WHEN doc_id % 7 = 0 THEN 'bad annotation line' END AS error FROM documents"""
+_FLAT = "translate(text, chr(10) || chr(13) || chr(9), '   ')"
+
 
+def flat_text():
+    """Whole texts on one line."""
+    return F.translate("text", "\n\r\t", "   ")
 
-@query(_BLOCK_SQL)
+
+@query(
+    f"""SELECT doc_id::varchar AS doc_id, 'T' || doc_id AS title, md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_FLAT} END) AS abstract_md5,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1 END::bigint AS n_annotations, CASE WHEN doc_id % 7 = 0 THEN 'bad annotation line' END AS error FROM documents"""
+)
 def pubtator_scan(spark, sf):
+    """Blocks of whole texts; every fifth says that it has no abstract behind a title line of the whole text."""
     d, nl, tab = F.col("doc_id").cast("string"), F.lit("\n"), F.lit("\t")
-    abstract = F.when(F.col("doc_id") % 5 == 0, "-NoAbstract-").otherwise(F.translate(F.substring("text", 1, 40), "\n", " "))
+    abstract = F.when(F.col("doc_id") % 5 == 0, "-NoAbstract-").otherwise(flat_text())
     one = lambda kind: F.concat_ws("\t", d, F.lit("0"), F.lit("2"), F.lit("ab"), F.lit(kind), F.lit("x"))
     last = F.when(F.col("doc_id") % 7 == 0, "bad\trow").otherwise(one("Species"))
     block = F.concat(d, F.lit("|t|T"), d, nl, d, F.lit("|a|"), abstract, nl, one("SNP"), nl, last)
     docs = parsers.pubtator(docs_of(spark, sf).select(block.alias("value")), parsers.ALLOWED, check_ids=True)
-    return docs.select("doc_id", "title", "abstract", F.when(F.col("annotations").isNotNull(), F.size("annotations").cast("long")).alias("n_annotations"), "error")
+    n = F.when(F.col("annotations").isNotNull(), F.size("annotations").cast("long"))
+    return docs.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), n.alias("n_annotations"), "error")
+
+
+@query(
+    f"""SELECT doc_id::varchar AS doc_id, md5('T' || doc_id || ' ' || {_FLAT}) AS text_md5, 'Gene:1,2:0:' || length(text) || ';Species:x:1:' || (length(text) + 1) AS spans FROM documents"""
+)
+def pubtator_annotations(spark, sf):
+    """Annotation objects of blocks whose spans reach over the whole text."""
+    d, nl, n = F.col("doc_id").cast("string"), F.lit("\n"), F.length("text")
+    one = lambda kind, ids, a: F.concat_ws("\t", d, F.lit(str(a)), (n + a).cast("string"), F.lit("m"), F.lit(kind), F.lit(ids))
+    block = F.concat(d, F.lit("|t|T"), d, nl, d, F.lit("|a|"), flat_text(), nl, one("Gene", "1|2", 0), nl, one("Species", "x", 1))
+    made = parsers.annotation_objects(parsers.pubtator(docs_of(spark, sf).select(block.alias("value"))))
+    shown = F.transform("denotations", lambda x: F.concat_ws(":", x["obj"], F.array_join(x["id"], ","), x["span"]["begin"].cast("string"), x["span"]["end"].cast("string")))
+    return made.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(shown, ";").alias("spans"))
+
+
+def as_xml(text):
+    """Text as XML content; characters that XML forbids are left out."""
+    legal = F.regexp_replace(text, r"[^\t\n\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+    return F.replace(F.replace(F.replace(legal, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
 
+_LEGAL = r"regexp_replace({}, '[^\t\n\x{{20}}-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}\x{{10000}}-\x{{10FFFF}}]', '', 'g')"
 
-@query("SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, CASE WHEN page_id % 3 > 0 THEN 'one two ' || page_id END AS abstract FROM pages")
+
+@query(
+    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, CASE WHEN page_id % 3 > 0 THEN md5('one two ' || {_LEGAL.format('html')}) END AS abstract_md5
+    FROM pages"""
+)
 def pubmed_scan(spark, sf):
+    """Articles, every other one a book, whose second abstract part is a whole page."""
+    p = F.col("page_id").cast("string")
+    body = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<Abstract><AbstractText>one two</AbstractText><AbstractText>"), as_xml("html"), F.lit("</AbstractText><CopyrightInformation>c</CopyrightInformation></Abstract>"))).otherwise("")
+    tag = F.when(F.col("page_id") % 2 == 0, "ArticleTitle").otherwise("BookTitle")
+    xml = F.concat(F.lit("<A><PMID>"), p, F.lit("</PMID><"), tag, F.lit(">Title "), p, F.lit("</"), tag, F.lit(">"), body, F.lit("</A>"))
+    return parsers.pubmed(read(spark, sf, "pages").select(xml.alias("xml"))).select("doc_id", "title", F.md5("abstract").alias("abstract_md5"))
+
+
+@query(
+    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5(url || ' second') AS abstract_md5, md5({_LEGAL.format('html')} || ' part two ' || page_id) AS body_md5 FROM pages"""
+)
+def pmc_scan(spark, sf):
+    """Full texts with sections in sections, whose first paragraph is a whole page."""
+    p = F.col("page_id").cast("string")
+    head = F.concat(F.lit("<article><front><article-id pub-id-type='pmid'>0</article-id><article-id pub-id-type='pmc'>"), p, F.lit("</article-id><article-title>Title "), p, F.lit("</article-title>"))
+    abstract = F.concat(F.lit("<abstract><p>"), as_xml("url"), F.lit("</p><sec><p>second</p></sec></abstract></front>"))
+    body = F.concat(F.lit("<body><sec><title>no</title><p>"), as_xml("html"), F.lit("</p><sec><p>part two</p></sec></sec><p>"), p, F.lit("</p></body></article>"))
+    found = parsers.pmc(read(spark, sf, "pages").select(F.concat(head, abstract, body).alias("xml")))
+    return found.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), F.md5("body").alias("body_md5"))
+
+
+@query(
+    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5({_LEGAL.format('html')}) AS abstract_md5, (page_id % 3 > 0)::int AS n_annotations,
+    CASE WHEN page_id % 3 > 0 THEN 'c.' || page_id || 'A>G:SNP:' || page_id || ':5:9' END AS first FROM pages"""
+)
+def bioc_scan(spark, sf):
+    """Responses of one document each; where resolving its references breaks the XML, it is read as it came."""
     p = F.col("page_id").cast("string")
-    body = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<Abstract><AbstractText>one two</AbstractText><AbstractText>"), p, F.lit("</AbstractText><CopyrightInformation>c</CopyrightInformation></Abstract>"))).otherwise("")
-    xml = F.concat(F.lit("<A><PMID>"), p, F.lit("</PMID><ArticleTitle>Title "), p, F.lit("</ArticleTitle>"), body, F.lit("</A>"))
-    return parsers.pubmed(read(spark, sf, "pages").select(xml.alias("xml")))
+    passage = lambda kind, text: F.concat(F.lit(f"<passage><infon key='type'>{kind}</infon><offset>0</offset><text>"), text, F.lit("</text>"))
+    note = lambda kind: F.concat(F.lit("<annotation><infon key='identifier'>"), p, F.lit(f"</infon><infon key='type'>{kind}</infon><location offset='5' length='4'/><text>c."), p, F.lit("A&gt;G</text></annotation>"))
+    notes = F.when(F.col("page_id") % 3 > 0, F.concat(note("SNP"), note("Gene"))).otherwise("")
+    body = F.concat(passage("abstract", F.lit("old")), F.lit("</passage>"), passage("title", F.concat(F.lit("Title "), p)), F.lit("</passage>"), passage("abstract", as_xml("html")), notes, F.lit("</passage>"))
+    xml = F.concat(F.lit("<collection><document><id>"), p, F.lit("</id>"), body, F.lit("</document></collection>"))
+    docs = parsers.bioc_documents(parsers.bioc_texts(read(spark, sf, "pages").select(xml.alias("value"))))
+    x = F.get("annotations", F.lit(0))
+    first = F.concat_ws(":", x["mention"], x["type"], x["id"], x["start"].cast("string"), x["end"].cast("string"))
+    return docs.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), F.size("annotations").alias("n_annotations"), F.when(x.isNotNull(), first).alias("first"))
+
+
+@query(
+    f"""SELECT doc_id::varchar AS doc_id, 'T' || doc_id AS title, md5(translate(replace(text, chr(13) || ' ', ' '), {_chr(T.TO_SPACE + ''.join(T.TO_OTHER))},
+    '{' ' * len(T.TO_SPACE)}Η°') || ' .') AS abstract_md5 FROM documents"""
+)
+def json_lines_scan(spark, sf):
+    """Documents as JSON lines, read back and cleaned."""
+    d = F.col("doc_id").cast("string")
+    line = F.to_json(F.struct(d.alias("pmid"), F.concat(F.lit("T"), d).alias("title"), F.concat("text", F.lit("\u2009.")).alias("abstract")))
+    return parsers.json_documents(docs_of(spark, sf).select(line.alias("value"))).select("doc_id", "title", F.md5("abstract").alias("abstract_md5"))
+
+
+@query("""SELECT doc_id::varchar AS doc_id, md5(text) AS text_md5, 'SNP:' || doc_id || ':' || length(text) AS spans FROM documents""")
+def tool_json_scan(spark, sf):
+    d, n = F.col("doc_id").cast("string"), F.length("text")
+    span = F.struct(F.col("doc_id").cast("int").alias("begin"), n.alias("end"))
+    whole = F.struct(d.alias("sourceid"), "text", F.array(F.struct(F.lit("Mutation:SNP").alias("obj"), span.alias("span"))).alias("denotations"))
+    found = parsers.tool_json(docs_of(spark, sf).select(F.to_json(whole).alias("value")))
+    one = F.transform("spans", lambda x: F.concat_ws(":", x["obj"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(one, ";").alias("spans"))
+
+
+@query("SELECT url AS file FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0 AND url NOT LIKE '% %' GROUP BY url, page_id")
+def archive_list(spark, sf):
+    """Listed files that are whole lines and not there yet."""
+    pages = read(spark, sf, "pages").where("NOT contains(url, ' ')")
+    line = F.concat(F.lit(" "), "url", F.when(F.col("page_id") % 4 > 0, "\tA journal. 2001\tPMC1 x").otherwise(" short"))
+    there = pages.where("page_id % 5 = 0").select(F.col("url").alias("file"))
+    return parsers.file_list(pages.select(line.alias("value")), there)
 
 
-@query("SELECT item_id AS ord, item_id * 3 AS doc_id, coalesce(replace(substr(d.text, 1, 20), chr(10), ' '), '') AS abstract FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3")
+@query(f"SELECT item_id AS ord, item_id * 3 AS doc_id, coalesce({_FLAT.replace('text', 'd.text')}, '') AS abstract FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3")
 def request_order(spark, sf):
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), (F.col("item_id") * 3).alias("doc_id"))
-    docs = docs_of(spark, sf).select("doc_id", F.lit("").alias("title"), F.translate(F.substring("text", 1, 20), "\n", " ").alias("abstract"))
+    docs = docs_of(spark, sf).select("doc_id", F.lit("").alias("title"), flat_text().alias("abstract"))
     return parsers.in_request_order(asked, docs).select("ord", "doc_id", "abstract")
 
 
@@ -487,22 +668,65 @@ def request_batches(spark, sf):
 
 
 @query(
-    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, '{{"id":["' || oid || '"],"obj":"' || etype || '","span":{{"begin":' || "start" || ',"end":' || "end" || '}}}}' AS j, "start", etype, ordinal FROM ent)
-    SELECT doc_id, '{{"project":"p","sourcedb":"PubMed","sourceid":"' || doc_id || '","text":"T","denotations":[' || string_agg(j, ',' ORDER BY "start", etype, ordinal) || ']}}' AS json FROM a GROUP BY doc_id"""
+    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, '{{"id":["' || oid || '"],"span":{{"begin":' || "start" || ',"end":' || "end" || '}},"obj":"' || etype || '"' ||
+    CASE WHEN etype = 'mutation' THEN ',"mutationType":"SNP","normalizedName":"n' || ordinal || '"' ELSE '' END || '}}' AS j, "start", etype, ordinal FROM ent),
+    b AS (SELECT doc_id, string_agg(j, ',' ORDER BY "start", etype, ordinal) AS js FROM a GROUP BY doc_id)
+    SELECT d.doc_id, md5('{{"project":"p","sourcedb":"PubMed","sourceid":"' || d.doc_id || '","text":' || to_json(text)::varchar || ',"denotations":[' || coalesce(js, '') ||
+    '],"timestamp":"Thu Jan 01 00:00:00 +0000 1970","elapsed_time":{{"total":0.5}}}}') AS json_md5 FROM documents d LEFT JOIN b USING (doc_id)"""
 )
 def annotation_json(spark, sf):
     found = entities_of(spark, sf).withColumn("ids", F.array("oid"))
-    return formats.annotation_json(docs_of(spark, sf).select("doc_id", F.lit("T").alias("text")), found, "p")
+    mutation = F.col("etype") == "mutation"
+    found = found.withColumns({"mutation_type": F.when(mutation, "SNP"), "normalized_name": F.when(mutation, F.concat(F.lit("n"), F.col("ordinal").cast("string")))})
+    stamp, elapsed = F.timestamp_seconds(F.lit(0)), F.struct(F.lit(0.5).alias("total"))
+    return formats.annotation_json(docs_of(spark, sf), found, "p", elapsed=elapsed, stamp=stamp).select("doc_id", F.md5("json").alias("json_md5"))
 
 
 @query(
-    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, concat_ws(chr(9), doc_id, "start", "end", 'm', etype, oid || '|p') AS l, "start" AS s, ordinal,
-    list_position(['mutation', 'drug', 'gene', 'disease', 'species'], etype) AS r FROM ent)
-    SELECT doc_id, doc_id || '|t|T' || chr(10) || doc_id || '|a|A' || chr(10) || string_agg(l, chr(10) ORDER BY s, r, ordinal) || chr(10) || chr(10) AS block FROM a GROUP BY doc_id"""
+    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, concat_ws(chr(9), doc_id, "start", "end", mention, etype, oid || '|p') AS l, "start" AS s, ordinal,
+    list_position(['mutation', 'drug', 'gene', 'disease', 'species'], etype) AS r FROM ent),
+    b AS (SELECT doc_id, string_agg(l || chr(10), '' ORDER BY s, r, ordinal) AS ls FROM a GROUP BY doc_id)
+    SELECT d.doc_id, md5(d.doc_id || '|t|T' || chr(10) || d.doc_id || '|a|' || text || chr(10) || coalesce(ls, '') || chr(10)) AS block_md5
+    FROM documents d LEFT JOIN b USING (doc_id)"""
 )
 def annotation_text(spark, sf):
-    found = entities_of(spark, sf).withColumn("mention", F.lit("m")).withColumn("ids", F.array("oid", F.lit("p")))
-    return formats.annotation_text(docs_of(spark, sf).select("doc_id", F.lit("T").alias("title"), F.lit("A").alias("abstract")), found)
+    found = entities_of(spark, sf).withColumn("ids", F.array("oid", F.lit("p")))
+    docs = docs_of(spark, sf).select("doc_id", F.lit("T").alias("title"), F.col("text").alias("abstract"))
+    return formats.annotation_text(docs, found).select("doc_id", F.md5("block").alias("block_md5"))
+
+
+@query(
+    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, etype, '"' || etype || '":[' || string_agg('{{"start":' || "start" || ',"end":' || "end" || '}}', ',' ORDER BY "start", "end") || ']' AS j
+    FROM ent GROUP BY doc_id, etype), b AS (SELECT doc_id, string_agg(j, ',' ORDER BY etype) AS js FROM a GROUP BY doc_id)
+    SELECT d.doc_id, md5('{{"abstract":' || to_json(text)::varchar || coalesce(',"entities":{{' || js || '}}', '') || ',"ner_model":"m1","pmid":"' || d.doc_id || '","title":"T"}}') AS line_md5
+    FROM documents d LEFT JOIN b USING (doc_id)"""
+)
+def ner_json_lines(spark, sf):
+    docs = docs_of(spark, sf).select("doc_id", F.lit("T").alias("title"), F.col("text").alias("abstract"))
+    return formats.ner_lines(docs, entities_of(spark, sf), "m1").select("doc_id", F.md5("value").alias("line_md5"))
+
+
+@query(
+    """SELECT event_id::varchar AS doc_id, md5('{"project":"p","sourcedb":"PubMed","sourceid":"' || event_id || '","text":"error: ' || event_type || '","denotations":[]}') AS json_md5,
+    md5(event_id || '|t|' || chr(10) || event_id || '|a|error: ' || event_type || chr(10) || chr(10)) AS text_md5 FROM events"""
+)
+def error_documents(spark, sf):
+    errors = read(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("message"))
+    a = formats.error_texts(errors, "json", "p").select("doc_id", F.md5("written").alias("json_md5"))
+    return a.join(formats.error_texts(errors, "pubtator").select("doc_id", F.md5("written").alias("text_md5")), "doc_id")
+
+
+@query(
+    """WITH a AS (SELECT event_type AS stage, event_id, value, count(value) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS low, max(value) OVER w AS high FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT n || chr(9) || stage || chr(9) || printf('%.3f', mean) || chr(9) || printf('%.3f', low) || chr(9) || printf('%.3f', high) AS value FROM a WHERE n % 50 = 0"""
+)
+def benchmark_lines(spark, sf):
+    """Statistics so far, a line for every fifty runs of a stage."""
+    runs = read(spark, sf, "events").select("event_id", F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    stats = analytics.log_line_stats(runs, "event_id", 50)
+    shown = stats.withColumns({c: F.format_string("%.3f", c) for c in ("mean", "low", "high")})
+    return formats.stats_lines(shown, ["n", "stage", "mean", "low", "high"])
 
 
 @query("SELECT p_partkey || '||' || p_name AS value FROM part")
@@ -546,18 +770,152 @@ def function_calls(spark, sf):
     return analytics.calls(read(spark, sf, "events"), "event_type", "value").withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
 
 
-# ---- whole plan ----
+@query("SELECT count(*) AS n, 25::bigint AS n_sampled, true AS all_known FROM orders")
+def request_sample(spark, sf):
+    """Twenty-five requests drawn from all orders, counted and looked up."""
+    ids = read(spark, sf, "orders").select("o_orderkey")
+    drawn = analytics.sampled(ids, 25, 2019)
+    known = drawn.join(ids, "o_orderkey", "left_semi").agg(F.count("*").alias("k"))
+    return ids.agg(F.count("*").alias("n")).join(drawn.distinct().agg(F.count("*").alias("n_sampled"))).join(known).select("n", "n_sampled", (F.col("k") == F.col("n_sampled")).alias("all_known"))
+
+
+# ---- subwords ----
+
+
+@query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\t\n\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '[\p{Cc}\p{Cf}\x{FFFD}]', '', 'g') AS t FROM documents)
+    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '([!-/:-@\[-`{-~]|\p{P})', ' \1 ', 'g'), ' +', ' ', 'g'))) AS tokens_md5 FROM a"""
+)
+def subword_basic(spark, sf):
+    """Basic tokens of all texts."""
+    return docs_of(spark, sf).select("doc_id", F.md5(F.array_join(subword.basic(F.col("text")), " ")).alias("tokens_md5"))
+
+
+def subword_vocabulary(words):
+    """The marks, all letters and digits, alone and as continuations, and the first three characters of every word."""
+    marks = [subword.UNKNOWN, subword.FIRST, subword.LAST]
+    signs = [m + c for m in ("", "##") for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    fixed = words.sparkSession.createDataFrame([(t,) for t in ["[PAD]", *marks, *signs]], "token string")
+    heads = words.select(F.substring("word", 1, 3).alias("token")).where("length(token) = 3").distinct()
+    return fixed.unionByName(heads).withColumn("id", F.when(F.col("token") == "[PAD]", 0).otherwise(F.crc32("token") % 28000 + 1).cast("int"))
 
 
 @query()
+def subword_examples(spark, sf):
+    """Padded model inputs of all chunks of all texts, as digests."""
+    words = words_of(spark, sf)
+    made = subword.examples(segment.chunks(words), subword_vocabulary(words.where("word rlike '^[0-9A-Za-z]+$'")))
+    arrays = [F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(c) for c in ("input_ids", "input_mask", "label_ids", "tokens")]
+    return made.select("doc_id", "sent_idx", "chunk", *arrays)
+
+
+# ---- whole plan ----
+
+#: What stands behind the texts: names that the pattern taggers know, and a mutation.
+_END = """CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' miR-' || (doc_id % 300) || 'a' WHEN 2 THEN ' c.' || doc_id || 'A>G miR-' || (doc_id % 300) ||
+    'a in HIF-1 signaling pathway' ELSE ' aWnt pathway c.' || doc_id || 'A>G' END"""
+_CLEANED = _REQUEST.replace("text", f"(text || {_END})")
+_PLAN_DOCS = f"""d AS (SELECT doc_id, NULL::varchar AS title, CASE WHEN regexp_matches(t, '[A-Za-z]') THEN t ELSE '{T.NO_LETTER_TEXT}' END AS abstract FROM
+    (SELECT doc_id, array_to_string(list_transform(string_split({_CLEANED}, ' '), lambda w: substr(w, 1, {T.WORD_CUT})), ' ') AS t FROM documents))"""
+_PLAN_ENTITIES = f"""{_PLAN_DOCS}, {_SENTENCES},
+    tok AS (SELECT doc_id, sent_idx, r, min(base + i - 1) AS st, count(*) AS n, min(ch) AS c FROM q JOIN sent USING (doc_id, part, s, piece) GROUP BY doc_id, sent_idx, r),
+    wd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY st) AS w, CASE WHEN n >= 8 THEN 'B' WHEN n >= 6 THEN 'I' ELSE 'O' END AS tag FROM tok WHERE c <> ' '),
+    gr AS (SELECT *, sum((tag <> 'I')::int) OVER (PARTITION BY doc_id, sent_idx ORDER BY w) AS g FROM wd),
+    e0 AS (SELECT doc_id, sent_idx, g, ['gene', 'drug', 'disease', 'species'][arg_min(n, w) % 4 + 1] AS etype, min(st) AS st, max(st + n) AS en, avg((n % 10) / 10) AS score
+    FROM gr WHERE tag <> 'O' GROUP BY doc_id, sent_idx, g HAVING arg_min(tag, w) = 'B'),
+    e1 AS (SELECT doc_id, etype, st, en, score, substr(abstract, st + 1, en - st) AS mention FROM e0 JOIN d USING (doc_id)),
+    e2 AS (SELECT doc_id, etype, st, en, score, mention, NULL AS kind, NULL AS norm FROM e1 WHERE NOT (etype = 'species' AND mention IN ({', '.join(f"'{w}'" for w in tagging.HUMAN_WORDS)}))
+    UNION ALL SELECT doc_id, 'mutation', strpos(abstract, m) - 1, strpos(abstract, m) - 1 + length(m), NULL, m, 'SNP', 'p.N' || doc_id || ';X:1' FROM
+    (SELECT *, 'c.' || doc_id || 'A>G' AS m FROM d WHERE doc_id % 4 > 1) WHERE strpos(abstract, m) > 0),
+    e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, etype ORDER BY st, en) - 1 AS ordinal FROM e2)"""
+
+
+def plan_documents(spark, sf):
+    d = F.col("doc_id").cast("string")
+    mirna, mutation = F.concat(F.lit("miR-"), (F.col("doc_id") % 300).cast("string"), F.lit("a")), F.concat(F.lit("c."), d, F.lit("A>G"))
+    kind = F.col("doc_id") % 4
+    end = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit(" "), mirna)).when(kind == 2, F.concat(F.lit(" "), mutation, F.lit(" "), mirna, F.lit(" in HIF-1 signaling pathway")))
+    return annotate.documents(docs_of(spark, sf).withColumn("text", F.concat("text", end.otherwise(F.concat(F.lit(" aWnt pathway "), mutation)))))
+
+
+def plan_mutations(spark, sf):
+    """A mutation tagger's rows: one that is in the text, and one that is not."""
+    d = F.col("doc_id").cast("string")
+    one = lambda n, mention: F.struct(F.lit(n).alias("ordinal"), mention.alias("mention"))
+    both = F.array(one(0, F.concat(F.lit("c."), d, F.lit("A>G"))), one(1, F.lit("absent_mutation")))
+    rows = docs_of(spark, sf).where("doc_id % 4 > 1").select("doc_id", F.explode(both).alias("x"))
+    return rows.select("doc_id", "x.*", F.lit(0).alias("start"), F.lit("SNP").alias("type"), F.concat(F.lit("p.N"), d, F.lit(";X:1")).alias("id"))
+
+
+@query(f"""WITH {_PLAN_ENTITIES} SELECT doc_id, etype, ordinal::int AS ordinal, st::int AS "start", en::int AS "end", mention, round(score, 6) AS score FROM e""")
 def annotate_entities(spark, sf):
-    """Entities of the default tagger over all documents."""
-    return annotate.entities(annotate.documents(docs_of(spark, sf))).select("doc_id", "etype", "start", "end", "mention", F.round("score", 6).alias("score"))
+    """Entities of the default tagger and mutations over all documents."""
+    found = annotate.entities(plan_documents(spark, sf), found=plan_mutations(spark, sf))
+    return found.select("doc_id", "etype", "ordinal", "start", "end", "mention", F.round("score", 6).alias("score"))
+
+
+#: Dictionaries of the texts' own long words; ids follow from a word's length and first letter.
+_PLAN_IDS = f"""{_PLAN_ENTITIES},
+    lw AS (SELECT DISTINCT w, length(w) AS n, ascii(w) AS a FROM (SELECT unnest(string_split_regex(lower(abstract), '[^a-z]+')) AS w FROM d) WHERE length(w) >= 8),
+    de AS (SELECT *, lower(translate(mention, ' !"#$%&()*+,-./:;<=>?@[\\]^_`{{|}}~''', '')) AS dk, CASE WHEN length(mention) > 5 AND lower(right(mention, 5)) = ' gene'
+    THEN left(mention, length(mention) - 5) ELSE mention END AS gk FROM e),
+    ids AS (SELECT de.*, CASE etype
+    WHEN 'mutation' THEN [CASE WHEN doc_id % 3 = 0 THEN 'ID:m' || doc_id ELSE 'CUI-less' END]
+    WHEN 'drug' THEN CASE WHEN x.n IS NULL OR x.n % 2 = 1 THEN ['CUI-less'] WHEN (x.n * 100 + x.a) % 3 = 0
+    THEN ['M:' || (x.n * 100 + x.a), 'C:' || (x.n * 100 + x.a), 'ID:' || (x.n * 100 + x.a)] ELSE ['ID:' || (x.n * 100 + x.a)] END
+    WHEN 'disease' THEN CASE WHEN y.n IS NULL OR y.n % 3 > 0 THEN ['CUI-less'] WHEN y.n % 2 = 0 AND y.n < 60 THEN ['D:' || y.n, 'ID:' || y.n, 'ID:' || y.a]
+    ELSE ['ID:' || y.n, 'ID:' || y.a] END
+    WHEN 'species' THEN [CASE WHEN z.n % 2 = 1 THEN 'NCBI:txid' || z.a ELSE 'CUI-less' END]
+    WHEN 'gene' THEN list_concat(CASE WHEN length(mention) = 8 THEN ['HGNC:1', 'E:8'] ELSE [] END, [CASE WHEN length(mention) IN (8, 12, 16) THEN 'ID:G' || length(mention)
+    WHEN v.n % 3 = 1 THEN 'ID:' || CASE WHEN v.n = 10 THEN 'b1' ELSE 'b' || v.n END WHEN v.a % 2 = 0 THEN 'ID:f' || v.a ELSE 'CUI-less' END]) END AS ids
+    FROM de LEFT JOIN lw x ON x.w = dk AND etype = 'drug' LEFT JOIN lw y ON y.w = mention AND etype = 'disease' LEFT JOIN lw z ON z.w = lower(mention) AND etype = 'species'
+    LEFT JOIN lw v ON v.w = gk AND etype = 'gene'),
+    pat AS (SELECT doc_id, abstract, 'miRNA' AS etype, 'miR-' || (doc_id % 300) || 'a' AS m, list_concat(CASE WHEN doc_id % 300 < 30 AND (doc_id % 300 * 2 + 1) % 3 = 0
+    THEN ['miRBase:MI' || (doc_id % 300 * 2 + 1)] ELSE [] END, ['ID:' || CASE WHEN doc_id % 300 < 30 THEN '2' || (doc_id % 300) ELSE '' END]) AS ids FROM d WHERE doc_id % 4 IN (1, 2)
+    UNION ALL SELECT doc_id, abstract, 'pathway', 'HIF-1 signaling pathway', ['KEGG:1', 'ID:7'] FROM d WHERE doc_id % 4 = 2
+    UNION ALL SELECT doc_id, abstract, 'pathway', 'Wnt pathway', ['ID:8'] FROM d WHERE doc_id % 4 = 3),
+    al AS (SELECT doc_id, etype, ordinal, st, en, kind, norm, ids FROM ids UNION ALL SELECT doc_id, etype, 0, length(abstract) - strpos(reverse(abstract), reverse(m)) - length(m) + 1,
+    length(abstract) - strpos(reverse(abstract), reverse(m)) + 1, NULL, NULL, ids FROM pat WHERE doc_id IN (SELECT doc_id FROM e)),
+    js AS (SELECT doc_id, string_agg('{{"id":["' || array_to_string(ids, '","') || '"],"span":{{"begin":' || st || ',"end":' || en || '}},"obj":"' || etype || '"' ||
+    coalesce(',"mutationType":"' || kind || '","normalizedName":"' || norm || '"', '') || '}}', ',' ORDER BY st, etype, ordinal) AS js FROM al GROUP BY doc_id)"""
+
+
+def plan_registry(spark, docs) -> plugins.Registry:
+    words = docs.select(F.explode(F.split(F.lower("abstract"), "[^a-z]+")).alias("name")).where("length(name) >= 8").distinct()
+    words = words.select("name", F.length("name").alias("n"), F.ascii("name").alias("a"))
+    text = lambda c: F.expr(c).cast("string").alias("oid")
+    number = words.select("name", text("n * 100 + a"), "n")
+    drugs = number.where("n % 2 = 0").drop("n")
+    ext = drugs.select("oid").distinct().where("cast(oid AS int) % 3 = 0").select("oid", F.expr("array('M:' || oid, 'C:' || oid)").alias("ext_ids"))
+    diseases = words.where("n % 3 = 0").select("name", text("n || '|' || a"))
+    numbers = spark.range(8, 60, 2).select(F.col("id").cast("string").alias("oid"), F.expr("array('D:' || id)").alias("ext_ids"))
+    species = words.where("n % 2 = 1").select("name", text("a * 100 + n"))
+    gids = spark.createDataFrame([(f"g{n}", f"G{n}") for n in (8, 12, 16)], "name string, oid string")
+    best, often = words.where("n % 3 = 1").select("name", text("'b' || n")), words.where("a % 2 = 0").select("name", text("'f' || a"))
+    merged = spark.createDataFrame([("b10", "b1")], "name string, oid string")
+    gene_table = dic.parse_gene_table(spark.createDataFrame([(0, "g8\tHGNC:HGNC:1|E:8"), (1, "g99\tE:99"), (2, "g12\t")], "line_no int, value string"), gids)
+    linker = lambda m: m.withColumn("gid", F.expr("if(length(mention) % 2 = 0, 'g' || length(mention) || '-x', 'none')"))
+    mutations = docs.where("doc_id % 3 = 0").select(F.expr("'p.N' || doc_id").alias("name"), F.expr("'m' || doc_id").alias("oid"))
+    return plugins.Registry(
+        annotate.gazetteer_tagger,
+        {
+            "drug": dic.drug_normalizer(drugs, ext, "ID:"), "disease": dic.disease_normalizer(diseases, numbers, "ID:"), "species": dic.species_normalizer(species),
+            "gene": dic.gene_normalizer(linker, gids, best, often, merged, gene_table, "ID:"), "mutation": dic.mutation_normalizer(mutations, "ID:"),
+        },
+        {
+            "miRNA": patterns.mirna_tagger(dic.parse_mirna(mirna_lines(spark))),
+            "pathway": patterns.pathway_tagger(dic.parse_pathways(spark.createDataFrame(_PATHWAYS, "line_no int, value string"))),
+        },
+    )
 
 
-@query()
+@query(
+    f"""WITH {_PLAN_IDS} SELECT doc_id, md5('{{"project":"lexiloom","sourcedb":"","sourceid":"' || doc_id || '","text":' || to_json(abstract)::varchar || ',"denotations":[' ||
+    coalesce(js, '') || ']}}') AS json_md5, coalesce(len(js), 0) AS denotation_chars FROM d LEFT JOIN js USING (doc_id)"""
+)
 def annotate_documents(spark, sf):
-    """Annotation JSON of all documents, ids from a dictionary of their own long words."""
-    docs = annotate.documents(docs_of(spark, sf))
-    words = docs.select(F.explode(F.split(F.lower("abstract"), "[^a-z]+")).alias("name")).where("length(name) >= 8").distinct()
-    return annotate.annotate(docs, words.select("name", F.crc32(F.col("name").cast("binary")).cast("string").alias("oid")), ["the", "and"])
+    """Annotation JSON of all documents: tagger, mutations, ids by type, miRNA and pathway names."""
+    docs = plan_documents(spark, sf)
+    made = annotate.annotate(docs, plan_registry(spark, docs), plan_mutations(spark, sf))
+    inner = F.regexp_extract("json", '"denotations":\\[(.*)\\]}$', 1)
+    return made.select("doc_id", F.md5("json").alias("json_md5"), F.length(inner).cast("long").alias("denotation_chars"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
+from lexiloom.operators.ordering import RANGE_ROWS, numbered
+
 ALLOWED = ("ProteinMutation", "DNAMutation", "SNP")
 NO_TEXT = ("- No text -", "-NoAbstract-")
 BIOC_SCHEMA = """id string, passage array<struct<infon: array<struct<_key: string, _VALUE: string>>, offset: int, text: string,
@@ -73,15 +76,29 @@ def bioc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "document").schema(BIOC_SCHEMA).load(path)
 
 
+def bioc_texts(responses: DataFrame) -> DataFrame:
+    """BioC documents of whole responses (column value), character references resolved first; where that breaks the XML, the
+    response is read as it came.  Responses that cannot be read either way give no documents.
+    """
+    schema = f"document array<struct<{BIOC_SCHEMA.replace('id string', 'id: string', 1).replace('passage array', 'passage: array', 1)}>>, broken string"
+    options = {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
+    both = responses.withColumn("plain", T.html_unescape("value"))
+    read = both.select(F.from_xml("plain", schema, options).alias("a"), F.from_xml("value", schema, options).alias("b"))
+    good = F.when(F.col("a.broken").isNull() & F.col("a.document").isNotNull(), F.col("a.document")).otherwise(F.col("b.document"))
+    return read.select(F.explode(good).alias("d")).select("d.*")
+
+
 def bioc_documents(raw: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """doc_id, title, abstract, annotations of BioC rows; the last text of a passage type wins."""
-    kind = lambda p: F.element_at(F.filter(p["infon"], lambda i: i["_key"] == "type"), 1)["_VALUE"]
-    last = lambda name: F.coalesce(F.element_at(F.filter("passage", lambda p: kind(p) == name), -1)["text"], F.lit(""))
-    notes = F.flatten(F.transform("passage", lambda p: F.coalesce(p["annotation"], F.array())))
+    kind = lambda p: F.get(F.filter(p["infon"], lambda i: i["_key"] == "type"), F.lit(0))["_VALUE"]
+    passages = F.coalesce("passage", F.array().cast(raw.schema["passage"].dataType))
+    last = lambda name: F.coalesce(F.try_element_at(F.filter(passages, lambda p: kind(p) == name), F.lit(-1))["text"], F.lit(""))
+    notes = F.flatten(F.transform(passages, lambda p: F.coalesce(p["annotation"], F.array())))
     kept = F.filter(notes, lambda n: kind(n).isin(*allowed))
+    place = lambda n: F.get(n["location"], F.lit(0))
     one = lambda n: F.struct(
-        n["location"][0]["_offset"].alias("start"), (n["location"][0]["_offset"] + n["location"][0]["_length"]).alias("end"),
-        n["text"].alias("mention"), kind(n).alias("type"), n["infon"][0]["_VALUE"].alias("id"),
+        place(n)["_offset"].alias("start"), (place(n)["_offset"] + place(n)["_length"]).alias("end"),
+        n["text"].alias("mention"), kind(n).alias("type"), F.get(n["infon"], F.lit(0))["_VALUE"].alias("id"),
     )
     return raw.select(F.col("id").alias("doc_id"), last("title").alias("title"), last("abstract").alias("abstract"), F.transform(kept, one).alias("annotations"))
 
@@ -110,8 +127,17 @@ def pmc(xml: DataFrame) -> DataFrame:
     )
 
 
+JSON_DOCUMENT = "pmid string, title string, abstract string"
+
+
+def json_documents(lines: DataFrame) -> DataFrame:
+    """doc_id, title and abstract, both cleaned, of lines (column value) of one JSON object each; unreadable lines give nulls."""
+    x = lines.select(F.from_json("value", JSON_DOCUMENT).alias("x")).select("x.*")
+    return x.select(F.col("pmid").alias("doc_id"), T.clean_unicode(F.col("title")).alias("title"), T.clean_unicode(F.col("abstract")).alias("abstract"))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("pmid string, title string, abstract string").json(path).withColumnRenamed("pmid", "doc_id")
+    return json_documents(spark.read.text(path))
 
 
 def tool_json(rows: DataFrame) -> DataFrame:
@@ -133,6 +159,6 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("value").alias("token")).agg(F.max("line_no").alias("id"))
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+def batches(rows: DataFrame, order: str, size: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Number requests in batches of ``size``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    return numbered(rows, [order], "batch", range_rows).withColumn("batch", F.floor(F.col("batch") / size).cast("int"))
