@@ -31,7 +31,7 @@ def clean_whitespace(c: Column) -> Column:
 def clean_request(c: Column) -> Column:
     """Line ends and tabs become spaces, and every space-delimited word is cut to WORD_CUT characters."""
     flat = F.translate(F.replace(c, F.lit("\r\n"), F.lit(" ")), "\n\t", "  ")
-    return F.array_join(F.transform(F.split(flat, " ", -1), lambda w: F.substring(w, 1, WORD_CUT)), " ")
+    return F.regexp_replace(flat, f"(?<![^ ])([^ ]{{{WORD_CUT}}})[^ ]+", "$1")
 
 
 def guard_letters(c: Column) -> Column:

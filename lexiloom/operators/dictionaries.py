@@ -127,6 +127,18 @@ def full_ids(m: DataFrame, ext: DataFrame, prefix: str, asked: str = "oid") -> D
     return m.join(flat, ["doc_id", "etype", "ordinal"]).withColumn("ids", F.concat("__ext", own)).drop("__ext")
 
 
+def named_ids(names: DataFrame, ext: DataFrame, prefix: str) -> DataFrame:
+    """The dictionary (name, oid) with ids as ``full_ids`` gives them, so that mentions need one join only."""
+    rows = names.select("name", "oid", F.col("name").alias("doc_id"), F.lit("").alias("etype"), F.lit(0).alias("ordinal"))
+    return full_ids(rows, ext, prefix).select("name", "oid", "ids")
+
+
+def lookup_ids(m: DataFrame, named: DataFrame, key: Column) -> DataFrame:
+    """Add oid and ids by one exact key; named: name, oid, ids."""
+    found = m.withColumn("__key", key).join(named.select(F.col("name").alias("__key"), "oid", "ids"), "__key", "left")
+    return found.withColumns({"oid": F.coalesce("oid", F.lit(UNKNOWN)), "ids": F.coalesce("ids", F.array(F.lit(UNKNOWN)))}).drop("__key")
+
+
 def own_ids(m: DataFrame, prefix: str) -> DataFrame:
     """Column ids: the prefixed own id, or UNKNOWN."""
     return m.withColumn("ids", F.array(F.when(F.col("oid") == UNKNOWN, UNKNOWN).otherwise(F.concat(F.lit(prefix), "oid"))))
@@ -134,12 +146,12 @@ def own_ids(m: DataFrame, prefix: str) -> DataFrame:
 
 def drug_normalizer(names: DataFrame, table: DataFrame, prefix: str):
     """names: parsed with the key T.drug_key; table: oid, ext_ids."""
-    return lambda m: full_ids(lookup_drug(m, names), table, prefix)
+    return lambda m: lookup_ids(m, named_ids(names, table, prefix), T.drug_key(F.col("mention")))
 
 
 def disease_normalizer(names: DataFrame, table: DataFrame, prefix: str):
     """names: name and oid, which may be several joined by pipes; exact names stand for a linker of its own."""
-    return lambda m: full_ids(lookup(m, names, F.col("mention")), table, prefix)
+    return lambda m: lookup_ids(m, named_ids(names, table, prefix), F.col("mention"))
 
 
 def mutation_normalizer(names: DataFrame, prefix: str):
@@ -151,10 +163,12 @@ def species_normalizer(names: DataFrame):
 
 
 def gene_normalizer(linker, by_gid: DataFrame, best: DataFrame, frequent: DataFrame, merged: DataFrame, table: DataFrame, prefix: str):
-    """linker: adds gid to mentions, as a gene linker of its own does; table: oid (a gid), ext_ids."""
+    """linker: adds gid to mentions, as a gene linker of its own does; table: oid (a gid), ext_ids, which come first."""
 
     def run(m: DataFrame) -> DataFrame:
-        found = lookup_gene(linker(m), by_gid, best, frequent, merged).withColumn("__gid", F.substring_index("gid", "-", 1))
-        return full_ids(found.withColumn("__gid", F.coalesce("__gid", F.lit(""))), table, prefix, "__gid").drop("__gid")
+        found = own_ids(lookup_gene(linker(m), by_gid, best, frequent, merged), prefix)
+        ext = table.select(F.col("oid").alias("__gid"), F.col("ext_ids").alias("__ext"))
+        both = found.withColumn("__gid", F.substring_index("gid", "-", 1)).join(ext, "__gid", "left")
+        return both.withColumn("ids", F.concat(F.coalesce("__ext", F.array().cast("array<string>")), "ids")).drop("__gid", "__ext")
 
     return run

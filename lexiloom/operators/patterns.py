@@ -51,17 +51,17 @@ def mirna_spans(text: str, pattern: re.Pattern, last: re.Pattern, longest: int)
 def tag_mirna(docs: DataFrame, prefixes: tuple[str, ...] = PREFIXES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """doc_id, ordinal, start, end, mention from doc_id, content.
 
-    Only texts in which a digit follows a prefix's end reach Python; prefixes hold no digit that another prefix's end precedes.
+    The gate, a prefix's last character before a digit, is sought in Python: as a filter it would repeat whatever expression made the
+    content.  Prefixes hold no digit that another prefix's end precedes.
     """
     pattern, longest = mirna_pattern(prefixes, suffixes), max(map(len, prefixes))
     last = re.compile(f"[{re.escape(''.join(sorted({p[-1] for p in prefixes})))}][0-9]", re.IGNORECASE)
-    gate = "|".join(sorted({re.escape(p[-4:]) for p in prefixes}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, n, spans = [], [], []
             for r, c in enumerate(batch.column(1)):
-                found = list(mirna_spans(c.as_py(), pattern, last, longest))
+                found = list(mirna_spans(c.as_py() or "", pattern, last, longest))
                 row += [r] * len(found)
                 n += range(len(found))
                 spans += found
@@ -70,7 +70,7 @@ def tag_mirna(docs: DataFrame, prefixes: tuple[str, ...] = PREFIXES, suffixes: t
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "ordinal", "start", "end", "mention"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "content").where(F.col("content").rlike(f"(?iu)(?:{gate})[0-9]")).mapInArrow(run, f"doc_id {key}, {MENTIONS}")
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {key}, {MENTIONS}")
 
 
 def mirna_code(mention: Column) -> Column:
@@ -78,28 +78,37 @@ def mirna_code(mention: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(mention, "[0-9]+.*", 0), "-[35]p", "")
 
 
+#: By the first letters of a mention, in lower case: what the name that is taken begins with, in order of preference.
+SPECIES = {"let": ("hsa-let", "mmu-let"), "hsa": ("hsa-mir",), "mmu": ("mmu-mir",), "": ("hsa", "mmu")}
+
+
 def normalize_mirna(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add oid (empty: unknown).  dictionary: name (as hsa-mir-21), code, oid, dict_order.
 
     Keys are tried in turn: the code, in lower case, its digits, those without leading zeros, then the first name of the
-    dictionary that goes on with a letter; of several names the mention's beginning picks the species.
+    dictionary that goes on with a letter; of several names the mention's beginning picks the species.  The dictionary is
+    brought to one row a code first, so mentions are only looked up, never grouped.
     """
     code = mirna_code(F.col("mention"))
     digits = F.regexp_extract(code, "^[0-9]+", 0)
-    keys = F.array(code, F.lower(code), digits, F.ltrim(digits, F.lit("0")))
-    asked = mentions.select("doc_id", "ordinal", "mention", F.posexplode(keys).alias("step", "code"))
-    begins = F.lower(F.substring("mention", 1, 3))
-    wanted = (
-        F.when(begins == "let", F.array(F.lit("hsa-let"), F.lit("mmu-let"))).when(begins == "hsa", F.array(F.lit("hsa-mir")))
-        .when(begins == "mmu", F.array(F.lit("mmu-mir"))).otherwise(F.array(F.lit("hsa"), F.lit("mmu")))
-    )
-    place = F.array_position(F.transform(wanted, lambda w: F.lower("name").startswith(w)), True)
-    rank = F.struct("step", F.when(place == 0, 99).otherwise(place), "dict_order")
-    found = asked.join(dictionary, "code").groupBy("doc_id", "ordinal").agg(F.min_by("oid", rank).alias("oid"))
+    keys = {"__k0": code, "__k1": F.lower(code), "__k2": digits, "__k3": F.ltrim(digits, F.lit("0"))}
+
+    def best(wanted: tuple[str, ...]) -> Column:
+        place = F.lit(len(wanted))
+        for i, w in reversed(list(enumerate(wanted))):
+            place = F.when(F.lower("name").startswith(w), i).otherwise(place)
+        return F.min_by("oid", F.struct(place, "dict_order"))
+
+    codes = dictionary.groupBy("code").agg(F.map_from_arrays(F.array(*map(F.lit, SPECIES)), F.array(*map(best, SPECIES.values()))).alias("by"))
     series = dictionary.withColumn("base", F.regexp_extract("code", "^([0-9]+)[a-z]", 1)).where("base <> ''")
-    series = series.groupBy("base").agg(F.min_by("oid", "dict_order").alias("series_oid"))
-    out = mentions.join(found, ["doc_id", "ordinal"], "left").withColumn("base", digits).join(series, "base", "left")
-    return out.withColumn("oid", F.coalesce("oid", "series_oid", F.lit(""))).drop("base", "series_oid")
+    series = series.groupBy(F.col("base").alias("__k4")).agg(F.min_by("oid", "dict_order").alias("__o4"))
+    kind = F.lower(F.substring("mention", 1, 3))
+    out = mentions.withColumns(keys | {"__k4": digits, "__kind": F.when(kind.isin(*[k for k in SPECIES if k]), kind).otherwise("")})
+    for i in range(4):
+        out = out.join(codes.select(F.col("code").alias(f"__k{i}"), F.col("by").alias(f"__b{i}")), f"__k{i}", "left")
+    out = out.join(series, "__k4", "left")
+    oid = F.coalesce(*[F.try_element_at(f"__b{i}", F.col("__kind")) for i in range(4)], F.col("__o4"), F.lit(""))
+    return out.withColumn("oid", oid).drop(*keys, "__k4", "__o4", "__kind", *[f"__b{i}" for i in range(4)])
 
 
 def chosen(hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:

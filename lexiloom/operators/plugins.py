@@ -59,11 +59,11 @@ def tag_head(scores: np.ndarray) -> tuple[list[str], np.ndarray]:
     return [tagging.LABELS.get(int(c), "O") for c in best], p
 
 
-def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.RIVALS, name: str = "tagger") -> TokenTagger:
-    """A token tagger of one model a type; ``load(etype)`` runs once in each Python worker.
+def sentence_tagger(tag: Callable[[str, np.ndarray, pa.Array], tuple[np.ndarray, list[str], np.ndarray]], etypes: Sequence[str] = tagging.RIVALS) -> TokenTagger:
+    """A token tagger of ``tag(etype, numbers, words)``, which gets each word and its number within its sentence and gives the
+    places of the words that are tagged, their tags and their confidences.
 
-    Sentences are mapped batch by batch, without a shuffle: their words go to the model in runs of CHUNK_WORDS, EXAMPLES runs at
-    once, and come back with offsets.  Words tagged O are left out.
+    Sentences are mapped batch by batch, without a shuffle; words come back with offsets.  Words tagged O are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,20 +71,14 @@ def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.R
         for batch in batches:
             for rows, (_, number, text, base) in segment.parts(batch):
                 row, nth, start, length, word = segment.token_table(text.fill_null(""))
-                words, starts = word.to_pylist(), start + np.asarray(base.to_pylist(), np.int64)[row]
-                cuts = np.flatnonzero((nth % segment.CHUNK_WORDS == 0)).tolist() + [len(words)]
-                examples = [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                start = start + np.asarray(base.to_pylist(), np.int64)[row]
                 for etype in etypes:
-                    model = held(f"{name}/{etype}", lambda etype=etype: load(etype))
-                    scores = [x for i in range(0, len(examples), EXAMPLES) for x in model(examples[i : i + EXAMPLES])]
-                    tags, p = tag_head(np.concatenate(scores)) if scores else ([], np.zeros(0))
-                    kept = np.flatnonzero(np.array([t != "O" for t in tags], bool))
-                    at = pa.array(row[kept])
+                    kept, tags, p = tag(etype, nth, word)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(pa.array(row[kept] + rows.start)), pa.array([etype] * len(kept), pa.string()), number.take(at),
-                            pa.array(nth[kept], pa.int32()), word.take(pa.array(kept)), pa.array(starts[kept], pa.int32()),
-                            pa.array((starts + length)[kept], pa.int32()), pa.array([tags[i] for i in kept], pa.string()), pa.array(p[kept], pa.float64()),
+                            batch.column(0).take(pa.array(row[kept] + rows.start)), pa.array([etype] * len(kept), pa.string()), number.take(pa.array(row[kept])),
+                            pa.array(nth[kept], pa.int32()), word.take(pa.array(kept)), pa.array(start[kept], pa.int32()),
+                            pa.array((start + length)[kept], pa.int32()), pa.array(tags, pa.string()), pa.array(p, pa.float64()),
                         ],
                         names,
                     )
@@ -97,6 +91,24 @@ def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.R
     return tagger
 
 
+def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.RIVALS, name: str = "tagger") -> TokenTagger:
+    """A token tagger of one model a type; ``load(etype)`` runs once in each Python worker.
+
+    A sentence's words go to the model in runs of CHUNK_WORDS, EXAMPLES runs at once.
+    """
+
+    def tag(etype: str, nth: np.ndarray, word: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        model, words = held(f"{name}/{etype}", lambda: load(etype)), word.to_pylist()
+        cuts = [*np.flatnonzero(nth % segment.CHUNK_WORDS == 0).tolist(), len(words)]
+        examples = [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        scores = [x for i in range(0, len(examples), EXAMPLES) for x in model(examples[i : i + EXAMPLES])]
+        tags, p = tag_head(np.concatenate(scores)) if scores else ([], np.zeros(0))
+        kept = np.array([i for i, t in enumerate(tags) if t != "O"], np.int64)
+        return kept, [tags[i] for i in kept], p[kept]
+
+    return sentence_tagger(tag, etypes)
+
+
 def session_model(session: object, vocabulary: dict[str, int], length: int = 256, lower: bool = False) -> Model:
     """A model of an inference session (as onnxruntime's, with inputs input_ids, input_mask and segment_ids, and one output of class
     scores a piece): words become pieces, and a word has the scores of its first piece; words behind the cut are outside.

@@ -42,20 +42,19 @@ def decode(tags: DataFrame, mentions: bool = False) -> DataFrame:
     document: between words there are only spaces.  One window and one aggregate, on the same partitioning.
     """
     order = Window.partitionBy("doc_id", "etype", "sent_idx").orderBy("word_idx")
-    goes_on = (F.col("tag") == "I") & (F.col("before") == F.col("word_idx") - 1)
-    run = tags.where("tag <> 'O'").withColumn("before", F.lag("word_idx").over(order))
-    run = run.withColumn("g", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    near = {"before": F.lag("word_idx").over(order), "after": F.lead("word_idx").over(order), "tag_after": F.lead("tag").over(order)}
+    run = tags.where("tag <> 'O'").withColumns(near)
+    goes_on = (F.col("tag") == "I") & F.coalesce(F.col("before") == F.col("word_idx") - 1, F.lit(False))
+    ends = ~((F.col("tag_after") == "I") & F.coalesce(F.col("after") == F.col("word_idx") + 1, F.lit(False))) | F.col("tag_after").isNull()
+    run = run.withColumns({"g": F.sum(F.when(goes_on, 0).otherwise(1)).over(order), "counts": ~(ends & goes_on & (F.length("word") == 1))})
     words = [F.array_sort(F.collect_list(F.struct("word_idx", "start", "end", "word"))).alias("words")] * mentions
     runs = run.groupBy("doc_id", "etype", "sent_idx", "g").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.col("tag") == "B", "word_idx").alias("head"), F.count("*").alias("n"),
-        F.sum("p").alias("total"), F.max_by(F.length("word"), "word_idx").alias("last_size"), F.max_by("p", "word_idx").alias("last_p"),
-        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), *words,
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.col("tag") == "B", "word_idx").alias("head"),
+        F.avg(F.when(F.col("counts"), F.col("p"))).alias("score"), F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), *words,
     ).where("head")
-    left_out = (F.col("n") > 1) & (F.col("last_size") == 1)
-    score = F.when(left_out, (F.col("total") - F.col("last_p")) / (F.col("n") - 1)).otherwise(F.col("total") / F.col("n"))
     spaced = "transform(words, (w, i) -> if(i = 0, w.word, concat(repeat(' ', w.start - words[i - 1].end), w.word)))"
     text = [F.array_join(F.expr(spaced), "").alias("mention")] * mentions
-    return runs.select("doc_id", "etype", "sent_idx", "start", "end", score.alias("score"), "first_word", "last_word", *text)
+    return runs.select("doc_id", "etype", "sent_idx", "start", "end", "score", "first_word", "last_word", *text)
 
 
 def resolve(entities: DataFrame) -> DataFrame:

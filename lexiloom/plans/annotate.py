@@ -6,6 +6,9 @@ are left out; types without a normalizer have unknown ids; empty tables give no
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,26 +16,27 @@ from lexiloom.functions import spans
 from lexiloom.functions import text as T
 from lexiloom.operators import dictionaries as dic
 from lexiloom.operators import segment, tagging
-from lexiloom.operators.plugins import Registry, TokenTagger
+from lexiloom.operators.plugins import Registry, TokenTagger, sentence_tagger
 from lexiloom.plans import formats
+from lexiloom.tables import materialise, spread
 
 COLUMNS = "doc_id etype ordinal start end score mention mutation_type normalized_name".split()
 
 
-def gazetteer_tagger(sents: DataFrame) -> DataFrame:
-    """The default plug-in: words of eight characters or more are mentions, their type follows from their length, longer ones
-    are surer; words of six or seven go on with the mention before them.
-
-    It stands for a trained tagger, as ``plugins.model_tagger`` makes one.
+def by_length(etype: str, nth: np.ndarray, word: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of eight characters or more are mentions, their type follows from their length, longer ones are surer; words of six
+    or seven go on with the mention before them.
     """
-    n = F.length("word")
-    types = F.array(*[F.lit(x) for x in tagging.RIVALS])
-    own = F.when(n >= 8, F.array(F.try_element_at(types, (n % 4 + 1).cast("int")))).otherwise(types)
-    words = segment.words(sents).where(n >= 6)
-    return words.select(
-        "doc_id", F.explode(own).alias("etype"), "sent_idx", "word_idx", "word", "start", "end",
-        F.when(n >= 8, "B").otherwise("I").alias("tag"), ((n % 10) / F.lit(10.0)).alias("p"),
-    )
+    n, at = pc.utf8_length(word).to_numpy(), np.arange(len(word))
+    begins = n >= 8
+    before = np.maximum.accumulate(np.where((n < 6) | begins, at, -1)) if len(n) else at  # the last word that does not go on
+    of_type = begins & (np.array(tagging.RIVALS)[n % 4] == etype)
+    kept = np.flatnonzero((n >= 6) & (before >= at - nth) & of_type[before])
+    return kept, np.where(begins[kept], "B", "I"), n[kept] % 10 / 10.0
+
+
+#: The default plug-in; it stands for a trained tagger, as ``plugins.model_tagger`` makes one.
+gazetteer_tagger = sentence_tagger(by_length)
 
 
 def documents(table: DataFrame, unicode: bool = False) -> DataFrame:
@@ -62,7 +66,7 @@ def entities(docs: DataFrame, tagger: TokenTagger = gazetteer_tagger, found: Dat
     """COLUMNS of all documents (doc_id, title, abstract): the tagger's entities, of rivals on one span the best, without
     everyday words for species, and the mutations ``found``; ordinal counts a document's entities of a type by place.
     """
-    tagged = tagger(segment.sentences(docs)).repartition("doc_id")  # serves all windows and joins below
+    tagged = tagger(segment.sentences(spread(docs))).repartition("doc_id")  # serves all windows and joins below
     runs = tagging.drop_common_species(tagging.resolve(tagging.decode(tagged, mentions=True)), tagging.HUMAN_WORDS if denied is None else denied)
     none = F.lit(None).cast("string")
     placed = runs.select("doc_id", "etype", "start", "end", "score", "mention", none.alias("mutation_type"), none.alias("normalized_name"))
@@ -86,19 +90,16 @@ def annotations(docs: DataFrame, registry: Registry, found: DataFrame | None = N
     Where a whole request has no entity, its texts get no patterns either, unless ``compat`` is off; ``requests`` names the
     request of a document and is its doc_id if it isn't given.
     """
-    tagged = entities(docs, registry.tagger, found)
-    out, texts = normalize(tagged, registry), contents(docs)
-    if compat:
-        asked = docs.select("doc_id", (F.col("doc_id") if requests is None else requests).alias("request"))
-        with_any = tagged.select("doc_id").distinct()
-        if requests is None:
-            texts = texts.join(with_any, "doc_id", "left_semi")
-        else:
-            busy = asked.join(with_any, "doc_id", "left_semi").select("request").distinct()
-            texts = texts.join(asked.join(busy, "request", "left_semi"), "doc_id", "left_semi")
+    tagged = materialise(entities(docs, registry.tagger, found), "entities")  # read once for each type
+    out, texts = normalize(tagged, registry), contents(spread(docs))
+    busy = tagged.select("doc_id").distinct()
+    if requests is not None:
+        asked = docs.select("doc_id", requests.alias("request"))
+        busy = asked.join(asked.join(busy, "doc_id", "left_semi").select("request").distinct(), "request", "left_semi").select("doc_id")
     empty = {"score": F.lit(None).cast("double")} | {c: F.lit(None).cast("string") for c in ("mutation_type", "normalized_name")}
     for etype, pattern in registry.patterns.items():
         rows = pattern(texts).withColumns({"etype": F.lit(etype), **empty})
+        rows = rows.join(busy, "doc_id", "left_semi") if compat else rows  # the mentions, not the texts, are joined
         out = out.unionByName(rows.select(*COLUMNS, "ids"))
     return out
 

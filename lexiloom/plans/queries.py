@@ -5,6 +5,7 @@ The tables hold no biomedical text, so mentions and dictionaries are injected by
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lexiloom.operators import analytics, patterns, plugins, segment, subword, t
 from lexiloom.operators import dictionaries as dic
 from lexiloom.plans import annotate, formats
 from lexiloom.sources import parsers
+from lexiloom.tables import materialise, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +38,12 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text")
+    return spread(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+def small(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of a few rows that the optimizer knows the size of."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def _chr(text: str) -> str:
@@ -512,7 +519,7 @@ def mirna_ids(spark, sf):
     return patterns.mirna_tagger(dic.parse_mirna(mirna_lines(spark)))(docs).withColumn("ids", F.array_join("ids", ","))
 
 
-_PATHWAYS = [(0, "7\tHIF-1 signaling\tKEGG:1"), (1, "8\tWnt pathway"), (2, "9\tsignaling"), (3, "9\tWnt pathway"), (4, "x")]
+_PATHWAYS = {"line_no": [0, 1, 2, 3, 4], "value": ["7\tHIF-1 signaling\tKEGG:1", "8\tWnt pathway", "9\tsignaling", "9\tWnt pathway", "x"]}
 
 
 @query(
@@ -521,7 +528,7 @@ _PATHWAYS = [(0, "7\tHIF-1 signaling\tKEGG:1"), (1, "8\tWnt pathway"), (2, "9\ts
 )
 def pathway_tags(spark, sf):
     docs = docs_of(spark, sf).select("doc_id", F.concat("text", F.lit(" HIF-1 signaling pathway aWnt pathway")).alias("content"))
-    names = dic.parse_pathways(spark.createDataFrame(_PATHWAYS, "line_no int, value string"))
+    names = dic.parse_pathways(small(spark, **_PATHWAYS))
     return patterns.pathway_tagger(names)(docs).withColumn("ids", F.array_join("ids", ","))
 
 
@@ -882,7 +889,7 @@ _PLAN_IDS = f"""{_PLAN_ENTITIES},
 
 def plan_registry(spark, docs) -> plugins.Registry:
     words = docs.select(F.explode(F.split(F.lower("abstract"), "[^a-z]+")).alias("name")).where("length(name) >= 8").distinct()
-    words = words.select("name", F.length("name").alias("n"), F.ascii("name").alias("a"))
+    words = materialise(words.select("name", F.length("name").alias("n"), F.ascii("name").alias("a")), "long-words")
     text = lambda c: F.expr(c).cast("string").alias("oid")
     number = words.select("name", text("n * 100 + a"), "n")
     drugs = number.where("n % 2 = 0").drop("n")
@@ -890,10 +897,10 @@ def plan_registry(spark, docs) -> plugins.Registry:
     diseases = words.where("n % 3 = 0").select("name", text("n || '|' || a"))
     numbers = spark.range(8, 60, 2).select(F.col("id").cast("string").alias("oid"), F.expr("array('D:' || id)").alias("ext_ids"))
     species = words.where("n % 2 = 1").select("name", text("a * 100 + n"))
-    gids = spark.createDataFrame([(f"g{n}", f"G{n}") for n in (8, 12, 16)], "name string, oid string")
+    gids = small(spark, name=["g8", "g12", "g16"], oid=["G8", "G12", "G16"])
     best, often = words.where("n % 3 = 1").select("name", text("'b' || n")), words.where("a % 2 = 0").select("name", text("'f' || a"))
-    merged = spark.createDataFrame([("b10", "b1")], "name string, oid string")
-    gene_table = dic.parse_gene_table(spark.createDataFrame([(0, "g8\tHGNC:HGNC:1|E:8"), (1, "g99\tE:99"), (2, "g12\t")], "line_no int, value string"), gids)
+    merged = small(spark, name=["b10"], oid=["b1"])
+    gene_table = dic.parse_gene_table(small(spark, line_no=[0, 1, 2], value=["g8\tHGNC:HGNC:1|E:8", "g99\tE:99", "g12\t"]), gids)
     linker = lambda m: m.withColumn("gid", F.expr("if(length(mention) % 2 = 0, 'g' || length(mention) || '-x', 'none')"))
     mutations = docs.where("doc_id % 3 = 0").select(F.expr("'p.N' || doc_id").alias("name"), F.expr("'m' || doc_id").alias("oid"))
     return plugins.Registry(
@@ -904,7 +911,7 @@ def plan_registry(spark, docs) -> plugins.Registry:
         },
         {
             "miRNA": patterns.mirna_tagger(dic.parse_mirna(mirna_lines(spark))),
-            "pathway": patterns.pathway_tagger(dic.parse_pathways(spark.createDataFrame(_PATHWAYS, "line_no int, value string"))),
+            "pathway": patterns.pathway_tagger(dic.parse_pathways(small(spark, **_PATHWAYS))),
         },
     )
 

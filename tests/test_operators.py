@@ -6,27 +6,6 @@ from lexiloom.operators import patterns, segment, tagging
 from lexiloom.sources import parsers
 
 
-@pytest.mark.parametrize(
-    ("text", "pieces"),
-    [
-        ("One. Two.", ["One.", " Two."]),
-        ("p < 0.5 was seen. Next one!", ["p < 0.5 was seen.", " Next one!"]),
-        ("a.b c. d. E f", ["a.b c. d.", " E f"]),
-        ("Why?Yes! no way.", ["Why?", "Yes!", " no way."]),
-    ],
-)
-def test_sentences(spark, text, pieces):
-    df = spark.createDataFrame([(text,)], "t string").select(segment.split_sentences(F.col("t")).alias("s"))
-    assert df.first()["s"] == pieces
-
-
-def test_long_sentence_keeps_text_and_offsets(spark):
-    text = " ".join(["ab"] * 350)
-    df = spark.createDataFrame([(1, None, text)], "doc_id long, title string, abstract string")
-    rows = segment.sentences(df).orderBy("sent_idx").collect()
-    assert len(rows) > 1 and all(text[r["start"] : r["start"] + len(r["text"])] == r["text"] for r in rows)
-
-
 def test_words_carry_offsets(spark):
     df = spark.createDataFrame([(1, 0, "réaux  X\nq", 5)], "doc_id long, sent_idx int, text string, start int")
     rows = segment.words(df).orderBy("word_idx").collect()
