@@ -726,13 +726,13 @@ def error_documents(spark, sf):
 @query(
     """WITH a AS (SELECT event_type AS stage, event_id, value, count(value) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS low, max(value) OVER w AS high FROM events
     WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT n || chr(9) || stage || chr(9) || printf('%.3f', mean) || chr(9) || printf('%.3f', low) || chr(9) || printf('%.3f', high) AS value FROM a WHERE n % 50 = 0"""
+    SELECT n || chr(9) || stage || chr(9) || printf('%.9f', mean) || chr(9) || printf('%.9f', low) || chr(9) || printf('%.9f', high) AS value FROM a WHERE n % 50 = 0"""
 )
 def benchmark_lines(spark, sf):
     """Statistics so far, a line for every fifty runs of a stage."""
     runs = read(spark, sf, "events").select("event_id", F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
     stats = analytics.log_line_stats(runs, "event_id", 50)
-    shown = stats.withColumns({c: F.format_string("%.3f", c) for c in ("mean", "low", "high")})
+    shown = stats.withColumns({c: F.format_string("%.9f", c) for c in ("mean", "low", "high")})
     return formats.stats_lines(shown, ["n", "stage", "mean", "low", "high"])
 
 
