@@ -1,38 +1,22 @@
-"""What the operators of this subpackage share: table reads, shared-folder materialisation, ASCII case."""
+"""What the operators of this subpackage share: table reads, shared tables, ASCII case."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.tables import discard, materialise, scratch_dir, spread
+
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "ascii_lower", "discard", "materialise", "scratch_dir", "spread", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-OWN_CHECKPOINT_DIR = "file:///tmp/checkpoints/lexiloom"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    Survives lost executors, stays compressed and keeps column pruning for later readers.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)

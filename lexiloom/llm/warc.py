@@ -1,16 +1,19 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame per record.
 
 Spark's own text writer stores the archives, so they land on any file system that Spark reaches: each row is
-one frame, and the line separator is itself an empty skippable frame.  The reader takes whole archives as
-binary files, walks the frames by their block headers, and validates magic numbers, sizes, header lines,
-Content-Length, record ends and payload digests.
+one frame, and the line separator is itself an empty skippable frame.  A task begins a new archive whenever one
+has ARCHIVE_BYTES of records, so what a reader holds is bounded by that and its longest record.  The reader takes
+archives as binary files, walks the frames by their block headers, and validates magic numbers, sizes, header
+lines, Content-Length, record ends and payload digests.  A damaged record gives a row that says so, and the
+records after it are read; where the frames themselves cannot be followed, one such row ends the archive.
 
 Records with equal payloads of at least 100 bytes are kept once (``response``, smallest page_id); the others
 are ``revisit`` records with the same HTTP headers and no body.
 
 Results for odd input: a null payload is empty; a null URL leaves the target header out; control characters in
 URLs are percent-encoded; a null page_id is written as ``null`` and never refers or is referred to; repeated
-rows of a response are responses too; empty tables make no archive and no rows.
+rows of a response are responses too; empty tables make no archive and no rows; a folder that is not there is an
+error; other columns of the pages are left out.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from lexiloom.llm.common import materialise, shared_dir, table
+from lexiloom.llm.common import materialise, scratch_dir, table
 
 DICTIONARY_MAGIC, FRAME_MAGIC, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, 0x184D2A50
 #: An empty skippable frame; ends every row that the text writer stores.
@@ -34,9 +37,11 @@ SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
 LEAST_REVISIT = 100
 #: Records of an archive that its dictionary is trained on, bytes of each, and the dictionary's size.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 16_384
-#: Bytes of payload per archive about.
-ARCHIVE_BYTES = 64 << 20
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Bytes of records of an archive, before they are compressed, and of records that are handed on at once.
+ARCHIVE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+RECORD_SCHEMA = (
+    "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
+)
 
 
 class Damaged(ValueError):
@@ -118,39 +123,47 @@ def frame_size(data: memoryview, at: int) -> int:
     return end + 4 * zstandard.get_frame_parameters(head).has_checksum - at
 
 
-def read_archive(content: bytes) -> Iterator[bytes]:
-    """The records of one archive, decompressed."""
+def read_archive(content: bytes) -> Iterator[bytes | Damaged]:
+    """The records of one archive, decompressed; in place of a damaged one what is wrong with it."""
     import zstandard
 
     data, at, inflate, first = memoryview(content), 0, zstandard.ZstdDecompressor(), True
     while at < len(data):
         if at + 8 > len(data):
-            raise Damaged("archive is cut off")
+            yield Damaged("archive is cut off")
+            return
         magic, length = struct.unpack_from("<II", data, at)
         if magic == FRAME_MAGIC:
-            length = frame_size(data, at)
+            try:
+                length = frame_size(data, at)
+            except (Damaged, zstandard.ZstdError) as e:
+                yield Damaged(f"the frames end here: {e}")
+                return
             frame = data[at : at + length]
-            known = zstandard.frame_content_size(frame)
-            if at + length > len(data) or known < 0:
-                raise Damaged("frame is cut off or names no size")
-            out = inflate.decompress(frame)
-            if len(out) != known:
-                raise Damaged("frame has another size than it says")
-            yield out
+            try:
+                known = zstandard.frame_content_size(frame)
+                if at + length > len(data) or known < 0:
+                    raise Damaged("frame is cut off or names no size")
+                out = inflate.decompress(frame)
+                yield out if len(out) == known else Damaged("frame has another size than it says")
+            except (Damaged, zstandard.ZstdError) as e:
+                yield Damaged(str(e))
             at += length
         elif magic & 0xFFFFFFF0 == SKIPPABLE:
-            if magic == DICTIONARY_MAGIC:
-                if not first:
-                    raise Damaged("the dictionary isn't the first frame")
-                body = bytes(data[at + 8 : at + 8 + length])
+            body = bytes(data[at + 8 : at + 8 + length])
+            at += 8 + length
+            if at > len(data):
+                yield Damaged("archive is cut off")
+                return
+            if magic == DICTIONARY_MAGIC and not first:
+                yield Damaged("the dictionary isn't the first frame")
+            elif magic == DICTIONARY_MAGIC:
                 if body[:4] == struct.pack("<I", FRAME_MAGIC):
                     body = zstandard.ZstdDecompressor().decompress(body)
                 inflate = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
-            at += 8 + length
-            if at > len(data):
-                raise Damaged("archive is cut off")
         else:
-            raise Damaged(f"unknown frame {magic:#x}")
+            yield Damaged(f"the frames end here: unknown frame {magic:#x}")
+            return
         first = False
 
 
@@ -163,28 +176,52 @@ def make_dictionary(samples: list[bytes]):
         return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one task into the frames of one archive, the dictionary first."""
+def _frames(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one task into the frames of its archives, in each the dictionary first: archive, n (place in it) and frame."""
     import zstandard
 
-    deflate = None
+    part, number, size, deflate = TaskContext.get().partitionId(), -1, 0, None
+    rows: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["archive", "n", "frame"])
+
+    def add(frame: bytes) -> None:
+        rows.append((f"{part:06d}-{number:06d}", at + len(rows), frame))
+
+    at = 0
     for batch in batches:
         columns = [batch.column(i) for i in range(5)]
         records = (
             record(page_id, url, (html or "").encode(), digest, refers)
             for page_id, url, html, digest, refers in (tuple(c[i].as_py() for c in columns) for i in range(len(batch)))
         )
-        out: list[bytes] = []
-        if deflate is None and len(batch):
-            head = [r for _, r in zip(range(SAMPLES), records, strict=False)]
-            words = make_dictionary(head)
-            packed = zstandard.ZstdCompressor(level=9).compress(words.as_bytes())
-            out.append(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-            deflate = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True, write_content_size=True)
-            out += map(deflate.compress, head)
-        for r in records:
-            out.append(deflate.compress(r))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        for one in records:
+            if deflate is None or size >= archive_bytes:
+                head, total = [one], len(one)
+                while len(head) < SAMPLES and total < archive_bytes and (more := next(records, None)):
+                    head.append(more)
+                    total += len(more)
+                words = make_dictionary(head)
+                number, size = number + 1, 0
+                packed = zstandard.ZstdCompressor(level=9).compress(words.as_bytes())
+                add(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+                deflate = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True, write_content_size=True)
+            else:
+                head = [one]
+            for r in head:
+                add(deflate.compress(r))
+                size += len(r)
+                held += len(r)
+            if held >= BATCH_BYTES:
+                yield flush()
+                at += len(rows)
+                rows.clear()
+                held = 0
+    if rows:
+        yield flush()
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -197,22 +234,32 @@ def revisits(pages: DataFrame) -> DataFrame:
     return later.dropDuplicates(["page_id", "digest"])
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write archives of the rows (page_id, url, html) into the folder ``path``, one a task."""
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write archives of the rows (page_id, url, html) into folders below ``path``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn(
         "digest", F.sha2(F.coalesce("html", F.lit("")), 256)
     )
     rows = pages.join(revisits(pages), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    frames = rows.mapInArrow(_frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+    frames = rows.mapInArrow(lambda batches: _frames(batches, archive_bytes), "archive string, n long, frame binary").sortWithinPartitions("archive", "n")
+    frames = frames.select("archive", F.col("frame").cast("string").alias("value"))
+    frames.write.partitionBy("archive").option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives in ``path`` (RECORD_SCHEMA); any damage fails the task."""
+    """The records of all archives below ``path`` (RECORD_SCHEMA); damaged ones have an error and nothing else."""
+    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+
+    def row_of(data: bytes | Damaged) -> tuple:
+        try:
+            if isinstance(data, Damaged):
+                raise data
+            row = parse_record(data)
+            return (*(row if payloads else (*row[:-1], None)), None)
+        except (Damaged, UnicodeDecodeError) as e:
+            return (*[None] * (len(names) - 1), str(e))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
         batch_of = lambda rows: pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
         )
@@ -220,26 +267,22 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             for content in batch.column(0):
                 rows, held = [], 0
                 for data in read_archive(content.as_py()):
-                    row = parse_record(data)
-                    rows.append(row if payloads else (*row[:-1], None))
-                    held += len(data) if payloads else 0
-                    if len(rows) >= 5000 or held > 16 << 20:
+                    rows.append(row_of(data))
+                    held += len(data) if payloads and isinstance(data, bytes) else 0
+                    if len(rows) >= 5000 or held > BATCH_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
-    try:
-        archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    except AnalysisException:  # no archive was made
-        archives = spark.createDataFrame([], "content binary")
-    return archives.mapInArrow(records, RECORD_SCHEMA)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    return archives.select("content").mapInArrow(records, RECORD_SCHEMA)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path, payloads=False).drop("url", "payload")
+    return read(spark, path, payloads=False).drop("url", "payload", "error")
 
 
 QUERIES = {"op8_warc": op8_warc}

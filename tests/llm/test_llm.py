@@ -190,9 +190,50 @@ def test_warc_round_trip(spark, tmp_path):
     got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
     assert len(got) == len(rows) and got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 0 and got[1]["payload_bytes"] == 150
     assert all(bytes(r["payload"]) == (html[i] or "").encode() for i, r in got.items() if i is not None and r["record_type"] == "response")
-    data = next(iter((tmp_path / "w").glob("part-*"))).read_bytes()
-    with pytest.raises(Exception):
-        list(map(warc.parse_record, warc.read_archive(data[: len(data) // 2])))
+    data = next((tmp_path / "w").rglob("part-*")).read_bytes()
+    found = list(warc.read_archive(data[: len(data) // 2]))
+    assert isinstance(found[-1], warc.Damaged) and all(isinstance(x, bytes) for x in found[:-1])
+
+
+def test_warc_cuts_archives_by_bytes(spark, tmp_path):
+    rng = random.Random(20)
+    html = {i: "".join(rng.choice("abc<>é ") for _ in range(rng.randrange(0, 3000))) for i in range(120)}
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, f"u{i}", h, "more") for i, h in html.items()], "page_id long, url string, html string, digest string")
+    warc.write(df, path, 20_000)
+    archives = list((tmp_path / "w").glob("archive=*"))
+    assert len(archives) >= 7 and all(sum(len(x) for x in warc.read_archive(next(a.glob("part-*")).read_bytes())) < 25_000 for a in archives)
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).collect() if r["record_type"] == "response"}
+    assert all(html[i] == p for i, p in got.items()) and len(set(html.values()) - set(got.values())) == 0
+
+
+def test_warc_tells_what_is_damaged(spark, tmp_path):
+    import zstandard
+
+    good = warc.record(1, "http://a/", b"x" * 50, hashlib.sha256(b"x" * 50).hexdigest(), None)
+    bad = {
+        "length": good.replace(b"Content-Length: 50", b"Content-Length: 51"), "digest": good.replace(b"xxx", b"xyx", 1), "missing": good.replace(b"WARC-Type: response\r\n", b""),
+        "twice": good.replace(b"WARC-Type: response\r\n", b"WARC-Type: response\r\nWARC-Type: response\r\n"), "version": good.replace(b"WARC/1.1", b"WARC/9"), "end": good[:-1],
+        "header": good.replace(b"WARC-Type: ", b"WARC-Type "), "text": good.replace(b"http://a/", b"\xff\xfe"),
+    }
+    pack = zstandard.ZstdCompressor(write_checksum=True).compress
+    folder = tmp_path / "w" / "archive=0"
+    folder.mkdir(parents=True)
+    late = warc.struct.pack("<II", warc.DICTIONARY_MAGIC, 4) + b"abcd"
+    broken = bytearray(pack(good))
+    broken[-2] ^= 255
+    (folder / "part-0").write_bytes(pack(good) + late + b"".join(map(pack, bad.values())) + bytes(broken) + warc.SEPARATOR + pack(good) + b"trailing words")
+    rows = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert [r["page_id"] for r in rows if r["error"] is None] == [1, 1]
+    assert len(rows) == 2 + 1 + len(bad) + 1 + 1 and all(r["error"] for r in rows if r["page_id"] is None)
+
+
+def test_warc_of_an_empty_table_and_of_no_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read(spark, path).count() == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        warc.read(spark, f"file://{tmp_path}/nowhere").count()
 
 
 def test_golay_words_two_apart_share_a_key():
