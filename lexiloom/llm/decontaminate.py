@@ -11,19 +11,19 @@ Cosine is not the only way to a candidate.  A piece's rarest run of LEAST_WORDS
 verbatim copy is found whatever its weights are; and a piece of so many common words that a likely copy of it may
 hold no weighted one is compared with every window.
 
-The benchmark is the stated query set; it is taken in blocks of at most BLOCK_ITEMS items, so what a task or the
-driver holds is bounded by a block's vocabulary.  Corpus rows are only mapped, never shuffled.
+The benchmark is the stated query set; it is taken in blocks of BLOCK_WORDS words, so what a task or the driver holds
+is bounded by a block's vocabulary.  Each block has a latent space of its own.  Corpus rows are only mapped, never
+shuffled.
 
 Results for odd input: null and empty texts match nothing; items of fewer than LEAST_WORDS words match
-exact copies only, since changed ones cannot be told from common speech; items without words match nothing; texts are searched whole; repeated rows give repeated results; several items
-with one text all match; empty tables give no rows.
+exact copies only, since changed ones cannot be told from common speech; items without words match nothing; texts are
+searched whole; repeated rows give repeated results; several items with one text all match; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -36,14 +36,15 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialise, table
 
-BLOCK_ITEMS = 4096
+#: Words of a block of the benchmark's items; a longer item is a block of its own.
+BLOCK_WORDS = 1 << 17
 #: Words of a cell; a window is two cells in a row, a benchmark piece one cell at most, so a window holds it whole.
 CELL = 32
 LEAST_WORDS = 5
 #: Latent dimensions and oversampling of the randomised SVD.
 RANK, OVERSAMPLE = 64, 16
-#: Terms in more than this share of passages, counted as STOP_PASSAGES at least, are common and stay out of the vectors.
-STOP_SHARE, STOP_PASSAGES = 0.1, 100
+#: Terms in more than this share of passages are common and stay out of the vectors.
+STOP_SHARE = 0.1
 #: Weighted terms that a window needs; least cosine of candidates.
 LEAST_TERMS, COSINE = 1, 0.2
 #: Least share of a piece's latent length that a candidate window has in the piece's direction.
@@ -55,10 +56,14 @@ SURE, LIKELY = 0.7, 0.6
 #: Rarest terms of a piece that stand for its answer, and the share of them that must be found.
 ANSWER_TERMS, ANSWER_SHARE = 5, 0.6
 FAN_IN, TERMS_PER_ROW = 64, 64
+#: Passages whose vectors are made at once.
+GRAM_PASSAGES = 4096
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_words int, coverage double, answer_share double"
 
 #: Factor of the hashes of runs, and bits of the table that most runs of a text end at.
 MIX, RUN_BITS = np.uint64(0x9E3779B97F4A7C15), 16
+#: Words of 64 bits of a signature, and windows that are compared with all pieces at once.
+SIGNED, TILE = 8, 512
 
 _words = re.compile(r"[^\W_]+").findall
 
@@ -99,6 +104,20 @@ def make_block(items: list[tuple]) -> Block:
     return Block([i for i, _, _ in items], vocabulary, pieces)
 
 
+def blocks(items: Iterable[tuple], words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The items in blocks of about so many words, one block at a time."""
+    held, n = [], 0
+    for item in items:
+        size = len(_words(item[1] or "")) + len(_words(item[2] or ""))
+        if held and n + size > words:
+            yield make_block(held)
+            held, n = [], 0
+        held.append(item)
+        n += size
+    if held:
+        yield make_block(held)
+
+
 def encode(docs: DataFrame, block: Block) -> DataFrame:
     """doc_id, n_words, and the places and numbers of the words in the vocabulary, as int32 bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
@@ -174,8 +193,10 @@ def gram_product(encoded: DataFrame, weight: np.ndarray, test: np.ndarray) -> np
             value = (1 + np.log(tf)).astype(np.float32) * weight[terms]
             norm = np.sqrt(np.bincount(owner, value**2, n)).astype(np.float32)
             value /= norm[owner]
-            for a in range(0, len(value), 1 << 16):  # passages that a cut divides only lose a cross term of the sketch
-                o, t, v = owner[a : a + (1 << 16)], terms[a : a + (1 << 16)].astype(narrow), value[a : a + (1 << 16), None]
+            borders = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+            cuts = np.unique(np.append(borders[:: GRAM_PASSAGES], len(owner)))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # whole passages at once
+                o, t, v = owner[a:b], terms[a:b].astype(narrow), value[a:b, None]
                 starts = np.flatnonzero(np.diff(o, prepend=-1))
                 y = np.add.reduceat(v * test[t], starts, axis=0)
                 at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(o))))
@@ -232,10 +253,10 @@ def common_subsequence(masks: dict[int, int], terms: list[int], length: int) ->
 
 
 def signatures(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Runs of terms as sets of 256 bits (n x 4); a bit that a piece has and a window has not is a word it lacks."""
+    """Runs of terms as sets of 64 x SIGNED bits (SIGNED x n); a bit that a piece has and a window has not is a word it lacks."""
     bit = np.uint64(1) << (terms & 63).astype(np.uint64)
-    word = terms >> 6 & 3
-    return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
+    word = terms >> 6 & SIGNED - 1
+    return np.stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(SIGNED)])
 
 
 def runs(terms: np.ndarray, words: int) -> np.ndarray:
@@ -260,7 +281,7 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
     reach = np.maximum(REACH * length, 1e-9).astype(np.float32)
     words = np.array([len(p.terms) for p in block.pieces], np.int64)
     terms = np.array([t for p in block.pieces for t in p.terms], np.int64)
-    signed = signatures(terms, np.cumsum(words) - words) if len(words) else np.zeros((0, 4), np.uint64)
+    signed = signatures(terms, np.cumsum(words) - words) if len(words) else np.zeros((SIGNED, 0), np.uint64)
     spare = np.floor((1 - LIKELY) * words + 1e-9).astype(np.int64)  # words that a likely piece may lack
     common = np.array([sum(weight[t] > 0 for t in p.terms) for p in block.pieces], np.int64) <= spare
     common &= words >= LEAST_WORDS
@@ -310,14 +331,15 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
                 starts = np.flatnonzero(np.diff(o, prepend=-1))
                 vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
             edges = np.searchsorted(owner, np.arange(cells + 2))
-            held = np.zeros((cells + 1, 4), np.uint64)
+            held = np.zeros((SIGNED, cells + 1), np.uint64)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             if len(starts):
-                held[owner[starts]] = signatures(term, starts)
+                held[:, owner[starts]] = signatures(term, starts)
+            lacking = ~(held[:, :-1] | held[:, 1:])
 
             def near_enough(w: np.ndarray, q: np.ndarray) -> np.ndarray:
-                lacks = np.bitwise_count(signed[q] & ~(held[w] | held[w + 1])).sum(axis=1)
-                return np.flatnonzero(lacks <= spare[q])
+                """Whether windows and pieces, of shapes that go together, differ in few enough words."""
+                return sum(np.bitwise_count(signed[k][q] & lacking[k][w]) for k in range(SIGNED)) <= spare[q]
 
             def cosines(w: np.ndarray, q: np.ndarray) -> np.ndarray:
                 v = vectors[w] + vectors[w + 1]
@@ -338,16 +360,14 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
                         yield start, piece.item, (common / words, common, c, answer)
 
             seen = [np.zeros(0, np.int64)]
-            for a in range(0, len(windows), 4096):
-                w = windows[a : a + 4096]
+            every = np.arange(len(pieces))[None]
+            for a in range(0, len(windows), TILE):
+                w = windows[a : a + TILE]
                 v = vectors[w] + vectors[w + 1]
-                dots = v @ queries
-                i, q = np.nonzero(dots >= reach)
-                cosine = dots[i, q] / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[i]
-                near = np.flatnonzero(cosine >= COSINE)
-                near = near[near_enough(w[i[near]], q[near])]
-                seen.append(w[i[near]] * len(pieces) + q[near])
-                yield from verified(w[i[near]], q[near], cosine[near])
+                dots, norms = v @ queries, np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+                i, q = np.nonzero((dots >= reach) & (dots >= COSINE * norms) & near_enough(w[:, None], every))
+                seen.append(w[i] * len(pieces) + q)
+                yield from verified(w[i], q, dots[i, q] / norms[i, 0])
             alive = np.ones(cells, bool)
             alive[blank] = False
             for length in anchors:
@@ -357,13 +377,13 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
                 pairs = begin * len(pieces) + q
                 pairs = np.setdiff1d(pairs[alive[begin]], np.concatenate(seen))
                 w, q = np.divmod(pairs, len(pieces))
-                near = near_enough(w, q)
+                near = np.flatnonzero(near_enough(w, q))
                 yield from verified(w[near], q[near], cosines(w[near], q[near]))
             filled = np.diff(edges) > 0
             alive &= filled[:-1] | filled[1:]
             windows = np.flatnonzero(alive)
             for k in common_pieces.tolist():
-                w = windows[near_enough(windows, np.full(len(windows), k))]
+                w = windows[near_enough(windows, np.array([k]))]
                 yield from verified(w, np.full(len(w), k), cosines(w, np.full(len(w), k)))
 
         for batch in batches:
@@ -401,20 +421,17 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row of SCHEMA for each row of ``docs`` and each benchmark item that it holds, exactly or paraphrased."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).orderBy("item_id", "text")
     out = None
-    for i in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id", "text")
-        block = make_block([tuple(r) for r in mine.collect()])  # a block of the stated query set
+    for block in blocks(tuple(r) for r in items.toLocalIterator()):
         encoded = materialise(encode(docs, block), "encoded")
         size = max(1, len(block.vocabulary))
         df, total = document_frequencies(encoded, size)
         idf = np.log((total + 1) / (df + 1)) ** 2 + 0.1  # squared, so that the rare terms of a short piece outweigh its surroundings
-        weight = np.where(df > STOP_SHARE * max(total, STOP_PASSAGES), 0.0, idf)
+        weight = np.where(df > STOP_SHARE * total, 0.0, idf)
         found = search(encoded, block, idf, weight, latent_space(encoded, weight))
         out = found if out is None else out.unionByName(found)
-    return out
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
