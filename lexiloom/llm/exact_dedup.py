@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialise, table
 
 #: Digests a shard holds about, and the least number of shards, for parallelism.
 SHARD_SIZE, LEAST_SHARDS = 50_000, 64
+#: Copies of one row that a task makes alone.
+COPIES = 100_000
 #: Bits per key in each level; over 1 so that few levels are needed.
 GAMMA = 1.6
-INDEX_SCHEMA = "shard int, n int, sizes array<int>, bits binary, digests binary, winners binary, counts binary"
+INDEX_SCHEMA = "shard int, n int, sizes array<int>, bits binary, digests binary, winners binary, known binary, counts binary"
 
 
 def _slots(words: np.ndarray, size: int, level: int) -> np.ndarray:
@@ -74,7 +76,8 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     digests = _matrix(pdf["digest"])
     sizes, bits, slot = build_hash(digests)
     order = np.argsort(slot)
-    winners, counts = pdf["winner"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    known = pdf["winner"].notna().to_numpy()  # a text that only rows without an id have is known without a winner
+    winners, counts = pdf["winner"].fillna(0).to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     return pd.DataFrame(
         {
             "shard": [pdf["shard"].iloc[0]],
@@ -83,6 +86,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
             "bits": [np.packbits(bits).tobytes()],
             "digests": [digests[order].tobytes()],
             "winners": [winners[order].tobytes()],
+            "known": [np.packbits(known[order]).tobytes()],
             "counts": [counts[order].tobytes()],
         }
     )
@@ -100,7 +104,9 @@ def _probe(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         slot = find_slots(asked, sizes, bits)
         member = (slot >= 0) & (held[slot] == asked).all(axis=1)
         winners, counts = np.frombuffer(row["winners"], np.int64), np.frombuffer(row["counts"], np.int64)
-        out["history_winner"] = pd.Series(np.where(member, winners[slot], 0), index=out.index).where(member)
+        known = np.unpackbits(np.frombuffer(row["known"], np.uint8))[: len(winners)].astype(bool)
+        out["history_winner"] = pd.array(np.where(member, winners[slot], 0), "Int64")
+        out.loc[~(member & known[slot]), "history_winner"] = pd.NA
         out["history_n"] = np.where(member, counts[slot], 0)
     return out.astype({"history_winner": "Int64"})
 
@@ -123,8 +129,7 @@ def shard_of(shards: int) -> Column:
 
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
     """One row a shard (INDEX_SCHEMA) from distinct (digest, winner, n); can be kept as a table."""
-    held = groups.withColumn("winner", F.coalesce("winner", F.lit(-(2**63)))).withColumn("shard", shard_of(shards))
-    return held.groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
+    return groups.withColumn("shard", shard_of(shards)).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
 
 
 def resolve(history: DataFrame, new: DataFrame, shards: int) -> DataFrame:
@@ -137,7 +142,7 @@ def resolve(history: DataFrame, new: DataFrame, shards: int) -> DataFrame:
     )
     found = probed.select(
         "digest",
-        F.greatest("winner", F.expr("nullif(history_winner, -9223372036854775808L)")).alias("winner"),
+        F.greatest("winner", "history_winner").alias("winner"),
         (F.col("n") + F.col("history_n")).alias("n"),
     )
     # what only the history holds stays as it is; max and max agree for what both hold
@@ -146,7 +151,7 @@ def resolve(history: DataFrame, new: DataFrame, shards: int) -> DataFrame:
 
 
 def dedup(df: DataFrame, is_history: Column, text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest for every row of ``df``.
+    """doc_id, keep_id, group_size, kept, digest and n (rows equal in id and text) for every row of ``df``.
 
     ``is_history`` tells the rows that came earlier; any split gives the same groups, and both parts are
     returned whole.  Groups are combined per map task before each shuffle, so a hot text is no hot task; the
@@ -158,9 +163,20 @@ def dedup(df: DataFrame, is_history: Column, text: str = "text") -> DataFrame:
     groups = resolve(rows.where("old"), rows.where("NOT old"), shards)
     # written first, so that both sides of the join are exchanges and AQE can split a hot digest
     joined = rows.drop("old").join(materialise(groups, "digest-groups"), "digest")
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    copies = repeated(joined)
     kept = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)
-    return copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+    return copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "n")
+
+
+def repeated(rows: DataFrame, most: int = COPIES) -> DataFrame:
+    """Each row ``n`` times, with its number ``copy`` from 1.
+
+    Rows of over ``most`` copies are first made into runs of that many, which are dealt out, so no task makes a hot row alone.
+    """
+    few = rows.where(f"n <= {most}").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    runs = rows.where(f"n > {most}").withColumn("from", F.explode(F.expr(f"sequence(1L, n, {most}L)"))).repartition("digest", "from")
+    many = runs.withColumn("copy", F.explode(F.expr(f"sequence(from, least(n, from + {most - 1}L))"))).drop("from")
+    return few.unionByName(many)
 
 
 def earlier_half() -> Column:
@@ -170,21 +186,31 @@ def earlier_half() -> Column:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"), earlier_half())
-    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest", "n")
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that stay, with all its columns: one of each group of equal texts."""
-    names = df.columns
-    won = dedup(df, earlier_half()).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    mine = df.withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("__id", F.col("doc_id").cast("long"))
-    same = [mine["__digest"] == won["__digest"], mine["__id"].eqNullSafe(won["__id"])]
-    stay = mine.join(won, same, "left_semi")
-    # repeated rows have the same id and digest; only they can differ in their number here
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("__digest", "__id").orderBy(F.lit(1)))
-    return stay.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of ``df`` that stay, with all its columns: one of each group of equal texts.
+
+    The texts are shuffled once, for the join on id and digest; only rows that are repeated whole are numbered.
+    """
+    names, own = df.columns, {"id": "__id", "digest": "__digest"}
+    while set(own.values()) & set(names):
+        own = {k: v + "_" for k, v in own.items()}
+    one, digest = own["id"], own["digest"]
+    won = dedup(df, earlier_half()).where("kept").select(F.col("doc_id").alias(one), F.col("digest").alias(digest), "n")
+    won = materialise(won, "digests-kept")
+    mine = df.withColumn(digest, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn(one, F.col("doc_id").cast("long"))
+    same = [mine[digest] == won[digest], mine[one].eqNullSafe(won[one])]
+    back = [F.col(f"`{c}`") for c in names]
+    again = won.where("n > 1")
+    if again.isEmpty():
+        return mine.join(won, same, "left_semi").select(*back)
+    some = [mine[digest] == again[digest], mine[one].eqNullSafe(again[one])]
+    single = mine.join(again, some, "left_anti").join(won, same, "left_semi").select(*back)
+    nth = F.row_number().over(Window.partitionBy(digest, one).orderBy(F.lit(1)))
+    numbered = mine.join(again, some, "left_semi").withColumn(one + "n", nth).where(F.col(one + "n") == 1)
+    return single.unionByName(numbered.select(*back))
 
 
 QUERIES = {"op3_exact_dedup": op3_exact_dedup}
