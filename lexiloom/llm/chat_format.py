@@ -1,9 +1,10 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, all in Spark SQL functions.
 
-Every turn becomes one segment.  The template gives each role an opening and a closing mark and says whether
-its text is under the loss.  Control strings inside texts are escaped by a backslash behind their first
-character (and look-alikes with backslashes by one more), so ``parse`` restores every text exactly.  The
-machine walks over the roles in turn order and tells at which turn the order breaks.
+Every turn becomes three segments: opening mark, text and closing mark.  The template gives each role its marks and
+says whether its text is under the loss; marks never are.  Control strings, as the template's marks hold them, are
+escaped inside texts by a backslash behind their first character (and look-alikes with backslashes by one more), so
+``parse`` restores every text exactly, and so does ``unescape`` for each segment under the loss.  The machine walks
+over the roles in turn order and tells at which turn the order breaks.
 
 Results for odd input: a null text is empty; a null or unknown role is written as the template's other role with
 its name escaped; equal turns are ordered by role and text; an order that the machine does not accept is still
@@ -13,7 +14,9 @@ conversation; empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +37,6 @@ class Template:
     #: for any other role, whose name goes in front of the text, closed by name_end
     other: tuple[str, str, bool] = ("<s>[ROLE] ", " [/ROLE]</s>", False)
     name_end: str = "[TEXT] "
-    #: control strings without their first character; none holds another's first character
-    first: str = r"<\["
-    tails: tuple[str, ...] = ("s>", "/s>", "SYS]", "/SYS]", "INST]", "/INST]", "OUT]", "/OUT]", "ROLE]", "/ROLE]", "TEXT]")
     #: state: {role: next state}; "start" is the first one and any state but "system" may be the last
     machine: dict[str, dict[str, str]] = field(
         default_factory=lambda: {
@@ -48,21 +48,38 @@ class Template:
     )
 
 
-BRACKETS = Template()
+    @cached_property
+    def controls(self) -> list[str]:
+        """The control strings of all marks, each in angle or square brackets; between them a mark has only spaces."""
+        marks = [m for v in (*self.roles.values(), self.other) for m in v[:2]] + [self.name_end]
+        found = [re.findall(r"<[^<>\[\]]*>|\[[^<>\[\]]*\]", m) for m in marks]
+        if any("".join(x) != m.replace(" ", "") for x, m in zip(found, marks, strict=True)):
+            raise ValueError("marks consist of control strings in brackets and spaces")
+        if len({x[0] for x in found[:-1:2]}) != 1:
+            raise ValueError("all opening marks begin with one control string")
+        return sorted({c for x in found for c in x})
+
+    @property
+    def start(self) -> str:
+        """What every turn begins with."""
+        return self.other[0][: self.other[0].index(">") + 1] if self.other[0][0] == "<" else self.other[0][: self.other[0].index("]") + 1]
+
+    def pattern(self, slashes: str) -> str:
+        """A regex of control strings with backslashes behind their first character; three groups."""
+        tails = "|".join(sorted({re.escape(c[1:]) for c in self.controls}))
+        return rf"([<\[]){slashes}({tails})"
 
 
-def _control(t: Template, slashes: str) -> str:
-    tails = "|".join(x.replace("]", "\\]") for x in t.tails)
-    return rf"([{t.first}]){slashes}({tails})"
+BRACKETS = Template()
 
 
 def escape(text: Column, t: Template = BRACKETS) -> Column:
     """One more backslash in every control string and in whatever looks like an escaped one."""
-    return F.regexp_replace(text, _control(t, r"(\\*)"), r"$1\\$2$3")
+    return F.regexp_replace(text, t.pattern(r"(\\*)"), r"$1\\$2$3")
 
 
 def unescape(text: Column, t: Template = BRACKETS) -> Column:
-    return F.regexp_replace(text, _control(t, r"\\(\\*)"), "$1$2$3")
+    return F.regexp_replace(text, t.pattern(r"\\(\\*)"), "$1$2$3")
 
 
 def _pick(role: Column, values: dict, other) -> Column:
@@ -72,18 +89,17 @@ def _pick(role: Column, values: dict, other) -> Column:
     return out.otherwise(F.lit(other))
 
 
-def segments(df: DataFrame, t: Template = BRACKETS) -> DataFrame:
-    """One row a turn: conv_id, turn, role, text and its ``segment``; a map over rows."""
-    role, known = F.col("role"), list(t.roles)
-    name = F.when(role.isin(known), F.lit("")).otherwise(F.concat(escape(F.coalesce(role, F.lit("")), t), F.lit(t.name_end)))
-    segment = F.concat(
-        _pick(role, {k: v[0] for k, v in t.roles.items()}, t.other[0]),
-        name,
-        escape(F.coalesce("text", F.lit("")), t),
-        _pick(role, {k: v[1] for k, v in t.roles.items()}, t.other[1]),
-    )
-    loss = F.coalesce(_pick(role, {k: v[2] for k, v in t.roles.items()}, t.other[2]), F.lit(False))
-    return df.select("conv_id", "turn", "role", segment.alias("segment"), loss.alias("loss"))
+def escaped(df: DataFrame, t: Template = BRACKETS) -> DataFrame:
+    """conv_id, turn, role and the escaped text of every turn; a map over rows."""
+    return df.select("conv_id", "turn", "role", escape(F.coalesce("text", F.lit("")), t).alias("text"))
+
+
+def segments(role: Column, text: Column, t: Template = BRACKETS) -> Column:
+    """The three segments (text, loss) of a turn with its escaped text."""
+    name = F.when(role.isin(list(t.roles)), F.lit("")).otherwise(F.concat(escape(F.coalesce(role, F.lit("")), t), F.lit(t.name_end)))
+    opening, closing, loss = (_pick(role, {k: v[i] for k, v in t.roles.items()}, t.other[i]) for i in range(3))
+    one = lambda x, flag: F.struct(x.alias("text"), flag.alias("loss"))
+    return F.array(one(F.concat(opening, name), F.lit(False)), one(text, F.coalesce(loss, F.lit(False))), one(closing, F.lit(False)))
 
 
 def states(roles: Column, t: Template = BRACKETS) -> Column:
@@ -110,42 +126,43 @@ def format_conversations(df: DataFrame, t: Template = BRACKETS) -> DataFrame:
 
     Escaping runs before the shuffle, where it is spread over all tasks; the group only puts segments in order.
     """
-    turns = segments(df, t).groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "segment", "loss"))).alias("turns")
+    turns = escaped(df, t).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    made = turns.withColumn("walk", states(F.col("turns.role"), t)).withColumn(
+        "segments", F.flatten(F.transform("turns", lambda x: segments(x["role"], x["text"], t)))
     )
-    return (
-        turns.withColumn("walk", states(F.col("turns.role"), t))
-        .select(
-            "conv_id",
-            F.transform("turns", lambda x: F.struct(x["segment"].alias("text"), x["loss"].alias("loss"))).alias("segments"),
-            F.array_join("turns.segment", "").alias("formatted"),
-            (F.col("walk.bad").isNull() & ~F.col("walk.state").isin("system", "start")).alias("valid"),
-            F.col("walk.bad").alias("bad_turn"),
-        )
+    return made.select(
+        "conv_id",
+        "segments",
+        F.array_join("segments.text", "").alias("formatted"),
+        (F.col("walk.bad").isNull() & ~F.col("walk.state").isin("system", "start")).alias("valid"),
+        F.col("walk.bad").alias("bad_turn"),
     )
 
 
+def under_loss(segs: Column, t: Template = BRACKETS) -> Column:
+    """All text under the loss, unescaped, segment by segment with nothing between."""
+    return F.array_join(F.transform(F.filter(segs, lambda x: x["loss"]), lambda x: unescape(x["text"], t)), "")
+
+
 def parse(formatted: Column, t: Template = BRACKETS) -> Column:
-    """array<struct<role, text, loss>> read back from the formatted string alone."""
-    parts = F.filter(F.split(formatted, "<s>"), lambda x: x != "")
+    """array<struct<role, text>> read back from the formatted string alone."""
+    parts = F.filter(F.split(formatted, re.escape(t.start)), lambda x: x != "")
     marks = {k: v for k, v in t.roles.items()}
-    begin = lambda mark: mark.removeprefix("<s>")
+    begin = lambda mark: mark.removeprefix(t.start)
 
     def turn(x: Column) -> Column:
-        role = text = loss = None
-        for name, (opening, closing, lossy) in marks.items():
+        role = text = None
+        for name, (opening, closing, _) in marks.items():
             body = F.substring(x, F.lit(len(begin(opening)) + 1), F.length(x) - len(begin(opening)) - len(closing))
             hit = x.startswith(begin(opening))
             role = (F if role is None else role).when(hit, F.lit(name))
             text = (F if text is None else text).when(hit, body)
-            loss = (F if loss is None else loss).when(hit, F.lit(lossy))
         body = F.substring(x, F.lit(len(begin(t.other[0])) + 1), F.length(x) - len(begin(t.other[0])) - len(t.other[1]))
         name = F.substring_index(body, t.name_end, 1)
         rest = F.substring(body, F.length(name) + len(t.name_end) + 1, F.length(body))
         return F.struct(
             role.otherwise(unescape(name, t)).alias("role"),
             unescape(text.otherwise(rest), t).alias("text"),
-            loss.otherwise(F.lit(t.other[2])).alias("loss"),
         )
 
     return F.transform(parts, turn)
@@ -166,7 +183,7 @@ def with_extra(conversations: DataFrame) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = format_conversations(with_extra(table(spark, sf_dir, "conversations")))
     read = made.withColumn("turns", parse(F.col("formatted")))
-    lossy = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
+    lossy = under_loss(F.col("segments"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.withColumn("lossy", lossy).select(
         "conv_id",
@@ -185,8 +202,8 @@ QUERIES = {"op6_chat_formatting": op6_chat_formatting}
 
 def _sql(t: Template = BRACKETS) -> str:
     added = " ".join(f"WHEN '{k}' THEN {len(v[0]) + len(v[1])}" for k, v in t.roles.items())
-    tails = "|".join(x.replace("]", "\\]") for x in t.tails)
-    cuts = lambda c: f"len(regexp_extract_all({c}, '[{t.first}]\\\\*({tails})'))"
+    pattern = t.pattern(r"\\*")
+    cuts = lambda c: f"len(regexp_extract_all({c}, '{pattern}'))"
     other = len(t.other[0]) + len(t.other[1]) + len(t.name_end)
     moves = ", ".join(f"('{s}', '{r}')" for s, to in t.machine.items() for r in to)
     return f"""
