@@ -1,12 +1,15 @@
 """Sharding along a Hilbert curve, law ``rows``: shard counts differ by one at most.
 
-Each row's metadata is quantised to a cell of a grid; the rows are range-sorted by the cell's place on the
-Hilbert curve, then by the text's checksum, so that equal texts lie together and files cover small boxes of
-all dimensions at once; the sorted run is cut into shards of equal row counts.  A group of copies may be cut
-between two shards where its run crosses a border, since no law could hold a group of a third of all rows whole.
-
-Results for odd input: a null text has size 1 and checksum 0; null dimensions are quantised to 0; repeated rows
-get slots of their own; an empty table gives no rows; more shards than rows leave shards empty.
+Each row's metadata (language, source and size) is quantised to a cell of a grid, every dimension by how its values are spread
+over all rows; the rows are range-sorted by the cell's place on the Hilbert curve, then by the text's checksum, and the sorted
+run is cut into shards of equal row counts, so that files cover small boxes of all dimensions at once and a filter on any of
+them prunes.  Copies of one text with one language
+and source lie together; where their run crosses a border it is cut, since no law could hold a group of a third of all rows
+whole.
+
+Results for odd input: a null text has size 1 and checksum 0; null dimensions, and those that the table has no column
+for, are quantised to 0; repeated rows get slots of their own; an empty table gives no rows; more shards than rows leave
+shards empty; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import materialise, table
 
 BITS = 8
+#: Values of a dimension that get cells by their order; rarer ones than these get cells by a hash.
+CATEGORIES = 4096
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -61,27 +66,47 @@ def curve(dimensions: list[Column], bits: int = BITS) -> Column:
     return index(*[F.coalesce(d.cast("long"), F.lit(0)) for d in dimensions])
 
 
-def quantised(bits: int = BITS) -> list[Column]:
-    """Language code, size on a logarithmic scale, and the checksum's first bits: all follow from a text and its
-    language, so copies share a cell."""
-    letter = lambda i: F.ascii(F.substring(F.lower("lang"), i, 1)) - 97
-    lang = F.floor((letter(1) * 26 + letter(2)) * (1 << bits) / 676)
-    size = F.floor(F.log2("size") * 10)
-    return [lang, size, F.shiftright("text_crc32", 32 - bits)]
+def categories(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """``column`` and its cell for the CATEGORIES most frequent values: where the middle of a value's rows lies in their order."""
+    often = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(CATEGORIES).collect()
+    total, before, out = sum(r["count"] for r in often), 0, []
+    for r in sorted(often, key=lambda r: r[column]):
+        out.append((r[column], int((before + r["count"] / 2) / total * (1 << bits))))
+        before += r["count"]
+    return rows.sparkSession.createDataFrame(out, f"{column} string, {column}_cell int")
+
+
+def size_cuts(rows: DataFrame, bits: int = BITS) -> list[int]:
+    """The sizes that cut all rows into 2**bits parts of about equal counts."""
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    return rows.agg(F.percentile_approx("size", shares, 10_000)).first()[0] or []
+
+
+def quantised(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows (lang, source, size, ...) with the cells lang_cell, source_cell and size_cell; nulls have cell 0."""
+    out = rows
+    for column in ("lang", "source"):
+        rare = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+        cell = F.when(F.col(column).isNull(), 0).otherwise(F.coalesce(f"{column}_cell", rare))
+        out = out.join(F.broadcast(categories(rows, column, bits)), column, "left").withColumn(f"{column}_cell", cell.cast("int"))
+    return out.withColumn("size_cell", F.size(F.filter(F.lit(size_cuts(rows, bits)).cast("array<long>"), lambda c: c <= F.col("size"))))
 
 
 def assign(df: DataFrame, shards: int, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot of every row."""
+    known = [F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     sized = df.select(
         "doc_id",
-        "lang",
+        *known,
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = sized.withColumn("curve", curve(quantised(bits), bits)).drop("lang")
-    # the last key tells repeated rows apart, so that no run of equals lands in one range
+    # the tie tells repeated rows apart, so that no run of equals lands in one range; written, since it must stay as it is
+    sized = materialise(sized.withColumn("tie", F.monotonically_increasing_id()), "hilbert-sizes")
+    placed = quantised(sized, bits)
+    placed = placed.withColumn("curve", curve([F.col("lang_cell"), F.col("source_cell"), F.col("size_cell")], bits))
+    placed = placed.select("doc_id", "size", "text_crc32", "curve", "tie")
     keys = ["curve", "text_crc32", "doc_id", "tie"]
-    placed = placed.withColumn("tie", F.monotonically_increasing_id())
     run = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
     run = run.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     run = materialise(run, "hilbert")
@@ -101,10 +126,11 @@ def assign(df: DataFrame, shards: int, bits: int = BITS) -> DataFrame:
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Write ``df`` (unique doc_id) by shard, in files of runs of the curve, whose footers prune by every dimension."""
+    """Write ``df`` (unique doc_id, no columns run, shard, slot or curve) by shard, a file for each run of the curve, whose footer
+    prunes by every dimension."""
     run = F.expr(f"slot div {rows_per_file}")
     kept = df.join(assigned.select("doc_id", "curve", "shard", "slot"), "doc_id").withColumn("run", run)
-    kept.repartition("shard", "run").sortWithinPartitions("shard", "slot").drop("run").write.partitionBy("shard").parquet(path)
+    kept.repartition("shard", "run").sortWithinPartitions("shard", "run", "slot").write.partitionBy("shard", "run").parquet(path)
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
