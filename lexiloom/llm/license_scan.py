@@ -1,13 +1,14 @@
 """License scans by ordered signature rules.
 
-Hundreds of signatures, four forms for each known licence (address, identifier tag, grant sentence, plain name),
-are gated by keywords: one Aho-Corasick pass over a text tells which rules can match at all, and only those
-regexes run.  A rule's keywords are derived from its regex, so that each of its matches contains one of them once
-white space is taken as one space.  Detections are taken in order of priority, then length, then place; one whose interval lies within
-an interval already taken is suppressed.  Three base phrases are always reported, with all their places.
-
-Results for odd input: null and empty texts have no words, no labels and score 0; texts are scanned whole;
-repeated rows are scanned one by one; other columns of the input do not matter.
+Hundreds of signatures written by hand (a name and an address of each licence, and sentences of licence texts and notices),
+with an identifier and a grant rule for each licence, are gated by keywords: one Aho-Corasick pass over a text tells which
+rules can match at all, and only those regexes run.  A rule's keywords are derived from its regex, so that each of its matches
+contains one of them once white space is taken as one space.  Identifiers are sought within the expressions of tag lines, whole
+ones only.  Detections are taken in order of priority, then length, then place; one whose interval lies within an interval
+already taken is suppressed.  Three base phrases are always reported, with all their places.
+
+Results for odd input: null and empty texts have no words, no labels and score 0; texts are scanned whole, in time that is
+linear but for a logarithm in their detections; repeated rows are scanned one by one; other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -97,18 +98,99 @@ cc-by-nc | cc-by-nc-\d | cc by | (?:creative commons|cc) by[- ]nc(?: \d\.0)?(?![
 cc-by-nd | cc-by-nd- | cc by | (?:creative commons|cc) by[- ]nd(?: \d\.0)? | creativecommons\.org/licenses/by-nd
 cc-by-nc-sa | cc-by-nc-sa- | cc by | (?:creative commons|cc) by[- ]nc[- ]sa(?: \d\.0)? | creativecommons\.org/licenses/by-nc-sa
 cc-by-nc-nd | cc-by-nc-nd- | cc by | (?:creative commons|cc) by[- ]nc[- ]nd(?: \d\.0)? | creativecommons\.org/licenses/by-nc-nd
-cc-attribution | cc-attribution | attribution | creative commons attribution(?: \d\.0)?(?: international| unported)?(?: licen[cs]e)? | creativecommons\.org/licenses/attribution
-cc-sharealike | cc-sharealike | sharealike | creative commons attribution[- ]sharealike(?: licen[cs]e)? | creativecommons\.org/licenses/sharealike
-cc-noncommercial | cc-noncommercial | noncommercial | creative commons attribution[- ]noncommercial(?: licen[cs]e)? | creativecommons\.org/licenses/noncommercial
-openrail | openrail | openrail | (?:bigscience )?openrail(?:-m)? licen[cs]e | huggingface\.co/spaces/\S*license
+openrail | openrail | openrail | (?:bigscience )?openrail(?:-m)? licen[cs]e | huggingface\.co/spaces/bigscience/license
 llama | llama | llama | llama \d* ?community licen[cs]e | ai\.meta\.com/llama/license
-all-rights-reserved | proprietary | all rights reserved | all rights reserved | licenses/proprietary
-proprietary | licenseref-proprietary | proprietary | proprietary(?: and confidential)? licen[cs]e | licenses/closed
 public-domain | public-domain | public domain | (?:released|placed|dedicated) (?:in)?to the public domain | creativecommons\.org/publicdomain/mark
 """
+#: label | priority | sentence of a licence's text or of a notice
+SENTENCES = r"""
+mit | 35 | permission is hereby granted, free of charge, to any person obtaining a copy of this software
+mit | 33 | the above copyright notice and this permission notice shall be included in all copies or substantial portions
+mit-0 | 36 | permission is hereby granted, free of charge, to any person obtaining a copy of this software (?:\S+ ){1,40}without restriction(?:\S* ){1,40}to whom the software is furnished to do so\.? the software is provided
+isc | 35 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
+0bsd | 36 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. the software is provided
+bsd | 34 | redistribution and use in source and binary forms, with or without modification, are permitted
+bsd-2-clause | 33 | redistributions in binary form must reproduce the above copyright notice, this list of conditions
+bsd-3-clause | 35 | neither the name of \S+(?: \S+){0,12} nor the names of (?:its|their) contributors may be used to endorse or promote
+bsd-4-clause | 35 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-2.0 | 35 | you may not use this file except in compliance with the license
+apache-2.0 | 34 | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an
+apache-2.0 | 34 | subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide
+apache-1.1 | 34 | this product includes software developed by the apache software foundation
+gpl | 34 | this program is free software[;:] you can redistribute it and/or modify it
+gpl-2.0 | 36 | under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] either version 2
+gpl-2.0 | 36 | under the terms of the gnu general public licen[cs]e version 2 as published by
+gpl-3.0 | 36 | under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] either version 3
+gpl | 33 | without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public licen[cs]e
+gpl | 33 | you should have received a copy of the gnu general public licen[cs]e along with
+lgpl | 35 | this library is free software[;:] you can redistribute it and/or modify it
+lgpl-2.1 | 37 | under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation[;,] either version 2\.1
+lgpl-3.0 | 37 | under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation[;,] either version 3
+lgpl | 34 | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with
+agpl-3.0 | 37 | under the terms of the gnu affero general public licen[cs]e as published by the free software foundation[;,] either version 3
+agpl | 34 | you should have received a copy of the gnu affero general public licen[cs]e along with
+gfdl | 36 | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e
+gpl | 32 | everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document, but changing it is not allowed
+mpl-2.0 | 36 | this source code form is subject to the terms of the mozilla public licen[cs]e,? v\. ?2\.0
+mpl-2.0 | 34 | if a copy of the mpl was not distributed with this file, you can obtain one at
+mpl-1.1 | 36 | the contents of this file are subject to the mozilla public licen[cs]e version 1\.1
+cddl | 36 | the contents of this file are subject to the terms of the common development and distribution licen[cs]e
+epl-1.0 | 36 | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1\.0
+epl-2.0 | 36 | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e,? (?:v(?:ersion)?\.? ?)?2\.0
+bsl-1.0 | 35 | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+unlicense | 35 | this is free and unencumbered software released into the public domain
+unlicense | 34 | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+zlib | 35 | this software is provided 'as-is', without any express or implied warranty\. in no event will the authors be held liable
+zlib | 34 | altered source versions must be plainly marked as such, and must not be misrepresented as being the original software
+wtfpl | 35 | everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document, and changing it is allowed
+artistic-2.0 | 34 | this licen[cs]e establishes the terms under which a given free software package may be copied, modified, distributed
+artistic | 34 | the intent of this document is to state the conditions under which a package may be copied
+openssl | 35 | this product includes software developed by the openssl project
+php | 35 | this product includes php software, freely available from
+python | 34 | subject to the terms and conditions of this licen[cs]e agreement, psf hereby grants licensee a nonexclusive
+postgresql | 36 | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted
+ncsa | 36 | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the "software"\), to deal with the software without restriction
+w3c | 35 | by obtaining, using and/or copying this work, you \(the licensee\) agree
+ofl | 36 | this font software is licensed under the sil open font licen[cs]e
+ofl | 34 | the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself
+lppl | 36 | this work may be distributed and/or modified under the conditions of the latex project public licen[cs]e
+json | 37 | the software shall be used for good, not evil
+vim | 34 | there are no restrictions on distributing unmodified copies of vim
+upl | 36 | subject to the condition set forth below, permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data
+ms-pl | 34 | this licen[cs]e governs use of the accompanying software\. if you use the software, you accept this licen[cs]e
+cc-by | 36 | this work is licensed under a creative commons attribution(?: \d\.0)? (?:international|unported|generic)
+cc-by-sa | 37 | this work is licensed under a creative commons attribution-share ?alike
+cc-by-nc | 37 | this work is licensed under a creative commons attribution-non ?commercial(?:-?[ ]?\d\.0)? (?:international|unported|generic)
+cc-by-nc-sa | 38 | this work is licensed under a creative commons attribution-non ?commercial-share ?alike
+cc-by-nc-nd | 38 | this work is licensed under a creative commons attribution-non ?commercial-no ?deriv\S+
+cc-by-nd | 37 | this work is licensed under a creative commons attribution-no ?deriv\S+
+cc0 | 36 | to the extent possible under law, \S+(?: \S+){0,12} (?:has|have) waived all copyright and related or neighboring rights
+cc0 | 36 | no rights reserved
+cc-by | 30 | creative commons attribution(?: \d\.0)?(?: international| unported| generic)?(?: public)? licen[cs]e
+cc-by-sa | 31 | creative commons attribution[- ]share ?alike(?: \d\.0)?(?: international| unported| generic)?(?: public)? licen[cs]e
+cc-by-nc | 31 | creative commons attribution[- ]non ?commercial(?: \d\.0)?(?: international| unported| generic)?(?: public)? licen[cs]e
+public-domain | 34 | this (?:work|file|code|software|text) is in the public domain
+public-domain | 33 | i,? the (?:author|copyright holder) of this work,? (?:hereby )?release (?:it|this work) into the public domain
+all-rights-reserved | 25 | all rights reserved
+all-rights-reserved | 34 | no part of this (?:publication|book|work|document) may be reproduced
+proprietary | 34 | (?:this (?:software|document|file) (?:is|contains) )?(?:the )?(?:confidential and proprietary|proprietary and confidential) (?:information|property)
+proprietary | 33 | unauthori[sz]ed copying of this (?:file|software|document),? via any medium,? is strictly prohibited
+proprietary | 20 | proprietary licen[cs]e
+elastic | 35 | you may not provide the software to third parties as a hosted or managed service
+sspl | 35 | if you make the functionality of the program or a modified version available to third parties as a service
+busl | 35 | the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work
+llama | 35 | you are granted a non-exclusive, worldwide, non-transferable and royalty-free limited licen[cs]e under meta's
+eupl | 36 | licensed under the eupl
+cecill | 35 | this software is governed by the cecill(?:-[abc])? licen[cs]e under french law
+osl | 36 | licensed under the open software licen[cs]e version
+afl | 36 | licensed under the academic free licen[cs]e version
+odbl | 35 | any rights in individual contents of the database are licensed under
+"""
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|redistributable|covered|made available|dual[- ]licen[cs]ed|subject to(?: the terms of)?)(?: \S+){0,3}? (?:under|by|of)(?: (?:the )?terms of)?(?: the| a| an)? "
-#: of each form: priority, confidence
-FORMS = {"address": (40, 0.98), "tag": (40, 0.99), "grant": (30, 0.95), "name": (10, 0.8)}
+#: of each form: priority, confidence; a sentence has a priority of its own
+FORMS = {"address": (40, 0.98), "tag": (41, 0.99), "sentence": (0, 0.97), "grant": (30, 0.95), "name": (10, 0.8)}
+#: The identifiers of a tag line; operators join them, a bracket may stand around some.
+EXPRESSION = re.compile(r"spdx-license-identifier:[ \t(]*([\w.+-]+(?:[ \t)]+(?:or|and|with)[ \t(]+[\w.+-]+)*)")
 
 
 class Rule(NamedTuple):
@@ -187,14 +269,20 @@ def rules() -> tuple[Rule, ...]:
     for line in LICENSES.strip().splitlines():
         label, tag, _, name, address = (x.strip() for x in line.split(" | "))
         named = keywords(spaced(name))
+        # a family's rule takes any version of it; the rule of one version is the stronger one
+        whole, exact = (rf"{tag}[\w.+-]*", 0) if tag.endswith("-") or tag.endswith(r"-\d") else (rf"{tag}(?:-only|-or-later|\+)?", 1)
         shapes = {
             "address": (rf"(?<![a-z0-9]){address}", keywords(address)),
-            "tag": (rf"spdx-license-identifier:\s*(?:\S+\s+(?:or|and|with)\s+)*\(?({tag}[^\s)]*)", frozenset({"spdx-license-identifier"})),
+            "tag": (rf"(?<![\w.+-]){whole}(?![\w.+-])", frozenset({"spdx-license-identifier"})),
             "grant": (spaced(rf"(?<![a-z0-9]){GRANT}(?:{name})(?![a-z0-9])"), named),
             "name": (spaced(rf"(?<![a-z0-9])(?:{name})(?![a-z0-9])"), named),
         }
         for form, (pattern, key) in shapes.items():
-            out.append(Rule(label, form, *FORMS[form], key, re.compile(pattern)))
+            priority, confidence = FORMS[form]
+            out.append(Rule(label, form, priority + exact * (form == "tag"), confidence, key, re.compile(pattern)))
+    for line in SENTENCES.strip().splitlines():
+        label, priority, sentence = (x.strip() for x in line.split(" | "))
+        out.append(Rule(label, "sentence", int(priority), FORMS["sentence"][1], keywords(spaced(sentence)), re.compile(spaced(rf"(?<![a-z0-9])(?:{sentence})"))))
     return tuple(out)
 
 
@@ -215,21 +303,41 @@ def gate():
 
 
 def suppress(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of (start, end, rule number), those that no stronger, longer or earlier one contains."""
-    kept: list[tuple[int, int, int]] = []
+    """Of (start, end, rule number), those that no stronger, longer or earlier one contains.
+
+    For each place a tree holds the furthest end of the intervals taken that begin there or before.
+    """
     order = rules()
+    place = {a: i + 1 for i, a in enumerate(sorted({a for a, _, _ in found}))}
+    furthest, kept = [-1] * (len(place) + 1), []
     for x in sorted(found, key=lambda x: (-order[x[2]].priority, x[0] - x[1], x[0], x[2])):
-        if not any(a <= x[0] and x[1] <= b for a, b, _ in kept):
+        i, most = place[x[0]], -1
+        while i:
+            most = max(most, furthest[i])
+            i &= i - 1
+        if most < x[1]:
             kept.append(x)
+            i = place[x[0]]
+            while i < len(furthest):
+                furthest[i] = max(furthest[i], x[1])
+                i += i & -i
     return sorted(kept)
 
 
+def candidates(text: str, active: Iterable[int]) -> list[tuple[int, int, int]]:
+    """(start, end, rule number) of all matches of the rules in a lower-cased text."""
+    tags, found = [m.span(1) for m in EXPRESSION.finditer(text)], []
+    for i in active:
+        spans = tags if rules()[i].form == "tag" else [(0, len(text))]
+        found += [(*m.span(), i) for a, b in spans for m in rules()[i].pattern.finditer(text, a, b)]
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, rule number) in a lower-cased text, after suppression."""
+    """(start, end, rule number) in a lower-cased text: of the rules whose keywords it holds, after suppression."""
     plain = f" {' '.join(text.split())} "
     active = {i for which in {key: which for _, (key, which) in gate().iter(plain)}.values() for i in which}
-    # an identifier's interval is the identifier alone, so that those of one tag line stand beside each other
-    return suppress([(*m.span(m.re.groups), i) for i in sorted(active) for m in rules()[i].pattern.finditer(text)])
+    return suppress(candidates(text, sorted(active))) if active else []
 
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
