@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,34 @@ def test_url_split_and_rules():
     assert judge("http://free.org/")[3] == "allow" and judge("http://free.org/win")[3] == "block"
 
 
+def test_url_weights_and_odd_tables(spark, nothing):
+    """One strict term, or several soft ones whose weights reach the limit; columns with clashing names; nulls; no rows."""
+    judge = lambda u: next(url_filter.UrlFilter().judge([u]))
+    assert judge("http://library.org/adult-education")[3:] == ("allow", 0, 1, 1.0) and judge("http://a.org/adult/adult/ADULT")[3] == "allow"
+    assert judge("http://a.org/casino-deal")[3:] == ("block", 0, 2, 1.6) and judge("http://a.org/deal-click")[3:] == ("allow", 0, 2, 0.8)
+    assert judge("http://a.org/porn")[3:5] == ("block", 1) and judge("http://a.org/porn1")[3] == "allow" and judge("http://a.org/épornà")[3] == "block"
+    rows = [(1, "http://a.com/en/", "h", "j", "r"), (2, None, None, None, None), (3, "", "", "", ""), (3, "", "", "", ""), (None, "x" * 100_000 + "://porn", "", "", "")]
+    df = spark.createDataFrame(rows, "page_id long, `my url` string, host string, judged string, judged_ string")
+    got = url_filter.UrlFilter().apply(df, "my url")
+    assert got.columns == ["page_id", "my url", "judged", "judged_", *[x.split()[0] for x in url_filter.SCHEMA.split(", ")]]
+    found = sorted((r["page_id"] or 0, r["host"][:3], r["rule"], r["verdict"]) for r in got.collect())
+    assert found == [(0, "por", None, "block"), (1, "a.c", "com/en/", "block"), (2, "", None, "allow"), (3, "", None, "allow"), (3, "", None, "allow")]
+    assert url_filter.UrlFilter().apply(df.limit(0), "my url").count() == 0
+
+
+def test_url_automaton_equals_plain_search():
+    """Every term sought alone at every place, on random strings of terms and separators."""
+    rng, own = random.Random(21), url_filter.UrlFilter()
+    parts = [*url_filter.STRICT, *url_filter.SOFT, "-", "/", ".", "x", "9", "é", "A", "?"]
+    for _ in range(400):
+        u = "http://" + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        low = "".join(c.lower() if c.isascii() else c for c in u)
+        has = lambda t: re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low) is not None
+        soft = {t: w for t, w in url_filter.SOFT.items() if has(t)}
+        row = next(own.judge([u]))
+        assert row[4:] == (sum(map(has, url_filter.STRICT)), len(soft), round(sum(soft.values()), 6))
+
+
 def test_bpe_equals_tokenizer():
     import public_tokenizers
     import tiktoken
@@ -73,6 +103,22 @@ def test_exact_dedup(odd, nothing):
     assert exact_dedup.keep_one(nothing).count() == 0
 
 
+def test_exact_dedup_of_odd_ids_and_hot_rows(spark):
+    """The least id there is, null ids, one row repeated very often; every row comes back, however it is dealt."""
+    least = -(2**63)
+    rows = [(least, "a"), (None, "a"), (None, "b"), (least + 1, "c"), (least, "c"), (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(df, exact_dedup.earlier_half()).collect()), key=str)
+    want = [(least, least, 2, True), (0, least, 2, False), (0, None, 1, True), (least + 1, least + 1, 2, True), (least, least + 1, 2, False), (0, 5, 2, False), (5, 5, 2, True)]
+    assert got == sorted(want, key=str)
+    hot = spark.createDataFrame([(1, b"d", 1005), (2, b"e", 1)], "doc_id long, digest binary, n long")
+    made = exact_dedup.repeated(hot, 100).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).orderBy("doc_id")
+    assert [tuple(r) for r in made.collect()] == [(1, 1005, 1005, 1005), (2, 1, 1, 1)]
+    again = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "x", 3), (3, "y", 4), (None, "z", 5), (None, "z", 6), (4, "y", 7)], "doc_id long, text string, __id int")
+    kept = exact_dedup.keep_one(again)
+    assert kept.columns == again.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "z"), (2, "x"), (4, "y")]
+
+
 def test_decontamination(spark, odd, nothing):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
@@ -167,6 +213,25 @@ def test_chat_round_trip(spark):
         assert not r["valid"]
 
 
+def test_chat_loss_mask(spark):
+    """The segments under the loss are the assistant's texts alone, marks and names never; other templates work alike."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a [INST] <s> \\b"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "tool[TEXT] ", "x"), (None, 0, None, "n"), (None, None, "assistant", "m")]
+    rows += [(3, i, "user" if i % 2 == 0 else "assistant", "</s>[/OUT] " * 20_000) for i in range(2)]
+    df = spark.createDataFrame([(*r, "more") for r in rows], "conv_id long, turn long, role string, text string, segments string")
+    mine = chat_format.Template(roles={"user": ("<t>[U] ", "</t>", False), "assistant": ("<t>[A] ", "</t>", True)}, other=("<t>[X] ", "</t>", False), name_end="[N]")
+    for t in (chat_format.BRACKETS, mine):
+        made = chat_format.format_conversations(df, t)
+        for r in made.withColumns({"turns": chat_format.parse(F.col("formatted"), t), "lossy": chat_format.under_loss(F.col("segments"), t)}).collect():
+            own = sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[1] is not None, x[1] or 0))
+            assert [(x["role"], x["text"]) for x in r["turns"]] == [(x[2] or "", x[3] or "") for x in own]
+            assert r["lossy"] == "".join(x[3] or "" for x in own if x[2] == "assistant")
+            assert "".join(s["text"] for s in r["segments"]) == r["formatted"] and len(r["segments"]) == 3 * len(own)
+            assert [s["loss"] for s in r["segments"]] == [f for x in own for f in (False, x[2] == "assistant", False)]
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="marks"):
+        chat_format.Template(name_end="name: ").controls
+
+
 def test_hilbert_curve_is_continuous():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = grid[np.argsort(hilbert_shards.hilbert_index(grid, 3))].astype(int)
@@ -182,6 +247,52 @@ def test_shards(odd, nothing):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and hilbert_shards.assign(nothing, 4).count() == 0
 
 
+def test_shards_equal_a_plain_sort(spark):
+    """Places on the curve, ties and borders against a sort in plain Python, rows repeated and null columns included."""
+    rng = random.Random(22)
+    rows = [(i, rng.choice(["", "a", "b" * 50, "é" * 300, None]), rng.choice(["en", "fr", "DE", None, ""]), rng.choice(["s1", "s2", None])) for i in range(150)]
+    rows += [(7, "a", "en", "s1")] * 40 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, shard int")
+    got = hilbert_shards.assign(df, 7).collect()
+    assert len(got) == len(rows)
+    order = sorted(got, key=lambda r: (r["curve"], r["text_crc32"], r["doc_id"] is not None, r["doc_id"] or 0))
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and [r["shard"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == sorted(r["shard"] for r in got)
+    keys = lambda rs: [(r["curve"], r["text_crc32"], r["doc_id"]) for r in rs]
+    assert keys(sorted(got, key=lambda r: (r["shard"], r["slot"]))) == keys(order)
+    sized = df.select("doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    cells = {(r["doc_id"], r["size"], r["lang"], r["source"]): (r["lang_cell"], r["source_cell"], r["size_cell"]) for r in hilbert_shards.quantised(sized).collect()}
+    curves = {(r["doc_id"], r["size"]): r["curve"] for r in got}
+    for column, at in (("lang", 2), ("source", 3)):
+        values = sorted(x[at] for x in rows if x[at] is not None)
+        middle = lambda v, values=values: (values.index(v) + values.count(v) / 2) / len(values)
+        assert all(c[at - 2] == (0 if k[at] is None else int(middle(k[at]) * 256)) for k, c in cells.items())
+    ordered = sorted((k[1], c[2]) for k, c in cells.items())
+    assert [c for _, c in ordered] == sorted(c for _, c in ordered) and len({c for _, c in ordered}) == len({n for n, _ in ordered})
+    for k, c in cells.items():
+        assert curves[k[0], k[1]] == hilbert_shards.hilbert_index(np.array([c]), 8)[0]
+
+
+def test_shard_files_prune_on_every_dimension(spark, tmp_path):
+    """Of the files along the curve, a filter on any one dimension reads few; of files in the table's order all."""
+    rng = random.Random(23)
+    rows = [(i, "w" * int(2 ** rng.uniform(0, 12)), rng.choice(["en", "fr", "de", "es"]), f"src{rng.randrange(20)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    path = str(tmp_path / "curve")
+    hilbert_shards.write_shards(df.withColumn("n", F.length("text")), hilbert_shards.assign(df, 8), path, rows_per_file=100)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "curve").rglob("*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 4000 and len(files) >= 32
+
+    def read(column, value):
+        at = files[0].schema_arrow.names.index(column)
+        stats = [f.metadata.row_group(0).column(at).statistics for f in files]
+        return sum(s.min <= value <= s.max for s in stats) / len(files)
+
+    shares = [np.mean([read("lang", x) for x in ("de", "en", "es", "fr")]), np.mean([read("n", x) for x in (3, 30, 300, 3000)])]
+    shares.append(np.mean([read("source", f"src{i}") for i in range(20)]))
+    assert max(shares) < 0.6 and np.prod(shares) < 0.15, shares
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["x" * 150, "x" * 150, "é" * 60, None, "", "short", "short"]
     rows = [(i, None if i == 2 else f"http://a/{i}\r\n", h) for i, h in enumerate(html)] + [(None, "u", "x" * 150)]
@@ -282,8 +393,8 @@ def test_license_scan(odd, nothing):
 
 
 def ungated(text):
-    found = [(*m.span(m.re.groups), i) for i, r in enumerate(license_scan.rules()) for m in r.pattern.finditer(text)]
-    return license_scan.suppress(found)
+    """Detections without the gate: every rule runs over the whole text."""
+    return license_scan.suppress(license_scan.candidates(text, range(len(license_scan.rules()))))
 
 
 @pytest.mark.parametrize(
@@ -327,6 +438,48 @@ def spelled(tokens, rng):
     return out
 
 
+def test_license_tags_and_sentences():
+    labels = lambda t: license_scan.scan(t)[5]
+    assert labels("SPDX-License-Identifier: GPL-2.0-only OR MIT") == "gpl-2.0,mit" and labels("// SPDX-License-Identifier: MIT-0 (mit)") == "mit-0"
+    assert labels("SPDX-License-Identifier: (Apache-2.0 AND BSD-3-Clause)") == "apache-2.0,bsd-3-clause" and labels("SPDX-License-Identifier: gpl-9") == "gpl"
+    assert labels("This  program is free software; you can\nredistribute it and/or modify it") == "gpl" and labels("All rights reserved.") == "all-rights-reserved"
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy of this software") == "mit" and labels("a mit b gpl") == ""
+    hand = [r for r in license_scan.rules() if r.form in ("name", "address", "sentence")]
+    assert len(hand) >= 200 and len({r.pattern.pattern for r in license_scan.rules()}) == len(license_scan.rules())
+
+
+def plain_suppress(found):
+    kept = []
+    for x in sorted(found, key=lambda x: (-license_scan.rules()[x[2]].priority, x[0] - x[1], x[0], x[2])):
+        if not any(a <= x[0] and x[1] <= b for a, b, _ in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_license_suppression_equals_pairwise_comparison():
+    rng, n = random.Random(24), len(license_scan.rules())
+    for _ in range(200):
+        found = [(a := rng.randrange(60), a + rng.randrange(1, 25), rng.randrange(n)) for _ in range(rng.randrange(0, 40))]
+        assert license_scan.suppress(found) == plain_suppress(found)
+
+
+def test_license_base_columns_equal_a_plain_scan(spark):
+    """Words and places of the base phrases, by a loop over the words, through the operator."""
+    rng = random.Random(25)
+    parts = ["MIT", "license", "License", "apache", "general", "public", "x", "é", "\u0130", "-", " ", "\n", ".", "", "mitlicense", "7"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "--"]) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, "mit license " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    for i, text in enumerate(texts):
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(p := phrase.split())] == p]
+        at = [k for k, _ in places]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
 def test_license_gate_loses_no_match_of_any_rule():
     from re import _parser
 
