@@ -3,8 +3,9 @@
 Training takes a bounded, documented sample of labelled rows (POSITIVES and NEGATIVES, the first by a hash of
 their ids).  Features are chosen by chi-square over the sample; a logistic regression is fitted on the driver
 with an extra penalty on the score change of counterfactual pairs: sentences of the sample whose identity terms
-are swapped for others of their group, and, as few sentences name a group, neutral mentions added to sentences.
-So neutral mentions of a group do not move the score.  Scoring is a map over whole texts.
+are swapped for others of their group, and for none; to sentences that name no group, as most do, neutral mentions
+are added, and swapped.  The swap for another makes groups alike, the swap for none keeps them from being signs
+all alike, so neutral mentions of a group do not move the score.  Scoring is a map over whole texts.
 
 Results for odd input: null and empty texts get the score of a text without any feature; texts are scored whole;
 repeated rows are scored one by one; a null doc_id is never held out nor used for training; several labels of one
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ from lexiloom.llm.common import materialise, table
 POSITIVES, NEGATIVES = 4096, 8192
 #: Features kept, and the least sampled documents that hold one.
 FEATURES, LEAST_DOCUMENTS = 4096, 3
-#: Least chi-square statistic of a feature.
-LEAST_CHI = 10.83
+#: Least chi-square statistic of a feature (p = 0.001 of one degree of freedom; see ``cross_validate``), and the penalty's weight.
+LEAST_CHI, PENALTY = 10.83, 5.0
 THRESHOLD = 0.3
 BITS = 22
 PREFIXES = (4, 5, 6, 7)
@@ -109,6 +111,11 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
+def bare(text: str) -> str:
+    """The text without its identity terms."""
+    return _TERM.sub(" ", text)
+
+
 def identity_features() -> np.ndarray:
     return np.unique(np.concatenate([features(t) for t in _NEXT]))
 
@@ -127,7 +134,7 @@ class Model:
 
 def fit(
     rows: list[np.ndarray], labels: np.ndarray, index: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
-    penalty: float = 5.0, l2: float = 1e-4, steps: int = 300,
+    penalty: float = PENALTY, l2: float = 1e-4, steps: int = 300,
 ) -> Model:
     """Logistic regression (Adam, whole batch) with ``penalty`` x mean squared score change over ``pairs``.
 
@@ -171,33 +178,35 @@ def sample(labels: DataFrame) -> DataFrame:
     return part("toxic = 1", POSITIVES).unionByName(part("toxic <> 1", NEGATIVES))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, least_chi: float = LEAST_CHI) -> Model:
     """Fit on the bounded sample.  The driver receives FEATURES hashes and, of each sampled row, only which it holds."""
 
+    names = ["toxic", "features", "gone", "come", "alone"]  # alone: what only the identity terms, or the added one, bring
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.int32())
         for batch in batches:
-            text = [(x.as_py() or "").lower() for x in batch.column(1)]
-            mine = [features(x) for x in text]
-            pairs = []
-            for i, x in enumerate(text):
-                other = swapped(x)
-                if other is None:  # a neutral mention in front, swapped for another
-                    group = IDENTITY[i % len(IDENTITY)]
-                    a, b = features(group[i % len(group)]), features(_NEXT[group[i % len(group)]])
-                    a, b = np.setdiff1d(a, mine[i]), np.setdiff1d(b, mine[i])
+            found = []
+            for value in batch.column(1):
+                text = (value.as_py() or "").lower()
+                mine, other = features(text), swapped(text)
+                if other is None:  # a neutral mention is added, and swapped for another
+                    pick = crc32(text.encode())
+                    group = IDENTITY[pick % len(IDENTITY)]
+                    term = group[pick // len(IDENTITY) % len(group)]
+                    gone, come = (np.setdiff1d(features(x), mine) for x in (term, _NEXT[term]))
+                    alone = gone
                 else:
                     new = features(other)
-                    a, b = np.setdiff1d(mine[i], new), np.setdiff1d(new, mine[i])
-                pairs.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(mine, kinds), pa.array([p[0] for p in pairs], kinds), pa.array([p[1] for p in pairs], kinds)],
-                ["toxic", "features", "gone", "come"],
-            )
+                    gone, come = np.setdiff1d(mine, new), np.setdiff1d(new, mine)
+                    alone = np.setdiff1d(mine, features(bare(text)))
+                found.append((mine, gone, come, alone))
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), kinds) for c in columns)], names)
 
     chosen = sample(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("toxic", "text").mapInArrow(hashed, "toxic int, features array<int>, gone array<int>, come array<int>")
+    rows = rows.select("toxic", "text").mapInArrow(hashed, f"toxic int, {', '.join(f'{c} array<int>' for c in names[1:])}")
     rows = materialise(rows, "toxicity-sample")
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = total.get(1, 0), sum(n for k, n in total.items() if k != 1)
@@ -210,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     best = (
         rows.select("toxic", F.explode("features").alias("f")).groupBy("f")
         .agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") != 1).alias("neg"))
-        .where((a + b >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "f").limit(FEATURES).select("f")
+        .where((a + b >= LEAST_DOCUMENTS) & (chi >= least_chi)).orderBy(chi.desc(), "f").limit(FEATURES).select("f")
     )
     index = np.union1d(best.toPandas()["f"].to_numpy(np.int64), always)
 
@@ -224,11 +233,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     at = np.minimum(np.searchsorted(index, f), len(index) - 1)
                     found.append(at[index[at] == f].astype(np.int32))
                 out.append(pa.array(found, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["toxic", "features", "gone", "come"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names)
 
     data: pd.DataFrame = rows.mapInArrow(located, rows.schema).toPandas()
     pairs = [(a, b) for a, b in zip(data["gone"], data["come"], strict=True) if len(a) or len(b)]
-    return fit(list(data["features"]), (data["toxic"] == 1).to_numpy(float), index, pairs)
+    pairs += [(a, a[:0]) for a in data["alone"] if len(a)]
+    return fit(list(data["features"]), (data["toxic"] == 1).to_numpy(float), index, pairs, penalty)
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
@@ -270,6 +280,33 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def cross_validate(docs: DataFrame, labels: DataFrame, settings: list[float], folds: int = 3) -> dict[float, tuple[float, int, int]]:
+    """Of each least chi-square statistic: log loss a row, toxic rows missed and clean rows rejected, summed over folds of the
+    training part; held-out rows take no part."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))
+    mine = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).withColumn("fold", fold)
+    out = {}
+    for least in settings:
+        loss = n = missed = rejected = 0
+        for k in range(folds):
+            model = train(docs, mine.where(F.col("fold") != k).drop("fold"), least_chi=least)
+            own = mine.where(F.col("fold") == k).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+            scored = score(docs.select("doc_id", "text").join(own, "doc_id"), model)
+            p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.when(F.col("toxic") == 1, F.col("score")).otherwise(1 - F.col("score"))))
+            high = F.col("score") >= THRESHOLD
+            r = scored.agg(F.sum(-F.log(p)), F.count("*"), F.count_if((F.col("toxic") == 1) & ~high), F.count_if((F.col("toxic") != 1) & high)).first()
+            loss, n, missed, rejected = loss + (r[0] or 0), n + r[1], missed + r[2], rejected + r[3]
+        out[least] = (loss / max(n, 1), missed, rejected)
+    return out
+
+
+def with_mentions(df: DataFrame) -> DataFrame:
+    """The rows (text, ...) with a neutral mention of a group in front, each of a term that follows from the text."""
+    terms = F.lit(sorted(_NEXT))
+    own = F.get(terms, F.pmod(F.xxhash64("text"), F.lit(len(_NEXT))).cast("int"))
+    return df.withColumn("text", F.concat(own, F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
 def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``df`` that score under the threshold."""
     return score(df, train(df, labels)).where(F.col("score") < THRESHOLD).drop("score")
