@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ LOCAL_DIR = "file:///tmp/checkpoints/lexiloom"
 SMALL_BYTES = 16 << 20
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +53,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for made in _scopes:
+        made.append(out)
     return out
 
 
@@ -61,6 +66,18 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path, at_exit=False)
 
 
+@contextmanager
+def temporary(*kept: str) -> Iterator[None]:
+    """Tables that are materialised inside go at the end, but for those of the names ``kept``: what a finished step no longer needs."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        discard(*[df for df in made if _paths.get(df, "").rpartition("/")[2].rpartition("-")[0] not in kept])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if it is small; large tables are left as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -195,6 +195,9 @@ def test_tables(spark, monkeypatch):
     tables.discard(kept, df)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.schema("id long").parquet(path).count()
+    with tables.temporary("stays"):
+        gone, stays = tables.materialise(df, "goes"), tables.materialise(df, "stays")
+    assert stays.count() == 5 and tables._paths.get(gone) is None
     assert tables.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(tables, "SMALL_BYTES", 0)
     assert tables.spread(df) is df
