@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialise
+from lexiloom.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,11 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "large-star")
-        edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = materialise(edges, "large-star-edges")
-        least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "small-star")
-        joined = edges.join(least, "a")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "large-star-edges")
+        discard(edges, least)
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
+        joined = large.join(least, "a")
         down = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star-edges")
+        discard(large, least)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
