@@ -1,7 +1,9 @@
 """The training-data pipeline over ``documents``: toxicity, exact dedup, near-dedup, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes every stage's
-result as Parquet into the shared folder and reads it again as the next one's input.
+result as Parquet into the shared folder and reads it again as the next one's input.  What a stage wrote on its way is
+removed when its result is written, and a result when the next one is.  Stages called alone set BATCH in the session,
+since their results are made when the caller writes them; ``run`` sets it back.
 
 Results for odd input: null texts are empty texts, null ids never match another row, empty tables give no rows;
 columns beyond those of ``documents`` are dropped, so that no name can clash with those a stage adds.
@@ -13,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from lexiloom.llm.common import materialise, table
+from lexiloom.tables import discard, temporary
 
 #: Rows of an Arrow batch.
-BATCH_ROWS = 512
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot express a trained score, fuzzy fingerprints or a latent space; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -24,7 +27,7 @@ ORACLE_SQL = None
 def _bounded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``, with the session's Arrow batches set to BATCH_ROWS rows: a batch lies whole in the memory of the JVM and
     of Python, and texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(BATCH, BATCH_ROWS)
     return docs
 
 
@@ -64,7 +67,16 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH, None)
+    try:
+        for name, stage in STAGES:
+            with temporary(f"pipeline-{name}"):
+                made = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            discard(docs)
+            docs = made
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
     return docs
