@@ -9,9 +9,10 @@ pieces make up, or of over LONGEST characters, are the unknown token; an unknown
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ LABEL_IDS = {"B": 1, "I": 2, "O": 3, "X": 4, FIRST: 5, LAST: 6}
 LONGEST, LENGTH = 200, 256
 #: Tokens of a vocabulary that may be broadcast.
 VOCABULARY_MOST = 2_000_000
+#: Words whose pieces a worker remembers; the memory is emptied when it is full, which changes no result.
+REMEMBERED = 200_000
 #: Code points of Chinese characters, each of which is a token.
 CJK = (
     (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F),
@@ -122,23 +125,30 @@ class Example:
     first: list[int]
 
 
-def example(words: list[str], labels: list[str] | None, vocabulary: dict[str, int], length: int = LENGTH, lower: bool = False) -> Example:
-    """Pieces of the words between the two marks, cut and padded to ``length``."""
+def _marked(words: list[str], labels: list[str] | None, found: Callable[[str], list[str]], length: int) -> tuple[list[str], list[str], list[int]]:
+    """Pieces between the two marks, cut to ``length``, their labels, and each word's first piece."""
     tokens, marks, first = [], [], []
     for i, word in enumerate(words):
-        found = tokenize(word, vocabulary, lower)
-        first.append(len(tokens) + 1 if found and len(tokens) < length - 2 else -1)
-        tokens += found
-        marks += [labels[i] if labels else "O", *["X"] * (len(found) - 1)][: len(found)]
-    tokens, marks = [FIRST, *tokens[: length - 2], LAST], [FIRST, *marks[: length - 2], LAST]
+        own = found(word)
+        first.append(len(tokens) + 1 if own and len(tokens) < length - 2 else -1)
+        tokens += own
+        marks += [labels[i] if labels else "O", *["X"] * (len(own) - 1)][: len(own)]
+    return [FIRST, *tokens[: length - 2], LAST], [FIRST, *marks[: length - 2], LAST], first
+
+
+def example(words: list[str], labels: list[str] | None, vocabulary: dict[str, int], length: int = LENGTH, lower: bool = False) -> Example:
+    """Pieces of the words between the two marks, cut and padded to ``length``."""
+    tokens, marks, first = _marked(words, labels, lambda w: tokenize(w, vocabulary, lower), length)
     rest = [0] * (length - len(tokens))
     ids, numbers = to_ids(tokens, vocabulary) + rest, [LABEL_IDS[m] for m in marks] + rest
     return Example(ids, [1] * len(tokens) + rest, [0] * length, numbers, tokens + [PADDING] * len(rest), first)
 
 
 def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, lower: bool = False) -> DataFrame:
-    """doc_id, sent_idx, chunk, input_ids, input_mask, segment_ids, label_ids and tokens of every chunk (doc_id, sent_idx, chunk,
-    words, and labels if it has that column); vocabulary: token, id.
+    """doc_id, sent_idx, chunk, input_ids, input_mask, segment_ids, label_ids (all padded) and tokens (without padding) of every
+    chunk (doc_id, sent_idx, chunk, words, and labels if it has that column); vocabulary: token, id.
+
+    A worker remembers the pieces of REMEMBERED words.
     """
     if vocabulary.count() > VOCABULARY_MOST:
         raise ValueError(f"a vocabulary has {VOCABULARY_MOST} tokens at most")
@@ -146,16 +156,31 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
     key, marked = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ("ids", "mask", "segments", "labels", "tokens")
-        names = ["input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
+        names = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
+        known: dict[str, list[str]] = {}
+
+        def found(word: str) -> list[str]:
+            if word not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[word] = tokenize(word, shared.value, lower)
+            return known[word]
+
         for whole in batches:
             for i in range(0, len(whole), 256):
                 batch = whole.slice(i, 256)
-                words = batch.column(3).to_pylist()
-                labels = batch.column(4).to_pylist() if marked else [None] * len(words)
-                made = [example(w, m, shared.value, length, lower) for w, m in zip(words, labels, strict=True)]
-                lists = [pa.array([getattr(x, o) for x in made], pa.list_(pa.string() if o == "tokens" else pa.int32())) for o in own]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["doc_id", "sent_idx", "chunk", *names])
+                n, words = len(batch), batch.column(3).to_pylist()
+                labels = batch.column(4).to_pylist() if marked else [None] * n
+                grid, tokens = np.zeros((4, n, length), np.int32), []
+                for k, (w, m) in enumerate(zip(words, labels, strict=True)):
+                    own, marks, _ = _marked(w, m, found, length)
+                    grid[0, k, : len(own)] = to_ids(own, shared.value)
+                    grid[1, k, : len(own)] = 1
+                    grid[3, k, : len(own)] = [LABEL_IDS[x] for x in marks]
+                    tokens.append(own)
+                starts = pa.array(np.arange(n + 1, dtype=np.int32) * length)
+                lists = [pa.ListArray.from_arrays(starts, pa.array(g.reshape(-1))) for g in grid]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(tokens, pa.list_(pa.string()))], names)
 
     arrays = "input_ids array<int>, input_mask array<int>, segment_ids array<int>, label_ids array<int>, tokens array<string>"
     asked = chunks.select("doc_id", "sent_idx", "chunk", "words", *["labels"] * marked)

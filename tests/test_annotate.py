@@ -10,7 +10,7 @@ from lexiloom.functions import spans
 from lexiloom.functions import text as T
 from lexiloom.operators import analytics, ordering, plugins, tagging
 from lexiloom.operators import dictionaries as dic
-from lexiloom.plans import annotate, formats
+from lexiloom.plans import annotate, formats, load
 from lexiloom.streaming.files import annotate_stream
 
 TAGS = "doc_id int, etype string, sent_idx int, word_idx int, word string, start int, end int, tag string, p double"
@@ -210,3 +210,20 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Cluster)
+
+
+def test_load_runs(spark):
+    docs = spark.createDataFrame([(i, None, f"longword{i} text {i}") for i in range(9)], "doc_id long, title string, abstract string")
+    rows = load.runs(docs, registry_of(spark), 5, 1, size=2)
+    got = rows.collect()
+    assert sorted((r["run"], r["stage"], r["n_documents"]) for r in got) == sorted((b, s, n) for b, n in ((0, 2), (1, 2), (2, 1)) for s in load.STAGES)
+    assert all(r["seconds"] > 0 and r["error"] is None for r in got)
+    assert {r["stage"] for r in load.summary(rows, 2).collect()} == set(load.STAGES)
+
+    def fails(sents):
+        raise RuntimeError("no model")
+
+    bad = load.runs(docs, plugins.Registry(fails), 2, 1).collect()
+    assert [(r["stage"], r["error"]) for r in bad] == [(None, "RuntimeError: no model")] * 2
+    assert load.runs(docs.limit(0), registry_of(spark), 2, 1).count() == 0
+    assert {r["error"]: r["n"] for r in analytics.error_counts(load.runs(docs, plugins.Registry(fails), 3, 1)).collect()} == {"RuntimeError: no model": 3}

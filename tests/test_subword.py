@@ -69,7 +69,7 @@ def test_examples_of_chunks(spark):
     words = ["ab", ",", "unaffable"] * 20
     for r in rows:
         own = subword.example(words[r["chunk"] * 30 : r["chunk"] * 30 + 30], None, VOCABULARY, 64)
-        assert (r["input_ids"], r["input_mask"], r["segment_ids"], r["label_ids"], r["tokens"]) == (own.ids, own.mask, own.segments, own.labels, own.tokens)
+        assert (r["input_ids"], r["input_mask"], r["segment_ids"], r["label_ids"], r["tokens"]) == (own.ids, own.mask, own.segments, own.labels, [t for t in own.tokens if t != subword.PADDING])
     assert len(rows) == 2
 
 
