@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only by a local session that names no spark.checkpoint.dir, as in tests.
 LOCAL_DIR = "file:///tmp/checkpoints/lexiloom"
 #: A table of fewer bytes for each core than this is dealt out anew before costly maps, since it may lie in one row group.
-SMALL_BYTES = 16 << 20
+SMALL_BYTES = 4 << 20
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scopes: list[list[DataFrame]] = []
