@@ -2,8 +2,9 @@
 
 Each pre-token keeps its parts in a doubly linked list.  Every mergeable neighbour pair is filed in the
 bucket of its merge rank; a two-level bitmap over the ranks gives the lowest rank with a bucket by
-find-first-set, so the next merge is found in constant time however long the pre-token is.  Entries whose
-pair has changed since they were filed are skipped when they come up.
+find-first-set, so the lowest rank is found in constant time however long the pre-token is; among the places of one
+rank a heap gives the leftmost, in logarithmic time.  Entries whose pair has changed since they were filed are skipped
+when they come up.
 
 Results for odd input: null and empty texts have no tokens and decode to empty bytes; texts are encoded
 whole, whatever their length; repeated rows are encoded one by one; special-token strings are plain text.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import texts
 
 #: Pre-tokens remembered per Python worker; the memory is emptied when it is full, which changes no result.
 CACHE_SIZE = 400_000
@@ -270,7 +271,7 @@ def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(texts(spark, sf_dir))
 
 
 QUERIES = {"op2_byte_bpe": op2_byte_bpe}

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialise, table
+from lexiloom.llm.common import materialise, table, texts
 
 #: Words of a block of the benchmark's items; a longer item is a block of its own.
 BLOCK_WORDS = 1 << 17
@@ -435,7 +435,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import LOWER, UPPER, table
+from lexiloom.llm.common import LOWER, UPPER, texts
 
 #: phrase: label
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -390,7 +390,7 @@ def scan_licenses(df: DataFrame) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(texts(spark, sf_dir))
 
 
 QUERIES = {"op10_license_scans": op10_license_scans}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import golay
-from lexiloom.llm.common import materialise, table
+from lexiloom.llm.common import materialise, texts
 from lexiloom.llm.components import components
 
 SEED, RADIUS = 42, 2
@@ -195,7 +195,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(fingerprints(table(spark, sf_dir, "documents"), 3), "fingerprints")
+    rows = materialise(fingerprints(texts(spark, sf_dir), 3), "fingerprints")
     return classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

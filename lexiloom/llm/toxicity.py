@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import materialise, table
+from lexiloom.llm.common import materialise, table, texts
 
 #: The bound of the training sample, in labelled rows.
 POSITIVES, NEGATIVES = 4096, 8192
@@ -313,8 +313,8 @@ def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    docs = texts(spark, sf_dir)
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
