@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from lexiloom.llm.common import materialise, table
-from lexiloom.tables import discard, temporary
+from lexiloom.tables import discard, spread, temporary
 
 #: Rows of an Arrow batch.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
@@ -67,7 +67,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table."""
-    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH, None)
+    docs, before = spread(table(spark, sf_dir, "documents")), spark.conf.get(BATCH, None)
     try:
         for name, stage in STAGES:
             with temporary(f"pipeline-{name}"):
