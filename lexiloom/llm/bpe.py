@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import texts
 
-#: Pre-tokens remembered per Python worker; the memory is emptied when it is full, which changes no result.
-CACHE_SIZE = 400_000
+#: Pre-tokens remembered per Python worker in each of two generations: when the younger one is full it becomes the older
+#: one, and what is asked for again comes back, so frequent pre-tokens are never merged anew.  This changes no result.
+#: The second number is for ``digests``, whose workers hold little else.
+CACHE_SIZE, CACHE_SIZE_ALONE = 200_000, 400_000
 #: Longer pre-tokens are not remembered, so that the memory stays bounded.
 CACHE_LENGTH = 64
 #: Code points that ``regex`` knows as letters or numbers and the tokenizer library, which follows
@@ -51,70 +53,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Bits of a word of the bitmap.
+_BIT = [1 << i for i in range(256)]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token: always merge the pair of lowest rank, the leftmost of equals first."""
-    whole = ranks.get(piece)
+    get, bit_of = ranks.get, _BIT
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    stop = list(range(1, n + 1))  # where the part that starts here ends; 0: merged away
-    before = list(range(-1, n - 1))
-    pair = [-1] * n  # rank of the part here joined with the next one
+    stop = list(range(1, n + 1))  # where the part that starts here ends
+    before = list(range(-1, n - 1))  # where the part before this one starts
+    pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # rank of the part here joined with the next one
+    pair.append(None)
     buckets: dict[int, list[int]] = {}
     summary, words = 0, {}
-    get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
+    for i, rank in enumerate(pair):
         if rank is not None:
-            pair[i] = rank
             if rank in buckets:
                 buckets[rank].append(i)  # ascending, so a heap
             else:
                 buckets[rank] = [i]
                 hi = rank >> 8
-                words[hi] = words.get(hi, 0) | 1 << (rank & 255)
-                summary |= 1 << hi
+                words[hi] = words.get(hi, 0) | bit_of[rank & 255]
+                summary |= bit_of[hi] if hi < 256 else 1 << hi
     while summary:
-        hi = (summary & -summary).bit_length() - 1
+        first = summary & -summary
+        hi = first.bit_length() - 1
         word = words[hi]
-        lo = (word & -word).bit_length() - 1
-        rank = hi << 8 | lo
+        lowest = word & -word
+        rank = hi << 8 | lowest.bit_length() - 1
         bucket = buckets[rank]
-        i = heapq.heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heapq.heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[rank]
-            word ^= 1 << lo
+            word ^= lowest
             words[hi] = word
             if not word:
-                summary ^= 1 << hi
+                summary ^= first
         if pair[i] != rank:
             continue  # stale
         mid = stop[i]
-        end = stop[mid]
-        stop[i], stop[mid] = end, 0
-        pair[mid] = -1
+        stop[i] = end = stop[mid]
+        pair[mid] = None
         if end < n:
             before[end] = i
-            new = get(piece[i : stop[end]])
+            pair[i] = new = get(piece[i : stop[end]])
+            if new is not None:
+                if new in buckets:
+                    heapq.heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    hi = new >> 8
+                    words[hi] = words.get(hi, 0) | bit_of[new & 255]
+                    summary |= bit_of[hi] if hi < 256 else 1 << hi
         else:
-            new = None
-        changed = [(i, new)]
-        if (left := before[i]) >= 0:
-            changed.append((left, get(piece[left:end])))
-        for at, new in changed:
-            if new is None:
-                pair[at] = -1
-                continue
-            if pair[at] == new:
-                continue
-            pair[at] = new
-            if new in buckets:
-                heapq.heappush(buckets[new], at)
-            else:
-                buckets[new] = [at]
-                hi = new >> 8
-                words[hi] = words.get(hi, 0) | 1 << (new & 255)
-                summary |= 1 << hi
+            pair[i] = None
+        left = before[i]
+        if left >= 0:
+            pair[left] = new = get(piece[left:end])
+            if new is not None:
+                if new in buckets:
+                    heapq.heappush(buckets[new], left)
+                else:
+                    buckets[new] = [left]
+                    hi = new >> 8
+                    words[hi] = words.get(hi, 0) | bit_of[new & 255]
+                    summary |= bit_of[hi] if hi < 256 else 1 << hi
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : stop[i]]])
@@ -157,7 +166,7 @@ def compile_patterns() -> tuple[re.Pattern, re.Pattern]:
 class Codec:
     """Encoder and decoder of one vocabulary; one per Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_SIZE):
         self.ranks = read_ranks(path)
         common, full = compile_patterns()
         beyond = re.compile("[\U00010000-\U0010ffff]").search
@@ -165,13 +174,21 @@ class Codec:
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
         self.by_id = {i: b for b, i in self.ranks.items()}
 
+        ranks, decimal = self.ranks, {i: str(i) for i in self.ranks.values()}
+
         class Known(dict):
+            older: dict[str, str] = {}
+
             def __missing__(known, token: str) -> str:
-                out = " ".join(map(str, merge(token.encode(), self.ranks)))
-                if len(token) <= CACHE_LENGTH:
-                    if len(known) >= CACHE_SIZE:
-                        known.clear()
-                    known[token] = out
+                out = known.older.get(token)
+                if out is None:
+                    out = " ".join([decimal[i] for i in merge(token.encode(), ranks)])
+                    if len(token) > CACHE_LENGTH:
+                        return out
+                if len(known) >= remembered:
+                    known.older = dict(known)
+                    known.clear()
+                known[token] = out
                 return out
 
         self.known = Known()
@@ -190,13 +207,13 @@ class Codec:
         return b"".join(map(self.by_id.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, remembered: int = CACHE_SIZE) -> Codec:
+    if (path, remembered) not in _CODECS:
+        _CODECS[path, remembered] = Codec(path, remembered)
+    return _CODECS[path, remembered]
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: str | None = None) -> DataFrame:
@@ -252,7 +269,7 @@ def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path)
+        use = codec(path, CACHE_SIZE_ALONE)
         for batch in batches:
             n, ids_sha, out_sha = [], [], []
             for value in batch.column(1):
