@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.dictionaries import UNKNOWN
 from lexiloom.operators.ordering import RANGE_ROWS, numbered, running_sum
 
+#: Children of a node of the tree that sums of doubles are taken from, and leaves that one task adds up at once.
+FAN, CHUNK = 16, 16**4
+
 
 def health(entities: DataFrame) -> DataFrame:
     """n_types and n_resolved of each document (entities: doc_id, etype, ids)."""
@@ -70,12 +75,64 @@ def compare_gold(found: DataFrame, gold: DataFrame) -> DataFrame:
     return both.withColumn("problem", F.when(F.col("mine").isNull(), "missing").when(F.col("theirs").isNull(), "extra").otherwise("moved"))
 
 
+def sums_before(values: np.ndarray, start: float = 0.0) -> np.ndarray:
+    """For each value ``start`` and all values before it, added up as DuckDB's windows do: the values are leaves of a tree with FAN
+    children a node, and whole nodes are added first, from the left.  Rounding grows with the tree's height, not with the rows."""
+    n = len(values)
+    rows = np.pad(values, (0, -n % FAN)).reshape(-1, FAN)
+    first = np.full(1, start) if n <= FAN else sums_before(np.add.accumulate(rows, axis=1)[:, -1], start)
+    return np.add.accumulate(np.column_stack([first, rows]), axis=1)[:, :-1].ravel()[:n]
+
+
+def _whole_sum(key: tuple, rows: pa.Table) -> pa.Table:
+    """The node over a chunk."""
+    nodes = np.zeros(CHUNK)
+    nodes[rows["place"].to_numpy() % CHUNK] = rows["term"].to_numpy()
+    while len(nodes) > 1:
+        nodes = np.add.accumulate(nodes.reshape(-1, FAN), axis=1)[:, -1]
+    return pa.table({"stage": rows["stage"][:1], "chunk": rows["chunk"][:1], "node": nodes})
+
+
+def _chunk_bounds(key: tuple, rows: pa.Table) -> pa.Table:
+    """Sums before and up to the end of a stage's chunks."""
+    rows = rows.sort_by("chunk")
+    sums = sums_before(np.append(rows["node"].to_numpy(), 0.0))
+    return pa.table({"stage": rows["stage"], "chunk": rows["chunk"], "begin": sums[:-1], "finish": sums[1:]})
+
+
+def _line_rows(every: int, columns: list[str]):
+    """Rows of a chunk that are shown, with the mean so far."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        n, begin, finish = rows["n"].to_numpy(), rows["begin"][0].as_py(), rows["finish"][0].as_py()
+        sums = sums_before(np.append(rows["term"].to_numpy(), 0.0)[:CHUNK], begin)[1:]
+        if len(sums) < len(n):  # a full chunk ends where the next one begins
+            sums = np.append(sums, finish)
+        mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+        shown = np.flatnonzero(n % every == 0)
+        return rows.append_column("mean", mean).select(columns).take(shown)
+
+    return run
+
+
 def log_line_stats(runs: DataFrame, order: str, every: int) -> DataFrame:
-    """Cumulative statistics of ``seconds`` by ``stage``, a row for every ``every`` valid runs of a stage in order."""
-    w = Window.partitionBy("stage").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    v = "seconds"
-    found = runs.withColumns({"n": F.count(v).over(w), "mean": F.avg(v).over(w), "std": F.stddev_pop(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w)})
-    return found.where(F.col("n") % every == 0).select("n", "stage", "mean", "std", "low", "high")
+    """Cumulative statistics of ``seconds`` by ``stage``, a row for every ``every`` valid runs of a stage in order, nulls last.
+
+    Sums of doubles depend on the order of the additions: the mean is that of DuckDB's windows to the last bit (see ``sums_before``),
+    made of chunks, so that no task holds a whole stage.
+    """
+    w = Window.partitionBy("stage").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    v, columns = "seconds", ["n", "stage", "mean", "std", "low", "high"]
+    found = runs.withColumns({"place": F.count("*").over(w) - 1, "n": F.count(v).over(w), "std": F.stddev_pop(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w)})
+    found = found.withColumns({"chunk": F.expr(f"place div {CHUNK}"), "term": F.coalesce(F.col(v).cast("double"), F.lit(0.0))})
+    kind = {x.name: x.dataType.simpleString() for x in found.withColumn("mean", F.lit(0.0)).schema}
+    stage = f"stage {kind['stage']}, chunk long"
+    nodes = found.select("stage", "chunk", "place", "term").groupBy("stage", "chunk").applyInArrow(_whole_sum, f"{stage}, node double")
+    limits = nodes.groupBy("stage").applyInArrow(_chunk_bounds, f"{stage}, begin double, finish double")
+    a, b = found.select(*[c for c in columns if c != "mean"], "place", "chunk", "term"), limits.withColumnsRenamed({"stage": "of", "chunk": "nth"})
+    both = a.join(b, F.col("stage").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("nth"))).drop("of", "nth")
+    return both.groupBy("stage", "chunk").applyInArrow(_line_rows(every, columns), ", ".join(f"{c} {kind[c]}" for c in columns))
 
 
 def sampled(ids: DataFrame, n: int, seed: int) -> DataFrame:

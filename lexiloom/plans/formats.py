@@ -91,9 +91,16 @@ def ner_lines(docs: DataFrame, entities: DataFrame, model: str) -> DataFrame:
     return docs.join(held, "doc_id", "left").select("doc_id", F.to_json(whole).alias("value"))
 
 
-def stats_lines(stats: DataFrame, columns: list[str]) -> DataFrame:
-    """value: tab-separated lines of the columns, as a benchmark's log has them."""
-    return stats.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+def fixed(c: Column | str, digits: int) -> Column:
+    """A double with so many digits, as C prints it: its exact value is rounded, ties to even."""
+    return F.udf(lambda x: None if x is None else f"{x:.{digits}f}", "string", useArrow=True)(c)
+
+
+def stats_lines(stats: DataFrame, columns: list[str], missing: str | None = "") -> DataFrame:
+    """value: tab-separated lines of the columns, as a benchmark's log has them; ``missing`` stands for nulls (None: such a line is null)."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns]
+    line = F.concat_ws("\t", *texts)
+    return stats.select((line if missing is not None else F.when(F.forall(F.array(*texts), lambda x: x.isNotNull()), line)).alias("value"))
 
 
 def auxiliary_lines(dictionary: DataFrame) -> DataFrame:
