@@ -66,6 +66,41 @@ MIX, RUN_BITS = np.uint64(0x9E3779B97F4A7C15), 16
 SIGNED, TILE = 8, 512
 
 _words = re.compile(r"[^\W_]+").findall
+#: Characters beyond ASCII that belong to no word; up to FEW different ones of a text are replaced one after the other.
+_odd, FEW = re.compile(r"[^\w\x00-\x7f]"), 16
+_ASCII = bytes(range(128))
+#: ASCII words, and a space for all else; bytes beyond ASCII stay.
+_WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def word_bytes(text: str) -> list[bytes]:
+    """What ``_words`` finds, in UTF-8, several times as fast."""
+    raw = text.encode()
+    if not text.isascii():
+        odd = [c for c in set(raw.translate(None, _ASCII).decode()) if not c.isalnum()]
+        if len(odd) > FEW:
+            raw = _odd.sub(" ", text).encode()
+        else:
+            for c in odd:
+                raw = raw.replace(c.encode(), b" ")
+    return raw.translate(_WORD_BYTES).split()
+
+
+def segment_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows ``table[index]``, times ``scale``, over the segments that begin at ``starts``, none empty: the first rows
+    of all segments, then the second ones, and so on, the longest segments first, so that each step is one slice."""
+    size = np.diff(np.append(starts, len(index)))
+    order = np.argsort(-size, kind="stable")
+    first, out = starts[order], np.zeros((len(starts), table.shape[1]), table.dtype)
+    rows = np.empty_like(out)
+    for k, m in enumerate(np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left").tolist()):
+        at = first[:m] + k
+        np.take(table, index[at], axis=0, out=rows[:m], mode="clip")
+        if scale is not None:
+            rows[:m] *= scale[at, None]
+        out[:m] += rows[:m]
+    rows[order] = out
+    return rows
 
 
 @dataclass
@@ -120,14 +155,14 @@ def blocks(items: Iterable[tuple], words: int = BLOCK_WORDS) -> Iterator[Block]:
 
 def encode(docs: DataFrame, block: Block) -> DataFrame:
     """doc_id, n_words, and the places and numbers of the words in the vocabulary, as int32 bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): t for w, t in block.vocabulary.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, absent = shared.value.get, repeat(-1)
         for batch in batches:
             n, at, term = [], [], []
             for x in batch.column(1):
-                words = _words((x.as_py() or "").lower())
+                words = word_bytes((x.as_py() or "").lower())
                 t = np.fromiter(map(get, words, absent), np.int32, len(words))
                 where = np.flatnonzero(t >= 0)
                 n.append(len(words))
@@ -196,13 +231,14 @@ def gram_product(encoded: DataFrame, weight: np.ndarray, test: np.ndarray) -> np
             borders = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
             cuts = np.unique(np.append(borders[:: GRAM_PASSAGES], len(owner)))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # whole passages at once
-                o, t, v = owner[a:b], terms[a:b].astype(narrow), value[a:b, None]
+                o, t, v = owner[a:b], terms[a:b].astype(narrow), value[a:b]
                 starts = np.flatnonzero(np.diff(o, prepend=-1))
-                y = np.add.reduceat(v * test[t], starts, axis=0)
+                y = segment_sums(test, t, starts, v)
                 at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(o))))
                 order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.diff(t[order].astype(np.int64), prepend=-1))
-                out[t[order][first]] += np.add.reduceat(v[order] * y[at[order]], first, axis=0)
+                t = t[order].astype(np.int64)
+                first = np.flatnonzero(np.diff(t, prepend=-1))
+                out[t[first]] += segment_sums(y, at[order], first, v[order])
         part = TaskContext.get().partitionId()
         rows = [out[i : i + TERMS_PER_ROW].tobytes() for i in range(0, size, TERMS_PER_ROW)]
         n = len(rows)
@@ -329,7 +365,7 @@ def search(encoded: DataFrame, block: Block, idf: np.ndarray, weight: np.ndarray
             vectors = np.zeros((cells + 1, width), np.float32)
             if len(o):
                 starts = np.flatnonzero(np.diff(o, prepend=-1))
-                vectors[o[starts]] = np.add.reduceat(project[t], starts, axis=0)
+                vectors[o[starts]] = segment_sums(project, t, starts)
             edges = np.searchsorted(owner, np.arange(cells + 2))
             held = np.zeros((SIGNED, cells + 1), np.uint64)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
