@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, chat_format, decontaminate, exact_dedup, hilbert_shards, license_scan, simhash, toxicity, url_filter, warc
+from lexiloom.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    hilbert_shards,
+    license_scan,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
-MODULES = (url_filter, bpe, exact_dedup, decontaminate, toxicity, chat_format, hilbert_shards, warc, simhash, license_scan)
+MODULES = (url_filter, bpe, exact_dedup, decontaminate, toxicity, chat_format, hilbert_shards, warc, simhash, license_scan, suffix_dedup)
 
 
 def queries() -> dict:
