@@ -7,6 +7,8 @@ from lexiloom.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    hard_negatives,
+    heap_lloyd,
     hilbert_shards,
     license_scan,
     simhash,
@@ -16,7 +18,7 @@ from lexiloom.llm import (
     warc,
 )
 
-MODULES = (url_filter, bpe, exact_dedup, decontaminate, toxicity, chat_format, hilbert_shards, warc, simhash, license_scan, suffix_dedup)
+MODULES = (url_filter, bpe, exact_dedup, decontaminate, toxicity, chat_format, hilbert_shards, warc, simhash, license_scan, suffix_dedup, heap_lloyd, hard_negatives)
 
 
 def queries() -> dict:
