@@ -76,8 +76,8 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     digests = _matrix(pdf["digest"])
     sizes, bits, slot = build_hash(digests)
     order = np.argsort(slot)
-    known = pdf["winner"].notna().to_numpy()  # a text that only rows without an id have is known without a winner
-    winners, counts = pdf["winner"].fillna(0).to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    known = pdf["known"].to_numpy(bool)  # a text that only rows without an id have is known without a winner
+    winners, counts = pdf["winner"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     return pd.DataFrame(
         {
             "shard": [pdf["shard"].iloc[0]],
@@ -93,8 +93,8 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = new[["digest", "winner", "n"]].copy()
-    out["history_winner"], out["history_n"] = pd.NA, 0
+    out = new[["digest", "winner", "known", "n"]].copy()
+    out["history_winner"], out["history_known"], out["history_n"] = np.int64(0), False, np.int64(0)
     if len(index) and len(new):
         row = index.iloc[0]
         sizes = [int(x) for x in row["sizes"]]
@@ -105,10 +105,10 @@ def _probe(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         member = (slot >= 0) & (held[slot] == asked).all(axis=1)
         winners, counts = np.frombuffer(row["winners"], np.int64), np.frombuffer(row["counts"], np.int64)
         known = np.unpackbits(np.frombuffer(row["known"], np.uint8))[: len(winners)].astype(bool)
-        out["history_winner"] = pd.array(np.where(member, winners[slot], 0), "Int64")
-        out.loc[~(member & known[slot]), "history_winner"] = pd.NA
-        out["history_n"] = np.where(member, counts[slot], 0)
-    return out.astype({"history_winner": "Int64"})
+        out["history_winner"] = np.where(member, winners[slot], np.int64(0))
+        out["history_known"] = member & known[slot]
+        out["history_n"] = np.where(member, counts[slot], np.int64(0))
+    return out
 
 
 def digested(df: DataFrame, text: str = "text") -> DataFrame:
@@ -118,6 +118,12 @@ def digested(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _whole(groups: DataFrame) -> DataFrame:
+    """``groups`` with no null winner, but whether it is known: pandas holds a long column with a null as floats, which round ids over
+    2**53."""
+    return groups.withColumn("known", F.col("winner").isNotNull()).withColumn("winner", F.coalesce("winner", F.lit(0).cast("long")))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.sum("n").alias("n"))
 
@@ -129,20 +135,20 @@ def shard_of(shards: int) -> Column:
 
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
     """One row a shard (INDEX_SCHEMA) from distinct (digest, winner, n); can be kept as a table."""
-    return groups.withColumn("shard", shard_of(shards)).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
+    return _whole(groups).withColumn("shard", shard_of(shards)).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
 
 
 def resolve(history: DataFrame, new: DataFrame, shards: int) -> DataFrame:
     """digest, keep_id and group_size of every distinct digest of either side (rows: doc_id, digest, n)."""
     old = _groups(history)
     index = build_index(old, shards)
-    asked = _groups(new).withColumn("shard", shard_of(shards))
+    asked = _whole(_groups(new)).withColumn("shard", shard_of(shards))
     probed = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(
-        _probe, "digest binary, winner long, n long, history_winner long, history_n long"
+        _probe, "digest binary, winner long, known boolean, n long, history_winner long, history_known boolean, history_n long"
     )
     found = probed.select(
         "digest",
-        F.greatest("winner", "history_winner").alias("winner"),
+        F.greatest(F.when(F.col("known"), F.col("winner")), F.when(F.col("history_known"), F.col("history_winner"))).alias("winner"),
         (F.col("n") + F.col("history_n")).alias("n"),
     )
     # what only the history holds stays as it is; max and max agree for what both hold
