@@ -3,12 +3,13 @@
 Hundreds of signatures written by hand (a name and an address of each licence, and sentences of licence texts and notices),
 with an identifier and a grant rule for each licence, are gated by keywords: one Aho-Corasick pass over a text tells which
 rules can match at all, and only those regexes run.  A rule's keywords are derived from its regex, so that each of its matches
-contains one of them once white space is taken as one space.  Identifiers are sought within the expressions of tag lines, whole
-ones only.  Detections are taken in order of priority, then length, then place; one whose interval lies within an interval
-already taken is suppressed.  Three base phrases are always reported, with all their places.
+contains one of them once white space is taken as one space.  Rules are matched in a text whose runs of white space are one
+character each, so that no rule repeats a part that can be empty or match one stretch in two ways.  Identifiers are sought
+within the expressions of tag lines, whole ones only.  Detections are taken in order of priority, then length, then place; one
+whose interval lies within an interval already taken is suppressed.  Three base phrases are always reported, with all their places.
 
-Results for odd input: null and empty texts have no words, no labels and score 0; texts are scanned whole, in time that is
-linear but for a logarithm in their detections; repeated rows are scanned one by one; other columns of the input do not matter.
+Results for odd input: null and empty texts have no words, no labels and score 0; texts are scanned whole (an address's
+path reaches over at most 200 characters); repeated rows are scanned one by one; other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -72,22 +73,22 @@ bsl-1.0 | bsl-1\.0 | boost | boost software licen[cs]e | boost\.org/license_1_0
 busl | busl- | business source | business source licen[cs]e | mariadb\.com/bsl
 sspl | sspl- | server side public | server side public licen[cs]e | mongodb\.com/licensing/server-side-public-license
 elastic | elastic- | elastic | elastic licen[cs]e | elastic\.co/licensing/elastic-license
-eupl | eupl- | european union | european union public licen[cs]e | (?:joinup\.ec\.europa\.eu|eupl\.eu)/\S*eupl
+eupl | eupl- | european union | european union public licen[cs]e | (?:joinup\.ec\.europa\.eu|eupl\.eu)/\S{0,200}eupl
 cecill | cecill- | cecill | cecill(?:-[abc])? (?:free software )?licen[cs]e | cecill\.info/licences
 osl | osl- | open software | open software licen[cs]e | opensource\.org/licenses?/osl
 afl | afl- | academic free | academic free licen[cs]e | opensource\.org/licenses?/afl
 upl | upl- | universal permissive | universal permissive licen[cs]e | oss\.oracle\.com/licenses/upl
 ncsa | ncsa | ncsa | (?:university of illinois/)?ncsa (?:open source )?licen[cs]e | opensource\.org/licenses?/ncsa
 postgresql | postgresql | postgresql | postgresql licen[cs]e | postgresql\.org/about/licen[cs]e
-psf | (?:python|psf)- | python | python(?: software foundation)? licen[cs]e | docs\.python\.org/\S*/license
+psf | (?:python|psf)- | python | python(?: software foundation)? licen[cs]e | docs\.python\.org/\S{0,200}/license
 php | php- | php | (?:the )?php licen[cs]e | php\.net/license
-ruby | ruby | ruby | (?:the )?ruby licen[cs]e | ruby-lang\.org/\S*licen[cs]e
+ruby | ruby | ruby | (?:the )?ruby licen[cs]e | ruby-lang\.org/\S{0,200}licen[cs]e
 openssl | openssl | openssl | openssl licen[cs]e | openssl\.org/source/license
 ofl | ofl- | open font | (?:sil )?open font licen[cs]e | scripts\.sil\.org/ofl
 lppl | lppl- | latex project | latex project public licen[cs]e | latex-project\.org/lppl
 json | json | json | (?:the )?json licen[cs]e | json\.org/license
-vim | vim | vim | (?:the )?vim licen[cs]e | vimhelp\.org/\S*license
-w3c | w3c | w3c | w3c software(?: notice and)? licen[cs]e | w3\.org/consortium/legal/\S*software
+vim | vim | vim | (?:the )?vim licen[cs]e | vimhelp\.org/\S{0,200}license
+w3c | w3c | w3c | w3c software(?: notice and)? licen[cs]e | w3\.org/consortium/legal/\S{0,200}software
 odbl | odbl- | open database | open (?:data commons )?(?:open )?database licen[cs]e | opendatacommons\.org/licenses/odbl
 odc-by | odc-by- | open data commons | open data commons attribution licen[cs]e | opendatacommons\.org/licenses/by
 pddl | pddl- | public domain dedication | (?:open data commons )?public domain dedication and licen[cs]e | opendatacommons\.org/licenses/pddl
@@ -106,7 +107,7 @@ public-domain | public-domain | public domain | (?:released|placed|dedicated) (?
 SENTENCES = r"""
 mit | 35 | permission is hereby granted, free of charge, to any person obtaining a copy of this software
 mit | 33 | the above copyright notice and this permission notice shall be included in all copies or substantial portions
-mit-0 | 36 | permission is hereby granted, free of charge, to any person obtaining a copy of this software (?:\S+ ){1,40}without restriction(?:\S* ){1,40}to whom the software is furnished to do so\.? the software is provided
+mit-0 | 36 | permission is hereby granted, free of charge, to any person obtaining a copy of this software (?:\S+ ){1,40}without restriction(?:\S* (?:\S+ ){0,39})to whom the software is furnished to do so\.? the software is provided
 isc | 35 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
 0bsd | 36 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. the software is provided
 bsd | 34 | redistribution and use in source and binary forms, with or without modification, are permitted
@@ -265,7 +266,7 @@ def keywords(pattern: str) -> frozenset[str]:
 def rules() -> tuple[Rule, ...]:
     """All signatures, in the order of the table; a later form of a licence comes behind its earlier ones."""
     out = []
-    spaced = lambda x: x.replace(" ", r"\s+")
+    spaced = lambda x: x.replace(" ", r"\s")
     for line in LICENSES.strip().splitlines():
         label, tag, _, name, address = (x.strip() for x in line.split(" | "))
         named = keywords(spaced(name))
@@ -324,8 +325,14 @@ def suppress(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted(kept)
 
 
+def collapsed(text: str) -> str:
+    """Each run of white space as one character: a blank if it has only blanks and tabs, else a line feed, which ends tag lines."""
+    return re.sub(r" ?[^\S \t]\s*", "\n", re.sub(r"[ \t]+", " ", text))
+
+
 def candidates(text: str, active: Iterable[int]) -> list[tuple[int, int, int]]:
-    """(start, end, rule number) of all matches of the rules in a lower-cased text."""
+    """(start, end, rule number) of all matches of the rules in a lower-cased text, as places in the collapsed one."""
+    text = collapsed(text)
     tags, found = [m.span(1) for m in EXPRESSION.finditer(text)], []
     for i in active:
         spans = tags if rules()[i].form == "tag" else [(0, len(text))]
@@ -334,7 +341,8 @@ def candidates(text: str, active: Iterable[int]) -> list[tuple[int, int, int]]:
 
 
 def detect(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, rule number) in a lower-cased text: of the rules whose keywords it holds, after suppression."""
+    """(start, end, rule number), as places in the collapsed text, of the rules whose keywords a lower-cased text holds, after
+    suppression."""
     plain = f" {' '.join(text.split())} "
     active = {i for which in {key: which for _, (key, which) in gate().iter(plain)}.values() for i in which}
     return suppress(candidates(text, sorted(active))) if active else []
