@@ -45,7 +45,7 @@ def integers(df: DataFrame, vector: str = "embedding") -> DataFrame:
     x = F.col(vector)
     fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < LARGEST))
     rows = df.where(x.isNotNull() & (F.size(x) > 0) & F.coalesce(fit, F.lit(False)))
-    v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int"))
+    v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).try_cast("int"))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
 
 

@@ -363,7 +363,7 @@ def strip(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with n_bytes, spans and kept_text (what is left, broken characters replaced) for each row; columns of these names are
     replaced."""
     result = materialise(strip_texts(df, text, length), "stripped-texts")
-    made = F.struct("n_bytes", "spans", F.decode("kept", F.lit("UTF-8")).alias("kept_text"))
+    made = F.struct("n_bytes", "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
     own = [c for c in df.columns if c not in ("n_bytes", "spans", "kept_text")]
     d1, d2 = keyed(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), d1, d2)
