@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators import scan
 from lexiloom.operators.dictionaries import UNKNOWN
 from lexiloom.operators.ordering import RANGE_ROWS, numbered, running_sum
 
@@ -27,10 +28,9 @@ def run_stats(runs: DataFrame, value: str, by: list[str], batch: int = 1) -> Dat
     )
 
 
-def running_stats(runs: DataFrame, value: str, by: list[str], order: Column) -> DataFrame:
-    """Count and mean of all runs so far."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("n", F.count(value).over(w)).withColumn("mean", F.avg(value).over(w))
+def running_stats(runs: DataFrame, value: str, by: str, order: str, range_rows: int = scan.RANGE_ROWS) -> DataFrame:
+    """Count, mean, population deviation and extremes of all runs of a key so far (see ``scan.running``)."""
+    return scan.running(runs, by, order, value, range_rows).drop("place")
 
 
 def error_counts(runs: DataFrame) -> DataFrame:
@@ -116,15 +116,15 @@ def _line_rows(every: int, columns: list[str]):
     return run
 
 
-def log_line_stats(runs: DataFrame, order: str, every: int) -> DataFrame:
+def log_line_stats(runs: DataFrame, order: str, every: int, range_rows: int = scan.RANGE_ROWS) -> DataFrame:
     """Cumulative statistics of ``seconds`` by ``stage``, a row for every ``every`` valid runs of a stage in order, nulls last.
 
-    Sums of doubles depend on the order of the additions: the mean is that of DuckDB's windows to the last bit (see ``sums_before``),
-    made of chunks, so that no task holds a whole stage.
+    All but the mean are a prefix scan over ranges, so a stage that all runs have is spread over all tasks.  Sums of doubles depend on
+    the order of the additions: the mean is that of DuckDB's windows to the last bit (see ``sums_before``), made of chunks of CHUNK
+    runs; what one task holds of a whole stage is one number a chunk.
     """
-    w = Window.partitionBy("stage").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     v, columns = "seconds", ["n", "stage", "mean", "std", "low", "high"]
-    found = runs.withColumns({"place": F.count("*").over(w) - 1, "n": F.count(v).over(w), "std": F.stddev_pop(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w)})
+    found = scan.running(runs.select("stage", order, v), "stage", order, v, range_rows).drop("mean")
     found = found.withColumns({"chunk": F.expr(f"place div {CHUNK}"), "term": F.coalesce(F.col(v).cast("double"), F.lit(0.0))})
     kind = {x.name: x.dataType.simpleString() for x in found.withColumn("mean", F.lit(0.0)).schema}
     stage = f"stage {kind['stage']}, chunk long"

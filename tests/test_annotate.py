@@ -1,6 +1,9 @@
 import hashlib
 import json
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +50,42 @@ def test_reanchoring(spark):
     }
 
 
+def test_occurrences_equal_a_plain_search():
+    """Mentions that hold and overlap each other, empty ones, and characters outside the first plane."""
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("aab\U0001f600") for _ in range(rng.randrange(0, 40)))
+        mentions = [rng.choice(["a", "aa", "aba", "b", "", "\U0001f600a", "c", "aaaa"]) for _ in range(rng.randrange(0, 12))]
+        seen, expected = Counter(), []
+        for m in mentions:
+            places = [i for i in range(len(text) - len(m) + 1) if text[i : i + len(m)] == m]
+            expected.append(places[seen[m]] if seen[m] < len(places) else None)
+            seen[m] += 1
+        assert spans.occurrences(text, mentions) == expected
+
+
+def test_many_mentions_of_a_long_text(spark):
+    """Ten thousand equal mentions in a text of a million characters: one pass."""
+    text = "ab c " * 200_000
+    start = time.perf_counter()
+    assert spans.occurrences(text, ["b c"] * 10_000 + ["absent"]) == [5 * i + 1 for i in range(10_000)] + [None]
+    assert time.perf_counter() - start < 2
+    rows = spark.range(10_000).selectExpr("1 as doc_id", "'b c' as mention", "cast(-id as int) as start", "0 as end", "cast(id as int) as ordinal", "id as x")
+    found = spans.reanchor(rows, spark.createDataFrame([(1, text), (2, None)], "doc_id int, content string"))
+    assert found.columns == ["doc_id", "mention", "ordinal", "x", "start", "end", "error"]
+    assert {(r["start"], r["x"]) for r in found.collect()} == {(5 * i + 1, 9_999 - i) for i in range(10_000)}
+
+
+def test_reanchoring_of_odd_rows(spark):
+    """Null mentions go; null and missing contents; no rows."""
+    contents = spark.createDataFrame([(1, None), (2, "xx"), (None, "xx")], "doc_id int, content string")
+    schema = "doc_id int, mention string, start int, end int, ordinal int"
+    rows = [(1, "x", 0, 1, 0), (2, None, 0, 1, 0), (2, "x", None, 1, 1), (2, "x", 0, 1, 2), (3, "x", 0, 1, 0), (None, "x", 0, 1, 0)]
+    found = spans.reanchor(spark.createDataFrame(rows, schema), contents).collect()
+    assert {(r["doc_id"], r["ordinal"], r["start"], r["error"]) for r in found} == {(1, 0, None, "mention not in text"), (2, 1, 0, None), (2, 2, 1, None)}
+    assert spans.reanchor(spark.createDataFrame([], schema), contents).count() == 0
+
+
 def test_request_texts(spark):
     texts = {None: "no text", "": "empty text", " \t \x1c": "only whitespace letters", "a": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
