@@ -361,9 +361,11 @@ def gold_comparison(spark, sf):
 
 
 @query(
-    """WITH g AS (SELECT doc_id, i, substr(text, i, 3) AS mention, row_number() OVER (PARTITION BY doc_id, substr(text, i, 3) ORDER BY i) AS k
-    FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)),
-    b AS (SELECT doc_id, mention, (i - 1) // 100 AS o, row_number() OVER (PARTITION BY doc_id, mention ORDER BY i DESC) AS k FROM g WHERE i % 100 = 1)
+    """WITH o AS (SELECT doc_id, text, unnest(range((length(text)) // 100 + 1)) AS o FROM documents),
+    b AS (SELECT doc_id, o, substr(text, (100 * o + 1)::bigint, 3) AS mention, row_number() OVER (PARTITION BY doc_id, substr(text, (100 * o + 1)::bigint, 3) ORDER BY o DESC) AS k
+    FROM o WHERE 100 * o + 3 <= length(text)),
+    i AS (SELECT doc_id, unnest(range(1, length(text) - 1)) AS i, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS mention FROM documents),
+    g AS (SELECT doc_id, mention, i, row_number() OVER (PARTITION BY doc_id, mention ORDER BY i) AS k FROM i SEMI JOIN b USING (doc_id, mention))
     SELECT doc_id, mention, o::int AS ordinal, (g.i - 1)::int AS "start", NULL::varchar AS error FROM b JOIN g USING (doc_id, mention, k)
     UNION ALL SELECT doc_id, doc_id || ' is absent', -1, NULL, 'mention not in text' FROM documents"""
 )
@@ -760,7 +762,7 @@ def run_stats(spark, sf):
 
 
 @query(
-    """SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w + 3e-11, 9) AS mean, round(stddev_pop(value) OVER w, 6) AS std, min(value) OVER w AS low, max(value) OVER w AS high
+    """SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w + 1.2345678e-8, 6) AS mean, round(stddev_pop(value) OVER w, 6) AS std, min(value) OVER w AS low, max(value) OVER w AS high
     FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def running_stats(spark, sf):
@@ -768,7 +770,7 @@ def running_stats(spark, sf):
     digits; a hair more decides these alike."""
     events = read(spark, sf, "events").select("event_id", "value", F.lit("all").alias("stage"))
     found = analytics.running_stats(events, "value", "stage", "event_id")
-    return found.select("event_id", "n", F.round(F.col("mean") + 3e-11, 9).alias("mean"), F.round("std", 6).alias("std"), "low", "high")
+    return found.select("event_id", "n", F.round(F.col("mean") + 1.2345678e-8, 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high")
 
 
 @query("SELECT event_type AS error, count(*) AS n FROM events GROUP BY event_type")
