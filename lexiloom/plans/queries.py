@@ -5,6 +5,10 @@ The tables hold no biomedical text, so mentions and dictionaries are injected by
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +18,8 @@ from lexiloom.functions import text as T
 from lexiloom.operators import analytics, patterns, plugins, segment, subword, tagging
 from lexiloom.operators import dictionaries as dic
 from lexiloom.plans import annotate, formats
-from lexiloom.sources import parsers
-from lexiloom.tables import materialise, spread
+from lexiloom.sources import archives, parsers, split_files
+from lexiloom.tables import materialise, scratch_dir, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -558,6 +562,17 @@ def pubtator_scan(spark, sf):
     return docs.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), n.alias("n_annotations"), "error")
 
 
+@query(f"SELECT doc_id::varchar AS doc_id, 'Title ' || doc_id AS title, md5(rtrim({_FLAT})) AS abstract_md5, doc_id::int AS \"start\", NULL::varchar AS error FROM documents")
+def pubtator_files(spark, sf):
+    """Blocks of whole texts, written to files and read back in splits."""
+    d = F.col("doc_id").cast("string")
+    lines = F.concat_ws("\n", F.concat(d, F.lit("|t|Title "), d), F.concat(d, F.lit("|a|"), flat_text()), F.concat(d, F.lit("\t"), d, F.lit("\t9\tm\tSNP\tx")), F.lit(""))
+    path = f"{scratch_dir(spark)}/block-files-{uuid.uuid4().hex}"
+    docs_of(spark, sf).select(lines.alias("value")).write.text(path)
+    found = parsers.pubtator(split_files.file_blocks(spark, path))
+    return found.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), F.get("annotations", F.lit(0))["start"].alias("start"), "error")
+
+
 @query(
     f"""SELECT doc_id::varchar AS doc_id, md5('T' || doc_id || ' ' || {_FLAT}) AS text_md5, 'Gene:1,2:0:' || length(text) || ';Species:x:1:' || (length(text) + 1) AS spans FROM documents"""
 )
@@ -593,19 +608,49 @@ def pubmed_scan(spark, sf):
     return parsers.pubmed(read(spark, sf, "pages").select(xml.alias("xml"))).select("doc_id", "title", F.md5("abstract").alias("abstract_md5"))
 
 
-@query(
-    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5(url || ' second') AS abstract_md5, md5({_LEGAL.format('html')} || ' part two ' || page_id) AS body_md5 FROM pages"""
-)
-def pmc_scan(spark, sf):
-    """Full texts with sections in sections, whose first paragraph is a whole page."""
+def full_texts(spark, sf):
+    """page_id and full-text XML with sections in sections, whose first paragraph is a whole page."""
     p = F.col("page_id").cast("string")
     head = F.concat(F.lit("<article><front><article-id pub-id-type='pmid'>0</article-id><article-id pub-id-type='pmc'>"), p, F.lit("</article-id><article-title>Title "), p, F.lit("</article-title>"))
     abstract = F.concat(F.lit("<abstract><p>"), as_xml("url"), F.lit("</p><sec><p>second</p></sec></abstract></front>"))
     body = F.concat(F.lit("<body><sec><title>no</title><p>"), as_xml("html"), F.lit("</p><sec><p>part two</p></sec></sec><p>"), p, F.lit("</p></body></article>"))
-    found = parsers.pmc(read(spark, sf, "pages").select(F.concat(head, abstract, body).alias("xml")))
+    return read(spark, sf, "pages").select("page_id", F.concat(head, abstract, body).alias("xml"))
+
+
+def full_digests(found):
     return found.select("doc_id", "title", F.md5("abstract").alias("abstract_md5"), F.md5("body").alias("body_md5"))
 
 
+def _packed_archive(rows: pa.Table) -> pa.Table:
+    """An archive of at most fifty full texts, each with a picture."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as tar:
+        for page, xml in zip(rows["page_id"].to_pylist(), rows["xml"].to_pylist(), strict=True):
+            for name, data in ((f"PMC{page}/{page}.nxml", xml.encode()), (f"PMC{page}/{page}.jpg", b"picture")):
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    return pa.table({"archive": [str(rows["archive"][0])], "content": [out.getvalue()]})
+
+
+@query(
+    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5(url || ' second') AS abstract_md5, md5({_LEGAL.format('html')} || ' part two ' || page_id) AS body_md5 FROM pages"""
+)
+def pmc_scan(spark, sf):
+    """Full texts, each parsed once."""
+    return full_digests(archives.articles(full_texts(spark, sf), "xml"))
+
+
+@query(
+    f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5(url || ' second') AS abstract_md5, md5({_LEGAL.format('html')} || ' part two ' || page_id) AS body_md5 FROM pages"""
+)
+def pmc_archives(spark, sf):
+    """The full texts as members of packed archives, among others; a member is read from its archive's stream."""
+    rows = full_texts(spark, sf).withColumn("archive", F.expr("page_id div 50"))
+    packed = rows.groupBy("archive").applyInArrow(_packed_archive, "archive string, content binary")
+    return full_digests(archives.articles(archives.members(packed)))
+
+
 @query(
     f"""SELECT page_id::varchar AS doc_id, 'Title ' || page_id AS title, md5({_LEGAL.format('html')}) AS abstract_md5, (page_id % 3 > 0)::int AS n_annotations,
     CASE WHEN page_id % 3 > 0 THEN 'c.' || page_id || 'A>G:SNP:' || page_id || ':5:9' END AS first FROM pages"""

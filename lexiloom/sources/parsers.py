@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators.ordering import RANGE_ROWS, numbered
+from lexiloom.sources import split_files
 
 ALLOWED = ("ProteinMutation", "DNAMutation", "SNP")
 NO_TEXT = ("- No text -", "-NoAbstract-")
@@ -16,9 +17,8 @@ BIOC_SCHEMA = """id string, passage array<struct<infon: array<struct<_key: strin
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (ascending within a file) and value; files are read whole so that the order is certain."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).where("value <> ''")
+    """line_no (ascending within a file) and value of the lines that are not empty; many tasks read a file (see ``split_files``)."""
+    return split_files.file_lines(spark, path).select("line_no", "value")
 
 
 def blocks(whole: DataFrame) -> DataFrame:
