@@ -2,7 +2,7 @@
 
 An archive is a tar file, packed by gzip or plain, and a row (``binaryFile`` reads one a file, of up to 2 GB); a task holds one archive, packed, and one member.
 
-Results for odd input: an archive that breaks off gives the members before the damage and a row with an ``error``; null contents
+Results for odd input: Spark passes over empty files; an archive that breaks off gives the members before the damage and a row with an ``error``; null contents
 give an error; members that are not files, or whose names end otherwise, are passed over; a text that is no XML, or a null one, has
 null fields and an error.
 """

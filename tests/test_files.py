@@ -81,7 +81,7 @@ def test_archive_members(spark, tmp_path):
     """Only full texts come out; a broken archive gives what stands before the damage, and an error."""
     whole = packed([("a/1.nxml", b"<x/>" * 9_000), ("a/1.pdf", b"no"), ("a/2.nxml", "é".encode())])
     noise = random.Random(1).randbytes(60_000)
-    files = {"one.tar.gz": whole, "two.tar.gz": packed([("3.nxml", b"3"), ("4.nxml", noise)])[:-20_000], "none.tar.gz": b"", "other.zip": whole}
+    files = {"one.tar.gz": whole, "two.tar.gz": packed([("3.nxml", b"3"), ("4.nxml", noise)])[:-20_000], "none.tar.gz": b"\x1f\x8bjunk", "other.zip": whole}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     rows = archives.members(archives.archives(spark, f"file://{tmp_path}")).collect()
