@@ -22,6 +22,8 @@ UNKNOWN, FIRST, LAST, PADDING = "[UNK]", "[CLS]", "[SEP]", "**NULL**"
 #: Numbers of labels; X marks the pieces of a word that follow its first one.
 LABEL_IDS = {"B": 1, "I": 2, "O": 3, "X": 4, FIRST: 5, LAST: 6}
 LONGEST, LENGTH = 200, 256
+#: Characters of a token whose pieces are looked up length by length; longer ones are cut in one pass.
+SHORT = 16
 #: Tokens of a vocabulary that may be broadcast.
 VOCABULARY_MOST = 2_000_000
 #: Words whose pieces a worker remembers; the memory is emptied when it is full, which changes no result.
@@ -95,6 +97,76 @@ def pieces(token: str, vocabulary: dict[str, int], longest: int = LONGEST) -> li
     return out
 
 
+class Pieces:
+    """``pieces`` of a vocabulary in one pass over a token, whatever its length.
+
+    Two tries hold what can begin a word and what can go on in it.  Each node has a failure link, to the node that stands for the rest
+    of its string after some longest pieces, and those pieces, its failure pops.  Where no child goes on, the pops are put out and the
+    link is taken; each character is stepped over once, and each pop is a piece of the result.  Tokens of up to SHORT characters are
+    looked up plainly, and the tries are made when the first longer one comes.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], longest: int = LONGEST, short: int = SHORT) -> None:
+        self.vocabulary, self.longest, self.short = vocabulary, longest, short
+        self.child: dict[tuple[int, str], int] = {}
+        self.link: list[int] = []
+        self.pops: list[tuple[str, ...]] = []
+
+    def _grow(self) -> None:
+        """Nodes 0 and 1 are the roots: of whole tokens, and of those that go on, without their mark."""
+        whole: list[str | None] = [None, None]
+        edges: list[list[tuple[str, int]]] = [[], []]
+        for token in self.vocabulary:
+            for root, string in ((0, token), (1, token[2:] if token.startswith("##") else "")):
+                node = root
+                for c in string:
+                    step = self.child.get((node, c))
+                    if step is None:
+                        step = self.child[node, c] = len(whole)
+                        whole.append(None)
+                        edges.append([])
+                        edges[node].append((c, step))
+                    node = step
+                if string:
+                    whole[node] = token
+        self.link, self.pops = [-1] * len(whole), [()] * len(whole)
+        level = [0, 1]
+        while level:
+            below = []
+            for node in level:
+                for c, to in edges[node]:
+                    below.append(to)
+                    if whole[to] is not None:
+                        self.link[to], self.pops[to] = 1, (whole[to],)
+                        continue
+                    at, popped = self.link[node], self.pops[node]
+                    while at >= 0 and (at, c) not in self.child:
+                        popped, at = popped + self.pops[at], self.link[at]
+                    if at >= 0:
+                        self.link[to], self.pops[to] = self.child[at, c], popped
+            level = below
+
+    def __call__(self, token: str) -> list[str]:
+        if len(token) <= self.short or len(token) > self.longest:
+            return pieces(token, self.vocabulary, self.longest)
+        if not self.link:
+            self._grow()
+        node, out = 0, []
+        for c in token:
+            while (step := self.child.get((node, c))) is None:
+                if self.link[node] < 0:
+                    return [UNKNOWN]
+                out += self.pops[node]
+                node = self.link[node]
+            node = step
+        while node != 1:
+            if self.link[node] < 0:
+                return [UNKNOWN]
+            out += self.pops[node]
+            node = self.link[node]
+        return out
+
+
 def tokenize(text: str, vocabulary: dict[str, int], lower: bool = False) -> list[str]:
     return [p for token in basic_tokens(text, lower) for p in pieces(token, vocabulary)]
 
@@ -158,12 +230,13 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
         known: dict[str, list[str]] = {}
+        cut = Pieces(shared.value)
 
         def found(word: str) -> list[str]:
             if word not in known:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known[word] = tokenize(word, shared.value, lower)
+                known[word] = [p for token in basic_tokens(word, lower) for p in cut(token)]
             return known[word]
 
         for whole in batches:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,30 @@ def test_session_model():
     scores = plugins.session_model(Session(), VOCABULARY, 8)([["ab", "unaffable"], ["\x00"]])
     tags = [plugins.tag_head(s)[0] for s in scores]
     assert tags == [["O", "B"], ["O"]]
+
+
+def test_pieces_in_one_pass_equal_the_greedy_rule():
+    """Random vocabularies, with marks as characters, pieces that no word can end with, and holes."""
+    rng = random.Random(12)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abc", "a#b"])
+        string = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(1, n)))
+        tokens = {string(5) for _ in range(rng.randrange(0, 8))} | {"##" + string(6) for _ in range(rng.randrange(0, 10))} | set(rng.sample(["##", "##a", "##b", "a", "#"], 2))
+        vocabulary = subword.vocabulary_of(sorted(tokens))
+        cut = subword.Pieces(vocabulary, short=0)
+        for token in ["", *(string(14) for _ in range(30))]:
+            assert cut(token) == subword.pieces(token, vocabulary), (token, tokens)
+
+
+def test_pieces_of_long_tokens_take_linear_time():
+    """Long pieces that nearly match at every place: the greedy rule tries all lengths at each."""
+    vocabulary = subword.vocabulary_of(["a", "##a", "a" * 150 + "b", "##" + "a" * 150 + "b"])
+    cut = subword.Pieces(vocabulary, longest=100_000)
+    assert cut("a" * 200) == subword.pieces("a" * 200, vocabulary) == ["a", *["##a"] * 199]
+    took = []
+    for n in (10_000, 80_000):
+        start = time.perf_counter()
+        assert len(cut("a" * n)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 1 and took[1] < 24 * took[0]
+    assert cut("a" * 100_001) == [subword.UNKNOWN]
