@@ -8,8 +8,8 @@ over the roles in turn order and tells at which turn the order breaks.
 
 Results for odd input: a null text is empty; a null or unknown role is written as the template's other role with
 its name escaped; equal turns are ordered by role and text; an order that the machine does not accept is still
-formatted and marked ``valid`` = false, ``bad_turn`` its first bad position; rows without a conv_id are one
-conversation; empty tables give no rows.
+formatted and marked ``valid`` = false, ``bad_turn`` its first bad position; each row without a
+conv_id is a conversation of its own; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -124,9 +124,12 @@ def states(roles: Column, t: Template = BRACKETS) -> Column:
 def format_conversations(df: DataFrame, t: Template = BRACKETS) -> DataFrame:
     """conv_id, segments (text, loss) in turn order, formatted, valid and bad_turn.
 
-    Escaping runs before the shuffle, where it is spread over all tasks; the group only puts segments in order.
+    Escaping runs before the shuffle, where it is spread over all tasks; the group only puts segments in order.  Rows without a
+    conv_id are not shuffled.
     """
-    turns = escaped(df, t).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows, turn = escaped(df, t), F.struct("turn", "role", "text")
+    turns = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = turns.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     made = turns.withColumn("walk", states(F.col("turns.role"), t)).withColumn(
         "segments", F.flatten(F.transform("turns", lambda x: segments(x["role"], x["text"], t)))
     )
@@ -207,18 +210,18 @@ def _sql(t: Template = BRACKETS) -> str:
     other = len(t.other[0]) + len(t.other[1]) + len(t.name_end)
     moves = ", ".join(f"('{s}', '{r}')" for s, to in t.machine.items() for r in to)
     return f"""
-WITH a AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH a AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 b AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(lag(role) OVER w, 'start') AS was,
     length(text) + {cuts('text')} + CASE role {added} ELSE {other} + length(coalesce(role, '')) + {cuts("coalesce(role, '')")} END AS chars
-    FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+    FROM a WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn, role, text)),
 c AS (SELECT *, (was, role) NOT IN ({moves}) AS bad FROM b)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(chars)::bigint AS formatted_chars,
     NOT bool_or(bad) AND arg_max(role, n) <> 'system' AS valid, (min(n) FILTER (bad))::int AS bad_turn
-FROM c GROUP BY conv_id"""
+FROM c GROUP BY conv_id, own"""
 
 
 ORACLES = {"op6_chat_formatting": _sql()}

@@ -57,3 +57,12 @@ def test_license_tag_lines_end_with_the_line():
     found = lambda t: license_scan.scan(t)[5]
     assert found("SPDX-License-Identifier:  \t MIT   OR  \t ISC") == "isc,mit"
     assert found("SPDX-License-Identifier: MIT  \n  OR ISC") == "mit"
+
+
+def test_chat_rows_without_an_id_are_conversations_of_their_own(spark):
+    from lexiloom.llm import chat_format
+
+    rows = [(None, i, "user", f"text {i % 3}") for i in range(90)] + [(1, 1, "assistant", "b"), (1, 0, "user", "a")]
+    made = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = made.selectExpr("conv_id", "size(segments) AS n", "valid").groupBy("conv_id", "n", "valid").count().collect()
+    assert {(r.conv_id, r.n, r["count"]) for r in got} == {(None, 3, 90), (1, 6, 1)}
