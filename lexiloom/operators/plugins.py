@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import segment, tagging
 
-#: sentences (doc_id, sent_idx, text, start) -> doc_id, etype, sent_idx, word_idx, word, start, end, tag, p
+#: sentences (doc_id, sent_idx, text, start) -> doc_id, etype, sent_idx, word_idx, word, start, end, tag, p; the words of a sentence and
+#: type follow one another within a partition, as they do where sentences are mapped
 TokenTagger = Callable[[DataFrame], DataFrame]
 #: mentions (doc_id, etype, ordinal, start, end, mention, ...) of one type -> the same with ids (array of strings)
 EntityNormalizer = Callable[[DataFrame], DataFrame]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,9 +148,24 @@ def words(sents: DataFrame) -> DataFrame:
     return found.select("doc_id", "sent_idx", "word_idx", "word", shown.alias("shown"), "start", "end")
 
 
-def chunks(wrds: DataFrame) -> DataFrame:
-    """Model examples: runs of CHUNK_WORDS words of a sentence, in order."""
-    at = F.floor(F.col("word_idx") / CHUNK_WORDS).cast("int").alias("chunk")
-    return wrds.groupBy("doc_id", "sent_idx", at).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "shown"))), lambda x: x["shown"]).alias("words")
-    )
+def chunks(sents: DataFrame) -> DataFrame:
+    """Model examples doc_id, sent_idx, chunk, words of sentences: runs of CHUNK_WORDS shown words, in order.
+
+    No example reaches over a sentence, so they are cut where the sentence lies and nothing is shuffled.
+    """
+    key = sents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, (_, _, text) in parts(batch):
+                row, number, _, _, word = token_table(text.fill_null(""))
+                begin = np.flatnonzero(number % CHUNK_WORDS == 0)
+                long = pc.greater(pc.utf8_length(word), LONG_WORD)
+                shown = pc.if_else(long, pc.utf8_slice_codeunits(word, 0, SHOWN), word)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(word)).astype(np.int32)), shown)
+                at = pa.array(row[begin] + rows.start)
+                out = [batch.column(0).take(at), batch.column(1).take(at), pa.array((number[begin] // CHUNK_WORDS).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "sent_idx", "chunk", "words"])
+
+    asked = sents.select("doc_id", F.col("sent_idx").cast("int"), "text")
+    return asked.mapInArrow(run, f"doc_id {key}, sent_idx int, chunk int, words array<string>")

@@ -6,6 +6,12 @@ tables give no rows; repeated rows of one word count as words of their own in th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +63,70 @@ def decode(tags: DataFrame, mentions: bool = False) -> DataFrame:
     return runs.select("doc_id", "etype", "sent_idx", "start", "end", "score", "first_word", "last_word", *text)
 
 
+def _breaks(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return codes[1:] != codes[:-1]
+
+
+def _runs(t: pa.Table, names: list[str]) -> pa.RecordBatch:
+    """The entities of tagged words that stand in order."""
+    owner, etype, sentence, number, word, start, end, tag, p = (c.combine_chunks() for c in t.columns)
+    at, same = number.to_numpy(), ~(_breaks(owner) | _breaks(etype) | _breaks(sentence))
+    goes_on = np.zeros(len(t), bool)
+    goes_on[1:] = same & (at[1:] == at[:-1] + 1) & pc.equal(tag, "I").to_numpy(zero_copy_only=False)[1:]
+    first = np.flatnonzero(~goes_on)
+    last = np.append(first[1:], len(t)) - 1
+    scored = p.is_valid().to_numpy(zero_copy_only=False)
+    short = pc.equal(pc.utf8_length(word), 1).to_numpy(zero_copy_only=False)
+    scored[last[short[last] & (last > first)]] = False
+    n = np.add.reduceat(scored.astype(np.int64), first)
+    total = np.add.reduceat(np.where(scored, p.fill_null(0.0).to_numpy(), 0.0), first)
+    head = pc.equal(tag, "B").to_numpy(zero_copy_only=False)[first]
+    first, last, n, total = first[head], last[head], n[head], total[head]
+    a, b = pa.array(first), pa.array(last)
+    score = pa.array(total / np.maximum(n, 1), mask=n == 0)
+    out = [owner.take(a), etype.take(a), sentence.take(a), start.take(a), end.take(b), score, number.take(a), number.take(b)]
+    if "mention" in names:
+        gaps = np.append(0, start.to_numpy()[1:] - end.to_numpy()[:-1])
+        texts = word.take(a).to_pylist()
+        for i in np.flatnonzero(last > first):
+            texts[i] += "".join(" " * gaps[j] + word[j].as_py() for j in range(first[i] + 1, last[i] + 1))
+        out.append(pa.array(texts, pa.string()))
+    return pa.RecordBatch.from_arrays(out, names)
+
+
+def decode_runs(tags: DataFrame, mentions: bool = False) -> DataFrame:
+    """What ``decode`` gives, without a shuffle, for tagged words whose sentences are whole: the words of a sentence and type follow one
+    another within a partition, in order, as maps over sentences give them.
+
+    The last sentence of a batch waits for the next one, so at most a batch and a sentence are held.
+    """
+    key = tags.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "etype", "sent_idx", "start", "end", "score", "first_word", "last_word", *["mention"] * mentions]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            rows = [pa.Table.from_batches([batch])] if batch is not None else []
+            if held is None and not rows:
+                return
+            both = pa.concat_tables([*([held] if held is not None else []), *rows])
+            both = both.filter(pc.not_equal(both["tag"], "O"))
+            keep = len(both)
+            if batch is not None and len(both):
+                ends = np.flatnonzero(np.logical_or.reduce([_breaks(both.column(i).combine_chunks()) for i in range(3)]))
+                keep = int(ends[-1]) + 1 if len(ends) else 0
+            held = both.slice(keep)
+            if keep:
+                yield _runs(both.slice(0, keep), names)
+
+    columns = "sent_idx int, word_idx int, word string, start int, end int, tag string, p double"
+    typed = [F.col(c).cast(t) for c, t in (x.split() for x in columns.split(", "))]
+    out = f"doc_id {key}, etype string, sent_idx int, start int, end int, score double, first_word int, last_word int" + ", mention string" * mentions
+    return tags.select("doc_id", "etype", *typed).mapInArrow(run, out)
+
+
 def resolve(entities: DataFrame) -> DataFrame:
     """Of rival types on exactly one span only those of the highest score stay, ties included."""
     best = F.rank().over(Window.partitionBy("doc_id", "start", "end").orderBy(F.desc("score")))

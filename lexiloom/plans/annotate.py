@@ -66,8 +66,8 @@ def entities(docs: DataFrame, tagger: TokenTagger = gazetteer_tagger, found: Dat
     """COLUMNS of all documents (doc_id, title, abstract): the tagger's entities, of rivals on one span the best, without
     everyday words for species, and the mutations ``found``; ordinal counts a document's entities of a type by place.
     """
-    tagged = tagger(segment.sentences(spread(docs))).repartition("doc_id")  # serves all windows and joins below
-    runs = tagging.drop_common_species(tagging.resolve(tagging.decode(tagged, mentions=True)), tagging.HUMAN_WORDS if denied is None else denied)
+    decoded = tagging.decode_runs(tagger(segment.sentences(spread(docs))), mentions=True).repartition("doc_id")  # serves all windows and joins below
+    runs = tagging.drop_common_species(tagging.resolve(decoded), tagging.HUMAN_WORDS if denied is None else denied)
     none = F.lit(None).cast("string")
     placed = runs.select("doc_id", "etype", "start", "end", "score", "mention", none.alias("mutation_type"), none.alias("normalized_name"))
     if found is not None:

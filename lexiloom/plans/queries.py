@@ -171,9 +171,13 @@ _TOKENS = """t AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9a-zA-Z]+
     w AS (SELECT doc_id, word, s::bigint AS "start", row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS word_idx FROM u WHERE word <> ' ')"""
 
 
+def whole_of(spark, sf):
+    """Every text as one sentence."""
+    return docs_of(spark, sf).select("doc_id", F.lit(0).alias("sent_idx"), "text", F.lit(0).alias("start"))
+
+
 def words_of(spark, sf):
-    whole = docs_of(spark, sf).select("doc_id", F.lit(0).alias("sent_idx"), "text", F.lit(0).alias("start"))
-    return segment.words(whole)
+    return segment.words(whole_of(spark, sf))
 
 
 @query(
@@ -191,7 +195,7 @@ def segment_words(spark, sf):
     WHERE length(word) <= 20 OR true GROUP BY doc_id, word_idx // 30""".replace("arg_min(word,", "arg_min(CASE WHEN length(word) > 20 THEN substr(word, 1, 10) ELSE word END,")
 )
 def segment_chunks(spark, sf):
-    return segment.chunks(words_of(spark, sf)).select("doc_id", "chunk", F.size("words").alias("n_words"), F.col("words")[0].alias("first_word"))
+    return segment.chunks(whole_of(spark, sf)).select("doc_id", "chunk", F.size("words").alias("n_words"), F.col("words")[0].alias("first_word"))
 
 
 #: Sentences (doc_id, sent_idx, start, n_chars, whether not blank) and characters (with part, s, piece, r: number of the token in
@@ -230,7 +234,8 @@ _TAGS = f"""{_TOKENS}, g AS (SELECT *, unnest([1, 2]) AS k FROM w),
 
 def tags_of(spark, sf):
     n = F.length("word")
-    both = words_of(spark, sf).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    words = words_of(spark, sf)
+    both = words.withColumn("k", F.lit(1)).unionByName(words.withColumn("k", F.lit(2)))
     tag = F.when((n >= 6) & ((n + F.col("k")) % 3 == 0), "B").when(n == 2, "I").otherwise("O")
     return both.select(
         "doc_id", F.when(F.col("k") == 1, "gene").otherwise("drug").alias("etype"), "sent_idx", "word_idx", "word", "start", "end",
@@ -240,7 +245,7 @@ def tags_of(spark, sf):
 
 @query(f"""WITH {_TAGS} SELECT doc_id, etype, "start", "end"::bigint AS "end", round(score, 6) AS score FROM e WHERE head = 'B'""")
 def tag_bio_decode(spark, sf):
-    found = tagging.decode(tags_of(spark, sf))
+    found = tagging.decode_runs(tags_of(spark, sf))
     return found.select("doc_id", "etype", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.round("score", 6).alias("score"))
 
 
@@ -862,7 +867,7 @@ def subword_vocabulary(words):
 def subword_examples(spark, sf):
     """Padded model inputs of all chunks of all texts, as digests."""
     words = words_of(spark, sf)
-    made = subword.examples(segment.chunks(words), subword_vocabulary(words.where("word rlike '^[0-9A-Za-z]+$'")))
+    made = subword.examples(segment.chunks(whole_of(spark, sf)), subword_vocabulary(words.where("word rlike '^[0-9A-Za-z]+$'")))
     arrays = [F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(c) for c in ("input_ids", "input_mask", "label_ids", "tokens")]
     return made.select("doc_id", "sent_idx", "chunk", *arrays)
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,32 @@ def test_bio(spark, tags, runs):
     assert [(r["first_word"], r["last_word"]) for r in found] == runs
 
 
+def test_runs_in_order_decode_as_windows_do(spark):
+    """Sentences over the borders of batches, gaps, repeated documents, null ids and scores, final words of one character."""
+    random = np.random.default_rng(5)
+    rows = []
+    for doc in [None, *range(60), 7]:
+        for etype in ("gene", "drug"):
+            for sent in range(3):
+                at, again = 0, 100 * (doc == 7) * len([r for r in rows if r[0] == 7 and r[1] == etype and r[2] == sent])
+                for i in range(int(random.integers(0, 30))):
+                    word = "abcdefgh"[: int(random.integers(1, 4))]
+                    tag, p = random.choice(["B", "I", "I", "O"]), None if random.random() < 0.1 else float(random.random())
+                    if random.random() < 0.9:
+                        rows.append((doc, etype, sent, i + again, word, at, at + len(word), str(tag), p))
+                    at += len(word) + int(random.integers(0, 3))
+    df = spark.createDataFrame(rows, "doc_id int, etype string, sent_idx int, word_idx int, word string, start int, end int, tag string, p double").coalesce(1)
+    shown = lambda found: sorted(tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in found.collect())
+    expected = shown(tagging.decode(df, mentions=True))
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        made = tagging.decode_runs(df, mentions=True)
+        assert shown(made) == expected and len(expected) > 300
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    assert tagging.decode_runs(df.limit(0)).count() == tagging.decode_runs(df.where("tag = 'O'")).count() == 0
+
+
 def test_mirna(spark):
     texts = {"miR-7": [], "miR-21": [(0, 6)], "mmu-miR-21": [(4, 10)], "hsa-let-7b-5p": [(0, 13)], "miR-181a-1": [(0, 8)], "émiR-21": [], "\U0001f600 miR-21": [(2, 8)]}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")

@@ -86,6 +86,10 @@ def test_odd_tables(spark):
 
 
 def test_chunks(spark):
-    df = spark.createDataFrame([(1, 0, " ".join(f"w{i}" for i in range(65)), 0)], "doc_id long, sent_idx int, text string, start int")
-    found = segment.chunks(segment.words(df)).orderBy("chunk").collect()
+    rows = [(1, 0, " ".join(f"w{i}" for i in range(65)), 0), (1, 1, "é" * 2 + "a" * 21 + " b", 200), (2, 0, None, 0), (2, 0, "", 0), (3, 0, " ", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, text string, start int")
+    made = segment.chunks(df)
+    found = made.where("sent_idx = 0").orderBy("chunk").collect()
     assert [len(r["words"]) for r in found] == [30, 30, 5] and found[1]["words"][0] == "w30"
+    assert made.where("sent_idx = 1").first()["words"] == ["é", "é", "a" * 10, "b"] and made.count() == 4
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()

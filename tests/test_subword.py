@@ -66,7 +66,7 @@ def test_example_is_cut_and_padded():
 def test_examples_of_chunks(spark):
     docs = spark.createDataFrame([(1, None, "ab, unaffable " * 20), (2, None, "")], "doc_id long, title string, abstract string")
     vocabulary = spark.createDataFrame(list(VOCABULARY.items()), "token string, id int")
-    rows = subword.examples(segment.chunks(segment.words(segment.sentences(docs))), vocabulary, 64).orderBy("chunk").collect()
+    rows = subword.examples(segment.chunks(segment.sentences(docs)), vocabulary, 64).orderBy("chunk").collect()
     words = ["ab", ",", "unaffable"] * 20
     for r in rows:
         own = subword.example(words[r["chunk"] * 30 : r["chunk"] * 30 + 30], None, VOCABULARY, 64)
