@@ -75,6 +75,17 @@ def compare_gold(found: DataFrame, gold: DataFrame) -> DataFrame:
     return both.withColumn("problem", F.when(F.col("mine").isNull(), "missing").when(F.col("theirs").isNull(), "extra").otherwise("moved"))
 
 
+def compare_counts(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, etype, n_found, n_gold of the documents and types whose numbers of spans differ between two runs; spans of such a type
+    can't be held side by side.  Each run is counted before the two meet; a type that one run lacks has 0 there.
+    """
+    keys = ["doc_id", "etype"]
+    a = found.groupBy(*keys).agg(F.count("*").alias("n"))
+    b = gold.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = a.withColumnRenamed("n", "n_found").withColumn("n_gold", F.lit(0)).unionByName(b.withColumnRenamed("n", "n_gold").withColumn("n_found", F.lit(0)))
+    return both.groupBy(*keys).agg(F.sum("n_found").alias("n_found"), F.sum("n_gold").alias("n_gold")).where("n_found <> n_gold")
+
+
 def sums_before(values: np.ndarray, start: float = 0.0) -> np.ndarray:
     """For each value ``start`` and all values before it, added up as DuckDB's windows do: the values are leaves of a tree with FAN
     children a node, and whole nodes are added first, from the left.  Rounding grows with the tree's height, not with the rows."""

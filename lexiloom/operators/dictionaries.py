@@ -116,21 +116,21 @@ def full_ids(m: DataFrame, ext: DataFrame, prefix: str, asked: str = "oid") -> D
     """Column ids: of each oid in a pipe-joined oid list the external ids first, all of them, then the prefixed own ids.
 
     External ids are looked up by the column ``asked``, as for genes, whose own ids are not what the table has.  A mention
-    whose only id is UNKNOWN and has no external ids keeps UNKNOWN.
+    whose only id is UNKNOWN and has no external ids keeps UNKNOWN.  The table is met once for each distinct list, so repeated
+    mentions have the same ids each; a null oid gives null ids.
     """
-    parts = m.withColumn("__row", F.struct("doc_id", "etype", "ordinal")).select("__row", F.posexplode(F.split(asked, r"\|")).alias("pos", "one"))
-    known = parts.join(ext.select(F.col("oid").alias("one"), "ext_ids"), "one", "left")
-    none = F.array().cast("array<string>")
-    gathered = known.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ext_ids", none).alias("e")))).alias("all"))
-    flat = gathered.select(F.col("__row.doc_id").alias("doc_id"), F.col("__row.etype").alias("etype"), F.col("__row.ordinal").alias("ordinal"), F.flatten(F.transform("all", lambda x: x["e"])).alias("__ext"))
+    lists = m.select(F.col(asked).alias("__asked")).where(F.col("__asked").isNotNull()).distinct()
+    one = lists.select("__asked", F.posexplode(F.split("__asked", r"\|")).alias("pos", "one"))
+    known = one.join(ext.select(F.col("oid").alias("one"), "ext_ids"), "one")
+    gathered = known.groupBy("__asked").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ext_ids"))), lambda x: x["ext_ids"])).alias("__ext"))
     own = F.transform(F.split("oid", r"\|"), lambda x: F.when(x == UNKNOWN, UNKNOWN).otherwise(F.concat(F.lit(prefix), x)))
-    return m.join(flat, ["doc_id", "etype", "ordinal"]).withColumn("ids", F.concat("__ext", own)).drop("__ext")
+    both = m.withColumn("__asked", F.col(asked)).join(gathered, "__asked", "left")
+    return both.withColumn("ids", F.concat(F.coalesce("__ext", F.array().cast("array<string>")), own)).drop("__asked", "__ext")
 
 
 def named_ids(names: DataFrame, ext: DataFrame, prefix: str) -> DataFrame:
     """The dictionary (name, oid) with ids as ``full_ids`` gives them, so that mentions need one join only."""
-    rows = names.select("name", "oid", F.col("name").alias("doc_id"), F.lit("").alias("etype"), F.lit(0).alias("ordinal"))
-    return full_ids(rows, ext, prefix).select("name", "oid", "ids")
+    return full_ids(names.select("name", "oid"), ext, prefix).select("name", "oid", "ids")
 
 
 def lookup_ids(m: DataFrame, named: DataFrame, key: Column) -> DataFrame:

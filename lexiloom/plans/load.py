@@ -56,3 +56,20 @@ def runs(docs: DataFrame, registry: Registry, n: int, seed: int, size: int = 1)
 def summary(rows: DataFrame, size: int = 1) -> DataFrame:
     """Statistics a document by stage, of the runs without an error."""
     return analytics.run_stats(rows.where("error IS NULL"), "seconds", ["stage"], size)
+
+
+#: What became of a request, in the order in which they are looked for; errors are classes of their own text.
+NO_RANGE, NOT_AVAILABLE, NO_TIMES, DONE, NO_OBJECT = "out of range", "not available", "no times", "done", "no object"
+
+
+def outcomes(answers: DataFrame) -> DataFrame:
+    """outcome and n of answers (text; elapsed_time, null where an answer has none): which kind of error, or none.
+
+    A null text is an answer that is no object.
+    """
+    untimed = F.col("elapsed_time").isNull()
+    kind = (
+        F.when(F.col("text").isNull(), NO_OBJECT).when(F.col("text").contains("out of index range"), NO_RANGE).when(F.col("text").contains("BioC.key"), NOT_AVAILABLE)
+        .when(F.col("text").contains("error: ") & untimed, F.col("text")).when(untimed, NO_TIMES).otherwise(DONE)
+    )
+    return answers.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import spans
 from lexiloom.functions import text as T
-from lexiloom.operators import analytics, patterns, plugins, segment, subword, tagging
+from lexiloom.operators import analytics, patterns, plugins, segment, subword, table_functions, tagging
 from lexiloom.operators import dictionaries as dic
-from lexiloom.plans import annotate, formats
+from lexiloom.plans import annotate, formats, load
 from lexiloom.sources import archives, parsers, split_files
 from lexiloom.tables import materialise, scratch_dir, spread
 
@@ -366,6 +366,16 @@ def gold_comparison(spark, sf):
     return analytics.compare_gold(found.where("ordinal <> 3"), gold).select("doc_id", "etype", "ordinal", "problem")
 
 
+@query(
+    f"""WITH {_ENTITIES}, a AS (SELECT doc_id, etype, count(*) FILTER (ordinal <> 3) AS n_found, count(*) FILTER (ordinal <> 4) AS n_gold FROM ent GROUP BY doc_id, etype)
+    SELECT doc_id, etype, n_found::bigint AS n_found, n_gold::bigint AS n_gold FROM a WHERE n_found <> n_gold"""
+)
+def gold_counts(spark, sf):
+    """Types whose numbers of mentions differ from the gold run's."""
+    found = entities_of(spark, sf)
+    return analytics.compare_counts(found.where("ordinal <> 3"), found.where("ordinal <> 4"))
+
+
 # ---- re-anchoring ----
 
 
@@ -504,6 +514,14 @@ def mirna_tags(spark, sf):
     return patterns.tag_mirna(docs_of(spark, sf).select("doc_id", F.concat("text", F.lit(" miR-"), rest, F.lit("a ")).alias("content")))
 
 
+@query(ORACLES["mirna_tags"])
+def mirna_function(spark, sf):
+    """The same names by the tagger's table function, called in SQL for each text."""
+    name = table_functions.register(spark, "mirna", table_functions.mirna())
+    content = "concat(text, ' miR-', doc_id % 300, 'a ')"
+    return spark.sql(f"SELECT doc_id, t.* FROM {{docs}} d, LATERAL {name}({content}) t", docs=docs_of(spark, sf))
+
+
 _MIRNA = """CASE doc_id % 3 WHEN 0 THEN 'hsa-mir-' WHEN 1 THEN 'mmu-' ELSE 'miR-' END || (doc_id % 40) || 'A-3p'"""
 
 
@@ -842,6 +860,28 @@ def request_sample(spark, sf):
     return ids.agg(F.count("*").alias("n")).join(drawn.distinct().agg(F.count("*").alias("n_sampled"))).join(known).select("n", "n_sampled", (F.col("k") == F.col("n_sampled")).alias("all_known"))
 
 
+@query("SELECT (i // 10)::int AS run, s AS stage, 10::bigint AS n_documents, true AS timed, NULL::varchar AS error FROM range(0, 30, 10) r(i), unnest(['ner', 'normalization', 'total']) t(s) WHERE (SELECT count(*) FROM documents) >= 30")
+def load_runs(spark, sf):
+    """Thirty documents drawn from all, in batches of ten, through the plan's stages; which stages were timed, and errors."""
+    docs = annotate.documents(docs_of(spark, sf))
+    unknown = plugins.Registry(annotate.gazetteer_tagger, {"drug": lambda m: m.withColumn("ids", F.array(F.lit(dic.UNKNOWN)))})
+    made = load.runs(docs, unknown, 30, 2019, size=10)
+    return made.select("run", "stage", "n_documents", (F.col("seconds") > 0).alias("timed"), "error")
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'out of index range' WHEN 'view' THEN 'BioC.key missing' WHEN 'purchase' THEN 'error: tagger' ELSE 'a text' END AS t,
+    event_id % 5 > 0 AS timed FROM events),
+    c AS (SELECT CASE WHEN t LIKE '%out of index range%' THEN 'out of range' WHEN t LIKE '%BioC.key%' THEN 'not available' WHEN t LIKE '%error: %' AND NOT timed THEN t
+    WHEN NOT timed THEN 'no times' ELSE 'done' END AS outcome FROM r) SELECT outcome, count(*) AS n FROM c GROUP BY outcome"""
+)
+def load_outcomes(spark, sf):
+    """Answers to all events as requests, by what became of them."""
+    text = "CASE event_type WHEN 'click' THEN 'out of index range' WHEN 'view' THEN 'BioC.key missing' WHEN 'purchase' THEN 'error: tagger' ELSE 'a text' END"
+    answers = read(spark, sf, "events").select(F.expr(text).alias("text"), F.expr("if(event_id % 5 > 0, named_struct('total', value), null)").alias("elapsed_time"))
+    return load.outcomes(answers)
+
+
 # ---- subwords ----
 
 
