@@ -29,8 +29,10 @@ Model = Callable[[list[list[str]]], list[np.ndarray]]
 
 #: Class scores of a word; ``tagging.LABELS`` names the classes.
 CLASSES = 7
-#: Examples that a model gets at once.
-EXAMPLES = 64
+#: Words, padding included, that a model gets at once.
+BATCH_WORDS = 64 * segment.CHUNK_WORDS
+#: Pieces of a batch are padded to a multiple of this.
+WIDTH = 8
 
 _models: dict = {}
 _lock = threading.Lock()
@@ -92,17 +94,39 @@ def sentence_tagger(tag: Callable[[str, np.ndarray, pa.Array], tuple[np.ndarray,
     return tagger
 
 
+def length_batches(lengths: Sequence[int], budget: int = BATCH_WORDS) -> list[np.ndarray]:
+    """Places of examples in batches of like lengths: padded to its longest, a batch has ``budget`` words at most, or one example."""
+    own = np.asarray(lengths, np.int64)
+    order, out, first = np.argsort(own, kind="stable"), [], 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or (i - first + 1) * own[order[i]] > budget:
+            out.append(order[first:i])
+            first = i
+    return out
+
+
+def padding_share(lengths: Sequence[int], batches: Sequence[np.ndarray]) -> float:
+    """Share of padding in all that the batches hold."""
+    own = np.asarray(lengths, np.int64)
+    held_words = sum(len(b) * int(own[b].max()) for b in batches)
+    return 1 - own.sum() / held_words if held_words else 0.0
+
+
 def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.RIVALS, name: str = "tagger") -> TokenTagger:
     """A token tagger of one model a type; ``load(etype)`` runs once in each Python worker.
 
-    A sentence's words go to the model in runs of CHUNK_WORDS, EXAMPLES runs at once.
+    A sentence's words go to the model in runs of CHUNK_WORDS, runs of like lengths of all sentences at hand together; their order is
+    restored behind it.
     """
 
     def tag(etype: str, nth: np.ndarray, word: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         model, words = held(f"{name}/{etype}", lambda: load(etype)), word.to_pylist()
         cuts = [*np.flatnonzero(nth % segment.CHUNK_WORDS == 0).tolist(), len(words)]
         examples = [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        scores = [x for i in range(0, len(examples), EXAMPLES) for x in model(examples[i : i + EXAMPLES])]
+        scores: list[np.ndarray] = [np.zeros((0, CLASSES))] * len(examples)
+        for batch in length_batches([len(x) for x in examples]):
+            for i, x in zip(batch, model([examples[i] for i in batch]), strict=True):
+                scores[i] = x
         tags, p = tag_head(np.concatenate(scores)) if scores else ([], np.zeros(0))
         kept = np.array([i for i, t in enumerate(tags) if t != "O"], np.int64)
         return kept, [tags[i] for i in kept], p[kept]
@@ -112,16 +136,31 @@ def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.R
 
 def session_model(session: object, vocabulary: dict[str, int], length: int = 256, lower: bool = False) -> Model:
     """A model of an inference session (as onnxruntime's, with inputs input_ids, input_mask and segment_ids, and one output of class
-    scores a piece): words become pieces, and a word has the scores of its first piece; words behind the cut are outside.
+    scores a piece): words become pieces, and a word has the scores of its first piece; words behind the cut at ``length`` are outside.
+
+    A batch is padded to its own longest example, up to a multiple of WIDTH.
     """
     from lexiloom.operators import subword
 
+    cut, known = subword.Pieces(vocabulary), {}
+
+    def found(word: str) -> list[str]:
+        if word not in known:
+            if len(known) >= subword.REMEMBERED:
+                known.clear()
+            known[word] = [p for token in subword.basic_tokens(word, lower) for p in cut(token)]
+        return known[word]
+
     def model(examples: list[list[str]]) -> list[np.ndarray]:
-        made = [subword.example(words, None, vocabulary, length, lower) for words in examples]
-        feed = {"input_ids": "ids", "input_mask": "mask", "segment_ids": "segments"}
-        out = session.run(None, {name: np.array([getattr(x, own) for x in made], np.int64) for name, own in feed.items()})[0]
+        made = [subword.marked(words, None, found, length) for words in examples]
+        width = min(length, -(-max((len(tokens) for tokens, _, _ in made), default=0) // WIDTH) * WIDTH)
+        ids, mask = np.zeros((2, len(made), width), np.int64)
+        for i, (tokens, _, _) in enumerate(made):
+            ids[i, : len(tokens)] = subword.to_ids(tokens, vocabulary)
+            mask[i, : len(tokens)] = 1
+        out = session.run(None, {"input_ids": ids, "input_mask": mask, "segment_ids": np.zeros_like(ids)})[0]
         outside = np.full(CLASSES, -1e4, np.float32)
         outside[3] = 0
-        return [np.array([out[i][k] if k >= 0 else outside for k in x.first], np.float32).reshape(-1, CLASSES) for i, x in enumerate(made)]
+        return [np.array([out[i][k] if k >= 0 else outside for k in first], np.float32).reshape(-1, CLASSES) for i, (_, _, first) in enumerate(made)]
 
     return model

@@ -197,7 +197,7 @@ class Example:
     first: list[int]
 
 
-def _marked(words: list[str], labels: list[str] | None, found: Callable[[str], list[str]], length: int) -> tuple[list[str], list[str], list[int]]:
+def marked(words: list[str], labels: list[str] | None, found: Callable[[str], list[str]], length: int) -> tuple[list[str], list[str], list[int]]:
     """Pieces between the two marks, cut to ``length``, their labels, and each word's first piece."""
     tokens, marks, first = [], [], []
     for i, word in enumerate(words):
@@ -210,7 +210,7 @@ def _marked(words: list[str], labels: list[str] | None, found: Callable[[str], l
 
 def example(words: list[str], labels: list[str] | None, vocabulary: dict[str, int], length: int = LENGTH, lower: bool = False) -> Example:
     """Pieces of the words between the two marks, cut and padded to ``length``."""
-    tokens, marks, first = _marked(words, labels, lambda w: tokenize(w, vocabulary, lower), length)
+    tokens, marks, first = marked(words, labels, lambda w: tokenize(w, vocabulary, lower), length)
     rest = [0] * (length - len(tokens))
     ids, numbers = to_ids(tokens, vocabulary) + rest, [LABEL_IDS[m] for m in marks] + rest
     return Example(ids, [1] * len(tokens) + rest, [0] * length, numbers, tokens + [PADDING] * len(rest), first)
@@ -225,7 +225,7 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
     if vocabulary.count() > VOCABULARY_MOST:
         raise ValueError(f"a vocabulary has {VOCABULARY_MOST} tokens at most")
     shared = chunks.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in vocabulary.select("token", "id").collect()})
-    key, marked = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns
+    key, labelled = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
@@ -243,10 +243,10 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
             for i in range(0, len(whole), 256):
                 batch = whole.slice(i, 256)
                 n, words = len(batch), batch.column(3).to_pylist()
-                labels = batch.column(4).to_pylist() if marked else [None] * n
+                labels = batch.column(4).to_pylist() if labelled else [None] * n
                 grid, tokens = np.zeros((4, n, length), np.int32), []
                 for k, (w, m) in enumerate(zip(words, labels, strict=True)):
-                    own, marks, _ = _marked(w, m, found, length)
+                    own, marks, _ = marked(w, m, found, length)
                     grid[0, k, : len(own)] = to_ids(own, shared.value)
                     grid[1, k, : len(own)] = 1
                     grid[3, k, : len(own)] = [LABEL_IDS[x] for x in marks]
@@ -256,5 +256,5 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(tokens, pa.list_(pa.string()))], names)
 
     arrays = "input_ids array<int>, input_mask array<int>, segment_ids array<int>, label_ids array<int>, tokens array<string>"
-    asked = chunks.select("doc_id", "sent_idx", "chunk", "words", *["labels"] * marked)
+    asked = chunks.select("doc_id", "sent_idx", "chunk", "words", *["labels"] * labelled)
     return asked.mapInArrow(run, f"doc_id {key}, sent_idx int, chunk int, {arrays}")

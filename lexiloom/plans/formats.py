@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,12 @@ def ner_lines(docs: DataFrame, entities: DataFrame, model: str) -> DataFrame:
 
 def fixed(c: Column | str, digits: int) -> Column:
     """A double with so many digits, as C prints it: its exact value is rounded, ties to even."""
-    return F.udf(lambda x: None if x is None else f"{x:.{digits}f}", "string", useArrow=True)(c)
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{digits}f}" for x in values.to_pylist()], pa.string())
+
+    return shown(c)
 
 
 def stats_lines(stats: DataFrame, columns: list[str], missing: str | None = "") -> DataFrame:
