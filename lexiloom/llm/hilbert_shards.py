@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialise, table
+from lexiloom.operators.ordering import running_sum
 
 BITS = 8
-#: Values of a dimension that get cells by their order; rarer ones than these get cells by a hash.
-CATEGORIES = 4096
+#: Bytes of a dimension's distinct values up to which their cells are broadcast; more are joined by a shuffle, with the same result.
+SHARED_BYTES = 16 << 20
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -67,13 +68,16 @@ def curve(dimensions: list[Column], bits: int = BITS) -> Column:
 
 
 def categories(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
-    """``column`` and its cell for the CATEGORIES most frequent values: where the middle of a value's rows lies in their order."""
-    often = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(CATEGORIES).collect()
-    total, before, out = sum(r["count"] for r in often), 0, []
-    for r in sorted(often, key=lambda r: r[column]):
-        out.append((r[column], int((before + r["count"] / 2) / total * (1 << bits))))
-        before += r["count"]
-    return rows.sparkSession.createDataFrame(out, f"{column} string, {column}_cell int")
+    """Every value of ``column`` and its cell: where the middle of the value's rows lies in the order of all rows.
+
+    Rows are counted by value first; the counts are summed up by ranges of values, so no task or driver holds all values.
+    """
+    counts = materialise(rows.where(F.col(column).isNotNull()).groupBy(column).count(), f"hilbert-{column}")
+    total, size = counts.agg(F.sum("count"), F.sum(F.octet_length(column) + 16)).first()
+    upto = running_sum(counts, [column], F.col("count"), "upto")
+    middle = (F.col("upto") - F.col("count") + F.col("count") / 2) / F.lit(total or 1) * (1 << bits)
+    cells = upto.select(column, middle.cast("int").alias(f"{column}_cell"))
+    return F.broadcast(cells) if (size or 0) <= SHARED_BYTES else cells
 
 
 def size_cuts(rows: DataFrame, bits: int = BITS) -> list[int]:
@@ -86,9 +90,7 @@ def quantised(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows (lang, source, size, ...) with the cells lang_cell, source_cell and size_cell; nulls have cell 0."""
     out = rows
     for column in ("lang", "source"):
-        rare = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-        cell = F.when(F.col(column).isNull(), 0).otherwise(F.coalesce(f"{column}_cell", rare))
-        out = out.join(F.broadcast(categories(rows, column, bits)), column, "left").withColumn(f"{column}_cell", cell.cast("int"))
+        out = out.join(categories(rows, column, bits), column, "left").fillna(0, [f"{column}_cell"])
     return out.withColumn("size_cell", F.size(F.filter(F.lit(size_cuts(rows, bits)).cast("array<long>"), lambda c: c <= F.col("size"))))
 
 
