@@ -714,11 +714,11 @@ def tool_json_scan(spark, sf):
     return found.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(one, ";").alias("spans"))
 
 
-@query("SELECT url AS file FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0 AND url NOT LIKE '% %' GROUP BY url, page_id")
+@query("SELECT url AS file FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0 AND url IS NOT NULL GROUP BY url, page_id")
 def archive_list(spark, sf):
     """Listed files that are whole lines and not there yet; several pages can have one url, so a file is named by its page too."""
     file = F.concat(F.col("page_id").cast("string"), F.lit("/"), F.url_encode("url"))
-    pages = read(spark, sf, "pages").where("NOT contains(url, ' ')").select("page_id", file.alias("file"))
+    pages = read(spark, sf, "pages").where("url IS NOT NULL").select("page_id", file.alias("file"))
     line = F.concat(F.lit(" "), "file", F.when(F.col("page_id") % 4 > 0, "\tA journal. 2001\tPMC1 x").otherwise(" short"))
     there = pages.where("page_id % 5 = 0").select("file")
     files = parsers.file_list(pages.select(line.alias("value")), there).distinct()
