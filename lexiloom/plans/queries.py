@@ -319,9 +319,9 @@ def species_filter(spark, sf):
     return both.select("doc_id", (F.col("n") - F.col("n_kept")).alias("n_dropped"), "n_kept")
 
 
-@query(f"WITH {_ENTITIES} SELECT d.doc_id, count(e.doc_id) AS n FROM documents d LEFT JOIN ent e ON d.doc_id = e.doc_id AND ordinal < d.doc_id % 4 GROUP BY d.doc_id")
+@query(f"WITH {_ENTITIES} SELECT d.doc_id, count(e.doc_id) AS n FROM documents d LEFT JOIN ent e ON d.doc_id = e.doc_id GROUP BY d.doc_id")
 def entity_count(spark, sf):
-    return tagging.entity_counts(entities_of(spark, sf).where("ordinal < doc_id % 4"), docs_of(spark, sf))
+    return tagging.entity_counts(entities_of(spark, sf), docs_of(spark, sf))
 
 
 @query(f"WITH {_ENTITIES} SELECT etype, count(*) AS n, avg((oid = 'CUI-less')::int) * 100 AS unknown_pct FROM ent GROUP BY etype".replace("avg((oid = 'CUI-less')::int) * 100", "round(avg((oid = 'CUI-less')::int) * 100, 6)"))
