@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators import segment, tagging
+from lexiloom.operators import segment, subword, tagging
 
 #: sentences (doc_id, sent_idx, text, start) -> doc_id, etype, sent_idx, word_idx, word, start, end, tag, p; the words of a sentence and
 #: type follow one another within a partition, as they do where sentences are mapped
@@ -35,7 +35,7 @@ BATCH_WORDS = 64 * segment.CHUNK_WORDS
 WIDTH = 8
 
 _models: dict = {}
-_lock = threading.Lock()
+_lock = threading.RLock()
 
 
 def held(key: str, load: Callable[[], object]) -> object:
@@ -57,9 +57,14 @@ class Registry:
 
 def tag_head(scores: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Tags and confidences of rows of class scores: the class of the highest score, and its softmax value."""
+    tags, p = _tag_arrays(scores)
+    return tags.tolist(), p
+
+
+def _tag_arrays(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = scores.argmax(axis=1)
     p = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
-    return [tagging.LABELS.get(int(c), "O") for c in best], p
+    return np.array([tagging.LABELS.get(c, "O") for c in range(scores.shape[1])])[best], p
 
 
 def sentence_tagger(tag: Callable[[str, np.ndarray, pa.Array], tuple[np.ndarray, list[str], np.ndarray]], etypes: Sequence[str] = tagging.RIVALS) -> TokenTagger:
@@ -98,8 +103,9 @@ def length_batches(lengths: Sequence[int], budget: int = BATCH_WORDS) -> list[np
     """Places of examples in batches of like lengths: padded to its longest, a batch has ``budget`` words at most, or one example."""
     own = np.asarray(lengths, np.int64)
     order, out, first = np.argsort(own, kind="stable"), [], 0
+    ascending = own[order].tolist()
     for i in range(1, len(order) + 1):
-        if i == len(order) or (i - first + 1) * own[order[i]] > budget:
+        if i == len(order) or (i - first + 1) * ascending[i] > budget:
             out.append(order[first:i])
             first = i
     return out
@@ -120,47 +126,64 @@ def model_tagger(load: Callable[[str], Model], etypes: Sequence[str] = tagging.R
     """
 
     def tag(etype: str, nth: np.ndarray, word: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-        model, words = held(f"{name}/{etype}", lambda: load(etype)), word.to_pylist()
-        cuts = [*np.flatnonzero(nth % segment.CHUNK_WORDS == 0).tolist(), len(words)]
-        examples = [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        scores: list[np.ndarray] = [np.zeros((0, CLASSES))] * len(examples)
-        for batch in length_batches([len(x) for x in examples]):
-            for i, x in zip(batch, model([examples[i] for i in batch]), strict=True):
-                scores[i] = x
-        tags, p = tag_head(np.concatenate(scores)) if scores else ([], np.zeros(0))
-        kept = np.array([i for i, t in enumerate(tags) if t != "O"], np.int64)
-        return kept, [tags[i] for i in kept], p[kept]
+        model = held(f"{name}/{etype}", lambda: load(etype))
+        cuts = np.append(np.flatnonzero(nth % segment.CHUNK_WORDS == 0), len(word))
+        batches = length_batches(np.diff(cuts))
+        if isinstance(model, SessionModel):
+            scores, laid = np.zeros((len(word), CLASSES), np.float32), model.lay(word, cuts)
+            for batch in batches:
+                at, own = model.scores(laid, batch)
+                scores[at] = own
+        else:
+            words, parts = word.to_pylist(), [np.zeros((0, CLASSES))] * (len(cuts) - 1)
+            examples = [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            for batch in batches:
+                for i, x in zip(batch, model([examples[i] for i in batch]), strict=True):
+                    parts[i] = x
+            scores = np.concatenate(parts) if parts else np.zeros((0, CLASSES))
+        tags, p = _tag_arrays(scores)
+        kept = np.flatnonzero(tags != "O")
+        return kept, tags[kept], p[kept]
 
     return sentence_tagger(tag, etypes)
 
 
-def session_model(session: object, vocabulary: dict[str, int], length: int = 256, lower: bool = False) -> Model:
+class SessionModel:
+    """The model that ``session_model`` makes.  ``model_tagger`` gives it arrays of words, by ``lay`` and ``scores``; called with lists of
+    words it is a model like any other."""
+
+    def __init__(self, session: object, encoder: subword.Encoder, length: int) -> None:
+        self.session, self.length, self.encoder = session, length, encoder
+
+    def lay(self, words: pa.Array, starts: np.ndarray) -> subword.Laid:
+        return self.encoder.lay(words, starts, self.length)
+
+    def scores(self, laid: subword.Laid, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of these examples, which are one batch, and a row of class scores for each."""
+        rows = np.asarray(rows, np.int64)
+        width = min(self.length, -(-int(laid.kept[rows].max(initial=-2) + 2) // WIDTH) * WIDTH)
+        ids, mask = self.encoder.ids_of(laid, rows, width) if len(rows) else np.zeros((2, 0, 0), np.int64)
+        out = np.asarray(self.session.run(None, {"input_ids": ids, "input_mask": mask, "segment_ids": np.zeros_like(ids)})[0])
+        count = np.diff(laid.starts)[rows]
+        at = np.arange(count.sum()) + np.repeat(laid.starts[rows] - np.cumsum(count) + count, count)
+        first, found = laid.first[at], np.full((len(at), CLASSES), -1e4, np.float32)
+        found[:, 3] = 0  # outside
+        known = first >= 0
+        found[known] = out[np.repeat(np.arange(len(rows)), count)[known], first[known]]
+        return at, found
+
+    def __call__(self, examples: list[list[str]]) -> list[np.ndarray]:
+        starts = np.append(0, np.cumsum([len(words) for words in examples])).astype(np.int64)
+        laid = self.lay(pa.array([w for words in examples for w in words], pa.string()), starts)
+        return np.split(self.scores(laid, np.arange(len(examples)))[1], starts[1:-1]) if examples else []
+
+
+def session_model(session: object, vocabulary: dict[str, int] | subword.Encoder, length: int = 256, lower: bool = False) -> SessionModel:
     """A model of an inference session (as onnxruntime's, with inputs input_ids, input_mask and segment_ids, and one output of class
     scores a piece): words become pieces, and a word has the scores of its first piece; words behind the cut at ``length`` are outside.
 
-    A batch is padded to its own longest example, up to a multiple of WIDTH.
+    A batch is padded to its own longest example, up to a multiple of WIDTH.  Models of one encoder, given instead of a vocabulary, cut
+    words once for all of them.
     """
-    from lexiloom.operators import subword
-
-    cut, known = subword.Pieces(vocabulary), {}
-
-    def found(word: str) -> list[str]:
-        if word not in known:
-            if len(known) >= subword.REMEMBERED:
-                known.clear()
-            known[word] = [p for token in subword.basic_tokens(word, lower) for p in cut(token)]
-        return known[word]
-
-    def model(examples: list[list[str]]) -> list[np.ndarray]:
-        made = [subword.marked(words, None, found, length) for words in examples]
-        width = min(length, -(-max((len(tokens) for tokens, _, _ in made), default=0) // WIDTH) * WIDTH)
-        ids, mask = np.zeros((2, len(made), width), np.int64)
-        for i, (tokens, _, _) in enumerate(made):
-            ids[i, : len(tokens)] = subword.to_ids(tokens, vocabulary)
-            mask[i, : len(tokens)] = 1
-        out = session.run(None, {"input_ids": ids, "input_mask": mask, "segment_ids": np.zeros_like(ids)})[0]
-        outside = np.full(CLASSES, -1e4, np.float32)
-        outside[3] = 0
-        return [np.array([out[i][k] if k >= 0 else outside for k in first], np.float32).reshape(-1, CLASSES) for i, (_, _, first) in enumerate(made)]
-
-    return model
+    encoder = vocabulary if isinstance(vocabulary, subword.Encoder) else subword.Encoder(vocabulary, lower)
+    return SessionModel(session, encoder, length)

@@ -11,10 +11,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ SHORT = 16
 VOCABULARY_MOST = 2_000_000
 #: Words whose pieces a worker remembers; the memory is emptied when it is full, which changes no result.
 REMEMBERED = 200_000
+#: Examples that are made at once.
+BATCH_ROWS = 512
 #: Code points of Chinese characters, each of which is a token.
 CJK = (
     (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F),
@@ -68,6 +72,8 @@ def _unaccented(word: str) -> str:
 
 def basic_tokens(text: str, lower: bool = False) -> list[str]:
     """Words and single punctuation marks; ``lower`` also removes accents."""
+    if text.isascii() and text.isalnum():
+        return [text.lower() if lower else text]
     words = text.translate(_cleaned).split()
     return " ".join(_unaccented(w) if lower else w for w in words).translate(_apart).split()
 
@@ -108,6 +114,8 @@ class Pieces:
 
     def __init__(self, vocabulary: dict[str, int], longest: int = LONGEST, short: int = SHORT) -> None:
         self.vocabulary, self.longest, self.short = vocabulary, longest, short
+        #: characters of the longest token, and of the longest one that goes on in a word, without its mark
+        self.most = max(map(len, vocabulary), default=0), max((len(t) - 2 for t in vocabulary if t.startswith("##")), default=0)
         self.child: dict[tuple[int, str], int] = {}
         self.link: list[int] = []
         self.pops: list[tuple[str, ...]] = []
@@ -146,9 +154,26 @@ class Pieces:
                         self.link[to], self.pops[to] = self.child[at, c], popped
             level = below
 
+    def _plain(self, token: str) -> list[str]:
+        """As ``pieces``, but no piece is tried that is longer than any token."""
+        out, at, n, vocabulary = [], 0, len(token), self.vocabulary
+        mark, most = "", self.most[0]
+        while at < n:
+            for end in range(min(n, at + most), at, -1):
+                piece = mark + token[at:end]
+                if piece in vocabulary:
+                    break
+            else:
+                return [UNKNOWN]
+            out.append(piece)
+            at, mark, most = end, "##", self.most[1]
+        return out
+
     def __call__(self, token: str) -> list[str]:
-        if len(token) <= self.short or len(token) > self.longest:
-            return pieces(token, self.vocabulary, self.longest)
+        if len(token) > self.longest:
+            return [UNKNOWN]
+        if len(token) <= self.short:
+            return self._plain(token)
         if not self.link:
             self._grow()
         node, out = 0, []
@@ -216,6 +241,93 @@ def example(words: list[str], labels: list[str] | None, vocabulary: dict[str, in
     return Example(ids, [1] * len(tokens) + rest, [0] * length, numbers, tokens + [PADDING] * len(rest), first)
 
 
+@dataclass
+class Laid:
+    """Pieces of examples whose words follow one another.  Example e has the words ``starts[e]`` to ``starts[e + 1]``, and ``kept[e]`` pieces
+    from ``base[e]`` on; ``first`` is each word's first piece in its example, the mark counted, -1 if it has none before the cut;
+    ``heads`` are the first pieces of the words that have any, ``owners`` these words."""
+
+    starts: np.ndarray
+    pieces: np.ndarray
+    base: np.ndarray
+    kept: np.ndarray
+    first: np.ndarray
+    heads: np.ndarray
+    owners: np.ndarray
+
+
+class Encoder:
+    """``marked`` for arrays of words: each distinct word is cut into pieces once and remembered, the rest is arithmetic on arrays.
+
+    Pieces are numbered by their place in the vocabulary, since several can have one id.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], lower: bool = False) -> None:
+        self.number, self.lower, self.missing = {t: i for i, t in enumerate(vocabulary)}, lower, len(vocabulary)
+        self.ids = np.append(np.fromiter(vocabulary.values(), np.int64, len(vocabulary)), 0)
+        self.cut, self.known, self.last = Pieces(self.number), {}, None
+
+    def _new(self, word: str) -> list[int]:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        got = self.known[word] = [self.number.get(p, self.missing) for token in basic_tokens(word, self.lower) for p in self.cut(token)]
+        return got
+
+    def lay(self, words: pa.Array, starts: np.ndarray, length: int) -> Laid:
+        """The pieces of the words, cut to ``length``.  Asked for the same array again, as by models that share an encoder, it gives what it made."""
+        if self.last is None or self.last[0] is not words or self.last[1] != length or not np.array_equal(self.last[2].starts, starts):
+            self.last = words, length, self._laid(words, starts, length)
+        return self.last[2]
+
+    def _laid(self, words: pa.Array, starts: np.ndarray, length: int) -> Laid:
+        coded, get = words.dictionary_encode(), self.known.get
+        own = [x if (x := get(w)) is not None else self._new(w) for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(chain.from_iterable(own), np.int64, int(size.sum()))
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n, begin = size[code], (np.cumsum(size) - size)[code]
+        before = np.append(0, np.cumsum(n))
+        pieces = np.append(flat[np.repeat(begin - before[:-1], n) + np.arange(before[-1])], 0)  # one more, for examples without any
+        base, head = before[starts], before[:-1]
+        place = head - np.repeat(base[:-1], np.diff(starts))
+        kept = np.minimum(np.diff(base), length - 2)
+        return Laid(starts, pieces, base[:-1], kept, np.where((n > 0) & (place < length - 2), place + 1, -1), head[n > 0], np.flatnonzero(n))
+
+    def places(self, laid: Laid, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``laid.pieces`` what stands between the marks is, for each row ``width`` - 2 places, and which of them are in use."""
+        at = np.arange(width - 2)
+        inside = at < laid.kept[rows][:, None]
+        return np.minimum(laid.base[rows][:, None] + at, len(laid.pieces) - 1), inside
+
+    def ids_of(self, laid: Laid, rows: np.ndarray, width: int, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of the rows, between the two marks, padded to ``width``."""
+        at, inside = self.places(laid, rows, width)
+        own = laid.pieces[at]
+        if (inside & (own == self.missing)).any():
+            raise KeyError(UNKNOWN)
+        ids = np.zeros((len(rows), width), kind)
+        ids[:, 1:-1] = np.where(inside, self.ids[own], 0)
+        if len(rows):
+            ids[:, 0] = self.ids[self.number[FIRST]]
+            ids[np.arange(len(rows)), laid.kept[rows] + 1] = self.ids[self.number[LAST]]
+        return ids, (np.arange(width) < laid.kept[rows][:, None] + 2).astype(kind)
+
+
+def _word_labels(labels: pa.Array, starts: np.ndarray) -> np.ndarray:
+    """Label ids of all words, O where an example has no labels, -1 for unknown ones."""
+    lengths, words = pc.list_value_length(labels).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts)
+    if ((lengths > 0) & (lengths < words)).any():
+        raise IndexError("an example has fewer labels than words")
+    coded = labels.flatten().dictionary_encode()
+    numbers = np.array([LABEL_IDS.get(x, -1) for x in coded.dictionary.to_pylist()] + [-1], np.int32)
+    own = numbers[coded.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
+    labelled = np.repeat(lengths > 0, words)
+    at = np.arange(len(labelled)) + np.repeat(np.cumsum(lengths) - lengths - starts[:-1], words)
+    out = np.full(len(labelled), LABEL_IDS["O"], np.int32)
+    out[labelled] = own[at[labelled]]
+    return out
+
+
 def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, lower: bool = False) -> DataFrame:
     """doc_id, sent_idx, chunk, input_ids, input_mask, segment_ids, label_ids (all padded) and tokens (without padding) of every
     chunk (doc_id, sent_idx, chunk, words, and labels if it has that column); vocabulary: token, id.
@@ -228,32 +340,34 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
     key, labelled = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
-        known: dict[str, list[str]] = {}
-        cut = Pieces(shared.value)
-
-        def found(word: str) -> list[str]:
-            if word not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = [p for token in basic_tokens(word, lower) for p in cut(token)]
-            return known[word]
-
+        columns = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
+        encoder = Encoder(shared.value, lower)
+        names = pa.array([*encoder.number, UNKNOWN], pa.string())
         for whole in batches:
-            for i in range(0, len(whole), 256):
-                batch = whole.slice(i, 256)
-                n, words = len(batch), batch.column(3).to_pylist()
-                labels = batch.column(4).to_pylist() if labelled else [None] * n
-                grid, tokens = np.zeros((4, n, length), np.int32), []
-                for k, (w, m) in enumerate(zip(words, labels, strict=True)):
-                    own, marks, _ = marked(w, m, found, length)
-                    grid[0, k, : len(own)] = to_ids(own, shared.value)
-                    grid[1, k, : len(own)] = 1
-                    grid[3, k, : len(own)] = [LABEL_IDS[x] for x in marks]
-                    tokens.append(own)
-                starts = pa.array(np.arange(n + 1, dtype=np.int32) * length)
-                lists = [pa.ListArray.from_arrays(starts, pa.array(g.reshape(-1))) for g in grid]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(tokens, pa.list_(pa.string()))], names)
+            for i in range(0, len(whole), BATCH_ROWS):
+                batch = whole.slice(i, BATCH_ROWS)
+                n, rows = len(batch), np.arange(len(batch))
+                starts = np.append(0, np.cumsum(pc.list_value_length(batch.column(3)).fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+                laid = encoder.lay(batch.column(3).flatten(), starts, length)
+                ids, mask = encoder.ids_of(laid, rows, length, np.int32)
+                at, inside = encoder.places(laid, rows, length)
+                label = np.full(len(laid.pieces), LABEL_IDS["X"], np.int32)
+                own = _word_labels(batch.column(4), starts) if labelled else np.full(starts[-1], LABEL_IDS["O"], np.int32)
+                label[laid.heads] = own[laid.owners]
+                marks = np.zeros((n, length), np.int32)
+                marks[:, 1:-1] = np.where(inside, label[at], 0)
+                if (marks < 0).any():
+                    raise KeyError("unknown label")
+                marks[:, 0] = LABEL_IDS[FIRST]
+                marks[rows, laid.kept + 1] = LABEL_IDS[LAST]
+                ends = np.append(0, np.cumsum(laid.kept + 2)).astype(np.int32)
+                token = np.zeros((n, length), np.int64)
+                token[:, 1:-1] = laid.pieces[at]
+                token[:, 0], token[rows, laid.kept + 1] = encoder.number[FIRST], encoder.number[LAST]
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * length)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(g.reshape(-1))) for g in (ids, mask, np.zeros_like(ids), marks)]
+                tokens = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(token[mask > 0])))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, tokens], columns)
 
     arrays = "input_ids array<int>, input_mask array<int>, segment_ids array<int>, label_ids array<int>, tokens array<string>"
     asked = chunks.select("doc_id", "sent_idx", "chunk", "words", *["labels"] * labelled)
