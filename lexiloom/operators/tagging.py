@@ -112,7 +112,6 @@ def decode_runs(tags: DataFrame, mentions: bool = False) -> DataFrame:
             if held is None and not rows:
                 return
             both = pa.concat_tables([*([held] if held is not None else []), *rows])
-            both = both.filter(pc.not_equal(both["tag"], "O"))
             keep = len(both)
             if batch is not None and len(both):
                 ends = np.flatnonzero(np.logical_or.reduce([_breaks(both.column(i).combine_chunks()) for i in range(3)]))
@@ -124,7 +123,7 @@ def decode_runs(tags: DataFrame, mentions: bool = False) -> DataFrame:
     columns = "sent_idx int, word_idx int, word string, start int, end int, tag string, p double"
     typed = [F.col(c).cast(t) for c, t in (x.split() for x in columns.split(", "))]
     out = f"doc_id {key}, etype string, sent_idx int, start int, end int, score double, first_word int, last_word int" + ", mention string" * mentions
-    return tags.select("doc_id", "etype", *typed).mapInArrow(run, out)
+    return tags.where("tag <> 'O'").select("doc_id", "etype", *typed).mapInArrow(run, out)  # words outside don't go to Python
 
 
 def resolve(entities: DataFrame) -> DataFrame:
