@@ -30,7 +30,9 @@ def clean_whitespace(c: Column) -> Column:
 
 def clean_request(c: Column) -> Column:
     """Line ends and tabs become spaces, and every space-delimited word is cut to WORD_CUT characters."""
-    flat = F.translate(F.replace(c, F.lit("\r\n"), F.lit(" ")), "\n\t", "  ")
+    flat = c
+    for end in ("\r\n", "\n", "\t"):  # translate looks each character up
+        flat = F.replace(flat, F.lit(end), F.lit(" "))
     return F.regexp_replace(flat, f"(?<![^ ])([^ ]{{{WORD_CUT}}})[^ ]+", "$1")
 
 

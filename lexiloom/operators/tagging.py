@@ -128,9 +128,9 @@ def decode_runs(tags: DataFrame, mentions: bool = False) -> DataFrame:
 
 def resolve(entities: DataFrame) -> DataFrame:
     """Of rival types on exactly one span only those of the highest score stay, ties included."""
-    best = F.rank().over(Window.partitionBy("doc_id", "start", "end").orderBy(F.desc("score")))
-    rivals = entities.where(F.col("etype").isin(*RIVALS)).withColumn("best", best).where("best = 1").drop("best")
-    return rivals.unionByName(entities.where(~F.col("etype").isin(*RIVALS)))
+    rival = F.col("etype").isin(*RIVALS)
+    best = F.rank().over(Window.partitionBy("doc_id", "start", "end", rival).orderBy(F.desc("score")))  # one pass: entities are costly to make
+    return entities.where("etype IS NOT NULL").withColumn("__best", best).where((F.col("__best") == 1) | ~rival).drop("__best")
 
 
 def detokenize(pieces: DataFrame) -> DataFrame:

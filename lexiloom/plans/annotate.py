@@ -44,8 +44,8 @@ def documents(table: DataFrame, unicode: bool = False) -> DataFrame:
     blanks and signs out, as for documents of files.
     """
     text = F.coalesce("text", F.lit(""))
-    cleaned = T.guard_letters(T.clean_request(T.clean_unicode(text) if unicode else text))
-    return table.select("doc_id", F.lit(None).cast("string").alias("title"), cleaned.alias("abstract"))
+    cleaned = table.select("doc_id", T.clean_request(T.clean_unicode(text) if unicode else text).alias("abstract"))
+    return cleaned.select("doc_id", F.lit(None).cast("string").alias("title"), T.guard_letters(F.col("abstract")).alias("abstract"))  # cleaned once
 
 
 def contents(docs: DataFrame) -> DataFrame:
