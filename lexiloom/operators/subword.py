@@ -14,11 +14,13 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from lexiloom.operators import segment
 
 UNKNOWN, FIRST, LAST, PADDING = "[UNK]", "[CLS]", "[SEP]", "**NULL**"
 #: Numbers of labels; X marks the pieces of a word that follow its first one.
@@ -81,9 +83,12 @@ def basic_tokens(text: str, lower: bool = False) -> list[str]:
 def basic(c: Column, lower: bool = False) -> Column:
     """Basic tokens of a column of texts; Spark has no character classes by property that keep up with ``unicodedata``."""
 
-    @F.pandas_udf("array<string>")
-    def made(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: basic_tokens(t, lower), na_action="ignore")
+    @F.arrow_udf(ArrayType(StringType()))
+    def made(texts: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.string()))]
+        for _, (some,) in segment.parts(pa.RecordBatch.from_arrays([texts], ["text"])):  # Python's strings of a part at a time
+            out.append(pa.array([None if t is None else basic_tokens(t, lower) for t in some.to_pylist()], pa.list_(pa.string())))
+        return pa.concat_arrays(out)
 
     return made(c)
 

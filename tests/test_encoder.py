@@ -58,3 +58,14 @@ def test_short_tokens_are_looked_up_by_lengths_that_tokens_have():
     vocabulary = Counted({"a": 1, "##a": 2, "##b": 3})
     cut = subword.Pieces(vocabulary)
     assert cut("abababababababab") == subword.pieces("abababababababab", dict(vocabulary)) and vocabulary.asked <= 18
+
+
+def test_basic_tokens_of_a_batch_are_made_in_parts(spark, monkeypatch):
+    """Texts of a batch go to Python's strings a part at a time; nulls stay, parts come back in order, sliced or not."""
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "a-b"] + [f"word {i} " * 3 for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    made = rows.select("i", subword.basic(F.col("t")).alias("x"))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString() and "arrow" in str(subword.basic.__code__.co_names)
+    assert {r["i"]: r["x"] for r in made.collect()} == {i: None if t is None else subword.basic_tokens(t) for i, t in enumerate(texts)}
