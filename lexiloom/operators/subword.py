@@ -9,6 +9,7 @@ pieces make up, or of over LONGEST characters, are the unknown token; an unknown
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -66,6 +67,8 @@ class _Apart(dict):
 
 
 _cleaned, _apart = _Cleaned(), _Apart()
+#: The encoder of the last vocabulary that this Python worker had, kept for later tasks.
+_last: dict[str, Encoder] = {}
 
 
 def _unaccented(word: str) -> str:
@@ -333,20 +336,27 @@ def _word_labels(labels: pa.Array, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, lower: bool = False) -> DataFrame:
+def examples(
+    chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, lower: bool = False, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "",
+) -> DataFrame:
     """doc_id, sent_idx, chunk, input_ids, input_mask, segment_ids, label_ids (all padded) and tokens (without padding) of every
     chunk (doc_id, sent_idx, chunk, words, and labels if it has that column); vocabulary: token, id.
 
-    A worker remembers the pieces of REMEMBERED words.
+    A worker remembers the pieces of REMEMBERED words.  ``then``, as a model, makes rows of ``schema`` of each batch where it lies, so that
+    the padded arrays don't leave the worker.
     """
-    if vocabulary.count() > VOCABULARY_MOST:
+    held = vocabulary.select("token", "id").limit(VOCABULARY_MOST + 1).collect()  # made once
+    if len(held) > VOCABULARY_MOST:
         raise ValueError(f"a vocabulary has {VOCABULARY_MOST} tokens at most")
-    shared = chunks.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in vocabulary.select("token", "id").collect()})
-    key, labelled = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns
+    shared = chunks.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in held})
+    key, labelled, name = chunks.schema["doc_id"].dataType.simpleString(), "labels" in chunks.columns, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["doc_id", "sent_idx", "chunk", "input_ids", "input_mask", "segment_ids", "label_ids", "tokens"]
-        encoder = Encoder(shared.value, lower)
+        if name not in _last:
+            _last.clear()
+            _last[name] = Encoder(shared.value, lower)
+        encoder = _last[name]
         names = pa.array([*encoder.number, UNKNOWN], pa.string())
         for whole in batches:
             for i in range(0, len(whole), BATCH_ROWS):
@@ -372,8 +382,9 @@ def examples(chunks: DataFrame, vocabulary: DataFrame, length: int = LENGTH, low
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * length)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(g.reshape(-1))) for g in (ids, mask, np.zeros_like(ids), marks)]
                 tokens = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(token[mask > 0])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, tokens], columns)
+                made = pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, tokens], columns)
+                yield then(made) if then else made
 
     arrays = "input_ids array<int>, input_mask array<int>, segment_ids array<int>, label_ids array<int>, tokens array<string>"
     asked = chunks.select("doc_id", "sent_idx", "chunk", "words", *["labels"] * labelled)
-    return asked.mapInArrow(run, f"doc_id {key}, sent_idx int, chunk int, {arrays}")
+    return asked.mapInArrow(run, schema if then else f"doc_id {key}, sent_idx int, chunk int, {arrays}")

@@ -69,3 +69,16 @@ def test_basic_tokens_of_a_batch_are_made_in_parts(spark, monkeypatch):
     made = rows.select("i", subword.basic(F.col("t")).alias("x"))
     assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString() and "arrow" in str(subword.basic.__code__.co_names)
     assert {r["i"]: r["x"] for r in made.collect()} == {i: None if t is None else subword.basic_tokens(t) for i, t in enumerate(texts)}
+
+
+def test_examples_can_be_used_where_they_are_made(spark):
+    chunks = spark.createDataFrame([(i, 0, 0, ["ab"] * (i % 9), ["B"] * (i % 9)) for i in range(1200)], "doc_id long, sent_idx int, chunk int, words array<string>, labels array<string>")
+    vocabulary = spark.createDataFrame(list(VOCABULARY.items()), "token string, id int")
+
+    def sizes(made):
+        n = [len(x) for x in made["tokens"].to_pylist()]
+        b = [sum(y == 1 for y in x) for x in made["label_ids"].to_pylist()]
+        return pa.RecordBatch.from_arrays([made["doc_id"], pa.array(n), pa.array(b)], ["doc_id", "n", "b"])
+
+    got = subword.examples(chunks, vocabulary, 8, then=sizes, schema="doc_id long, n long, b long").collect()
+    assert {r["doc_id"]: (r["n"], r["b"]) for r in got} == {i: (min(i % 9, 6) + 2, min(i % 9, 6)) for i in range(1200)}
